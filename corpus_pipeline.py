@@ -3,24 +3,62 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gaugeline.llm import minhash
+from gaugeline.llm import contamination, exact, minhash, pieces, toxicity
 from gaugeline.llm.common import Scratch, read
+from gaugeline.llm.queries import PIECES
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each near-duplicate group (five words, similarity 0.8)."""
-    found = minhash.near_duplicates(docs).select("doc_id", "kept").where("kept").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").select(*docs.columns)
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score under 0.5; the model learns from the labels of these documents."""
+    labels = read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("label")).where(~toxicity.held_out())
+    weights = toxicity.train(docs.select("doc_id", "text"), labels)
+    return toxicity.with_score(docs, weights).where("score < 0.5").drop("score")
 
 
-STAGES = [("near_dedup", near_dedup)]
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts, the one with the largest id."""
+    found = exact.exact_duplicates(docs).where("NOT kept").select("doc_id", "text_sha256", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("again"))
+    gone = found.where("NOT again").distinct()
+    same = docs.doc_id.eqNullSafe(gone.doc_id) & (F.sha2(F.coalesce(docs.text, F.lit("")), 256) == gone.text_sha256)
+    kept = docs.join(gone, same, "left_anti")
+    return kept if found.where("again").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
-#: Thresholds of a trained model and max-plus encoding are beyond SQL.
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each near-duplicate group (five words, similarity 0.8), the document with the smallest id."""
+    found = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    found = contamination.contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id", "text_key").distinct()
+    same = docs.doc_id.eqNullSafe(found.doc_id) & (F.xxhash64(docs.text) == found.text_key)
+    return docs.join(found, same, "left_anti")
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids of the pieces, their number, and whether they decode to the text."""
+    found = pieces.decode(pieces.encode(docs, PIECES), PIECES)
+    return found.select("doc_id", "ids", F.size("ids").alias("n_pieces"), (F.xxhash64("text") == F.col("text_key")).alias("round_trip"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("sentencepiece", encode_pieces),
+]
+
+#: A trained model's scores and byte-pair ids are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``; each result is written and read again."""
     docs = read(spark, sf_dir, "documents")
     scratch = Scratch(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):

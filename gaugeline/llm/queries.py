@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gaugeline.llm import minhash
+from gaugeline.llm import contamination, exact, minhash, pieces, toxicity
 from gaugeline.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+#: Public tokenizer files; the folder can be set by TOKENIZERS_DIR.
+PIECES = os.path.join(os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), "piece_bpe_32k.model")
+
 
 def query(name: str, sql: str | None = None):
     def add(f):
@@ -26,3 +31,39 @@ def query(name: str, sql: str | None = None):
 @query("op1_minhash_near_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), words=2)
+
+
+@query("op4_benchmark_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage, with the item and the alignment."""
+    return contamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_key")
+
+
+@query("op6_sentencepiece_codec")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of the ids of each document, and whether they decode to its text."""
+    encoded = pieces.encode(read(spark, sf_dir, "documents"), PIECES)
+    return pieces.decode(encoded, PIECES).select(
+        "doc_id",
+        F.size("ids").alias("n_pieces"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        (F.xxhash64("text") == F.col("text_key")).alias("round_trip"),
+    )
+
+
+@query("op7_toxicity_ftrl")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query(
+    "op10_exact_dedup",
+    """
+    SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+           doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+    FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+    WINDOW same AS (PARTITION BY t)
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(read(spark, sf_dir, "documents"))
