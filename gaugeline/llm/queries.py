@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import contamination, exact, minhash, pieces, toxicity
-from gaugeline.llm.common import read
+from gaugeline.llm import contamination, exact, minhash, pieces, secrets, suffixes, toxicity, urls, warc
+from gaugeline.llm.common import Scratch, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,12 +33,68 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), words=2)
 
 
+@query("op2_secret_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and list of the secret spans of each document."""
+    found = secrets.secret_spans(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["kind"].isin(*secrets.BASE_KINDS))
+    counts = {f"n_{k}": F.expr(f"cast(size(filter(spans, x -> x.kind = '{k}')) AS long)") for k in secrets.BASE_KINDS}
+    return found.select(
+        "doc_id",
+        *(c.alias(k) for k, c in counts.items()),
+        F.sha2(secrets.spans_text(base), 256).alias("base_sha256"),
+        secrets.spans_text("spans").alias("spans"),
+    )
+
+
+@query("op3_suffix_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_strings(read(spark, sf_dir, "documents")).drop("spans")
+
+
 @query("op4_benchmark_decontamination")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage, with the item and the alignment."""
     return contamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+#: (verdict, host, path)
+URL_RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+
+
+def _url_sql() -> str:
+    fits = {h + p: (v, f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')") for v, h, p in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))}
+    rule = " ".join(f"WHEN {c} THEN '{r}'" for r, (_, c) in fits.items())
+    given = " ".join(f"WHEN {c} THEN '{v}'" for v, c in fits.values())
+    low = "translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    has = {t: f"regexp_matches({low}, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::BIGINT" for t in (*urls.STRICT, *urls.SOFT)}
+    weight = " + ".join(f"{w} * {has[t]}" for t, w in urls.SOFT.items())
+    return f"""
+    WITH cut AS (
+      SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
+    ), parts AS (
+      SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+             coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
+             {" + ".join(has[t] for t in urls.STRICT)} AS n_strict, {" + ".join(has[t] for t in urls.SOFT)} AS n_soft, {weight} AS weight
+      FROM cut
+    )
+    SELECT page_id, host, path, CASE {rule} END AS rule,
+           CASE {given} WHEN n_strict >= 1 OR weight >= {urls.SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict, n_strict, n_soft
+    FROM parts
+    """
+
+
+@query("op5_url_filter", _url_sql())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_verdicts(read(spark, sf_dir, "pages"), URL_RULES)
+
+
 @query("op6_sentencepiece_codec")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and digest of the ids of each document, and whether they decode to its text."""
@@ -56,6 +112,28 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@query(
+    "op8_warc_archive",
+    """
+    WITH p AS (
+      SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages
+    ), q AS (
+      SELECT page_id, octet_length(encode(body)) AS payload_bytes,
+             array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform([15, 10, 5, 0],
+               lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (i * 5 + 1)::BIGINT, 5))::BIGINT >> s) % 32 + 1)::BIGINT, 1)), '')), '') AS payload_digest,
+             min(page_id) OVER (PARTITION BY body) AS first_id
+      FROM p
+    )
+    SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+    FROM q
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive all pages, then read the archive back."""
+    return warc.read_archive(*warc.write_archive(read(spark, sf_dir, "pages"), Scratch(spark, "warc")))
+
+
 @query(
     "op10_exact_dedup",
     """
