@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import contamination, exact, minhash, pieces, secrets, suffixes, toxicity, urls, warc
+from gaugeline.llm import contamination, exact, minhash, pieces, pii, secrets, suffixes, toxicity, urls, warc
 from gaugeline.llm.common import Scratch, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op9_pii_pseudonyms")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with personal data, pseudonymised; the key is a secret in production."""
+    return pii.pseudonymised(read(spark, sf_dir, "documents"), key="demonstration key").drop("text_key")
