@@ -34,6 +34,11 @@ def safe_ratio(num: Column, den: Column, guard: Column | None = None) -> Column:
     return ratio if guard is None else F.when(guard, ratio)
 
 
+def safe_corr(x: str, y: str) -> Column:
+    """Pearson correlation (an aggregate); null without variance."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def log_ratio(p: Column, q: Column, eps: float = 1e-12) -> Column:
     return F.log((p + eps) / (q + eps))
 

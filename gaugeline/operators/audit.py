@@ -114,7 +114,7 @@ def null_auc_single(n: Column, q: float) -> Column:
 def null_by_enumeration(df: DataFrame, by: Sequence[str], q: float, score: str = "score", label: str = "label") -> DataFrame:
     """(group, n_labelings, null_q): the AUC quantile over all labelings with as many positives, for groups of up to 10 rows."""
     rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(score).alias("s")))).alias("x"), F.sum(label).alias("m"), F.count("*").alias("n")).where("n <= 10 AND m > 0 AND m < n")
-    masks = rows.select(*by, "x", "m", "n", F.explode(F.sequence(F.lit(0), F.shiftleft(F.lit(1), F.col("n").cast("int")) - 1)).alias("mask")).where(F.bit_count("mask") == F.col("m"))
+    masks = rows.select(*by, "x", "m", "n", F.explode(F.expr("sequence(0, shiftleft(1, cast(n AS int)) - 1)")).alias("mask")).where(F.bit_count("mask") == F.col("m"))
     items = masks.select(*by, "mask", F.posexplode("x").alias("i", "e")).select(*by, "mask", F.col("e.s").alias("score"), F.expr("shiftright(mask, i) & 1").alias("label"))
     return _quantile_of(weighted_auc(items, [*by, "mask"], weight=None), by, q).withColumnRenamed("n", "n_labelings")
 
@@ -127,7 +127,8 @@ def _quantile_of(aucs: DataFrame, by: Sequence[str], q: float) -> DataFrame:
 
 def null_by_permutation(df: DataFrame, by: Sequence[str], key: str, reps: int, q: float, seed: int, score: str = "score", label: str = "label") -> DataFrame:
     """(group, null_mean, null_q) over label permutations; the order of a draw is that of md5(seed|rep|key)."""
-    rows = df.select(*by, F.col(key).alias("k"), F.col(score).alias("score"), F.sum(label).over(Window.partitionBy(*by)).alias("m"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    rows = df.select(*by, F.col(key).alias("k"), F.col(score).alias("score"), F.sum(label).over(Window.partitionBy(*by)).alias("m"))
+    rows = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     turn = F.row_number().over(Window.partitionBy(*by, "rep").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("k").cast("string")))))
     drawn = rows.withColumn("label", F.when(turn <= F.col("m"), 1).otherwise(0))
     return _null_summary(weighted_auc(drawn, [*by, "rep"], weight=None), by, q)

@@ -162,7 +162,7 @@ def spectrum_entropy(spec: DataFrame, beta: float, by: str = "graph", value: str
     x = F.when(F.col(value) > eps, F.col(value))
     rows = spec.select(by, (x / F.sum(x).over(w)).alias("p"), F.exp(-F.lit(beta) * (F.col(value) - F.min(value).over(w))).alias("b"))
     rows = rows.withColumn("pb", F.col("b") / F.sum("b").over(w))
-    out = rows.groupBy(by).agg(F.coalesce(-F.sum(F.col("p") * F.log("p")), F.lit(0.0)).alias("entropy"), F.count("p").alias("n"), -F.sum(F.when(F.col("pb") > 0, F.col("pb") * F.log("pb"))).alias("entropy_beta"))
+    out = rows.groupBy(by).agg(F.coalesce(-F.sum(F.col("p") * F.log("p")), F.lit(0.0)).alias("entropy"), F.count("p").alias("n"), (-F.sum(F.when(F.col("pb") > 0, F.col("pb") * F.log("pb")))).alias("entropy_beta"))
     return out.select(by, "entropy", F.when(F.col("n") > 1, F.col("entropy") / F.log("n")).otherwise(0.0).alias("entropy_norm"), "entropy_beta")
 
 

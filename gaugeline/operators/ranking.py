@@ -8,16 +8,20 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeline.functions.scalars import safe_corr
 from gaugeline.operators.joins import within_group_pairs
 from gaugeline.operators.windows import average_rank
 
 
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
-    """(group, n, rho): rank correlation with mean ranks for ties; null if constant or under two rows."""
+    """(group, n, rho): rank correlation with mean ranks for ties; null if constant or under two rows.
+
+    Rounded to 12 digits, so that its sign does not depend on the order of sums.
+    """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     rows = rows.select(*by, average_rank(by, x).alias("rx"), average_rank(by, y).alias("ry"))
     varied = (F.count("*") >= 2) & (F.min("rx") < F.max("rx")) & (F.min("ry") < F.max("ry"))
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.when(varied, F.corr("rx", "ry")).alias("rho"))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.when(varied, F.round(safe_corr("rx", "ry"), 12)).alias("rho"))
 
 
 def pairwise_accuracy(df: DataFrame, group: str, key: str, pred: str, truth: str) -> DataFrame:
@@ -118,7 +122,7 @@ def gram(df: DataFrame, by: Sequence[str], y: str, features: Sequence[str]) -> D
     value = {n: F.lit(1.0) if n == "1" else F.col(n).cast("double") for n in names}
     pairs = [(a, b) for k, a in enumerate(names) for b in names[k:]]
     sums = df.groupBy(*by).agg(*(F.sum(value[a] * value[b]).alias(f"s{k}") for k, (a, b) in enumerate(pairs)))
-    return sums.select(*by, F.explode(F.array(*(F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(f"s{k}").alias("s")) for k, (a, b) in enumerate(pairs)))).alias("g")).select(*by, "g.*")
+    return sums.select(*by, F.explode(F.array(*(F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(f"s{k}").alias("s")) for k, (a, b) in enumerate(pairs)))).alias("entry_")).select(*by, "entry_.*")
 
 
 def _solve(entries: Mapping[tuple[str, str], float], features: Sequence[str], y: str, lam: float, intercept: bool) -> dict[str, float]:

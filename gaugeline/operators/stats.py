@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeline.functions.scalars import finite
+from gaugeline.functions.scalars import finite, safe_corr
 
 
 def group_stats(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -157,14 +157,14 @@ def penalty_scan(df: DataFrame, penalty: str, density: str, target: str, segment
     """For each beta: correlation of penalty (1 + beta density) with the target, and its mean in and out of a segment."""
     rows = df.select(F.explode(F.array(*(F.lit(float(b)) for b in betas))).alias("beta"), penalty, density, target, segment.alias("in_"))
     rows = rows.withColumn("x_", F.col(penalty) * (1 + F.col("beta") * F.col(density)))
-    return rows.groupBy("beta").agg(F.corr("x_", target).alias("corr"), F.avg(F.when(F.col("in_"), F.col("x_"))).alias("mean_in"), F.avg(F.when(~F.col("in_"), F.col("x_"))).alias("mean_out"))
+    return rows.groupBy("beta").agg(safe_corr("x_", target).alias("corr"), F.avg(F.when(F.col("in_"), F.col("x_"))).alias("mean_in"), F.avg(F.when(~F.col("in_"), F.col("x_"))).alias("mean_out"))
 
 
 def correlations(df: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Pearson correlation of listed columns over complete rows, null under two of them."""
     rows = df.select(*keys, F.explode(F.array(*(F.struct(F.lit(f"{a}~{b}").alias("pair"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")) for a, b in pairs))).alias("s"))
     rows = rows.select(*keys, "s.*").where("a IS NOT NULL AND b IS NOT NULL")
-    return rows.groupBy(*keys, "pair").agg(F.count("*").alias("n"), F.when(F.count("*") >= 2, F.corr("a", "b")).alias("corr"))
+    return rows.groupBy(*keys, "pair").agg(F.count("*").alias("n"), F.when(F.count("*") >= 2, safe_corr("a", "b")).alias("corr"))
 
 
 def plateau_lists(df: DataFrame, value: str, member: str, digits: int = 4) -> DataFrame:

@@ -30,10 +30,10 @@ def normalise_columns(spark, sf_dir):
 @_b(
     "B2_classify_rules",
     "part",
-    "SELECT p_partkey, CASE WHEN p_size >= 40 THEN 'large' WHEN p_retailprice > 1400 AND p_brand LIKE 'Brand#1%' THEN 'dear' WHEN p_size < 10 THEN 'small' ELSE 'other' END AS class FROM part",
+    "SELECT p_partkey, CASE WHEN p_size >= 40 THEN 'large' WHEN p_retailprice > 960 AND p_brand LIKE 'Brand#1%' THEN 'dear' WHEN p_size < 10 THEN 'small' ELSE 'other' END AS class FROM part",
 )
 def classify():
-    rules = [(F.col("p_size") >= 40, "large"), ((F.col("p_retailprice") > 1400) & F.col("p_brand").like("Brand#1%"), "dear"), (F.col("p_size") < 10, "small")]
+    rules = [(F.col("p_size") >= 40, "large"), ((F.col("p_retailprice") > 960) & F.col("p_brand").like("Brand#1%"), "dear"), (F.col("p_size") < 10, "small")]
     return "p_partkey", S.classify_rules(rules, "other").alias("class")
 
 

@@ -15,7 +15,7 @@ def stream_screen(items: DataFrame, key: str, ts: str, delay: str, run: Callable
 
     A batch that is retried overwrites its own folder, so outcomes are written once.
     """
-    fresh = items.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+    fresh = items.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
     def write(batch: DataFrame, number: int) -> None:
         run(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
@@ -31,7 +31,7 @@ def stream_task_board(submissions: DataFrame, keys: Sequence[str], ts: str) -> D
 
 def stream_histogram(samples: DataFrame, ts: str, delay: str, width: str, keys: Sequence[str]) -> DataFrame:
     """Counts of keys in tumbling windows; rows later than the delay are dropped."""
-    counts = samples.withWatermark(ts, delay).groupBy(F.window(ts, width), *keys).agg(F.count("*").alias("n"))
+    counts = samples.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).groupBy(F.window(ts, width), *keys).agg(F.count("*").alias("n"))
     return counts.select(F.col("window.start").alias("start"), *keys, "n")
 
 
