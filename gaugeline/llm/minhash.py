@@ -165,6 +165,56 @@ def _with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b")
 
 
+def _tokens(batches):
+    for batch in batches:
+        for k in range(0, batch.num_rows, 256):
+            part = batch.slice(k, 256)
+            sets = [np.frombuffer(v, np.int64) for v in part.column(1).to_pylist()]
+            ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([np.empty(0, np.int64), *sets]))], names=["doc_id", "token"])
+
+
+def _across(mixed: DataFrame, sets: DataFrame, percent: int, frequent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b), a > b, that can link two components of ``mixed(band, member, component)``.
+
+    Listing all pairs of a bucket would take the square of its size, and a
+    passage that many texts share fills buckets with texts that stay just under
+    the threshold. With shingles ordered from rare to frequent, two linked sets
+    share one of their first n - ceil(percent n / 100) + 1 shingles. So either
+    they share a rare one there, which few sets hold, or their rare parts are
+    disjoint and within that prefix. In that case what they share is frequent,
+    and each is also linked with the set of least rare part among all that have
+    the same frequent part as the other, if the frequent parts suffice. Such representatives stand for their
+    class, and nothing is lost.
+    """
+    docs = mixed.select(F.col("member").alias("doc_id"), "component").distinct()
+    held = scratch.keep(sets.join(spread(docs.select("doc_id")), "doc_id", "left_semi").mapInArrow(_tokens, "doc_id long, token long"), "held")
+    counts = held.groupBy("token").agg(F.count("*").alias("df"))
+    ordered = held.join(spread(counts), "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all"))
+    ordered = ordered.withColumn("n", F.size("all")).withColumn("rare", F.expr(f"filter(all, x -> x.df < {frequent})"))
+    ordered = ordered.withColumn("prefix", F.expr(f"n - cast(ceil(n * {percent} / 100D) AS int) + 1"))
+    ordered = ordered.select(
+        "doc_id",
+        "n",
+        F.size("rare").alias("n_rare"),
+        "prefix",
+        F.expr("slice(rare, 1, prefix).token").alias("first"),
+        F.xxhash64(F.sort_array(F.expr(f"filter(all, x -> x.df >= {frequent}).token"))).alias("core"),
+    )
+    ordered = scratch.keep(ordered.join(docs, "doc_id"), "ordered")
+    x = ordered.select(F.explode("first").alias("token"), F.col("doc_id").alias("a"), F.col("component").alias("of_a"), F.col("n").alias("n_a"))
+    y = x.select("token", F.col("a").alias("b"), F.col("of_a").alias("of_b"), F.col("n_a").alias("n_b"))
+    rare = x.join(y, "token").where(f"a > b AND of_a <> of_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
+    near = ordered.where("n_rare < prefix").select("doc_id", "component", "core", "n_rare", "n")
+    reps = near.groupBy("core").agg(F.min(F.struct("n_rare", "doc_id", "component", "n")).alias("rep")).select("core", "rep.*")
+    here = scratch.keep(mixed.select("band", F.col("member").alias("doc_id")).join(near, "doc_id"), "here")
+    there = here.select("band", "core").distinct().join(spread(reps), "core")
+    there = there.select("band", F.col("doc_id").alias("rep"), F.col("component").alias("of_rep"), F.col("n").alias("n_rep"), F.col("n_rare").alias("rare_rep"))
+    enough = f"least(n - n_rare, n_rep - rare_rep) * {100 + percent} >= {percent} * (n + n_rep)"
+    core = here.join(spread(there), "band").where(f"component <> of_rep AND {enough}").select(F.greatest("doc_id", "rep").alias("a"), F.least("doc_id", "rep").alias("b"))
+    return rare.union(core).distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     words: int = 5,
@@ -172,6 +222,7 @@ def near_duplicates(
     bands: int = 40,
     rows: int = 5,
     seed: int = 7,
+    frequent: int = 256,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -188,10 +239,11 @@ def near_duplicates(
     the full sets.
 
     Documents with equal sets are one class, so copies never meet in pairs. In
-    each band's bucket the members are first compared with the smallest one;
-    after components are found, members of a bucket that are still in different
-    components are compared with each other. Together these cover every pair
-    that shares a bucket. Buckets are dealt out by range of (band, id), so one
+    each band's bucket the members are first compared with the one that shares
+    most buckets with others; after components are found, members of a bucket
+    that are still in different components are compared as far as a link is
+    possible (see :func:`_across`; a shingle is frequent from ``frequent``
+    sets on). Together these cover every pair that shares a bucket. Buckets are dealt out by range of (band, id), so one
     hot bucket is spread over tasks.
 
     A null or empty text, or one without words, has the empty set and is linked
@@ -226,19 +278,20 @@ def near_duplicates(
         links = _with_both(likely, sets, "shingles").mapInArrow(_by_sets(percent), "a long, b long")
         return scratch.keep(links.select(F.col("a").alias("u"), F.col("b").alias("v")), f"links-{label}")
 
-    least_of = members.groupBy("band").agg(F.min("member").alias("center"), F.count("*").alias("n")).where("n > 1").drop("n")
-    star = scratch.keep(
-        members.join(spread(least_of), "band").where("member <> center").select(F.col("member").alias("a"), F.col("center").alias("b")).distinct(), "star"
-    )
+    sizes = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = scratch.keep(members.join(spread(sizes), "band"), "shared")
+    weights = shared.groupBy("member").agg(F.sum("n").alias("weight"))
+    centers = shared.join(spread(weights), "member").groupBy("band").agg(F.min(F.struct(-F.col("weight"), "member")).member.alias("center"))
+    star = shared.join(spread(centers), "band").where("member <> center")
+    star = scratch.keep(star.select(F.greatest("member", "center").alias("a"), F.least("member", "center").alias("b")).distinct(), "star")
     links = confirmed(star, "star")
     grouped = scratch.keep(connected_components(links, scratch, "cc1"), "grouped")
-    placed = members.join(grouped, members.member == grouped.node, "left").select("band", "member", F.coalesce("component", "member").alias("component"))
+    placed = shared.join(grouped, shared.member == grouped.node, "left").select("band", "member", F.coalesce("component", "member").alias("component"))
     placed = scratch.keep(placed, "placed")
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
     mixed = scratch.keep(placed.join(spread(mixed), "band"), "mixed")
-    other = mixed.select("band", F.col("member").alias("b"), F.col("component").alias("of_b"))
-    across = mixed.select("band", F.col("member").alias("a"), F.col("component").alias("of_a")).join(other, "band").where("of_a <> of_b AND a > b")
-    across = scratch.keep(across.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), "across")
+    across = _across(mixed, sets, percent, frequent, scratch)
+    across = scratch.keep(across.join(star, ["a", "b"], "left_anti"), "across")
     if not across.isEmpty():
         links = links.union(confirmed(across, "across"))
         grouped = scratch.keep(connected_components(links, scratch, "cc2"), "regrouped")
