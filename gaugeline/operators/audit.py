@@ -61,19 +61,20 @@ def weighted_auc_global(df: DataFrame, score: str = "score", label: str = "label
 
 def exact_null_quantile(m: int, n: int, q: float) -> float:
     """Least AUC whose probability up to it is q or more, for m positives and n negatives in random order without ties."""
-    counts = np.zeros(m * n + 1)
-    counts[0] = 1.0
-    # The generating function of U is the product of (1 - x**(n + i)) / (1 - x**i) for i = 1 .. m.
+    # The largest item is positive or negative; positive terms only, so nothing cancels.
+    row = [np.ones(1) for _ in range(n + 1)]
     for i in range(1, m + 1):
-        top = counts.copy()
-        top[n + i :] -= counts[: max(0, len(counts) - n - i)]
-        for r in range(i):
-            top[r::i] = np.cumsum(top[r::i])
-        counts = top / top.sum()
-    return float(np.searchsorted(np.cumsum(counts), q - 1e-12) / (m * n))
+        new = [np.ones(1)]
+        for j in range(1, n + 1):
+            p = np.zeros(i * j + 1)
+            p[j:] = row[j] * (i / (i + j))
+            p[: i * (j - 1) + 1] += new[j - 1] * (j / (i + j))
+            new.append(p)
+        row = new
+    return float(np.searchsorted(np.cumsum(row[n]), q - 1e-12) / (m * n))
 
 
-def null_auc_quantile(sizes: DataFrame, q: float, cap: int = 40_000) -> DataFrame:
+def null_auc_quantile(sizes: DataFrame, q: float, cap: int = 10_000) -> DataFrame:
     """(n_pos, n_neg, null_q, null_method) for each distinct pair of sizes.
 
     Exact while n_pos * n_neg is at most ``cap``; beyond, the normal

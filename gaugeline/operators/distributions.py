@@ -55,8 +55,9 @@ def pairwise_kl(df: DataFrame, chain: str, key: str, eps: float = 1e-12) -> Data
     its first chain; absent keys all have the same smoothed probability.
     """
     dist = to_distribution(df, [chain], key)
-    n_keys = df.select(key).distinct().agg(F.count("*").alias("k"))
-    rows = dist.join(F.broadcast(n_keys)).select(F.col(chain).alias("c"), F.col(key).alias("x"), ((F.col("p") + eps) / (1 + F.col("k") * eps)).alias("p"), "k", (F.lit(eps) / (1 + F.col("k") * eps)).alias("e"))
+    n_keys = df.select(key).distinct().agg(F.count("*").alias("n_keys_"))
+    k = F.col("n_keys_")
+    rows = dist.join(F.broadcast(n_keys)).select(F.col(chain).alias("c"), F.col(key).alias("x"), ((F.col("p") + eps) / (1 + k * eps)).alias("p"), k.alias("k"), (F.lit(eps) / (1 + k * eps)).alias("e"))
     # Over all keys: sum p ln p - sum p ln q, where a chain has e at the keys it lacks.
     own = rows.groupBy("c", "k", "e").agg(F.sum(F.col("p") * F.log("p")).alias("h"), F.sum(F.log("p")).alias("lp"), F.count("*").alias("n"), F.sum("p").alias("mass"))
     a = own.select(F.col("c").alias("a"), "k", "e", F.col("h").alias("ha"), F.col("n").alias("na"), F.col("mass").alias("ma"))
