@@ -13,6 +13,7 @@ from gaugeline.llm.common import Scratch
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
+_UNTRAINED = -20.0
 _PUNCTUATION = bytes(32 if chr(k) in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~" else k for k in range(256))
 
 
@@ -46,8 +47,6 @@ def _trainer(bits: int, epochs: int, alpha: float, beta: float, l1: float, l2: f
         lasso = np.full(len(z), l1)
         lasso[-1] = 0
         w = np.where(np.abs(z) <= lasso, 0.0, -(z - np.sign(z) * lasso) / ((beta + np.sqrt(n)) / alpha + l2))
-        if not rows:
-            w[-1] = -20.0
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at], pa.float64())], names=["feature", "weight"])
 
@@ -72,8 +71,8 @@ def train(
     of doc_id; the texts are read whole. Online learning goes over them in one
     task, ``epochs`` times; per-coordinate rates and the L1 penalty leave few
     weights, never more than 2**bits + 1. Feature 2**bits is the bias. Rows
-    with a null id or label are left out. Without any row the bias is -20, so
-    that nothing scores as toxic.
+    with a null id or label are left out. Without any row there are no weights,
+    and then nothing scores as toxic.
     """
     scratch = scratch or Scratch(docs.sparkSession, "toxicity")
     some = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").select("doc_id", "label", F.xxhash64("doc_id").alias("turn"))
@@ -110,6 +109,7 @@ def with_score(docs: DataFrame, weights: DataFrame, bits: int = 20, text_col: st
     others.
     """
     table = {row.feature: row.weight for row in weights.collect()}  # at most 2**bits + 1 pairs
+    table = table or {1 << bits: _UNTRAINED}
     docs = docs.drop("score")
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(_scorer(table, bits, docs.columns.index(text_col)), schema)
