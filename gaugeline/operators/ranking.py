@@ -206,10 +206,29 @@ def sweep_leaderboard(preds: DataFrame, config: str, group: str, key: str, pred:
 
 
 def nested_select(metrics: DataFrame, config: str, group: str) -> DataFrame:
-    """(fold, chosen): per left-out group the configuration with fewest negative groups, then largest median, then first name."""
-    folds = metrics.select(F.col(group).alias("fold")).distinct()
-    rows = metrics.join(folds, F.col(group) != F.col("fold")).groupBy("fold", config).agg(F.count_if(F.col("rho") < 0).alias("bad"), F.median("rho").alias("med"))
-    return rows.groupBy("fold").agg(F.min(F.struct("bad", (-F.coalesce("med", F.lit(-1e9))).alias("m"), config))[config].alias("chosen"))
+    """(fold, chosen): per left-out group the configuration with fewest negative groups, then largest median, then first name.
+
+    Counts without a group are totals less its own. The median without a value
+    is that of the sorted list with the value's rank taken out, which needs
+    only the middle three values. So rows are configurations times groups.
+    """
+    w = Window.partitionBy(config)
+    rows = metrics.select(config, F.col(group).alias("fold"), "rho", F.when(F.col("rho").isNotNull(), F.row_number().over(w.orderBy(F.asc_nulls_last("rho"), group))).alias("r"))
+    totals = rows.groupBy(config).agg(F.count_if(F.col("rho") < 0).alias("bad_"), F.count("rho").alias("n_"))
+    middle = rows.join(totals, config).where(F.abs(F.col("r") - F.col("n_") / 2) <= 2)
+    values = middle.groupBy(config).agg(F.map_from_entries(F.collect_list(F.struct("r", "rho"))).alias("at_"))
+    rows = rows.join(totals, config).join(values, config, "left")
+    left = F.col("n_") - F.when(F.col("r").isNull(), 0).otherwise(1)
+    taken = F.coalesce(F.col("r"), F.col("n_") + 1)
+
+    def value(place):
+        return F.try_element_at("at_", (place + F.when(taken <= place, 1).otherwise(0)).cast("int"))
+
+    low, high = F.floor((left + 1) / 2).cast("int"), (F.floor(left / 2) + 1).cast("int")
+    med = F.when(left > 0, (value(low) + value(high)) / 2)
+    bad = F.col("bad_") - F.when(F.col("rho") < 0, 1).otherwise(0)
+    scored = rows.select("fold", config, bad.alias("bad"), (-F.coalesce(med, F.lit(-1e9))).alias("m"))
+    return scored.groupBy("fold").agg(F.min(F.struct("bad", "m", config))[config].alias("chosen"))
 
 
 def rescore_compare(df: DataFrame, group: str, truth: str, variants: Sequence[str]) -> DataFrame:

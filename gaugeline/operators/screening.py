@@ -20,22 +20,33 @@ def preflight(df: DataFrame, checks: Sequence[tuple[Column, str]], warnings: Seq
     return df.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "OK").otherwise("SKIP")).withColumn("warnings", F.array_join(warn, ","))
 
 
+def _digest(seed: int, key: str) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+
+
 def _turn(seed: int, a: str, b: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(a).cast("string"), F.col(b).cast("string")))
 
 
-def matched_negatives(items: DataFrame, pool: DataFrame, strata: Sequence[str], k: int, seed: int, item: str = "item_id", cand: str = "cand_id", where: str | None = None) -> DataFrame:
-    """(item, candidate, turn): up to k pool members with equal strata, never the item itself, in the order of a digest.
+def matched_negatives(items: DataFrame, pool: DataFrame, strata: Sequence[str], k: int, seed: int, item: str = "item_id", cand: str = "cand_id") -> DataFrame:
+    """(item, candidate, turn): up to k distinct pool members with equal strata, never the item itself.
 
-    Every pool member of a stratum takes part, so choose strata that keep a
-    stratum small against the table; the join is as large as the sum of their
-    squares. The window keeps at most k rows per item in each map task.
+    Within its stratum the pool stands in the order of a digest. An item takes
+    the k members that follow a place given by its own digest, going round at
+    the end. So each item meets k + 1 candidates and not its whole stratum:
+    rows grow with items times k, however large a stratum is.
     """
-    pairs = items.join(pool.distinct(), list(strata)).where(F.col(item) != F.col(cand))
-    if where:
-        pairs = pairs.where(where)
-    turn = F.row_number().over(Window.partitionBy(item).orderBy(_turn(seed, item, cand), cand))
-    return pairs.withColumn("turn", turn).where(F.col("turn") <= k)
+    pool = pool.select(*strata, cand).distinct()
+    own = Window.partitionBy(*strata)
+    placed = pool.withColumn("place_", F.row_number().over(own.orderBy(_digest(seed, cand), cand)) - 1)
+    sizes = pool.groupBy(*strata).agg(F.count("*").alias("n_"))
+    start = F.conv(F.substring(_digest(seed, item), 1, 8), 16, 10).cast("bigint") % F.col("n_")
+    asked = items.select(item, *strata).distinct().join(sizes, list(strata)).withColumn("start_", start)
+    steps = asked.select("*", F.explode(F.expr(f"sequence(0, cast(least({k}, n_ - 1) AS int))")).alias("step_"))
+    steps = steps.withColumn("place_", ((F.col("start_") + F.col("step_")) % F.col("n_")).cast("int"))
+    found = steps.join(placed, [*strata, "place_"]).where(F.col(item) != F.col(cand))
+    turn = F.row_number().over(Window.partitionBy(item).orderBy("step_"))
+    return found.withColumn("turn", turn).where(F.col("turn") <= k).drop("n_", "start_", "step_", "place_")
 
 
 def shortfall(items: DataFrame, chosen: DataFrame, k: int, item: str = "item_id") -> DataFrame:

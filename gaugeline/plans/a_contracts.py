@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from gaugeline.functions.scalars import parse_number
@@ -14,9 +11,7 @@ from gaugeline.sources import files
 
 
 def _folder(spark) -> str:
-    """A new folder where the session's executors can write too."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{shared.rstrip('/')}/plans-{uuid.uuid4().hex}"
+    return files.shared_folder(spark, "plans")
 
 
 @query("A1_read_items_csv", "SELECT c_custkey::VARCHAR AS id, trim(c_name) AS smiles FROM customer")

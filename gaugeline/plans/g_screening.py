@@ -30,17 +30,25 @@ def _pool(spark, sf_dir) -> DataFrame:
 
 
 _TURN = "row_number() OVER (PARTITION BY item_id ORDER BY md5('5|' || item_id::VARCHAR || '|' || cand_id::VARCHAR), cand_id)"
-_MATCH = """SELECT i.p_partkey AS item_id, c.p_partkey AS cand_id FROM part i JOIN part c ON {on} AND i.p_partkey <> c.p_partkey WHERE i.p_partkey % 4 = 0"""
 
 
-@query("G2_matched_negatives", f"SELECT * FROM (SELECT item_id, cand_id, {_TURN} AS turn FROM ({_MATCH.format(on='i.p_brand = c.p_brand AND i.p_size = c.p_size')})) WHERE turn <= 2")
+def _match(strata: str, k: int, where: str = "p_partkey % 4 = 0") -> str:
+    """SQL of (item_id, cand_id, turn): the k parts of the stratum that follow the item's place in digest order."""
+    same = " AND ".join(f"i.{c} = c.{c}" for c in strata.split(", "))
+    return f"""SELECT * FROM (SELECT item_id, cand_id, row_number() OVER (PARTITION BY item_id ORDER BY step) AS turn FROM (
+      SELECT i.p_partkey AS item_id, c.p_partkey AS cand_id, (c.place - ('0x' || substr(md5('5|' || i.p_partkey::VARCHAR), 1, 8))::BIGINT % n + n) % n AS step
+      FROM part i JOIN (SELECT *, row_number() OVER (PARTITION BY {strata} ORDER BY md5('5|' || p_partkey::VARCHAR), p_partkey) - 1 AS place, count(*) OVER (PARTITION BY {strata}) AS n FROM part) c ON {same}
+      WHERE {where.replace("p_", "i.p_")}) WHERE item_id <> cand_id AND step <= {k}) WHERE turn <= {k}"""
+
+
+@query("G2_matched_negatives", _match("p_brand, p_size", 2))
 def g2(spark, sf_dir):
     return G.matched_negatives(_items(spark, sf_dir), _pool(spark, sf_dir), ["p_brand", "p_size"], 2, 5).select("item_id", "cand_id", "turn")
 
 
 @query(
     "G2_shortfall",
-    f"""WITH n AS (SELECT item_id, least(count(*), 3) AS n FROM ({_MATCH.format(on='i.p_brand = c.p_brand AND i.p_size = c.p_size')}) GROUP BY 1)
+    f"""WITH n AS (SELECT item_id, count(*) AS n FROM ({_match("p_brand, p_size", 3)}) GROUP BY 1)
     SELECT p_partkey AS item_id, coalesce(n, 0) AS n_found, 3 - coalesce(n, 0) AS n_short FROM part LEFT JOIN n ON item_id = p_partkey WHERE p_partkey % 4 = 0""",
 )
 def g2b(spark, sf_dir):
@@ -50,8 +58,8 @@ def g2b(spark, sf_dir):
 
 @query(
     "G3_matched_negatives_ladder",
-    f"""WITH a AS (SELECT *, 1 AS lv FROM ({_MATCH.format(on='i.p_brand = c.p_brand AND i.p_size = c.p_size')})), b AS (SELECT *, 2 AS lv FROM ({_MATCH.format(on='i.p_brand = c.p_brand')}) WHERE item_id NOT IN (SELECT item_id FROM a))
-    SELECT item_id, cand_id, turn, lv AS level_used FROM (SELECT *, {_TURN} AS turn FROM (SELECT * FROM a UNION ALL SELECT * FROM b)) WHERE turn <= 2""",
+    f"""WITH a AS (SELECT *, 1 AS level_used FROM ({_match("p_brand, p_size", 2)})), b AS (SELECT *, 2 AS level_used FROM ({_match("p_brand", 2)}) WHERE item_id NOT IN (SELECT item_id FROM a))
+    SELECT * FROM a UNION ALL SELECT * FROM b""",
 )
 def g3(spark, sf_dir):
     return G.matched_negatives_ladder(_items(spark, sf_dir), _pool(spark, sf_dir), [["p_brand", "p_size"], ["p_brand"]], 2, 5)
@@ -145,8 +153,8 @@ def _screened(spark, sf_dir) -> DataFrame:
 
 @query(
     "G11_screen",
-    f"""WITH c AS (SELECT p_partkey AS item_id, p_brand, p_retailprice AS s, p_size > 45 AS big FROM part), m AS (SELECT i.item_id, d.p_partkey AS cand_id, CASE WHEN d.p_partkey % 11 <> 0 THEN d.p_retailprice END AS ns FROM c i JOIN part d ON i.p_brand = d.p_brand AND i.item_id <> d.p_partkey WHERE NOT big),
-    n AS (SELECT * FROM (SELECT *, {_TURN} AS turn FROM m) WHERE turn <= 5), a AS (SELECT item_id, count(*) AS n, count(ns) AS k FROM n GROUP BY 1),
+    f"""WITH c AS (SELECT p_partkey AS item_id, p_brand, p_retailprice AS s, p_size > 45 AS big FROM part),
+    n AS (SELECT item_id, cand_id, CASE WHEN p_partkey % 11 <> 0 THEN p_retailprice END AS ns FROM ({_match("p_brand", 5, "p_size <= 45")}) JOIN part ON p_partkey = cand_id), a AS (SELECT item_id, count(*) AS n, count(ns) AS k FROM n GROUP BY 1),
     u AS (SELECT n.item_id, avg(CASE WHEN s > ns THEN 1.0 WHEN s = ns THEN 0.5 ELSE 0 END) AS auc FROM n JOIN c USING (item_id) WHERE ns IS NOT NULL AND n.item_id % 11 <> 0 GROUP BY 1)
     SELECT c.item_id, CASE WHEN big OR coalesce(n, 0) = 0 OR coalesce(k, 0) = 0 OR auc IS NULL THEN 'SKIP' ELSE 'OK' END AS status, CASE WHEN big THEN 'too_large' WHEN coalesce(n, 0) = 0 THEN 'no_negatives' WHEN coalesce(k, 0) = 0 THEN 'no_scores' WHEN auc IS NULL THEN 'no_auc' END AS reason,
     coalesce(n, 0) AS n_negatives, coalesce(k, 0) AS n_scored, auc FROM c LEFT JOIN a USING (item_id) LEFT JOIN u USING (item_id)""",

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.registry import query, table
+from gaugeline.sources.files import shared_folder
 from gaugeline.streaming import flows
 
 
 def _folder(spark) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{shared.rstrip('/')}/streams-{uuid.uuid4().hex}"
+    return shared_folder(spark, "streams")
 
 
 def _stream(spark, sf_dir, name: str) -> DataFrame:
