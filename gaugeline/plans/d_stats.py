@@ -37,11 +37,11 @@ def d3(spark, sf_dir):
 @query(
     "D4_segment_summary",
     """SELECT 'small' AS segment, count(*) AS n, avg(p_retailprice) AS p_retailprice_mean FROM part WHERE p_size < 20 UNION ALL
-       SELECT 'dear', count(*), avg(p_retailprice) FROM part WHERE p_retailprice > 960 UNION ALL SELECT 'brand', count(*), avg(p_retailprice) FROM part WHERE p_brand LIKE 'Brand#1%'""",
+       SELECT 'dear', count(*), avg(p_retailprice) FROM part WHERE p_retailprice > 910 UNION ALL SELECT 'brand', count(*), avg(p_retailprice) FROM part WHERE p_brand LIKE 'Brand#1%'""",
     "p_retailprice_mean",
 )
 def d4(spark, sf_dir):
-    segments = {"small": F.col("p_size") < 20, "dear": F.col("p_retailprice") > 960, "brand": F.col("p_brand").like("Brand#1%")}
+    segments = {"small": F.col("p_size") < 20, "dear": F.col("p_retailprice") > 910, "brand": F.col("p_brand").like("Brand#1%")}
     return D.segment_summary(table(spark, sf_dir, "part"), segments, ["p_retailprice"])
 
 
