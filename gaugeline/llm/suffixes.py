@@ -85,18 +85,33 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _packed_positions(pos: np.ndarray, starts: np.ndarray) -> bytes:
+    """Steps between ascending positions, whole at the start of each text, in two bytes each if all fit, else in four."""
+    step = np.diff(pos, prepend=0)
+    step[starts] = pos[starts]
+    wide = bool(len(step)) and int(step.max()) >= 1 << 16
+    return (b"\4" if wide else b"\2") + step.astype(np.uint32 if wide else np.uint16).tobytes()
+
+
+def _unpacked_positions(data: bytes, counts: np.ndarray) -> np.ndarray:
+    step = np.frombuffer(data, np.uint32 if data[0] == 4 else np.uint16, offset=1).astype(np.int64)
+    starts = np.cumsum(counts) - counts
+    total = np.cumsum(step)
+    return (total - np.repeat(total[starts] - step[starts], counts)).astype(np.uint32)
+
+
 def _pack(fp: np.ndarray, pos: np.ndarray, who: np.ndarray, keys: np.ndarray, bits: int, narrow: bool):
     """A row per bucket; within it positions stand together by text."""
     bucket = (fp >> np.uint64(64 - bits)).astype(np.int32)
     order = np.lexsort((pos, who, bucket))
-    fp, pos, who, bucket = fp[order], pos[order].astype(np.uint32), who[order], bucket[order]
+    fp, pos, who, bucket = fp[order], pos[order].astype(np.int64), who[order], bucket[order]
     fp = (fp >> np.uint64(64 - bits - 32)).astype(np.uint32) if narrow else fp
     cuts = np.append(_runs(bucket), len(bucket)) if len(bucket) else np.zeros(1, int)
     rows = []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         at = _runs(who[a:b])
         counts = np.diff(np.append(at, b - a)).astype(np.uint32)
-        rows.append((int(bucket[a]), fp[a:b].tobytes(), pos[a:b].tobytes(), keys[who[a:b][at]].tobytes(), counts.tobytes()))
+        rows.append((int(bucket[a]), fp[a:b].tobytes(), _packed_positions(pos[a:b], at), keys[who[a:b][at]].tobytes(), counts.tobytes()))
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKED_ARROW, strict=True)], schema=_PACKED_ARROW)
 
 
@@ -190,8 +205,9 @@ def _ties(narrow: bool):
             self.held, self.size = [], 0
 
         def add(self, row):
-            fp, pos = np.frombuffer(row[1], kind), np.frombuffer(row[2], np.uint32)
-            keys = np.repeat(np.frombuffer(row[3], np.int64).reshape(-1, 2), np.frombuffer(row[4], np.uint32), axis=0)
+            counts = np.frombuffer(row[4], np.uint32).astype(np.int64)
+            fp, pos = np.frombuffer(row[1], kind), _unpacked_positions(row[2], counts)
+            keys = np.repeat(np.frombuffer(row[3], np.int64).reshape(-1, 2), counts, axis=0)
             self.held.append((fp, keys[:, 0], keys[:, 1], pos))
             self.size += len(fp)
 

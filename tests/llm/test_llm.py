@@ -156,6 +156,14 @@ def test_difference_covers():
         assert {(a - b) % period for a in cover for b in cover} == set(range(period)) and len(cover) == prime + 1
 
 
+def test_positions_are_packed_without_loss():
+    for parts in ([[0, 5, 9], [7], [0, 300]], [[100_000, 170_000, 170_001], [3]], [[]]):
+        pos = np.array([p for part in parts for p in part], np.int64)
+        counts = np.array([len(part) for part in parts if part], np.int64)
+        packed = suffixes._packed_positions(pos, np.cumsum(counts) - counts)
+        assert list(suffixes._unpacked_positions(packed, counts)) == list(pos)
+
+
 def test_repeated_strings_equal_brute_force(spark):
     rng = random.Random(6)
     passages = ["".join(rng.choice("abcdé ") for _ in range(n)) for n in (30, 39, 40, 41, 60, 90, 300)]
