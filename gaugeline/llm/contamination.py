@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from gaugeline.llm.common import Scratch
 
-#: Fixed masks over ten tokens; a 0 is a position that may hold any token. They
-#: tolerate a replaced token in every five, four or three.
-MASKS = ("1111011110", "1110111011", "1101101101")
+#: Masks; a 0 is a position that may hold any token. Wherever 3 of 13 or 12, or 2
+#: of 11 or 10 consecutive tokens are replaced, one of them still fits beside these.
+MASKS = ("11101", "100111")
+#: Tokens of the shortest item that is looked for.
+LEAST_TOKENS = 10
 
 
 def tokens(col):
@@ -20,15 +22,20 @@ def tokens(col):
 
 
 def _seeds(df: DataFrame) -> DataFrame:
-    """Add (place, seed) for each mask at each position of ``hashes``; place counts positions mask after mask."""
-    span = len(MASKS[0])
-    df = df.withColumn("places", F.size("hashes") - (span - 1)).where("places > 0")
+    """Add (at, seed) for each mask at each position of ``hashes``."""
+    df = df.where(F.size("hashes") >= LEAST_TOKENS)
 
     def masked(k: int, mask: str):
         at = [j for j, x in enumerate(mask) if x == "1"]
-        return F.transform(F.sequence(F.lit(0), F.col("places") - 1), lambda i: F.xxhash64(F.lit(k), *(F.get("hashes", i + j) for j in at)))
+        return F.transform(F.sequence(F.lit(0), F.size("hashes") - len(mask)), lambda i: F.xxhash64(F.lit(k), *(F.get("hashes", i + j) for j in at)))
 
-    return df.select("*", F.posexplode(F.flatten(F.array(*(masked(k, m) for k, m in enumerate(MASKS))))).alias("place", "seed"))
+    placed = df.select("*", F.posexplode(F.flatten(F.array(*(masked(k, m) for k, m in enumerate(MASKS))))).alias("at", "seed"))
+    # Places count the positions mask after mask.
+    first, at = F.lit(0), F.col("at")
+    for mask in MASKS[:-1]:
+        first = first + F.size("hashes") - (len(mask) - 1)
+        at = F.when(F.col("at") >= first, F.col("at") - first).otherwise(at)
+    return placed.withColumn("at", at)
 
 
 def _hashed(df: DataFrame, text: str, **keys) -> DataFrame:
@@ -55,7 +62,8 @@ def contaminated(
     hit fixes an alignment of the item with the document. An alignment counts
     if some ``window`` consecutive aligned tokens, or the whole item if it is
     shorter, have a share of ``least`` or more that are equal. Every position
-    of every whole text is looked up.
+    of every whole text is looked up. With the default ``window`` and ``least``
+    every alignment that counts has a seed; smaller ones may have none.
 
     The item seeds are broadcast in blocks of about ``block_rows`` rows, each
     under 40 bytes, so what is broadcast stays under 20 MB; a larger benchmark
@@ -65,11 +73,10 @@ def contaminated(
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "contamination")
-    span = len(MASKS[0])
     items = _hashed(benchmark, "text", item_id=F.col("item_id").cast("long")).distinct()
     items = items.withColumn("item_key", F.xxhash64("hashes"))
-    items = scratch.keep(items.where(F.size("hashes") >= span), "items")
-    seeds = _seeds(items).select("seed", "item_id", "item_key", (F.col("place") % F.col("places")).alias("item_at"), F.size("hashes").alias("item_n"))
+    items = scratch.keep(items.where(F.size("hashes") >= LEAST_TOKENS), "items")
+    seeds = _seeds(items).select("seed", "item_id", "item_key", F.col("at").alias("item_at"), F.size("hashes").alias("item_n"))
     seeds = scratch.keep(seeds.distinct(), "seeds")
     blocks = max(1, ceil(seeds.count() / block_rows))
     words = _hashed(docs, "text", doc_id=F.col("doc_id").cast("long"), text_key=F.xxhash64("text"))
@@ -77,7 +84,7 @@ def contaminated(
     hits = None
     for k in range(blocks):
         block = seeds.where(F.pmod(F.xxhash64("item_id", "item_key", "item_at", "seed"), F.lit(blocks)) == k)
-        found = placed.join(F.broadcast(block), "seed").withColumn("doc_start", F.expr("place % places - item_at"))
+        found = placed.join(F.broadcast(block), "seed").withColumn("doc_start", F.expr("at - item_at"))
         found = found.select(
             "doc_id",
             "text_key",

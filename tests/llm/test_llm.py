@@ -210,6 +210,23 @@ def test_contamination_tolerates_replaced_words(spark):
     assert contamination.contaminated(table(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_contamination_finds_every_replacement_that_counts(spark):
+    """All ways to replace 3 of 13 or 12, or 2 of 11 or 10 tokens, which the verification accepts."""
+    rng = random.Random(17)
+    items = {n: [f"i{n}x{j}" for j in range(n)] for n in (13, 12, 11, 10)}
+    bench = spark.createDataFrame([(n, " ".join(t)) for n, t in items.items()], "item_id long, text string")
+    docs, want = [], set()
+    for n, k in ((13, 3), (12, 3), (11, 2), (10, 2)):
+        for gone in itertools.combinations(range(n), k):
+            want.add((len(docs), n))
+            copy = " ".join(f"z{j}" if j in gone else w for j, w in enumerate(items[n]))
+            docs.append((len(docs), f"{words(rng, 5, 10**6)} {copy} {words(rng, 5, 10**6)}"))
+    more = [(len(docs) + j, " ".join(f"z{i}" if i in (j, 4, 9, 11) else w for i, w in enumerate(items[13]))) for j in range(3)]
+    found = contamination.contaminated(table(spark, docs + more), bench).collect()
+    assert len(want) == 286 + 220 + 55 + 45
+    assert {(r.doc_id, r.item_id) for r in found} == want
+
+
 # Toxicity
 
 
