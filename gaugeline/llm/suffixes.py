@@ -134,13 +134,24 @@ def _segments(texts, length: int):
         yield np.concatenate(parts), held
 
 
+def _first_of_each(batch: pa.RecordBatch, seen: set) -> pa.RecordBatch:
+    """The rows whose keys, the first two columns, are not among those seen before."""
+    fresh = []
+    for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        fresh.append(key not in seen)
+        seen.add(key)
+    return batch.filter(pa.array(fresh, pa.bool_()))
+
+
 def _cover_entries(length: int, prime: int, bits: int):
     def run(batches):
         period, cover = difference_cover(prime)
         short = length - period + 1
         on = np.zeros(period, bool)
         on[cover] = True
+        seen = set()
         for batch in batches:
+            batch = _first_of_each(batch, seen)
             keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)], axis=1)
             texts = ((k, v.as_buffer(), None) for k, v in enumerate(batch.column(2)))
             for data, held in _segments(texts, short):
@@ -160,7 +171,9 @@ def _cover_entries(length: int, prime: int, bits: int):
 
 def _suffix_entries(length: int, period: int, bits: int):
     def run(batches):
+        seen = set()
         for batch in batches:
+            batch = _first_of_each(batch, seen)
             keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)], axis=1)
             wanted = batch.column(3).to_pylist()
             texts = ((k, v.as_buffer(), np.concatenate([np.frombuffer(w, np.uint32) for w in wanted[k]])) for k, v in enumerate(batch.column(2)))
@@ -195,6 +208,8 @@ def _ties(narrow: bool):
     def found(k1, k2, pos):
         order = np.lexsort((pos, k2, k1))
         k1, k2, pos = k1[order], k2[order], pos[order]
+        once = _runs(k1, k2, pos)
+        k1, k2, pos = k1[once], k2[once], pos[once]
         cuts = _runs(k1, k2) if len(k1) else []
         parts = np.split(pos, cuts[1:]) if len(k1) else []
         return pa.RecordBatch.from_arrays([pa.array(k1[cuts]), pa.array(k2[cuts]), pa.array([p.tobytes() for p in parts], pa.binary())], schema=_FOUND_ARROW)
@@ -289,7 +304,9 @@ def repeated_strings(docs: DataFrame, length: int = 400, prime: int = 13, bucket
     Texts with an identical copy are removed whole by a count of their digests.
     For the rest, entries of cover positions, then of candidate suffixes, go to
     2**bits buckets, as many as hold about ``bucket_entries`` entries each, and
-    a task works on one bucket at a time. Only texts with a tied cover position
+    a task works on one bucket at a time. A task that makes entries takes each
+    distinct text once, so however many copies a text has, its positions are
+    dealt at most once a task, and told once in each merge of a bucket. Only texts with a tied cover position
     are looked at again. ``length`` must be at least prime**2 + prime + 8.
     A tie of suffixes means equal 64-bit hashes of all their bytes.
 

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,6 +180,31 @@ def test_repeated_strings_equal_brute_force(spark):
     assert suffixes.repeated_strings(table(spark, [])).count() == 0
 
 
+def test_copies_give_each_cover_position_once():
+    rng = random.Random(16)
+    shared = "".join(rng.choice("abcd") for _ in range(80)).encode()
+    texts = {(1, 1): b"x" + shared + b"yz", (2, 2): b"qq" + shared}
+
+    def batches(*keys):
+        for part in itertools.batched(keys, 7):
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in part]), pa.array([k[1] for k in part]), pa.array([texts[k] for k in part])], names=["k1", "k2", "data"])
+
+    def entries(*keys):
+        return [tuple(row.values()) for b in suffixes._cover_entries(40, 3, 1)(batches(*keys)) for row in b.to_pylist()]
+
+    def told(rows):
+        found = suffixes._ties(True)([pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*sorted(rows)), suffixes._PACKED_ARROW)], schema=suffixes._PACKED_ARROW)])
+        return sorted((r["k1"], r["k2"], p) for b in found for r in b.to_pylist() for p in np.frombuffer(r["pos"], np.uint32).tolist())
+
+    def dealt(rows):
+        return sum(int(np.frombuffer(row[4], np.uint32).sum()) for row in rows)
+
+    one = entries((1, 1), (2, 2))
+    assert dealt(entries(*[(1, 1)] * 50, (2, 2))) == dealt(one)
+    several = [row for _ in range(20) for row in entries((1, 1))] + entries((2, 2))
+    assert told(one) and told(several) == told(one)
+
+
 # Decontamination
 
 
