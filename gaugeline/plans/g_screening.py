@@ -65,6 +65,38 @@ def g3(spark, sf_dir):
     return G.matched_negatives_ladder(_items(spark, sf_dir), _pool(spark, sf_dir), [["p_brand", "p_size"], ["p_brand"]], 2, 5)
 
 
+def _shortfall(k: int) -> str:
+    return f"""WITH n AS (SELECT item_id, count(*) AS n FROM ({_match("p_brand, p_size", k, "TRUE")}) GROUP BY 1)
+    SELECT p_partkey AS item_id, coalesce(n, 0) AS n_found, {k} - coalesce(n, 0) AS n_short FROM part LEFT JOIN n ON item_id = p_partkey"""
+
+
+def _all_items(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), "p_brand", "p_size")
+
+
+@query("G2_matched_negatives_all", _match("p_brand, p_size", 2, "TRUE"))
+def g2_all(spark, sf_dir):
+    """Every part is an item."""
+    return G.matched_negatives(_all_items(spark, sf_dir), _pool(spark, sf_dir), ["p_brand", "p_size"], 2, 5).select("item_id", "cand_id", "turn")
+
+
+@query("G2_shortfall_all", _shortfall(3))
+def g2b_all(spark, sf_dir):
+    """Every part is an item."""
+    items = _all_items(spark, sf_dir)
+    return G.shortfall(items, G.matched_negatives(items, _pool(spark, sf_dir), ["p_brand", "p_size"], 3, 5), 3)
+
+
+@query(
+    "G3_matched_negatives_ladder_all",
+    f"""WITH a AS (SELECT *, 1 AS level_used FROM ({_match("p_brand, p_size", 2, "TRUE")})), b AS (SELECT *, 2 AS level_used FROM ({_match("p_brand", 2, "TRUE")}) WHERE item_id NOT IN (SELECT item_id FROM a))
+    SELECT * FROM a UNION ALL SELECT * FROM b""",
+)
+def g3_all(spark, sf_dir):
+    """Every part is an item."""
+    return G.matched_negatives_ladder(_all_items(spark, sf_dir), _pool(spark, sf_dir), [["p_brand", "p_size"], ["p_brand"]], 2, 5)
+
+
 def _baskets(spark, sf_dir) -> DataFrame:
     """Customers with the set of (priority, status) of their orders."""
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set(F.concat("o_orderpriority", "o_orderstatus"))).alias("s"))

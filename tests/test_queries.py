@@ -54,3 +54,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_every_part_gets_negatives(spark):
+    parts = {r.p_partkey for r in registry.table(spark, SF, "part").collect()}
+    ids = {n: [r.item_id for r in registry.QUERIES[n](spark, SF).collect()] for n in ("G2_shortfall_all", "G3_matched_negatives_ladder_all")}
+    assert sorted(ids["G2_shortfall_all"]) == sorted(parts)
+    assert set(ids["G3_matched_negatives_ladder_all"]) == parts
