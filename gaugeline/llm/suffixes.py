@@ -1,13 +1,13 @@
-"""Removal of long repeated byte strings through blockwise sorting of suffixes.
+"""Removal of long repeated byte strings through blockwise hashing of suffixes.
 
-Only suffixes that can begin a repeated string of ``length`` bytes are sorted,
-and each is compared on that many bytes. A difference cover of period ``v`` has,
+Only suffixes that can begin a repeated string of ``length`` bytes are looked
+at, and each is compared by a hash of that many bytes. A difference cover of period ``v`` has,
 for any two positions, an offset under v at which both positions fall on it. So
 if two strings of ``length`` bytes are equal, two cover positions in them have
-the same next ``length - v + 1`` bytes. First the suffixes at cover positions
-are ranked by those bytes, one bucket of ranks at a time. Then only suffixes
-within reach of a tied cover position are dealt into buckets and sorted.
-Suffixes are ordered by hashes of their bytes, since only ties matter.
+the same next ``length - v + 1`` bytes. First the cover positions whose hash of
+those bytes stands at another position too are found, one bucket at a time.
+Then only suffixes within reach of such a position are dealt into buckets.
+Equal hashes take the place of ranks and suffix order, since only ties matter.
 """
 
 from __future__ import annotations
