@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,29 +27,82 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Scratch roots to delete when the running scope ends, innermost last; those outside any scope go when the driver ends.
+_SCOPES: ContextVar[tuple[list, ...]] = ContextVar("scopes", default=())
+_LEFT: list[Scratch] = []
+
+
+@contextmanager
+def scratch_scope():
+    """Delete the scratch tables of all operators called inside at its end.
+
+    Operators return lazy results that still read such tables, so write the
+    result inside the scope.
+    """
+    made: list[Scratch] = []
+    token = _SCOPES.set((*_SCOPES.get(), made))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for scratch in made:
+            scratch.delete()
+
+
+@contextmanager
+def _settings(spark: SparkSession, **values: str):
+    """Session settings (with _ for a dot) that hold for a while."""
+    keys = {k.replace("_", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Scratch:
     """Written tables of one run in the shared folder; each cuts the lineage.
 
     A lost executor costs only the tasks of the running job, because every
-    earlier step is read back from files.
+    earlier step is read back from files. Row groups are small, so a task's
+    writer holds little; shuffle files of a table go once it is written.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        scopes = _SCOPES.get()
+        (scopes[-1] if scopes else _LEFT).append(self)
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         path = f"{self.root}/{label}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        with _settings(self.spark, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true"):
+            df.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *labels: str) -> None:
-        """Delete tables that no later step reads."""
+        """Delete tables that no later step reads; without labels, all."""
         jvm = self.spark.sparkContext._jvm
-        for label in labels:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{label}")
+        for label in labels or ("",):
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{label}" if label else self.root)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def delete(self) -> None:
+        if self.spark.sparkContext._jsc is not None:  # else the driver is at its end
+            self.drop()
+
+
+@atexit.register
+def _delete_left() -> None:
+    for scratch in _LEFT:
+        try:
+            scratch.delete()
+        except Exception:  # noqa: BLE001, PERF203  the JVM may be gone
+            return
+
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
