@@ -11,14 +11,20 @@ are combined associatively, and each chunk is then traced back on its own.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.llm.common import Scratch, partitions
 
 _SPACE = "▁"
+_UNIT = re.compile("▁*[^▁]+|▁+")
+_SHORT = 32
 
 
 class Pieces:
@@ -37,6 +43,7 @@ class Pieces:
         if any(_SPACE in p.lstrip(_SPACE) for p in self.id):
             raise ValueError("a piece of this model goes over a word boundary")
         self._apart: dict[tuple[str, str], bool] = {}
+        self._units: dict[str, tuple[int, ...]] = {}
 
     def ids(self, piece: str) -> list[int]:
         found = self.id.get(piece)
@@ -66,10 +73,23 @@ class Pieces:
         return [(i, j) for i in range(max(0, cut - self.longest), cut) for j in self.starting(s, i) if j >= cut]
 
     def stretch(self, s: str) -> list[int]:
-        """The ids of whole words, the first of which begins with a space mark."""
-        if s == _SPACE:
-            return self.ids(s)
-        return self.library.encode(s[1:].replace(_SPACE, " ")) if s else []
+        """The ids of whole words, the first of which begins with a space mark.
+
+        No piece goes over a word start, so words are merged each on their own,
+        and a short one is asked of the library once.
+        """
+        out: list[int] = []
+        known = self._units
+        for unit in _UNIT.findall(s):
+            found = known.get(unit)
+            if found is None:
+                found = tuple(self.ids(unit) if unit == _SPACE else self.library.encode(unit[1:].replace(_SPACE, " ")))
+                if len(unit) <= _SHORT:
+                    if len(known) > 200_000:
+                        known.clear()
+                    known[unit] = found
+            out.extend(found)
+        return out
 
 
 def _word_starts(s: str, lo: int, hi: int) -> tuple[int, int] | None:
@@ -116,10 +136,10 @@ def _trace(p: Pieces, s: str, start: tuple, stop: int, goal, from_word: bool) ->
     for at in ends:
         out, x = [], at
         while x != start and x in back:
-            out[:0] = [x]
+            out.append(x)
             x = back[x][0]
         if x == start:
-            return [k for i, j in out for k in p.ids(s[i:j])]
+            return [k for i, j in reversed(out) for k in p.ids(s[i:j])]
     raise ValueError("no path through a chunk")
 
 
@@ -182,14 +202,18 @@ def _marked(text: str) -> str:
     return _SPACE + text.replace(" ", _SPACE)
 
 
+def _slices(batches, rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def _encoder(model: bytes):
     def run(batches):
         p = Pieces(model)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                found = p.library.encode(part.column(2).to_pylist(), num_threads=1)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "text_key", "ids"])
+        for part in _slices(batches, 256):
+            found = [p.stretch(_marked(t)) if t else [] for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "text_key", "ids"])
 
     return run
 
@@ -199,8 +223,8 @@ _CHUNK = "doc_id long, text_key long, row long, part int, lo int, last boolean,
 
 def _cutter(size: int, around: int):
     def run(batches):
-        for batch in batches:
-            for doc, key, text, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for one in _slices(batches, 16):
+            for doc, key, text, row in zip(*(c.to_pylist() for c in one.columns), strict=True):
                 s = _marked(text)
                 for part, at in enumerate(range(0, len(s), size)):
                     lo = min(at, around)
@@ -213,54 +237,100 @@ def _cutter(size: int, around: int):
 _ARROW = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("row", pa.int64()), ("part", pa.int32()), ("lo", pa.int32()), ("last", pa.bool_()), ("body", pa.string())])
 
 
+_ENDS = "row long, part int, ins array<int>, outs array<int>, open array<int>"
+_ENDS_ARROW = pa.schema([("row", pa.int64()), ("part", pa.int32()), *((k, pa.list_(pa.int32())) for k in ("ins", "outs", "open"))])
+_STEP = "row long, part int, n_in int, n_out int, open array<int>"
+_STEP_ARROW = pa.schema([("row", pa.int64()), *((k, pa.int32()) for k in ("part", "n_in", "n_out")), ("open", pa.list_(pa.int32()))])
+_CUTS = "row long, part int, enter int, leave int"
+_CUTS_ARROW = pa.schema([("row", pa.int64()), *((k, pa.int32()) for k in ("part", "enter", "leave"))])
+
+
 def _matrices(model: bytes, size: int):
     def run(batches):
         p = Pieces(model)
-        for batch in batches:
-            rows = batch.to_pylist()
+        for batch in _slices(batches, 64):
             out = []
-            for r in rows:
+            for r in batch.to_pylist():
                 hi = len(r["body"]) if r["last"] else r["lo"] + size
                 ins, outs, m = chunk_matrix(p, r["body"], r["lo"], hi, r["part"] == 0, r["last"])
-                open_ = np.argwhere(m == 0)
-                out.append({"row": r["row"], "part": r["part"], "ins": [x for s in ins for x in s], "outs": [x for s in outs for x in s], "open": open_.reshape(-1).tolist()})
-            yield pa.RecordBatch.from_pylist(
-                out, schema=pa.schema([("row", pa.int64()), ("part", pa.int32()), ("ins", pa.list_(pa.int32())), ("outs", pa.list_(pa.int32())), ("open", pa.list_(pa.int32()))])
-            )
+                out.append({"row": r["row"], "part": r["part"], "ins": [x for s in ins for x in s], "outs": [x for s in outs for x in s], "open": np.argwhere(m == 0).reshape(-1).tolist()})
+            yield pa.RecordBatch.from_pylist(out, schema=_ENDS_ARROW)
 
     return run
 
 
-def _scan(rows):
-    """The state at every cut of one document, from the matrices of its chunks."""
-    import pandas as pd
-
-    rows = rows.sort_values("part").reset_index(drop=True)
-    states = [[tuple(x) for x in np.reshape(v, (-1, 2))] for v in [rows["ins"][0], *rows["outs"]]]
-    mats = []
-    for k in range(len(rows)):
-        m = np.full((len(states[k]), len(states[k + 1])), -np.inf)
-        at = np.reshape(rows["open"][k], (-1, 2)).astype(int)
-        m[at[:, 0], at[:, 1]] = 0.0
-        mats.append(m)
-    ahead, behind = [np.zeros((1, 1))], [np.zeros((1, 1))]
-    for m in mats:
-        ahead.append(combine(ahead[-1], m))
-    for m in reversed(mats):
-        behind.insert(0, combine(m, behind[0]))
-    best = [int((a[0] + b[:, 0]).argmax()) for a, b in zip(ahead, behind, strict=True)]
-    if ahead[-1][0, 0] == -np.inf:
-        raise ValueError("no path through a document")
-    at = [states[k][best[k]] for k in range(len(best))]
-    return pd.DataFrame(
-        {"row": rows["row"], "part": rows["part"], "in_back": [x[0] for x in at[:-1]], "in_over": [x[1] for x in at[:-1]], "out_back": [x[0] for x in at[1:]], "out_over": [x[1] for x in at[1:]]}
-    )
+def _matrix(r: dict) -> np.ndarray:
+    m = np.full((r["n_in"], r["n_out"]), -np.inf)
+    at = np.reshape(r["open"], (-1, 2)).astype(int)
+    m[at[:, 0], at[:, 1]] = 0.0
+    return m
+
+
+def _blocks(batches) -> Iterator[tuple[tuple[int, int], list[dict]]]:
+    """((row, block), its rows), from rows sorted by both."""
+    rows = (r for part in _slices(batches, 1024) for r in part.to_pylist())
+    for key, group in groupby(rows, key=lambda r: (r["row"], r["block"])):
+        yield key, list(group)
+
+
+def _products(batches):
+    """The product of the matrices of each block."""
+    for (row, block), rows in _blocks(batches):
+        m = _matrix(rows[0])
+        for r in rows[1:]:
+            m = combine(m, _matrix(r))
+        yield pa.RecordBatch.from_pylist([{"row": row, "part": block, "n_in": m.shape[0], "n_out": m.shape[1], "open": np.argwhere(m == 0).reshape(-1).tolist()}], schema=_STEP_ARROW)
+
+
+def _cuts(batches):
+    """The number of the state at both ends of each matrix of a block, given those at the block's ends."""
+    for (row, _), rows in _blocks(batches):
+        mats = [_matrix(r) for r in rows]
+        ahead = [np.where(np.arange(mats[0].shape[0]) == rows[0]["enter"], 0.0, -np.inf)[None, :]]
+        behind = [np.where(np.arange(mats[-1].shape[1]) == rows[0]["leave"], 0.0, -np.inf)[:, None]]
+        for m, w in zip(mats, reversed(mats), strict=True):
+            ahead.append(combine(ahead[-1], m))
+            behind.append(combine(w, behind[-1]))
+        score = [a[0] + b[:, 0] for a, b in zip(ahead, reversed(behind), strict=True)]
+        if any(x.max() == -np.inf for x in score):
+            raise ValueError("no path through a document")
+        best = [int(x.argmax()) for x in score]
+        yield pa.RecordBatch.from_pylist([{"row": row, "part": r["part"], "enter": x, "leave": y} for r, x, y in zip(rows, best, best[1:], strict=False)], schema=_CUTS_ARROW)
+
+
+def _scan(steps: DataFrame, scratch: Scratch, fan: int) -> DataFrame:
+    """(row, part, enter, leave): the state at both cuts of every chunk, from ``steps(row, part, n_in, n_out, open)``.
+
+    A parallel scan: blocks of ``fan`` neighbouring matrices are multiplied, and
+    their products again, until a document is one block; then the states go
+    down the same levels, block by block. No task holds more than ``fan``
+    matrices of a document, and levels are few: their number is the logarithm
+    of the longest document's chunks to the base ``fan``.
+    """
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(partitions(df.sparkSession), "row", "block").sortWithinPartitions("row", "block", "part")
+
+    levels, top = [steps], steps.agg(F.max("part")).first()[0] or 0
+    block = F.expr(f"part div {fan}").cast("int").alias("block")
+    while top >= fan:
+        levels.append(scratch.keep(dealt(levels[-1].select("*", block)).mapInArrow(_products, _STEP), f"level-{len(levels)}"))
+        top //= fan
+    found = None
+    for k, level in reversed(list(enumerate(levels))):
+        rows = level.select("*", block)
+        if found is None:
+            rows = rows.withColumns({"enter": F.lit(0), "leave": F.lit(0)})
+        else:
+            rows = rows.join(found.withColumnRenamed("part", "block"), ["row", "block"])
+        found = scratch.keep(dealt(rows).mapInArrow(_cuts, _CUTS), f"cuts-{k}")
+    return found
 
 
 def _tracer(model: bytes, size: int):
     def run(batches):
         p = Pieces(model)
-        for batch in batches:
+        for batch in _slices(batches, 64):
             out = []
             for r in batch.to_pylist():
                 hi = len(r["body"]) if r["last"] else r["lo"] + size
@@ -273,15 +343,15 @@ def _tracer(model: bytes, size: int):
     return run
 
 
-def encode(docs: DataFrame, model_path: str, chunk_chars: int = 16_384) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, chunk_chars: int = 16_384, fan: int = 64) -> DataFrame:
     """doc_id, text_key and ids of every document of ``docs(doc_id, text)``; the ids are those the library gives.
 
     text_key is a hash of the text (null counts as empty, and has no ids).
     A text of at most ``chunk_chars`` characters is one chunk, from one end of
     the document to the other. A longer one is cut into chunks that are spread
     over tasks: each gives its boundary matrix, the matrices of the document
-    are combined in order, and each chunk is traced back with the two states
-    found. Within a chunk, every path passes the first and the last word start,
+    are combined in a scan by blocks of ``fan``, and each chunk is traced back
+    with the two states found. Within a chunk, every path passes the first and the last word start,
     so the words between are encoded as they are. Repeated rows and null ids
     are encoded like others. The model is read on the driver and sent along.
     """
@@ -295,8 +365,13 @@ def encode(docs: DataFrame, model_path: str, chunk_chars: int = 16_384) -> DataF
     around = 2 * Pieces(model).longest
     giant = base.where(F.length("text") > chunk_chars).withColumn("row", F.monotonically_increasing_id())
     chunks = scratch.keep(giant.mapInArrow(_cutter(chunk_chars, around), _CHUNK).repartition(partitions(spark), "row", "part"), "chunks")
-    found = chunks.mapInArrow(_matrices(model, chunk_chars), "row long, part int, ins array<int>, outs array<int>, open array<int>")
-    states = found.groupBy("row").applyInPandas(_scan, "row long, part int, in_back int, in_over int, out_back int, out_over int")
+    ends = scratch.keep(chunks.mapInArrow(_matrices(model, chunk_chars), _ENDS), "ends")
+    cuts = _scan(ends.select("row", "part", F.expr("size(ins) div 2").cast("int").alias("n_in"), F.expr("size(outs) div 2").cast("int").alias("n_out"), "open"), scratch, fan)
+
+    def state(side: str, at: str, name: str) -> list[Column]:
+        return [F.get(side, 2 * F.col(at)).alias(f"{name}_back"), F.get(side, 2 * F.col(at) + 1).alias(f"{name}_over")]
+
+    states = ends.join(cuts, ["row", "part"]).select("row", "part", *state("ins", "enter", "in"), *state("outs", "leave", "out"))
     parts = chunks.join(states, ["row", "part"]).mapInArrow(_tracer(model, chunk_chars), "doc_id long, text_key long, row long, part int, ids array<int>")
     whole = parts.groupBy("doc_id", "text_key", "row").agg(F.sort_array(F.collect_list(F.struct("part", "ids"))).alias("parts"))
     return small.union(whole.select("doc_id", "text_key", F.flatten("parts.ids").alias("ids")))
@@ -307,11 +382,9 @@ def _decoder(model: bytes):
         import sentencepiece
 
         library = sentencepiece.SentencePieceProcessor(model_proto=model)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                texts = [library.decode(x) if x else "" for x in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(texts, pa.string())], names=["doc_id", "text_key", "ids", "text"])
+        for part in _slices(batches, 256):
+            texts = [library.decode(x) if x else "" for x in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(texts, pa.string())], names=["doc_id", "text_key", "ids", "text"])
 
     return run
 
