@@ -136,7 +136,8 @@ def _sets(words: int):
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 found = [shingle_set(t, words).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["doc_id", "shingles"])
+                which = [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in found]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(which, pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "which", "shingles"])
 
     return run
 
@@ -169,9 +170,9 @@ def _tokens(batches):
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             part = batch.slice(k, 256)
-            sets = [np.frombuffer(v, np.int64) for v in part.column(1).to_pylist()]
-            ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(x) for x in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([np.empty(0, np.int64), *sets]))], names=["doc_id", "token"])
+            sets = [np.frombuffer(v, np.int64) for v in part.column(2).to_pylist()]
+            ids, which = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), [len(x) for x in sets]) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(which), pa.array(np.concatenate([np.empty(0, np.int64), *sets]))], names=["doc_id", "which", "token"])
 
 
 def _across(mixed: DataFrame, sets: DataFrame, percent: int, frequent: int, scratch: Scratch) -> DataFrame:
@@ -184,13 +185,14 @@ def _across(mixed: DataFrame, sets: DataFrame, percent: int, frequent: int, scra
     they share a rare one there, which few sets hold, or their rare parts are
     disjoint and within that prefix. In that case what they share is frequent,
     and each is also linked with the set of least rare part among all that have
-    the same frequent part as the other, if the frequent parts suffice. Such representatives stand for their
-    class, and nothing is lost.
+    the same frequent part as the other, if the frequent parts suffice. Such
+    representatives stand for their class, and nothing is lost. An id may have
+    several sets (``which``), and a repeated row gives the same one.
     """
     docs = mixed.select(F.col("member").alias("doc_id"), "component").distinct()
-    held = scratch.keep(sets.join(spread(docs.select("doc_id")), "doc_id", "left_semi").mapInArrow(_tokens, "doc_id long, token long"), "held")
+    held = scratch.keep(sets.join(spread(docs.select("doc_id")), "doc_id", "left_semi").mapInArrow(_tokens, "doc_id long, which long, token long"), "held")
     counts = held.groupBy("token").agg(F.count("*").alias("df"))
-    ordered = held.join(spread(counts), "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all"))
+    ordered = held.join(spread(counts), "token").groupBy("doc_id", "which").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("all"))
     ordered = ordered.withColumn("n", F.size("all")).withColumn("rare", F.expr(f"filter(all, x -> x.df < {frequent})"))
     ordered = ordered.withColumn("prefix", F.expr(f"n - cast(ceil(n * {percent} / 100D) AS int) + 1"))
     ordered = ordered.select(
@@ -270,7 +272,7 @@ def near_duplicates(
     least = max(0.0, percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / hashes) ** 0.5)
     ids = members.select(F.col("member").alias("doc_id")).distinct()
     sketches = scratch.keep(signed.join(spread(ids), "doc_id", "left_semi").select("doc_id", "sketch"), "sketches")
-    sets = scratch.keep(base.join(spread(ids), "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles binary"), "sets")
+    sets = scratch.keep(base.join(spread(ids), "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, which long, shingles binary"), "sets")
 
     def confirmed(pairs: DataFrame, label: str) -> DataFrame:
         likely = _with_both(pairs, sketches, "sketch").mapInArrow(_by_sketch(hashes, least), "a long, b long")
