@@ -50,6 +50,7 @@ def contaminated(
     window: int = 13,
     least: float = 0.75,
     block_rows: int = 500_000,
+    passes: int = 8,
 ) -> DataFrame:
     """Documents of ``docs(doc_id, text)`` that hold a passage of ``benchmark(item_id, text)``.
 
@@ -65,36 +66,40 @@ def contaminated(
     of every whole text is looked up. With the default ``window`` and ``least``
     every alignment that counts has a seed; smaller ones may have none.
 
-    The item seeds are broadcast in blocks of about ``block_rows`` rows, each
-    under 40 bytes, so what is broadcast stays under 20 MB; a larger benchmark
-    takes more passes over the documents. Texts are never shuffled: only
-    alignments are. Items and documents under ten tokens, null and empty texts
-    match nothing. Equal rows are returned once; null ids are returned as such.
+    Items with equal tokens are looked for once. The item seeds are broadcast
+    in blocks of about ``block_rows`` rows, each under 40 bytes, so what is
+    broadcast stays under 20 MB; each block is a pass over the documents, in
+    which only alignments are shuffled. A benchmark of more than ``passes``
+    blocks is joined by one shuffle of the document seeds instead. Items and
+    documents under ten tokens, null and empty texts match nothing. Texts of
+    any length are read whole. Equal rows are returned once; null ids are
+    returned as such. Extra columns are ignored; an empty table on either side
+    gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "contamination")
-    items = _hashed(benchmark, "text", item_id=F.col("item_id").cast("long")).distinct()
-    items = items.withColumn("item_key", F.xxhash64("hashes"))
-    items = scratch.keep(items.where(F.size("hashes") >= LEAST_TOKENS), "items")
-    seeds = _seeds(items).select("seed", "item_id", "item_key", F.col("at").alias("item_at"), F.size("hashes").alias("item_n"))
+    listed = _hashed(benchmark, "text", item_id=F.col("item_id").cast("long")).where(F.size("hashes") >= LEAST_TOKENS)
+    listed = scratch.keep(listed.withColumn("item_key", F.xxhash64("hashes")).distinct(), "listed")
+    items = scratch.keep(listed.select("item_key", "hashes").distinct(), "items")
+    seeds = _seeds(items).select("seed", "item_key", F.col("at").alias("item_at"), F.size("hashes").alias("item_n"))
     seeds = scratch.keep(seeds.distinct(), "seeds")
     blocks = max(1, ceil(seeds.count() / block_rows))
     words = _hashed(docs, "text", doc_id=F.col("doc_id").cast("long"), text_key=F.xxhash64("text"))
     placed = _seeds(words)
-    hits = None
-    for k in range(blocks):
-        block = seeds.where(F.pmod(F.xxhash64("item_id", "item_key", "item_at", "seed"), F.lit(blocks)) == k)
-        found = placed.join(F.broadcast(block), "seed").withColumn("doc_start", F.expr("at - item_at"))
-        found = found.select(
-            "doc_id",
-            "text_key",
-            "item_id",
-            "item_key",
-            "doc_start",
-            F.expr("slice(hashes, greatest(doc_start, 0) + 1, item_n + least(doc_start, 0))").alias("near"),
-        )
-        hits = found if hits is None else hits.union(found)
-    aligned = scratch.keep(hits.distinct(), "aligned").join(items, ["item_id", "item_key"])
+    start = F.expr("at - item_at").alias("doc_start")
+    near = F.expr("slice(hashes, greatest(doc_start, 0) + 1, item_n + least(doc_start, 0))").alias("near")
+    if blocks <= passes:
+        hits = None
+        for k in range(blocks):
+            block = seeds.where(F.pmod(F.xxhash64("item_key", "item_at", "seed"), F.lit(blocks)) == k)
+            found = placed.join(F.broadcast(block), "seed").select("*", start).select("doc_id", "text_key", "item_key", "doc_start", near)
+            hits = found if hits is None else hits.union(found)
+    else:
+        spots = placed.select(F.col("doc_id").alias("spot_id"), F.col("text_key").alias("spot_key"), "at", "seed").join(seeds, "seed")
+        spots = scratch.keep(spots.select("spot_id", "spot_key", "item_key", "item_n", start).distinct(), "spots")
+        same = F.col("doc_id").eqNullSafe(F.col("spot_id")) & (F.col("text_key") == F.col("spot_key"))
+        hits = words.join(spots, same).select("doc_id", "text_key", "item_key", "doc_start", near)
+    aligned = scratch.keep(hits.distinct(), "aligned").join(items, "item_key")
     aligned = aligned.withColumn("item_part", F.expr("slice(hashes, greatest(-doc_start, 0) + 1, size(near))"))
     aligned = aligned.withColumn("equal", F.expr("zip_with(near, item_part, (x, y) -> if(x = y, 1, 0))"))
     aligned = aligned.withColumn("wide", F.least(F.lit(window), F.size("hashes")))
@@ -103,6 +108,6 @@ def contaminated(
         f"s -> aggregate(slice(equal, s, wide), 0, (a, x) -> a + x) >= {least}D * wide)"
     )
     total = F.expr("aggregate(equal, 0, (a, x) -> a + x)")
-    aligned = aligned.where(dense).select("doc_id", "text_key", "item_id", F.struct(total.alias("n_equal"), F.size("equal").alias("n_overlap"), (-F.col("doc_start")).alias("back")).alias("best"))
-    best = aligned.groupBy("doc_id", "text_key", "item_id").agg(F.max("best").alias("best"))
-    return best.select("doc_id", "text_key", "item_id", "best.n_equal", "best.n_overlap", (-F.col("best.back")).alias("doc_start"))
+    aligned = aligned.where(dense).select("doc_id", "text_key", "item_key", F.struct(total.alias("n_equal"), F.size("equal").alias("n_overlap"), (-F.col("doc_start")).alias("back")).alias("best"))
+    best = aligned.groupBy("doc_id", "text_key", "item_key").agg(F.max("best").alias("best"))
+    return best.join(listed.select("item_key", "item_id"), "item_key").select("doc_id", "text_key", "item_id", "best.n_equal", "best.n_overlap", (-F.col("best.back")).alias("doc_start"))
