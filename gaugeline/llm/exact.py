@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from math import ceil, log2
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import Scratch, partitions
+from gaugeline.llm.common import Scratch, partitions, spread
+
+#: The directory has at most 2**MAX_DEPTH rows of two numbers each, which is what is broadcast.
+MAX_DEPTH = 20
 
 
 def directory(entries: DataFrame, capacity: int, max_depth: int) -> DataFrame:
@@ -23,40 +28,43 @@ def directory(entries: DataFrame, capacity: int, max_depth: int) -> DataFrame:
     levels = levels.withColumn("prefix", F.expr(f"shiftright(cell, {max_depth} - depth)"))
     loads = levels.groupBy("depth", "prefix").agg(F.sum("n").alias("load"))
     fits = F.min(F.when((F.col("load") <= capacity) | (F.col("depth") == max_depth), F.col("depth")))
-    found = levels.join(loads, ["depth", "prefix"]).groupBy("cell").agg(fits.alias("depth"))
+    found = levels.join(spread(loads), ["depth", "prefix"]).groupBy("cell").agg(fits.alias("depth"))
     return found.withColumn("bucket", F.expr(f"shiftleft(shiftright(cell, {max_depth} - depth), {max_depth} - depth)"))
 
 
-def build_index(docs: DataFrame, scratch: Scratch, capacity: int = 4096, max_depth: int = 16, key_bits: int = 64) -> tuple[DataFrame, DataFrame]:
+def build_index(docs: DataFrame, scratch: Scratch, capacity: int = 4096, max_depth: int | None = None, key_bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """Write the index of ``docs(doc_id, text)``; returns (entries, index), both on shared files.
 
-    ``entries`` has a row per document: doc_id, key (64-bit hash) and text_sha256.
-    ``index`` has a row per distinct text: bucket, key, chain (position among
-    the texts of that key), text_sha256, keep_id and group_size.
+    ``entries`` has a row per document: doc_id, key (64-bit hash), text_sha256
+    and row (a number of its own). ``index`` has a row per distinct text:
+    bucket, key, chain (its place among the texts of that key), text_sha256,
+    keep_id, keep_row and group_size.
 
-    Copies are combined in the map tasks before the shuffle and compared byte
-    by byte when grouped, so a hot text is one row per map task. Entries then
-    go by key range to owner tasks, which chain colliding keys. Fewer
-    ``key_bits`` make collisions, for tests.
+    The directory's depth follows the number of documents, with two splits to
+    spare, up to 2**20 cells. Rows go to the owner of (bucket, key), which keeps
+    the chain of different texts of each key by comparing their bytes; copies
+    meet in the map tasks first, so a hot text is one row per map task there.
+    The documents then probe the chains by digest, combined per text before they
+    are dealt, and so get the one that stays. Two texts of a chain with one
+    digest stop the run. Fewer ``key_bits`` make collisions, for tests.
     """
     key = F.xxhash64("text") if key_bits == 64 else F.shiftleft(F.shiftrightunsigned(F.xxhash64("text"), 64 - key_bits), 64 - key_bits)
     base = docs.withColumn("key", key)
-    entries = scratch.keep(base.select("doc_id", "key", F.sha2("text", 256).alias("text_sha256")), "entries")
-    cells = scratch.keep(directory(entries, capacity, max_depth), "directory")
-    owned = base.withColumn("cell", F.shiftrightunsigned("key", 64 - max_depth)).join(F.broadcast(cells.select("cell", "bucket")), "cell")
-    groups = owned.groupBy("bucket", "key", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = groups.select("bucket", "key", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
-    chain = Window.partitionBy("bucket", "key").orderBy("text_sha256")
-    clash = F.lag("text_sha256").over(chain) == F.col("text_sha256")
-    index = groups.repartitionByRange(partitions(docs.sparkSession), "bucket", "key").select(
-        "bucket",
-        "key",
-        F.when(clash, F.raise_error(F.lit("two texts share both digests")).cast("int")).otherwise(F.row_number().over(chain)).alias("chain"),
-        "text_sha256",
-        "keep_id",
-        "group_size",
-    )
-    return entries, scratch.keep(index, "index")
+    entries = base.select("doc_id", "key", F.sha2("text", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row"))
+    entries = scratch.keep(entries, "entries")
+    depth = max_depth or min(MAX_DEPTH, max(1, ceil(log2(max(1.0, entries.count() / capacity))) + 2))
+    cells = scratch.keep(directory(entries, capacity, depth), "directory")
+    owned = base.withColumn("cell", F.shiftrightunsigned("key", 64 - depth)).join(F.broadcast(cells.select("cell", "bucket")), "cell")
+    chains = owned.groupBy("bucket", "key").agg(F.array_sort(F.collect_set("text")).alias("chain"))
+    chains = chains.select("bucket", "key", F.expr("transform(chain, t -> sha2(t, 256))").alias("chain"))
+    clash = F.size(F.array_distinct("chain")) < F.size("chain")
+    chains = chains.withColumn("chain", F.when(clash, F.raise_error(F.lit("two texts share both digests")).cast("array<string>")).otherwise(F.col("chain")))
+    slots = chains.select("bucket", "key", F.posexplode("chain").alias("chain", "text_sha256"))
+    top = F.max(F.struct("doc_id", (-F.col("row")).alias("row"))).alias("top")
+    asked = entries.groupBy("key", "text_sha256").agg(top, F.count("*").alias("group_size"))
+    index = slots.join(asked, ["key", "text_sha256"])
+    index = index.select("bucket", "key", "chain", "text_sha256", F.col("top.doc_id").alias("keep_id"), (-F.col("top.row")).alias("keep_row"), "group_size")
+    return entries, scratch.keep(index.repartitionByRange(partitions(docs.sparkSession), "bucket", "key").sortWithinPartitions("bucket", "key", "chain"), "index")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **index) -> DataFrame:
@@ -65,13 +73,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Of documents with identical bytes the one with the largest id stays. A null
     text counts as empty, and all empty texts are equal. Null ids sort under
     all others: keep_id is null only if every id of the group is. Of repeated
-    rows with the same id and text one stays. Extra columns are ignored. See
-    :func:`build_index` for the other parameters.
+    rows with the same id and text one stays. Extra columns are ignored. An
+    empty table gives no rows. See :func:`build_index` for the other parameters.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     entries, index = build_index(base, Scratch(docs.sparkSession, "exact"), **index)
-    same = Window.partitionBy("doc_id", "key", "text_sha256").orderBy("doc_id")
-    rows = entries.withColumn("copy", F.row_number().over(same))
-    found = rows.join(index.drop("bucket", "chain"), ["key", "text_sha256"])
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
-    return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    found = entries.join(spread(index), ["key", "text_sha256"])
+    return found.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
