@@ -7,7 +7,8 @@ if two strings of ``length`` bytes are equal, two cover positions in them have
 the same next ``length - v + 1`` bytes. First the cover positions whose hash of
 those bytes stands at another position too are found, one bucket at a time.
 Then only suffixes within reach of such a position are dealt into buckets.
-Equal hashes take the place of ranks and suffix order, since only ties matter.
+Equal hashes take the place of ranks and suffix order, since only ties matter;
+a tie of suffixes is one of two independent 64-bit hashes of all their bytes.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +27,12 @@ from gaugeline.llm.common import Scratch, partitions, spread
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
+_ODD_2 = np.uint64(0xD6E8FEB86659FD93)
+_MIX_2 = np.uint64(0xA0761D6478BD642F)
 _HALF = np.uint64(32)
 _SEGMENT = 1 << 20
 _BLOCK = 1 << 18
+_TEXTS = 2048
 
 
 def difference_cover(prime: int) -> tuple[int, np.ndarray]:
@@ -47,31 +52,67 @@ def difference_cover(prime: int) -> tuple[int, np.ndarray]:
     raise ValueError("no cover for this prime")
 
 
-def fingerprints(data: np.ndarray, length: int) -> np.ndarray:
-    """64-bit hashes of the ``length`` bytes (8 or more) from each position on."""
-    n = len(data) - length + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    size = 8
-    h = np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data).data, 0, (1,)) * _ODD
-    h ^= h >> _HALF
+def _grown(h: np.ndarray, size: int, length: int, odd: np.uint64, mix: np.uint64) -> np.ndarray:
+    """From hashes of the ``size`` elements from each position on, those of ``length`` elements."""
 
     def joined(x, y):
-        z = x * _ODD
-        z ^= y * _MIX
+        z = x * odd
+        z ^= y * mix
         z ^= z >> _HALF
-        z *= _MIX
+        z *= mix
         z ^= z >> _HALF
         return z
 
+    n = len(h) + size - length
+    if n <= 0:
+        return np.empty(0, np.uint64)
     while size * 2 <= length:
         h = joined(h[:-size], h[size:])
         size *= 2
     return joined(h[:n], h[length - size : length - size + n])
 
 
-_PACKED = "bucket int, fp binary, pos binary, keys binary, counts binary"
-_PACKED_ARROW = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in ("fp", "pos", "keys", "counts"))])
+def fingerprints(data: np.ndarray, length: int, second: bool = False) -> np.ndarray:
+    """64-bit hashes of the ``length`` bytes (8 or more) from each position on; ``second`` gives independent ones."""
+    if len(data) < length:
+        return np.empty(0, np.uint64)
+    odd, mix = (_ODD_2, _MIX_2) if second else (_ODD, _MIX)
+    h = np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data).data, 0, (1,)) * odd
+    h ^= h >> _HALF
+    return _grown(h, 8, length, odd, mix)
+
+
+def _least_of(h: np.ndarray, width: int, least=np.minimum) -> np.ndarray:
+    """The least (or largest) of the ``width`` values from each position on."""
+    size, out = 1, h
+    while size * 2 <= width:
+        out = least(out[:-size], out[size:])
+        size *= 2
+    rest = width - size
+    return least(out[: len(out) - rest], out[rest:]) if rest else out
+
+
+def chosen_windows(text: bytes, gram: int, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, hash) of some windows of ``gram`` words, such that two texts with ``run`` equal words in a row share one.
+
+    Of every run - gram + 1 neighbouring windows those with the least hash are
+    taken, so the choice rests on the words alone. Words end at ASCII white space.
+    """
+    words = text.split()
+    if len(words) < run:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    h = _grown(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), 1, gram, _ODD, _MIX)
+    width = run - gram + 1
+    low = _least_of(h, width)
+    edge = np.zeros(width - 1, np.uint64)
+    at = np.flatnonzero(h == _least_of(np.concatenate([edge, low, edge]), width, np.maximum))
+    fp, first = np.unique(h[at], return_index=True)
+    return at[first], fp
+
+
+#: fp_2: of each entry a second hash, or nothing.
+_PACKED = "bucket int, fp binary, pos binary, keys binary, counts binary, fp_2 binary"
+_PACKED_ARROW = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in ("fp", "pos", "keys", "counts", "fp_2"))])
 _FOUND = "k1 long, k2 long, pos binary"
 _FOUND_ARROW = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("pos", pa.binary())])
 
@@ -100,18 +141,19 @@ def _unpacked_positions(data: bytes, counts: np.ndarray) -> np.ndarray:
     return (total - np.repeat(total[starts] - step[starts], counts)).astype(np.uint32)
 
 
-def _pack(fp: np.ndarray, pos: np.ndarray, who: np.ndarray, keys: np.ndarray, bits: int, narrow: bool):
+def _pack(fp: np.ndarray, pos: np.ndarray, who: np.ndarray, keys: np.ndarray, bits: int, narrow: bool, fp_2: np.ndarray | None = None):
     """A row per bucket; within it positions stand together by text."""
     bucket = (fp >> np.uint64(64 - bits)).astype(np.int32)
     order = np.lexsort((pos, who, bucket))
     fp, pos, who, bucket = fp[order], pos[order].astype(np.int64), who[order], bucket[order]
     fp = (fp >> np.uint64(64 - bits - 32)).astype(np.uint32) if narrow else fp
+    fp_2 = np.empty(0, np.uint64) if fp_2 is None else fp_2[order]
     cuts = np.append(_runs(bucket), len(bucket)) if len(bucket) else np.zeros(1, int)
     rows = []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         at = _runs(who[a:b])
         counts = np.diff(np.append(at, b - a)).astype(np.uint32)
-        rows.append((int(bucket[a]), fp[a:b].tobytes(), _packed_positions(pos[a:b], at), keys[who[a:b][at]].tobytes(), counts.tobytes()))
+        rows.append((int(bucket[a]), fp[a:b].tobytes(), _packed_positions(pos[a:b], at), keys[who[a:b][at]].tobytes(), counts.tobytes(), fp_2[a:b].tobytes()))
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKED_ARROW, strict=True)], schema=_PACKED_ARROW)
 
 
@@ -169,6 +211,21 @@ def _cover_entries(length: int, prime: int, bits: int):
     return run
 
 
+def _word_entries(gram: int, run_words: int, bits: int):
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            batch = _first_of_each(batch, seen)
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)], axis=1)
+            for a in range(0, batch.num_rows, _TEXTS):
+                found = [(k, *chosen_windows(batch.column(2)[k].as_py(), gram, run_words)) for k in range(a, min(a + _TEXTS, batch.num_rows))]
+                who = np.repeat([k for k, _, _ in found], [len(x) for _, x, _ in found])
+                if len(who):
+                    yield _pack(np.concatenate([x for _, _, x in found]), np.concatenate([x for _, x, _ in found]), who, keys, bits, False)
+
+    return run
+
+
 def _suffix_entries(length: int, period: int, bits: int):
     def run(batches):
         seen = set()
@@ -191,13 +248,13 @@ def _suffix_entries(length: int, period: int, bits: int):
                     who.append(np.full(len(p), k))
                 at, pos, who = map(np.concatenate, (at, pos, who))
                 if len(at):
-                    yield _pack(fp[at], pos, who, keys, bits, False)
+                    yield _pack(fp[at], pos, who, keys, bits, False, fingerprints(data, length, second=True)[at])
 
     return run
 
 
-def _ties(narrow: bool):
-    """Of each bucket in turn, the positions whose fingerprint also stands at another position.
+def _ties(narrow: bool, across: bool = False):
+    """Of each bucket in turn, the positions whose fingerprint also stands at another position, or ``across`` in another text.
 
     Rows come by bucket. Entries are taken in blocks and merged into the
     sorted distinct fingerprints seen so far, so memory follows the number of
@@ -216,31 +273,43 @@ def _ties(narrow: bool):
 
     class Bucket:
         def __init__(self):
-            self.state = [np.empty(0, kind), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, bool)]
+            self.state = [np.empty(0, kind), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, bool)]
             self.held, self.size = [], 0
 
         def add(self, row):
             counts = np.frombuffer(row[4], np.uint32).astype(np.int64)
             fp, pos = np.frombuffer(row[1], kind), _unpacked_positions(row[2], counts)
             keys = np.repeat(np.frombuffer(row[3], np.int64).reshape(-1, 2), counts, axis=0)
-            self.held.append((fp, keys[:, 0], keys[:, 1], pos))
+            fp_2 = np.frombuffer(row[5], np.uint64) if row[5] else np.zeros(len(fp), np.uint64)
+            self.held.append((fp, fp_2, keys[:, 0], keys[:, 1], pos))
             self.size += len(fp)
 
         def merge(self):
-            fp, k1, k2, pos = (np.concatenate(c) for c in zip(*self.held, strict=True))
+            fp, fp_2, k1, k2, pos = (np.concatenate(c) for c in zip(*self.held, strict=True))
             self.held, self.size = [], 0
             order = np.argsort(fp, kind="stable")
-            fp, k1, k2, pos = fp[order], k1[order], k2[order], pos[order]
-            starts = _runs(fp)
+            if np.any((fp[order][1:] == fp[order][:-1]) & (fp_2[order][1:] != fp_2[order][:-1])):
+                order = np.lexsort((fp_2, fp))
+            fp, fp_2, k1, k2, pos = fp[order], fp_2[order], k1[order], k2[order], pos[order]
+            starts = _runs(fp, fp_2)
             group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(fp))))
-            sfp, s1, s2, spos, told = self.state
+            sfp, sfp_2, s1, s2, spos, told = self.state
             at = np.searchsorted(sfp, fp[starts])
+            if len(sfp):
+                while True:  # on past entries that share only the first hash
+                    safe = np.minimum(at, len(sfp) - 1)
+                    other = (at < len(sfp)) & (sfp[safe] == fp[starts]) & (sfp_2[safe] < fp_2[starts])
+                    if not other.any():
+                        break
+                    at[other] += 1
             known = np.zeros(len(starts), bool)
             inside = at < len(sfp)
-            known[inside] = sfp[at[inside]] == fp[starts][inside]
+            known[inside] = (sfp[at[inside]] == fp[starts][inside]) & (sfp_2[at[inside]] == fp_2[starts][inside])
             safe = np.where(known, at, 0)
             first = [np.where(known, s[safe] if len(s) else 0, x[starts]) for s, x in ((s1, k1), (s2, k2), (spos, pos))]
-            differs = (k1 != first[0][group]) | (k2 != first[1][group]) | (pos != first[2][group])
+            differs = (k1 != first[0][group]) | (k2 != first[1][group])
+            if not across:
+                differs |= pos != first[2][group]
             tied = np.zeros(len(starts), bool)
             tied[group[differs]] = True
             before = np.zeros(len(starts), bool)
@@ -251,8 +320,10 @@ def _ties(narrow: bool):
             out = found(np.append(k1[say], s1[at[again]]), np.append(k2[say], s2[at[again]]), np.append(pos[say], spos[at[again]]))
             told[at[known]] = tied[known]
             new = ~known
-            merged = [np.concatenate([s, x]) for s, x in zip(self.state, (fp[starts][new], first[0][new], first[1][new], first[2][new].astype(np.uint32), tied[new]), strict=True)]
+            merged = [np.concatenate([s, x]) for s, x in zip(self.state, (fp[starts][new], fp_2[starts][new], first[0][new], first[1][new], first[2][new].astype(np.uint32), tied[new]), strict=True)]
             order = np.argsort(merged[0], kind="stable")
+            if np.any(merged[0][order][1:] == merged[0][order][:-1]):
+                order = np.lexsort((merged[1], merged[0]))
             self.state = [m[order] for m in merged]
             return out
 
@@ -293,22 +364,36 @@ def _removal(length: int):
     return run
 
 
-def repeated_strings(docs: DataFrame, length: int = 400, prime: int = 13, bucket_entries: int = 2_000_000) -> DataFrame:
+def repeated_strings(
+    docs: DataFrame,
+    length: int = 400,
+    prime: int = 13,
+    bucket_entries: int = 500_000,
+    run_words: int = 51,
+    gram: int = 36,
+    task_bytes: int = 64 << 20,
+) -> DataFrame:
     """Bytes of ``docs(doc_id, text)`` that lie in a string of ``length`` bytes which also starts elsewhere.
 
     Returns a row per document: doc_id, n_bytes, n_removed, n_spans,
-    kept_sha256 (of the bytes left over) and spans (start, end; end exclusive).
-    Strings lie within one document; the other start may be in the same one,
-    and they may overlap. They are judged on the input.
+    kept_sha256 (of the bytes left over), spans (start, end; end exclusive) and
+    has_repeat. Strings lie within one document; the other start may be in the
+    same one, and they may overlap. They are judged on the input.
 
     Texts with an identical copy are removed whole by a count of their digests.
     For the rest, entries of cover positions, then of candidate suffixes, go to
-    2**bits buckets, as many as hold about ``bucket_entries`` entries each, and
-    a task works on one bucket at a time. A task that makes entries takes each
-    distinct text once, so however many copies a text has, its positions are
-    dealt at most once a task, and told once in each merge of a bucket. Only texts with a tied cover position
-    are looked at again. ``length`` must be at least prime**2 + prime + 8.
-    A tie of suffixes means equal 64-bit hashes of all their bytes.
+    2**bits buckets, as many as hold about ``bucket_entries`` entries each; a
+    task is dealt about ``task_bytes`` and works on one bucket at a time. A task
+    that makes entries takes each distinct text once, so however many copies a
+    text has, its positions are dealt at most once a task, and told once in
+    each merge of a bucket. Only texts with a tied cover position are looked at
+    again. ``length`` must be at least prime**2 + prime + 8. A tie of suffixes
+    means that two independent 64-bit hashes of all their bytes are equal.
+
+    has_repeat is about words, ended by ASCII white space: it is true for every
+    document that has ``run_words`` words in a row in common with another
+    document, and only for such as have ``gram`` of them in common. It is found
+    from few windows of words and changes nothing in the other columns.
 
     Null and empty texts have no bytes and the digest of the empty string.
     Repeated rows are copies of each other. Ids are only passed on, so null ids
@@ -322,29 +407,43 @@ def repeated_strings(docs: DataFrame, length: int = 400, prime: int = 13, bucket
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     base = base.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), "text")
-    digest = base.select("doc_id", "k1", "k2", F.octet_length("text").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+    long = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) >= run_words
+    digest = base.select("doc_id", "k1", "k2", F.octet_length("text").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"), long.alias("long"))
     digest = scratch.keep(digest, "digest")
     total = digest.agg(F.sum("n_bytes")).first()[0] or 0
-    bits = max(5, ceil(np.log2(max(1, total * len(cover) / period / bucket_entries))))
-    n = partitions(spark)
 
-    def ties(entries: DataFrame, narrow: bool, label: str) -> DataFrame:
-        dealt = entries.repartition(max(n, 1 << bits), "bucket").sortWithinPartitions("bucket")
-        rows = scratch.keep(dealt.mapInArrow(_ties(narrow), _FOUND), f"{label}-rows")
+    def bits_for(entries: float) -> int:
+        return max(3, ceil(np.log2(max(1, entries / bucket_entries))))
+
+    def ties(entries: DataFrame, expected: float, narrow: bool, across: bool, label: str) -> DataFrame:
+        tasks = max(partitions(spark), ceil(expected * (8 if narrow else 20) / task_bytes))
+        dealt = entries.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+        return scratch.keep(dealt.mapInArrow(_ties(narrow, across), _FOUND), label)
+
+    def at(rows: DataFrame, label: str) -> DataFrame:
         return scratch.keep(rows.groupBy("k1", "k2").agg(F.collect_set("pos").alias("at")), label)
 
     data = base.select("k1", "k2", F.encode("text", "UTF-8").alias("data"), "doc_id")
-    tied = ties(data.where(F.length("data") >= length).mapInArrow(_cover_entries(length, prime, bits), _PACKED), True, "tied")
+    expected = total * len(cover) / period
+    bits = bits_for(expected)
+    tied = at(ties(data.where(F.length("data") >= length).mapInArrow(_cover_entries(length, prime, bits), _PACKED), expected, True, False, "tied-rows"), "tied")
+    expected = total / 50  # two of every run_words - gram + 2 words, of six bytes or so
+    bits = bits_for(expected)
+    alike = ties(data.where(F.length("data") >= 2 * run_words - 1).mapInArrow(_word_entries(gram, run_words, bits), _PACKED), expected, False, True, "alike-rows")
+    alike = alike.select("k1", "k2").distinct().withColumn("alike", F.lit(True))
     copies = scratch.keep(digest.groupBy("k1", "k2").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("rep"), F.count("*").alias("n")), "copies")
     looked = data.withColumn("rep", F.coalesce("doc_id", F.lit(-(2**63)))).drop("doc_id")
     wanted = tied.join(copies.drop("n"), ["k1", "k2"])
     looked = scratch.keep(looked.join(wanted, ["k1", "k2", "rep"]).select("k1", "k2", "data", "at"), "looked")
-    starts = ties(looked.mapInArrow(_suffix_entries(length, period, bits), _PACKED), False, "starts")
+    expected = looked.agg(F.sum(F.least(F.octet_length("data").cast("long"), F.expr(f"aggregate(at, 0L, (a, x) -> a + octet_length(x) div 4) * {period}")))).first()[0] or 0
+    bits = bits_for(expected)
+    starts = at(ties(looked.mapInArrow(_suffix_entries(length, period, bits), _PACKED), expected, False, False, "starts-rows"), "starts")
     removed = looked.drop("at").join(starts, ["k1", "k2"]).mapInArrow(_removal(length), "k1 long, k2 long, spans array<struct<start: long, end: long>>, kept_sha256 string")
     removed = removed.dropDuplicates(["k1", "k2"])
-    known = copies.select("k1", "k2", "n").join(removed, ["k1", "k2"], "left").where("n > 1 OR spans IS NOT NULL")
+    known = copies.select("k1", "k2", "n").join(removed, ["k1", "k2"], "left").join(alike, ["k1", "k2"], "left").where("n > 1 OR spans IS NOT NULL OR alike")
     found = digest.join(spread(known), ["k1", "k2"], "left")
-    whole = F.coalesce(F.col("n") > 1, F.lit(False)) & (F.col("n_bytes") >= length)
+    copied = F.coalesce(F.col("n") > 1, F.lit(False))
+    whole = copied & (F.col("n_bytes") >= length)
     all_of = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").cast("long").alias("end")))
     none = F.array().cast("array<struct<start: long, end: long>>")
     found = found.withColumn("spans", F.when(whole, all_of).otherwise(F.coalesce("spans", none)))
@@ -355,4 +454,5 @@ def repeated_strings(docs: DataFrame, length: int = 400, prime: int = 13, bucket
         F.size("spans").cast("long").alias("n_spans"),
         F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "text_sha256")).alias("kept_sha256"),
         "spans",
+        (F.coalesce("alike", F.lit(False)) | (copied & F.col("long"))).alias("has_repeat"),
     )
