@@ -5,11 +5,15 @@ letter, 256 for an octet, and so on. A Feistel network permutes the rows of
 symbols with the same radices: in each round one half is shifted, symbol by
 symbol and modulo its radix, by a keyed digest of the other half. It keeps the
 format, is one to one, and maps equal values to equal pseudonyms everywhere.
+The digest is an HMAC; its key comes from a table, so it stands in no plan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: kind -> pattern; at one place the first kind listed here wins.
@@ -85,12 +89,28 @@ def _symbols(m: str, kind: str) -> str:
     return f"CASE {kind} " + " ".join(f"WHEN '{k}' THEN {t}" for k, t in tests.items()) + " END"
 
 
-def _permuted(symbols: str, kind: str, key: str) -> str:
-    """SQL: the symbols after all rounds; the kind and the radices are part of what is keyed."""
+def key_table(spark: SparkSession, secrets: Mapping[int, bytes]) -> DataFrame:
+    """(key_id, inner, outer): secrets as the two padded blocks of HMAC-SHA512, one row for each id.
+
+    Explained plans, the interface of Spark and its event log show the names of
+    the columns only.
+    """
+
+    def block(secret: bytes, pad: int) -> bytes:
+        secret = hashlib.sha512(secret).digest() if len(secret) > 128 else secret
+        return bytes(x ^ pad for x in secret.ljust(128, b"\0"))
+
+    rows = [(k, bytearray(block(v, 0x36)), bytearray(block(v, 0x5C))) for k, v in secrets.items()]
+    return spark.createDataFrame(rows, "key_id int, inner binary, outer binary")
+
+
+def _permuted(symbols: str, kind: str) -> str:
+    """SQL: the symbols after all rounds, under the columns inner and outer; the kind and the radices are part of what is keyed."""
     left = "j < size(s) div 2"
     other = f"array_join(transform(filter(transform(s, (x, j) -> if(({left}) = (k % 2 = 0), -1, x.v)), y -> y >= 0), y -> cast(y AS string)), ',')"
     radices = "array_join(transform(s, x -> cast(x.r AS string)), ',')"
-    digest = f"sha2(concat_ws('|', '{key}', {kind}, cast(k AS string), {radices}, {other}), 512)"
+    told = f"encode(concat_ws('|', {kind}, cast(k AS string), {radices}, {other}), 'UTF-8')"
+    digest = f"sha2(concat(outer, unhex(sha2(concat(inner, {told}), 512))), 512)"
     shift = "cast(conv(substr(d, (j * 4) % 124 + 1, 4), 16, 10) AS int)"
     moved = f"transform(s, (x, j) -> if(({left}) = (k % 2 = 0), named_struct('v', (x.v + {shift}) % x.r, 'r', x.r), x))"
     return f"aggregate(sequence(0, {ROUNDS - 1}), {symbols}, (s, k) -> element_at(transform(array({digest}), d -> {moved}), 1))"
@@ -120,7 +140,7 @@ def _written(m: str, kind: str, p: str) -> str:
     return f"CASE {kind} " + " ".join(f"WHEN '{k}' THEN {t}" for k, t in tests.items()) + " END"
 
 
-def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
+def pseudonymised(docs: DataFrame, keys: DataFrame, key_id: int) -> DataFrame:
     """Documents of ``docs(doc_id, text)`` that hold personal data, with pseudonyms in their place.
 
     Returns doc_id, text_key (hash of the text), n_email, n_phone, n_ssn,
@@ -129,19 +149,26 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     octets under 256; social security numbers outside the unused ranges; dates
     of the calendar from 1800 to 2199. What is not valid is left as it is. Of an
     email address the local part is replaced, of a phone number the last ten
-    digits. Equal values get equal pseudonyms in all documents, under the same
-    ``key``. Documents without such values are not returned; neither are null
-    and empty texts. Repeated rows and null ids are returned as they come.
+    digits. A row of one symbol, such as the local part of one letter, is moved
+    by a shift that is the same for all letters, so it has as many pseudonyms as
+    the letter has values. Equal values get equal pseudonyms in all documents,
+    under the same secret, which is row ``key_id`` of ``keys`` (see
+    :func:`key_table`; without such a row the run fails). Documents without
+    such values are not returned; neither are null and empty texts. Repeated
+    rows and null ids are returned as they come. Extra columns are ignored.
     """
     pattern = "|".join(f"(?:{p})" for p in PATTERNS.values())
     quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    key = key.replace("\\", "\\\\").replace("'", "\\'")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").where(F.col("text").rlike("[0-9@]"))
     found = base.withColumn("found", F.expr(f"regexp_extract_all(text, '{quoted}', 0)")).where(F.size("found") > 0)
     kind = "f.kind"
     named = F.expr(f"transform(transform(found, m -> named_struct('m', m, 'kind', {_kind('m')})), f -> named_struct('m', f.m, 'kind', if({_valid('f.m', kind)}, f.kind, 'none')))")
     found = found.withColumn("named", named).where(F.expr("exists(named, f -> f.kind <> 'none')"))
-    permuted = F.expr(f"transform(named, f -> named_struct('m', f.m, 'kind', f.kind, 'p', if(f.kind = 'none', null, {_permuted(_symbols('f.m', kind), kind, key)})))")
+    known = keys.where(F.col("key_id") == key_id)
+    for block in ("inner", "outer"):
+        given = known.select(block).scalar()
+        found = found.withColumn(block, F.when(given.isNull(), F.raise_error(F.lit("no such key")).cast("binary")).otherwise(given))
+    permuted = F.expr(f"transform(named, f -> named_struct('m', f.m, 'kind', f.kind, 'p', if(f.kind = 'none', null, {_permuted(_symbols('f.m', kind), kind)})))")
     found = found.withColumn("permuted", permuted)
     found = found.withColumn("new", F.expr(f"transform(permuted, f -> if(f.kind = 'none', f.m, {_written('f.m', kind, 'f.p')}))"))
     parts = F.expr(f"split(text, '{quoted}', -1)")

@@ -49,7 +49,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_suffix_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.repeated_strings(read(spark, sf_dir, "documents")).drop("spans")
+    """What is left of each document, the removed spans as start:end, and whether it shares a passage of over 50 words."""
+    found = suffixes.repeated_strings(read(spark, sf_dir, "documents"))
+    spans = F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string")))
+    return found.withColumn("spans", F.array_join(spans, ","))
 
 
 @query("op4_benchmark_decontamination")
@@ -68,31 +71,39 @@ URL_RULES = (
 )
 
 
+#: The query's vocabulary, as a file given to urls.read_terms would list it: (term, kind, weight).
+URL_TERMS = (
+    *((t, "strict", 1) for t in ("casino", "porn", "viagra", "xxx", "escort", "hentai", "sexcam", "kasino", "spielcasino", "porno", "казино", "порно", "赌场")),
+    *((t, "soft", 2) for t in ("poker", "roulette", "jackpot", "nude", "spielautomaten", "apuestas")),
+    *((t, "soft", 1) for t in ("bets", "bet", "cheap", "free", "pills", "win", "bonus", "adult", "loan", "kredit", "gratis", "billig", "gewinn", "gratuit", "gagner", "ganar", "slots", "dating", "pharmacy", "replica")),
+)
+
+
 def _url_sql() -> str:
     fits = {h + p: (v, f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')") for v, h, p in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))}
     rule = " ".join(f"WHEN {c} THEN '{r}'" for r, (_, c) in fits.items())
     given = " ".join(f"WHEN {c} THEN '{v}'" for v, c in fits.values())
-    low = "translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    has = {t: f"regexp_matches({low}, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::BIGINT" for t in (*urls.STRICT, *urls.SOFT)}
-    weight = " + ".join(f"{w} * {has[t]}" for t, w in urls.SOFT.items())
+    has = {t: f"regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::BIGINT" for t, _, _ in URL_TERMS}
+    strict, soft = (" + ".join(has[t] for t, k, _ in URL_TERMS if k == kind) for kind in ("strict", "soft"))
+    weight = " + ".join(f"{w} * {has[t]}" for t, k, w in URL_TERMS if k == "soft")
     return f"""
     WITH cut AS (
-      SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
+      SELECT page_id, lower(url_decode(coalesce(url, ''))) AS low, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
     ), parts AS (
       SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
              coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
-             {" + ".join(has[t] for t in urls.STRICT)} AS n_strict, {" + ".join(has[t] for t in urls.SOFT)} AS n_soft, {weight} AS weight
+             {strict} AS n_strict, {soft} AS n_soft, {weight} AS weight
       FROM cut
     )
     SELECT page_id, host, path, CASE {rule} END AS rule,
-           CASE {given} WHEN n_strict >= 1 OR weight >= {urls.SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict, n_strict, n_soft
+           CASE {given} WHEN n_strict >= 1 OR (n_soft >= {urls.SOFT_LEAST} AND weight >= {urls.SOFT_LIMIT}) THEN 'block' ELSE 'allow' END AS verdict, n_strict, n_soft
     FROM parts
     """
 
 
 @query("op5_url_filter", _url_sql())
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.url_verdicts(read(spark, sf_dir, "pages"), URL_RULES)
+    return urls.url_verdicts(read(spark, sf_dir, "pages"), URL_RULES, spark.createDataFrame(URL_TERMS, urls.TERMS))
 
 
 @query("op6_sentencepiece_codec")
@@ -130,7 +141,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archive all pages, then read the archive back."""
+    """Archive all pages, rebuild the records from the archive's tables, and read those."""
     return warc.read_archive(*warc.write_archive(read(spark, sf_dir, "pages"), Scratch(spark, "warc")))
 
 
@@ -147,7 +158,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+#: A secret of PSEUDONYM_KEY in production; this one serves demonstration.
+PSEUDONYM_KEY = os.environ.get("PSEUDONYM_KEY", "demonstration key")
+
+
 @query("op9_pii_pseudonyms")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with personal data, pseudonymised; the key is a secret in production."""
-    return pii.pseudonymised(read(spark, sf_dir, "documents"), key="demonstration key").drop("text_key")
+    """Documents with personal data, pseudonymised."""
+    keys = pii.key_table(spark, {1: PSEUDONYM_KEY.encode()})
+    return pii.pseudonymised(read(spark, sf_dir, "documents"), keys, 1).drop("text_key")

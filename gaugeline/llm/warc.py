@@ -12,13 +12,9 @@ _EOL = "\r\n"
 
 
 def base32_of_hex(digest: Column) -> Column:
-    """Base 32 of a hexadecimal digest whose length is a multiple of five."""
-
-    def group(i: Column) -> Column:
-        value = F.conv(F.substr(digest, i * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        return F.concat(*(F.substr(F.lit(_BASE32), F.shiftright(value, s) % 32 + 1, F.lit(1)) for s in (15, 10, 5, 0)))
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), (F.length(digest) / 5).cast("int") - 1), group), "")
+    """Base 32 of a SHA-1 in hexadecimal: eight digits for every ten."""
+    parts = [F.lpad(F.conv(F.substring(digest, k, 10), 16, 32), 8, "0") for k in (1, 11, 21, 31)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", _BASE32)
 
 
 def write_archive(pages: DataFrame, scratch: Scratch, date: str = "1970-01-01T00:00:00Z", least_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -72,32 +68,63 @@ def write_archive(pages: DataFrame, scratch: Scratch, date: str = "1970-01-01T00
     return payloads.drop("first_id"), headers
 
 
-def read_archive(payloads: DataFrame, headers: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to of each record, from the archive's tables.
+def records(payloads: DataFrame, headers: DataFrame) -> DataFrame:
+    """page_id and record: the original WARC bytes, header block, payload (of responses) and the closing blank lines.
 
-    The digests are computed anew from the payloads that were read, once per
-    payload, and reading fails if one does not match its address or header.
+    Only headers of responses meet payloads, and of equal payloads of
+    ``least_bytes`` or more just one header does.
     """
-    sound = F.sha2("payload", 256) == F.col("address")
-    computed = F.when(sound, base32_of_hex(F.sha1("payload"))).otherwise(F.raise_error(F.lit("a payload does not match its address")))
-    read = spread(payloads.select("address", F.octet_length("payload").cast("long").alias("payload_bytes"), computed.alias("computed")))
+    response = F.col("header").contains(f"{_EOL}WARC-Type: response{_EOL}")
+
+    def record(*body) -> Column:
+        return F.concat(F.encode("header", "UTF-8"), *body, F.lit((_EOL * 2).encode())).alias("record")
+
+    full = headers.where(response).join(payloads.select("address", "payload"), "address").select("page_id", record("payload"))
+    return full.unionByName(headers.where(~response).select("page_id", record()))
+
+
+def read_records(found: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of each of ``records(record)``, from its bytes alone.
+
+    The header block ends at the first blank line. A response's body is cut out
+    by its Content-Length and digested anew; reading fails if the digest in the
+    header is another, or if the record does not end behind the body. A revisit
+    has the length and digest of the response it refers to, and reading fails
+    if its header names another digest.
+    """
+    block = F.substring_index(F.decode("record", "UTF-8"), _EOL * 2, 1)
+    rows = found.select("record", F.concat(block, F.lit(_EOL)).alias("block"))
 
     def field(name: str, pattern: str) -> Column:
-        return F.regexp_extract(F.col("header"), f"(?md)^{name}: {pattern}\r\n", 1)
+        return F.regexp_extract(F.col("block"), f"(?md)^{name}: {pattern}\r\n", 1)
+
+    def fail(text: str) -> Column:
+        return F.raise_error(F.lit(text)).cast("string")
 
-    digest = field("WARC-Payload-Digest", "sha1:([A-Z2-7]+)")
-    refers = field("WARC-Refers-To", "<urn:page:(-?[0-9]+)>")
-    return headers.join(read, "address").select(
+    at, n = F.octet_length("block") + 3, field("Content-Length", "([0-9]+)").cast("int")
+    body = F.substr("record", at, n)
+    whole = F.octet_length("record") == F.octet_length("block") + n + 6
+    rows = rows.select(
         field("WARC-Record-ID", "<urn:page:(-?[0-9]*)>").try_cast("long").alias("page_id"),
-        "payload_bytes",
-        F.when(digest == F.col("computed"), digest).otherwise(F.raise_error(F.lit("a header does not match its payload"))).alias("payload_digest"),
-        field("WARC-Type", "(response|revisit)").alias("record_type"),
-        F.when(refers != "", refers).cast("long").alias("refers_to"),
+        n.cast("long").alias("payload_bytes"),
+        field("WARC-Payload-Digest", "sha1:([A-Z2-7]+)").alias("payload_digest"),
+        F.when(whole, field("WARC-Type", "(response|revisit)")).otherwise(fail("a record does not end behind its body")).alias("record_type"),
+        field("WARC-Refers-To", "<urn:page:(-?[0-9]*)>").alias("refers"),
+        base32_of_hex(F.sha1(body)).alias("computed"),
     )
+    sound = F.when(F.col("computed") == F.col("payload_digest"), F.col("payload_digest")).otherwise(fail("a payload does not match its header"))
+    full = rows.where("record_type = 'response'").select("page_id", "payload_bytes", sound.alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    first = full.select(F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("refers"), "payload_digest", F.col("payload_bytes").alias("n")).dropDuplicates(["refers", "payload_digest"])
+    again = rows.where("record_type = 'revisit'").drop("payload_bytes").join(spread(first), ["refers", "payload_digest"], "left")
+    known = F.when(F.col("n").isNotNull(), F.col("payload_digest")).otherwise(fail("a revisit refers to no response with its digest"))
+    return full.unionByName(again.select("page_id", F.col("n").alias("payload_bytes"), known.alias("payload_digest"), "record_type", F.col("refers").try_cast("long").alias("refers_to")))
 
 
-def records(payloads: DataFrame, headers: DataFrame) -> DataFrame:
-    """page_id and record: the original WARC bytes, header block, payload (of responses) and the closing blank lines."""
-    kept = headers.join(payloads.select("address", "payload"), "address")
-    body = F.when(F.col("header").contains(f"{_EOL}WARC-Type: response{_EOL}"), F.col("payload")).otherwise(F.lit(b""))
-    return kept.select("page_id", F.concat(F.encode("header", "UTF-8"), body, F.lit((_EOL * 2).encode())).alias("record"))
+def read_archive(payloads: DataFrame, headers: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """Rebuild every record of an archive by joins and read it; see :func:`records` and :func:`read_records`.
+
+    Payloads are checked against their addresses on the way.
+    """
+    scratch = scratch or Scratch(payloads.sparkSession, "warc")
+    sound = F.when(F.sha2("payload", 256) == F.col("address"), F.col("payload")).otherwise(F.raise_error(F.lit("a payload does not match its address")).cast("binary"))
+    return read_records(scratch.keep(records(payloads.withColumn("payload", sound), headers), "records"))

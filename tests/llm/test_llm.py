@@ -1,7 +1,9 @@
 """Training-data operators against plain Python, on small tables with odd rows."""
 
 import base64
+import datetime
 import hashlib
+import hmac
 import itertools
 import random
 import re
@@ -10,10 +12,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from gaugeline.llm import components, contamination, exact, minhash, pieces, pii, queries, secrets, suffixes, toxicity, urls, warc
-from gaugeline.llm.common import Scratch
+from gaugeline.llm.common import Scratch, scratch_scope
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -82,6 +85,20 @@ def test_near_duplicates_around_a_shared_passage_and_a_hidden_center(spark):
     assert got == groups(rows, 2)
 
 
+def test_near_duplicates_with_repeated_rows_and_shared_ids(spark):
+    """A link that only the search between components finds, of an id with repeated rows and of one with two texts."""
+    rng = random.Random(3)
+    passage, center = words(rng, 60), words(rng, 100)
+    rows = [(i, passage + " " + words(rng, rng.randint(2, 14), 10**6)) for i in range(60)]
+    rows += [(100 + i, edited(rng, center, 0.055)) for i in range(60)] + [(500, center)]
+    want = groups(rows, 2)
+    got = minhash.near_duplicates(table(spark, rows + rows), words=2, frequent=10).collect()
+    assert len(got) == 2 * len(rows) and {r.doc_id: r.component_id for r in got} == want
+    two = rows + [(100, words(rng, 80)), (100, words(rng, 80))]
+    got = minhash.near_duplicates(table(spark, two), words=2, frequent=10).collect()
+    assert len(got) == len(two) and {r.doc_id: r.component_id for r in got} == want
+
+
 def test_near_duplicates_of_empty_table(spark):
     assert minhash.near_duplicates(table(spark, [])).count() == 0
 
@@ -120,6 +137,17 @@ def test_exact_duplicates_equal_brute_force(spark, index):
     assert exact.exact_duplicates(table(spark, [])).count() == 0
 
 
+def test_chains_tell_colliding_texts_apart(spark):
+    rows = [(k, f"t{k % 40}") for k in range(200)]
+    entries, index = exact.build_index(table(spark, rows).select("doc_id", "text"), Scratch(spark, "test"), capacity=2, max_depth=6, key_bits=2)
+    found = index.collect()
+    by = {}
+    for r in found:
+        by.setdefault((r.bucket, r.key), []).append(r.chain)
+    assert len(found) == 40 and len(by) <= 4 and all(sorted(c) == list(range(len(c))) for c in by.values())
+    assert {r.keep_id for r in found} == set(range(160, 200)) and entries.count() == 200
+
+
 def test_directory_splits_overfull_buckets(spark):
     keys = spark.range(3000).select(F.xxhash64("id").alias("key"))
     found = exact.directory(keys, 100, 10)
@@ -180,6 +208,31 @@ def test_repeated_strings_equal_brute_force(spark):
     assert suffixes.repeated_strings(table(spark, [])).count() == 0
 
 
+def test_equal_first_hashes_are_told_apart_by_the_second():
+    keys, fp = np.array([[1, 1], [2, 2], [3, 3]], np.int64), np.array([7, 7, 7], np.uint64)
+    whole = suffixes._pack(fp, np.array([5, 6, 8]), np.array([0, 1, 2]), keys, 1, False, np.array([1, 2, 2], np.uint64))
+    parts = [suffixes._pack(fp[[k]], np.array([p]), np.array([0]), keys[[k]], 1, False, np.array([h], np.uint64)) for k, p, h in ((0, 5, 1), (1, 6, 2), (2, 8, 2))]
+    for batches in ([whole], parts, parts[::-1]):
+        block, suffixes._BLOCK = suffixes._BLOCK, 1
+        try:
+            told = {r["k1"] for b in suffixes._ties(False)(batches) for r in b.to_pylist()}
+        finally:
+            suffixes._BLOCK = block
+        assert told == {2, 3}
+
+
+def test_repeats_of_over_fifty_words(spark):
+    rng = random.Random(26)
+    run, short = words(rng, 51, 10**6), words(rng, 35, 10**6)
+    rows = [(k, f"{words(rng, rng.randint(0, 90), 10**6)} {run} {words(rng, rng.randint(0, 90), 10**6)}") for k in range(30)]
+    rows += [(100 + k, f"{words(rng, 60, 10**6)} {short} {words(rng, 60, 10**6)}") for k in range(20)]
+    own = words(rng, 60, 10**6)
+    copy = words(rng, 51, 10**6)
+    rows += [(200, f"{own} and {own}"), (201, copy), (202, copy), (203, short), (204, short), (205, None), (206, ""), (207, "w " * 40_000), (None, run)]
+    got = {r.doc_id: r.has_repeat for r in suffixes.repeated_strings(table(spark, rows)).collect()}
+    assert {k for k, v in got.items() if v} == {*range(30), 201, 202, None}
+
+
 def test_copies_give_each_cover_position_once():
     rng = random.Random(16)
     shared = "".join(rng.choice("abcd") for _ in range(80)).encode()
@@ -208,34 +261,63 @@ def test_copies_give_each_cover_position_once():
 # Decontamination
 
 
-def test_contamination_tolerates_replaced_words(spark):
+def alignments(docs, items, window=13, least=0.75):
+    """Of every document and item, by comparing all alignments: (n_equal, n_overlap, doc_start) of the best that counts."""
+    cut = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
+    split = lambda t: [w for w in cut.split((t or "").lower()) if w]
+    docs, items, out = [(k, split(t)) for k, t in docs], [(k, split(t)) for k, t in items], {}
+    for (d, x), (i, y) in itertools.product(docs, items):
+        if min(len(x), len(y)) < 10:
+            continue
+        wide = min(window, len(y))
+        for start in range(wide - len(y), len(x) - wide + 1):
+            same = [x[start + j] == y[j] for j in range(max(0, -start), min(len(y), len(x) - start))]
+            sums = np.cumsum([0, *same])
+            if len(same) >= wide and (sums[wide:] - sums[:-wide]).max() >= least * wide:
+                out[d, i] = max(out.get((d, i), (0, 0, -(10**9))), (int(sums[-1]), len(same), -start))
+    return {k: (n, m, -b) for k, (n, m, b) in out.items()}
+
+
+def found_in(df):
+    return {(r.doc_id, r.item_id): (r.n_equal, r.n_overlap, r.doc_start) for r in df.collect()}
+
+
+def test_contamination_equals_brute_force_on_odd_rows(spark):
     rng = random.Random(7)
     items = [(k, words(rng, n, 10**6)) for k, n in enumerate([14, 20, 30, 40, 60, 12, 9, 0])]
-    bench = spark.createDataFrame(items + [(99, None)], "item_id long, text string")
+    items += [(98, items[1][1].upper()), (99, None), (None, items[4][1])]
     around = lambda t: f"{words(rng, 50, 10**6)} {t} {words(rng, 50, 10**6)}"
-    docs, want = [], set()
+    docs = []
     for k, t in items[:6]:
         for n, step in enumerate([None, 4, 5, 7]):
             copy = [f"z{rng.randrange(10**6)}" if step and i % step == step - 1 else w for i, w in enumerate(t.split())]
-            doc = 10 * k + n
-            docs.append((doc, around(" ".join(copy).upper().replace(" ", ", "))))
-            if step is None or step >= 5 or len(copy) >= 13:
-                want.add((doc, k))
+            docs.append((10 * k + n, around(" ".join(copy).upper().replace(" ", ", "))))
     docs += [(500 + i, words(rng, 200, 10**6)) for i in range(30)] + [(600, None), (601, ""), (602, items[3][1][: len(items[3][1]) // 2]), (603, items[2][1]), (603, items[2][1]), (None, items[2][1])]
-    found = contamination.contaminated(table(spark, docs).withColumn("item_id", F.lit("clash")), bench).collect()
-    pairs = {(r.doc_id, r.item_id) for r in found}
-    assert {(d, i) for d, i in pairs if d is not None and d < 500} >= {p for p in want if p[0] % 10 != 1}
-    assert {d for d, _ in pairs if d is not None and d >= 500} == {602, 603}
-    assert all(i == d // 10 for d, i in pairs if d is not None and d < 500)
-    assert (None, 2) in pairs and len([r for r in found if r.doc_id == 603]) == 1
-    full = next(r for r in found if r.doc_id == 20)
-    assert (full.n_equal, full.n_overlap, full.doc_start) == (30, 30, 50)
-    blocks = contamination.contaminated(table(spark, docs), bench, block_rows=50).collect()
-    assert {(r.doc_id, r.item_id, r.n_equal) for r in blocks} == {(r.doc_id, r.item_id, r.n_equal) for r in found}
+    docs += [(604, words(rng, 20_000, 10**6) + " " + items[0][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = alignments(docs, items)
+    found = contamination.contaminated(table(spark, docs).withColumn("item_id", F.lit("clash")), bench)
+    assert found_in(found) == want and found.count() == len(want)
+    assert {(10, 1), (10, 98), (604, 0), (None, 2), (40, None)} <= set(want) and {d for d, _ in want if d and d >= 500} == {602, 603, 604}
+    for passes in (1000, 1):
+        assert found_in(contamination.contaminated(table(spark, docs), bench, block_rows=50, passes=passes)) == want
     assert contamination.contaminated(table(spark, []), bench).count() == 0
     assert contamination.contaminated(table(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_contamination_equals_brute_force_at_every_rate(spark):
+    """Items of 13 to 60 tokens with 5 to 30 % of them replaced at random; nothing that counts is missed."""
+    rng = random.Random(27)
+    items = [(k, words(rng, rng.randint(13, 60), 10**6)) for k in range(60)]
+    docs = []
+    for rate in (0.05, 0.1, 0.15, 0.2, 0.23, 0.3):
+        for k, t in items:
+            docs.append((len(docs), f"{words(rng, 8, 10**6)} {edited(rng, t, rate)} {words(rng, 8, 10**6)}"))
+    want = alignments(docs, items)
+    assert found_in(contamination.contaminated(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"))) == want
+    assert len(want) > 250
+
+
 def test_contamination_finds_every_replacement_that_counts(spark):
     """All ways to replace 3 of 13 or 12, or 2 of 11 or 10 tokens, which the verification accepts."""
     rng = random.Random(17)
@@ -276,6 +358,49 @@ def test_toxicity_learns_words_and_ignores_held_out_labels(spark):
     assert all(r.predicted == 0 for r in none)
 
 
+def ftrl(rows, labels, bits, epochs, alpha, beta, l1, l2):
+    """FTRL-proximal as published, with dictionaries."""
+    z, n, free = {}, {}, 1 << bits
+
+    def weight(i):
+        lasso = 0 if i == free else l1
+        if abs(z.get(i, 0.0)) <= lasso:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return -(z[i] - sign * lasso) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for epoch in range(epochs):
+        for k in np.random.default_rng(epoch).permutation(len(rows)):
+            at = [*rows[k], free]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - labels[k]
+            for i in at:
+                step = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha
+                z[i] = z.get(i, 0.0) + g - step * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def test_weights_equal_plain_ftrl():
+    rng = random.Random(18)
+    texts = [words(rng, rng.randint(5, 40), 60) + (" vile rotten" if k % 4 == 0 else "") for k in range(200)]
+    rows, labels = [np.unique(toxicity.features(t, 12)).astype(np.int32) for t in texts], [float(k % 4 == 0) for k in range(200)]
+    for l1 in (0.0, 3.0, 8.0):
+        at, w = toxicity.fit(rows, labels, 12, 3, 1.0, 1.0, l1, 0.1)
+        want = ftrl([r.tolist() for r in rows], labels, 12, 3, 1.0, 1.0, l1, 0.1)
+        assert set(at.tolist()) == set(want) and max(abs(want[i] - x) for i, x in zip(at.tolist(), w)) < 1e-9
+
+
+def test_training_rows_are_bounded_and_score_columns_stay(spark):
+    rows = [(1, f"vile rotten {k}") for k in range(300)] + [(2, f"kind words {k}") for k in range(300)]
+    labels = spark.createDataFrame([(1, 1), (2, 0)] * 5, "doc_id long, label int")
+    scratch = Scratch(spark, "test")
+    weights = toxicity.train(table(spark, rows), labels, max_rows=50, l1=0.5, scratch=scratch)
+    assert spark.read.parquet(f"{scratch.root}/rows").count() == 50
+    docs = table(spark, rows).withColumn("score", F.lit("mine"))
+    assert toxicity.with_score(docs, weights, name="toxic").columns == [*docs.columns, "toxic"]
+
+
 # SentencePiece
 
 
@@ -291,8 +416,8 @@ def test_chunked_ids_equal_the_library(spark, table_of_pieces):
     texts = ["", None, " ", "   ", "a", "the" * 200 + "   " + "a" * 300, "é漢😀\n\t" * 60, "▁x▁ y"]
     texts += [rng.choice(["", " "]).join(rng.choice(vocabulary) for _ in range(rng.randint(1, 120))) for _ in range(40)]
     rows = [(k, t) for k, t in enumerate(texts)] + [(0, texts[10]), (0, texts[10])]
-    for size in (40, 500):
-        found = pieces.decode(pieces.encode(table(spark, rows).withColumn("part", F.lit(1)), queries.PIECES, size), queries.PIECES).collect()
+    for size, fan in ((40, 2), (40, 64), (500, 3)):
+        found = pieces.decode(pieces.encode(table(spark, rows).withColumn("part", F.lit(1)), queries.PIECES, size, fan), queries.PIECES).collect()
         assert len(found) == len(rows)
         for r in found:
             options = [t or "" for k, t in rows if k == r.doc_id]
@@ -327,6 +452,8 @@ def test_secret_spans(spark):
         None,
         "",
         "secret=" * 3 + "abcdef",
+        "x " * 100_000 + "token=abcdefgh " + "0" * 50_000,
+        "token=abcdefgh token=abcdefgh",
     ]
     got = {r.doc_id: [(x.kind, x.start, x.end) for x in r.spans] for r in secrets.secret_spans(table(spark, list(enumerate(texts)))).collect()}
     base = {
@@ -357,14 +484,44 @@ def test_url_verdicts(spark):
         ("http://casinos.net/a", "casinos.net", "/a", None, "allow"),
         ("http://free-free.net/a", "free-free.net", "/a", None, "allow"),
         ("http://free-BETS.net/a", "free-bets.net", "/a", None, "block"),
+        ("http://poker.example.net/", "poker.example.net", "/", None, "allow"),
+        ("http://poker.example.net/win", "poker.example.net", "/win", None, "block"),
+        ("http://a.net/%70orn", "a.net", "/%70orn", None, "block"),
+        ("http://a.net/%D0%BF%D0%BE%D1%80%D0%BD%D0%BE", "a.net", "/%D0%BF%D0%BE%D1%80%D0%BD%D0%BE", None, "block"),
+        ("http://a.net/" + "x" * 100_000 + "/porn", "a.net", "/" + "x" * 100_000 + "/porn", None, "block"),
+        ("http://a.net/%zz%e", "a.net", "/%zz%e", None, "allow"),
         ("x/porn", "", "", None, "block"),
         ("a://b://c/d", "b:", "//c/d", None, "allow"),
         ("", "", "", None, "allow"),
         (None, "", "", None, "allow"),
     ]
     pages = spark.createDataFrame([(k, r[0], "clash", "x") for k, r in enumerate(rows)], "page_id long, url string, host string, html string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.url_verdicts(pages, queries.URL_RULES).collect()}
+    terms = spark.createDataFrame(queries.URL_TERMS, urls.TERMS)
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.url_verdicts(pages.union(pages.limit(1)), queries.URL_RULES, terms).collect()}
     assert got == {k: r[1:] for k, r in enumerate(rows)}
+    assert urls.url_verdicts(pages.limit(0), queries.URL_RULES, terms).count() == 0
+
+
+def test_url_terms_from_a_large_table(spark, tmp_path):
+    """Thousands of terms from files, against a plain search with boundaries."""
+    rng = random.Random(19)
+    terms = {f"{rng.choice('abcdefgh')}{rng.choice('xyz-')}{k}": rng.choice(["strict", "soft"]) for k in range(5000)}
+    weights = {t: rng.randint(1, 2) for t in terms}
+    with open(f"{tmp_path}/terms.csv", "w") as f:
+        f.write("term,kind,weight\n" + "".join(f"{t.upper()},{k},{weights[t]}\n" for t, k in terms.items()))
+    listed = urls.read_terms(spark, f"{tmp_path}/terms.csv")
+    some = list(terms)
+    found = ["http://n.net/" + rng.choice("/-.a1").join(rng.choice([rng.choice(some), "quiet"]) for _ in range(rng.randint(1, 3))) for _ in range(300)]
+    pages = spark.createDataFrame(list(enumerate(found)), "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.n_strict, r.n_soft) for r in urls.url_verdicts(pages, (), listed).collect()}
+    bounded = {t: re.compile(f"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])") for t in terms}
+    for k, url in enumerate(found):
+        hits = {t for t in terms if t in url and bounded[t].search(url)}
+        hard = {t for t in hits if terms[t] == "strict"}
+        block = hard or len(hits - hard) >= 2 and sum(weights[t] for t in hits - hard) >= 2
+        assert got[k] == ("block" if block else "allow", len(hard), len(hits - hard))
+    with pytest.raises(ValueError):
+        urls.url_verdicts(pages, (), listed, max_terms=4999)
 
 
 # WARC
@@ -384,10 +541,24 @@ def test_archive_round_trip(spark):
         assert r.payload_bytes == len(body)
         assert r.refers_to == (None if r.record_type == "response" else first[body])
     assert sorted((r.page_id or 0, r.record_type) for r in got) == [(0, "revisit"), (1, "response"), (2, "response"), (3, "revisit"), (4, "revisit"), (5, "response"), (7, "response"), (7, "revisit")]
-    record = {r.page_id: bytes(r.record) for r in warc.records(payloads, headers).collect()}
+    rebuilt = warc.records(payloads, headers)
+    record = {r.page_id: bytes(r.record) for r in rebuilt.collect()}
     assert record[5].endswith(b"\r\n\r\n" + b"y" * 100_000 + b"\r\n\r\n") and record[5].startswith(b"WARC/1.1\r\nWARC-Type: response\r\n")
     assert record[3].endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n")
     assert warc.read_archive(*warc.write_archive(pages.limit(0), Scratch(spark, "test"))).count() == 0
+    for broken in (F.expr("substr(record, 1, octet_length(record) - 1)"), F.encode(F.replace(F.decode("record", "UTF-8"), F.lit("yyy"), F.lit("yyx")), "UTF-8")):
+        with pytest.raises(Exception, match="does not"):
+            warc.read_records(rebuilt.withColumn("record", broken)).collect()
+    with pytest.raises(Exception, match="refers to no response"):
+        warc.read_records(rebuilt.where("page_id <> 1")).collect()
+    small = warc.read_archive(*warc.write_archive(pages, Scratch(spark, "test"), least_bytes=2)).collect()
+    assert sum(r.record_type == "response" for r in small) == len(rows) and all(r.refers_to is None for r in small)
+
+
+def test_base_32_of_digests(spark):
+    texts = [f"x{k}" for k in range(200)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", warc.base32_of_hex(F.sha1(F.col("t").cast("binary"))).alias("d")).collect()
+    assert all(r.d == base64.b32encode(hashlib.sha1(r.t.encode()).digest()).decode() for r in got)
 
 
 # Personal data
@@ -403,7 +574,7 @@ def feistel(key, kind, symbols, radices):
         half = len(s) // 2
         moves = [(j < half) == (k % 2 == 0) for j in range(len(s))]
         other = ",".join(str(x) for x, m in zip(s, moves) if not m)
-        d = hashlib.sha512("|".join([key, kind, str(k), ",".join(map(str, radices)), other]).encode()).hexdigest()
+        d = hmac.new(key, "|".join([kind, str(k), ",".join(map(str, radices)), other]).encode(), "sha512").hexdigest()
         s = [(x + int(d[j * 4 % 124 : j * 4 % 124 + 4], 16)) % r if m else x for j, (x, r, m) in enumerate(zip(s, radices, moves))]
     return s
 
@@ -420,30 +591,69 @@ def test_pseudonyms_keep_formats_and_links(spark):
         (6, "1.2.3.4.5 abc4952935900253052 v2024-02-291"),
         (7, "a" * 50_000 + "@ " + card),
     ]
-    got = {r.doc_id: r for r in pii.pseudonymised(table(spark, rows).withColumn("found", F.lit(1)), "k").collect()}
+    keys = pii.key_table(spark, {1: b"other", 4: b"k"})
+    got = {r.doc_id: r for r in pii.pseudonymised(table(spark, rows).withColumn("found", F.lit(1)), keys, 4).collect()}
     assert set(got) == {1, 2, None, 7}
     new = got[None].text
     assert new != card and len(new) == 16 and luhn(new)
-    assert new[:-1] == "".join(map(str, feistel("k", "card", map(int, card[:-1]), [10] * 15)))
+    assert new[:-1] == "".join(map(str, feistel(b"k", "card", map(int, card[:-1]), [10] * 15)))
     assert got[1].text == f"pay {new}, or {new[:4]}-{new[4:8]}-{new[8:12]}-{new[12:]}; not 4952935900253053"
     assert got[7].text == "a" * 50_000 + "@ " + new
     parts = got[2].text.split(" ")
     assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", " ".join(parts[1:4])) and parts[1] == "+1"
     assert re.fullmatch(r"[A-Z][a-z]{2}\.[a-z]\d@x\.org", parts[4]) and parts[4] != "Ann.b9@x.org"
-    assert parts[5] == ".".join(map(str, feistel("k", "ip", [10, 0, 0, 255], [256] * 4)))
+    assert parts[5] == ".".join(map(str, feistel(b"k", "ip", [10, 0, 0, 255], [256] * 4)))
     assert (parts[6], parts[8], parts[10]) == ("10.0.0.256", "666-05-1120", "2023-02-29")
     assert re.fullmatch(r"(?!666|000|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}", parts[7]) and re.fullmatch(r"(1[89]|20|21)\d\d-\d\d-\d\d", parts[9])
     assert (got[2].n_card, got[2].n_phone, got[2].n_email, got[2].n_ip, got[2].n_ssn, got[2].n_date) == (1, 1, 1, 1, 1, 1)
-    assert pii.pseudonymised(table(spark, []), "k").count() == 0
-    plan = pii.pseudonymised(table(spark, rows), "k")._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    assert pii.pseudonymised(table(spark, []), keys, 4).count() == 0
+    with pytest.raises(Exception, match="no such key"):
+        pii.pseudonymised(table(spark, rows), keys, 2).collect()
+
+
+def test_pseudonyms_of_every_kind_equal_a_plain_network(spark):
+    secret = b"a secret " * 20  # longer than a block
+    rng = random.Random(20)
+    texts, want = [], []
+    for _ in range(40):
+        phone = [rng.randrange(10) for _ in range(10)]
+        ip = [rng.randrange(256) for _ in range(4)]
+        area, group, serial = rng.choice([*range(1, 666), *range(667, 900)]), rng.randrange(1, 100), rng.randrange(1, 10_000)
+        day = rng.randrange(146_097)
+        body = [rng.randrange(10) for _ in range(15)]
+        mail = "".join(rng.choice("abcXYZ019._") for _ in range(rng.randint(2, 9)))
+        check = lambda digits: str(next(c for c in range(10) if luhn("".join(map(str, digits)) + str(c))))
+        date = lambda n: (datetime.date(1800, 1, 1) + datetime.timedelta(n)).isoformat()
+        texts.append(f"{mail}@x.org +49 {''.join(map(str, phone[:3]))} {''.join(map(str, phone[3:6]))} {''.join(map(str, phone[6:]))} {'.'.join(map(str, ip))} {area:03}-{group:02}-{serial:04} {date(day)} {''.join(map(str, body))}{check(body)}")
+        values = [int(c) if c.isdigit() else ord(c.lower()) - 97 if c.isalpha() else 0 for c in mail]
+        radices = [10 if c.isdigit() else 26 if c.isalpha() else 1 for c in mail]
+        moved = feistel(secret, "email", values, radices)
+        mail = "".join(str(v) if c.isdigit() else chr(v + (97 if c.islower() else 65)) if c.isalpha() else c for c, v in zip(mail, moved))
+        phone = "".join(map(str, feistel(secret, "phone", phone, [10] * 10)))
+        ip = ".".join(map(str, feistel(secret, "ip", ip, [256] * 4)))
+        a, g, s = feistel(secret, "ssn", [area - (2 if area > 666 else 1), group - 1, serial - 1], [898, 99, 9999])
+        d = feistel(secret, "date", divmod(day, 773), [189, 773])
+        body = feistel(secret, "card", body, [10] * 15)
+        want.append(f"{mail}@x.org +49 {phone[:3]} {phone[3:6]} {phone[6:]} {ip} {a + (2 if a >= 665 else 1):03}-{g + 1:02}-{s + 1:04} {date(d[0] * 773 + d[1])} {''.join(map(str, body))}{check(body)}")
+    got = {r.doc_id: r.text for r in pii.pseudonymised(table(spark, list(enumerate(texts))), pii.key_table(spark, {1: secret}), 1).collect()}
+    assert [got[k] for k in range(40)] == want
+
+
+def test_the_key_and_python_stay_out_of_the_plan(spark):
+    df = pii.pseudonymised(table(spark, [(1, "10.0.0.1")]), pii.key_table(spark, {1: b"sesame open"}), 1)
+    df.collect()
+    plan = df._jdf.queryExecution().toString()
+    inner = bytes(x ^ 0x36 for x in b"sesame open".ljust(128, b"\0"))
+    assert "sesame" not in plan and inner.hex()[:20] not in plan.lower() and base64.b64encode(inner).decode()[:12] not in plan
+    assert "PythonUDF" not in plan and "InArrow" not in plan and "InPandas" not in plan
 
 
 def test_pseudonyms_are_one_to_one(spark):
     rows = [(k, f"10.0.{k // 256}.{k % 256}") for k in range(2000)]
-    assert pii.pseudonymised(table(spark, rows), "k").select("text").distinct().count() == 2000
+    keys = pii.key_table(spark, {1: b"k"})
+    assert pii.pseudonymised(table(spark, rows), keys, 1).select("text").distinct().count() == 2000
     dates = spark.range(1500).select(F.col("id").alias("doc_id"), F.date_add(F.lit("1950-01-01"), F.col("id").cast("int")).cast("string").alias("text"))
-    out = pii.pseudonymised(dates, "k")
+    out = pii.pseudonymised(dates, keys, 1)
     assert out.select("text").distinct().count() == 1500 and out.where("try_to_date(text, 'yyyy-MM-dd') IS NULL").count() == 0
 
 
@@ -468,3 +678,48 @@ def test_pipeline(spark, tmp_path):
     assert ids & {0, 100} == {100} and ids & {1, 101} == {1} and not ids & {102, 103}
     assert {k for k, _ in clean[2:]} <= ids and ids & {104, 105} == {105}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "sentencepiece"]
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Null ids and texts, repeated rows, extra columns with clashing names, empty tables."""
+    import corpus_pipeline
+
+    rng = random.Random(22)
+    item = words(rng, 30, 10**6)
+    rows = [(k, words(rng, 60, 10**6)) for k in range(10)]
+    rows += [rows[0], rows[0], (None, words(rng, 50, 10**6)), (None, None), (20, None), (21, ""), (22, "   "), (23, f"{words(rng, 12_000, 10**6)} {item}"), (24, words(rng, 20_000, 10**6))]
+    extra = {"score": F.lit("mine"), "kept": F.lit(1), "row": F.lit(2), "label": F.lit("x"), "text_key": F.lit(3)}
+    docs = table(spark, rows).withColumns(extra)
+    docs.write.parquet(f"{tmp_path}/full/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for d in ("full", "none"):
+        spark.createDataFrame([(1, item), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/{d}/benchmark.parquet")
+        spark.createDataFrame([(k, 1, 0, "x") for k in range(5)] + [(None, 1, 1, "x"), (5, 1, None, "x")], "doc_id long, quality int, toxic int, text string").write.parquet(f"{tmp_path}/{d}/labels.parquet")
+        at, kept = spark.read.parquet(f"{tmp_path}/{d}/documents.parquet"), []
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, at, f"{tmp_path}/{d}")
+            assert k == 4 or out.columns == docs.columns
+            out.write.parquet(f"{tmp_path}/{d}/{k}")
+            at = spark.read.parquet(f"{tmp_path}/{d}/{k}")
+            kept.append([r.doc_id for r in at.collect()])
+        if d == "none":
+            assert kept == [[]] * 5
+            continue
+        order = lambda ids: sorted(ids, key=str)
+        assert order(kept[0]) == order(k for k, _ in rows)
+        assert order(kept[1]) == order([*range(10), None, 21, 22, 23, 24])  # the repeated row once; of the empty texts the largest id
+        assert kept[2:3] == [kept[1]] or order(kept[2]) == order(kept[1])
+        assert order(kept[3]) == order([*range(10), None, 21, 22, 24]) and order(kept[4]) == order(kept[3])
+
+
+def test_scratch_goes_at_the_end_of_its_scope(spark):
+    with scratch_scope():
+        one = Scratch(spark, "test")
+        assert one.keep(spark.range(5), "x").count() == 5
+        with scratch_scope():
+            two = Scratch(spark, "test")
+            two.keep(spark.range(5), "x")
+        paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.root) for s in (one, two)]
+        there = lambda: [p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p) for p in paths]
+        assert there() == [True, False]
+    assert there() == [False, False]
