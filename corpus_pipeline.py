@@ -1,4 +1,14 @@
-"""Corpus preparation in stages; each stage reads what its predecessor kept."""
+"""Corpus preparation in stages; each stage reads what its predecessor kept.
+
+All stages but the last return the columns of their input as they are, extra
+ones with any name among them. Null ids are kept, and a document with one is
+judged by its text alone; it is linked with nothing in the third stage. A null
+text counts as empty; an empty text is no duplicate of others than empty ones,
+holds no benchmark passage and no pieces. Repeated rows are one document from
+the second stage on. Ids that several different texts share are judged text by
+text, but in the third stage as one document. Empty tables pass as such, and
+without labels nothing is toxic. Texts of any length are read whole.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.llm import contamination, exact, minhash, pieces, toxicity
-from gaugeline.llm.common import Scratch, read
+from gaugeline.llm.common import Scratch, read, scratch_scope
 from gaugeline.llm.queries import PIECES
 
 
@@ -14,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under 0.5; the model learns from the labels of these documents."""
     labels = read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("label")).where(~toxicity.held_out())
     weights = toxicity.train(docs.select("doc_id", "text"), labels)
-    return toxicity.with_score(docs, weights).where("score < 0.5").drop("score")
+    return docs.where(toxicity.scorer(weights)(F.col("text")) < 0.5)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,5 +72,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scratch = Scratch(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
-        docs = scratch.keep(stage(spark, docs, sf_dir), f"{k}-{name}")
+        with scratch_scope():
+            docs = scratch.keep(stage(spark, docs, sf_dir), f"{k}-{name}")
+        if k:
+            scratch.drop(f"{k - 1}-{STAGES[k - 1][0]}")
     return docs
