@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -20,6 +21,33 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a step of an iteration below the shared folder and read it back, which cuts its lineage."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    _WRITTEN.append((df.sparkSession, path))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Written steps, deleted when the driver ends.
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _delete_written() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            if spark.sparkContext._jsc is not None:
+                delete(spark, path)
+        except Exception:  # noqa: BLE001, PERF203  the JVM may be gone
+            return
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 _SCORE = "struct<score: double, weight: double>"
 
 
@@ -80,7 +108,10 @@ def write_item_documents(df: DataFrame, path: str, key: str, drop: Sequence[str]
 
 
 def file_manifest(spark: SparkSession, folder: str, skip: Sequence[str] = ()) -> DataFrame:
-    """(path below the folder, size, sha256) of every file, once each and sorted."""
+    """(path below the folder, size, sha256) of every file, once each and sorted.
+
+    Spark hands over a file's bytes as one value, so a file of 2 GB or more fails.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     root = folder.rstrip("/").split(":", 1)[-1].lstrip("/")
     below = F.element_at(F.split(F.col("path"), root + "/", 2), -1)
