@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeline.sources.files import written
+
 
 def undirected(edges: DataFrame, by: str = "graph") -> DataFrame:
     """Distinct edges with u < v; loops are left out."""
@@ -40,39 +42,53 @@ def valence_check(nodes: DataFrame, edges: DataFrame, limits: DataFrame, by: str
     return rows.groupBy(by).agg((~F.bool_or(over)).alias("ok"), F.count_if(over).alias("n_over"), F.sum(F.greatest(F.col("limit") - F.col("degree"), F.lit(0))).alias("free"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, by: str = "graph", max_rounds: int = 50) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, by: str = "graph") -> DataFrame:
     """(graph, n_nodes, n_edges, n_components, cyclomatic), by least labels along edges.
 
     Each round takes the least label of the neighbours and then follows the
-    label's own label, and is checkpointed; it stops when no label changes.
+    label's own label; it ends when no label changes. A round is a written
+    table, and graphs in which nothing changed are left out of later ones.
     """
-    undir = undirected(edges, by)
+    undir = written(undirected(edges, by), "components")
     links = both_ways(undir, by)
     labels = nodes.select(by, "node").distinct().withColumn("label", F.col("node"))
-    for _ in range(max_rounds):
+    done = None
+    while True:
         near = links.join(labels.select(by, F.col("node").alias("v"), "label"), [by, "v"]).groupBy(by, F.col("u").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, [by, "node"], "left").select(by, "node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
         hop = step.select(by, F.col("node").alias("label"), F.col("label").alias("far"))
         step = step.join(hop, [by, "label"], "left").select(by, "node", "old", F.least("label", F.coalesce("far", "label")).alias("label"))
-        step = _cut(step)
-        labels = step.drop("old")
-        if step.where("old <> label").isEmpty():
+        step = written(step, "components")
+        moved = step.where("old <> label").select(by).distinct()
+        ready = step.join(moved, by, "left_anti").select(by, "node", "label")
+        done = ready if done is None else done.unionByName(ready)
+        if moved.isEmpty():
             break
-    found = labels.groupBy(by).agg(F.count("*").alias("n_nodes"), F.count_distinct("label").alias("n_components"))
+        labels = step.join(moved, by, "left_semi").select(by, "node", "label")
+        links = links.join(moved, by, "left_semi")
+    found = done.groupBy(by).agg(F.count("*").alias("n_nodes"), F.count_distinct("label").alias("n_components"))
     m = undir.groupBy(by).agg(F.count("*").alias("n_edges"))
     return found.join(m, by, "left").select(by, "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "n_components", (F.coalesce("n_edges", F.lit(0)) - F.col("n_nodes") + F.col("n_components")).alias("cyclomatic"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder of spark.checkpoint.dir; a local session without one gets a temporary folder."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir")
-        import tempfile
+def oriented(edges: DataFrame, by: str = "graph") -> DataFrame:
+    """(graph, a, b, da, db) of distinct undirected edges, from the node of lower (degree, node) to the other.
+
+    A node has at most sqrt(2 m) edges that leave it in this order, so paths
+    that begin with such an edge stay few however large a hub is.
+    """
+    links = undirected(edges, by)
+    d = degrees(links, by)
+    rows = links.join(d.select(by, F.col("node").alias("u"), F.col("degree").alias("du")), [by, "u"]).join(d.select(by, F.col("node").alias("v"), F.col("degree").alias("dv")), [by, "v"])
+    one, two = F.struct(F.col("du").alias("d"), F.col("u").alias("n")), F.struct(F.col("dv").alias("d"), F.col("v").alias("n"))
+    return rows.select(by, F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).select(by, F.col("x.n").alias("a"), F.col("y.n").alias("b"), F.col("x.d").alias("da"), F.col("y.d").alias("db"))
+
 
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="gaugeline-"))
-    return df.checkpoint()
+def triangles(directed: DataFrame, by: str = "graph") -> DataFrame:
+    """(graph, a, b, c), once each, from the edges of :func:`oriented`."""
+    one, two = directed.select(by, "a", "b", "db"), directed.select(by, "a", F.col("b").alias("c"), F.col("db").alias("dc"))
+    pairs = one.join(two, [by, "a"]).where("db < dc OR (db = dc AND b < c)").select(by, "a", "b", "c")
+    return pairs.join(directed.select(by, F.col("a").alias("b"), F.col("b").alias("c")), [by, "b", "c"], "left_semi")
 
 
 def node_role(nodes: DataFrame, edges: DataFrame, special: str, by: str = "graph") -> DataFrame:
@@ -100,17 +116,22 @@ def operator_energy(nodes: DataFrame, edges: DataFrame, potentials: DataFrame, b
 def spectral_moments(edges: DataFrame, by: str = "graph") -> DataFrame:
     """(graph, m2, m3, m4): closed walks of the adjacency matrix over its nodes with an edge.
 
-    tr(A^2) = sum of degrees; tr(A^3) = closed paths of three edges; tr(A^4) =
-    squared entries of A^2, by one join of the edges with themselves.
+    tr(A^2) = 2 m; tr(A^3) = 6 triangles; tr(A^4) = 2 (sum of squared degrees)
+    - 2 m + 8 four-cycles. A four-cycle is counted at its last node in the order
+    of :func:`oriented`, by the node opposite to it, so a hub's paths are not
+    listed.
     """
-    links = both_ways(undirected(edges, by), by)
-    n = links.groupBy(by).agg(F.count_distinct("u").alias("n"), F.count("*").alias("t2"))
-    a, b = links.select(by, F.col("u").alias("i"), F.col("v").alias("k")), links.select(by, F.col("u").alias("k"), F.col("v").alias("j"))
-    square = a.join(b, [by, "k"]).groupBy(by, "i", "j").agg(F.count("*").alias("w"))
-    t4 = square.groupBy(by).agg(F.sum(F.col("w") * F.col("w")).alias("t4"))
-    t3 = square.join(links.select(by, F.col("u").alias("j"), F.col("v").alias("i")), [by, "i", "j"]).groupBy(by).agg(F.sum("w").alias("t3"))
-    rows = n.join(t4, by, "left").join(t3, by, "left").fillna(0, ["t3", "t4"])
-    return rows.select(by, *((F.col(f"t{k}") / F.col("n")).alias(f"m{k}") for k in (2, 3, 4)))
+    directed = written(oriented(edges, by), "moments")
+    d = directed.select(by, F.explode(F.array("a", "b")).alias("node")).groupBy(by, "node").agg(F.count("*").alias("d"))
+    n = d.groupBy(by).agg(F.count("*").alias("n"), F.sum("d").alias("t2"), F.sum(F.col("d") * F.col("d")).alias("s"))
+    t3 = triangles(directed, by).groupBy(by).agg(F.count("*").alias("tri"))
+    last = directed.select(by, F.col("a").alias("v"), F.col("b").alias("u"), F.col("db").alias("du"))
+    out, back = directed.select(by, F.col("a").alias("v"), F.col("b").alias("w"), F.col("db").alias("dw")), directed.select(by, F.col("b").alias("v"), F.col("a").alias("w"), F.col("da").alias("dw"))
+    corners = last.join(out.unionByName(back), [by, "v"]).where("dw < du OR (dw = du AND w < u)").groupBy(by, "u", "w").agg(F.count("*").alias("k"))
+    four = corners.groupBy(by).agg((F.sum(F.col("k") * (F.col("k") - 1)) / 2).cast("bigint").alias("four"))
+    rows = n.join(t3, by, "left").join(four, by, "left").fillna(0, ["tri", "four"])
+    t = {2: F.col("t2"), 3: 6 * F.col("tri"), 4: 2 * F.col("s") - F.col("t2") + 8 * F.col("four")}
+    return rows.select(by, *((x / F.col("n")).alias(f"m{k}") for k, x in t.items()))
 
 
 def weighted_edges(nodes: DataFrame, edges: DataFrame, params: DataFrame, mode: str, by: str = "graph", strength: float = 1.0) -> DataFrame:
@@ -124,13 +145,18 @@ def weighted_edges(nodes: DataFrame, edges: DataFrame, params: DataFrame, mode:
     return rows.withColumn("w", 1 + F.lit(strength) * F.abs(F.col("cu") - F.col("cv"))).drop("cu", "cv")
 
 
-def spectrum(edges: DataFrame, by: str = "graph", max_nodes: int = 500, weights: bool = False) -> DataFrame:
-    """(graph, k, value[, node weights]) eigenvalues of the Laplacian of each graph of up to max_nodes nodes.
+def spectrum(edges: DataFrame, by: str = "graph", max_nodes: int = 3000, weights: bool = False) -> DataFrame:
+    """(graph, n_nodes, status, k, value, trace, trace_sq[, first_weight]): eigenvalues of the Laplacian of each graph.
 
-    Larger graphs give no rows: guard against them first, so that they are reported.
+    A graph is solved as a dense matrix in one task, which bounds its size: one
+    of more than ``max_nodes`` nodes has a single row with status too_large and
+    without a value. The sum of its eigenvalues and of their squares, from the
+    degrees, are exact for graphs of any size.
     """
     links = undirected(edges, by)
-    small = degrees(edges, by).groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") <= max_nodes)
+    d = F.col("degree")
+    sizes = degrees(edges, by).groupBy(by).agg(F.count("*").alias("n_nodes"), F.sum(d).cast("double").alias("trace"), F.sum(d * d + d).cast("double").alias("trace_sq"))
+    small, large = sizes.where(F.col("n_nodes") <= max_nodes), sizes.where(F.col("n_nodes") > max_nodes)
     kind = dict(edges.dtypes)[by]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -140,13 +166,18 @@ def spectrum(edges: DataFrame, by: str = "graph", max_nodes: int = 500, weights:
         np.add.at(a, (i, j), -1.0)
         a = a + a.T
         a[np.diag_indices_from(a)] = -a.sum(axis=1)
-        values, vectors = np.linalg.eigh(a)
+        values, vectors = np.linalg.eigh(a) if weights else (np.linalg.eigvalsh(a), None)
         out = {by: pdf[by].iloc[0], "k": np.arange(len(values)), "value": values}
         if weights:
             out["first_weight"] = vectors[0] ** 2
         return pd.DataFrame(out)
 
-    return links.join(small.select(by), by, "left_semi").groupBy(by).applyInPandas(run, f"{by} {kind}, k int, value double" + (", first_weight double" if weights else ""))
+    more = [("first_weight", "double")] if weights else []
+    found = links.join(small.select(by), by, "left_semi").groupBy(by).applyInPandas(run, ", ".join(f"{n} {t}" for n, t in [(by, kind), ("k", "int"), ("value", "double"), *more]))
+    rows = found.join(small, by).withColumn("status", F.lit("ok"))
+    columns = [by, "n_nodes", "status", "k", "value", "trace", "trace_sq", *(n for n, _ in more)]
+    gone = {n: F.lit(None).cast(t) for n, t in [("k", "int"), ("value", "double"), *more]}
+    return rows.select(columns).unionByName(large.withColumns({**gone, "status": F.lit("too_large")}).select(columns))
 
 
 def spectrum_gap_trace(spec: DataFrame, by: str = "graph", value: str = "value", eps: float = 1e-9) -> DataFrame:
@@ -225,20 +256,25 @@ def run_verdict(df: DataFrame, keys: Sequence[str], measured: str, correct: str,
     return row.select(*keys, "n", "noise", "speed", verdict.alias("verdict"))
 
 
-def graph_distances(edges: DataFrame, by: str = "graph", max_depth: int = 20) -> DataFrame:
-    """(graph, diameter, wiener, leaves, max_degree) by breadth-first levels from every node, up to max_depth.
+def graph_distances(edges: DataFrame, by: str = "graph") -> DataFrame:
+    """(graph, diameter, wiener, leaves, max_degree) from the distances of all pairs of nodes that are connected.
 
-    The set of node pairs is the square of a graph's size by its nature; graphs are small and many.
+    Distances up to L give those up to 2 L: on a shortest path that is longer
+    there is a node at distance L from its start. So rounds, each a written
+    table, are the logarithm of the largest diameter. The set of node pairs is
+    the square of a graph's size by its nature; graphs are small and many.
     """
     links = both_ways(undirected(edges, by), by)
-    reached = links.select(by, F.col("u").alias("s"), F.col("v").alias("t")).withColumn("d", F.lit(1))
-    front = reached
-    for depth in range(2, max_depth + 1):
-        step = front.join(links.select(by, F.col("u").alias("t"), F.col("v").alias("n")), [by, "t"]).select(by, "s", F.col("n").alias("t")).where("s <> t").distinct()
-        front = _cut(step.join(reached.select(by, "s", "t"), [by, "s", "t"], "left_anti").withColumn("d", F.lit(depth)))
-        if front.isEmpty():
+    reached = written(links.select(by, F.col("u").alias("s"), F.col("v").alias("t")).withColumn("d", F.lit(1)), "distances")
+    size = 1
+    while True:
+        edge = reached.where(F.col("d") == size).select(by, "s", F.col("t").alias("m"))
+        step = edge.join(reached.select(by, F.col("s").alias("m"), "t", (F.col("d") + size).alias("d")), [by, "m"]).where("s <> t")
+        step = step.join(reached.select(by, "s", "t"), [by, "s", "t"], "left_anti").groupBy(by, "s", "t").agg(F.min("d").alias("d"))
+        step = written(step, "distances")
+        if step.isEmpty():
             break
-        reached = reached.unionByName(front)
+        reached, size = reached.unionByName(step), 2 * size
     dist = reached.groupBy(by).agg(F.max("d").alias("diameter"), (F.sum("d") / 2).cast("bigint").alias("wiener"))
     deg = degrees(edges, by).groupBy(by).agg(F.count_if(F.col("degree") == 1).alias("leaves"), F.max("degree").alias("max_degree"))
     return dist.join(deg, by)
@@ -254,13 +290,13 @@ def heat_features(spec: DataFrame, taus: Sequence[float], by: str = "graph", val
 def graph_shape(edges: DataFrame, by: str = "graph") -> DataFrame:
     """(graph, n, m, density, mean_degree, var_degree, n_triangles, mean_clustering, std_clustering).
 
-    Triangles are found from edges u < v < w with one join and one look-up of the closing edge.
+    Triangles are found from the two edges that leave their lowest node (see
+    :func:`oriented`) and a look-up of the third.
     """
-    links = undirected(edges, by)
-    a, b = links.select(by, "u", "v"), links.select(by, F.col("u").alias("v"), F.col("v").alias("w"))
-    tri = a.join(b, [by, "v"]).join(links.select(by, "u", F.col("v").alias("w")), [by, "u", "w"])
-    corner = tri.select(by, F.explode(F.array("u", "v", "w")).alias("node")).groupBy(by, "node").agg(F.count("*").alias("t"))
-    rows = degrees(links, by).join(corner, [by, "node"], "left").withColumn("t", F.coalesce("t", F.lit(0)))
+    directed = written(oriented(edges, by), "shape")
+    corner = triangles(directed, by).select(by, F.explode(F.array("a", "b", "c")).alias("node")).groupBy(by, "node").agg(F.count("*").alias("t"))
+    degree = directed.select(by, F.explode(F.array("a", "b")).alias("node")).groupBy(by, "node").agg(F.count("*").alias("degree"))
+    rows = degree.join(corner, [by, "node"], "left").withColumn("t", F.coalesce("t", F.lit(0)))
     d = F.col("degree")
     rows = rows.withColumn("c", F.when(d > 1, 2 * F.col("t") / (d * (d - 1))).otherwise(0.0))
     out = rows.groupBy(by).agg(F.count("*").alias("n"), (F.sum("degree") / 2).cast("bigint").alias("m"), F.avg("degree").alias("mean_degree"), F.var_pop("degree").alias("var_degree"), (F.sum("t") / 3).cast("bigint").alias("n_triangles"), F.avg("c").alias("mean_clustering"), F.stddev_pop("c").alias("std_clustering"))
