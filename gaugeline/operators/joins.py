@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeline.operators.ordered import numbered, ranged
+from gaugeline.sources.files import written
+
 
 def enrich_left(base: DataFrame, dims: Sequence[tuple[DataFrame, Sequence[str], str]], fill: Mapping[str, str] | None = None) -> DataFrame:
     """Left joins with each (table, keys, suffix); clashing columns get the suffix.
@@ -60,19 +63,27 @@ def nearest_join(df: DataFrame, value: str, points: Sequence[float]) -> DataFram
     return df.withColumn("nearest", near).withColumn("distance", F.col(value) - F.col("nearest"))
 
 
-def nearest_join_large(df: DataFrame, value: str, points: DataFrame, point: str, width: float) -> DataFrame:
-    """Nearest point of a table of any size, looked up in cells of ``width`` and their neighbours.
+def nearest_join_large(df: DataFrame, value: str, points: DataFrame, point: str) -> DataFrame:
+    """Nearest point of a table of any size and the signed distance; the lower point wins a tie.
 
-    Rows without a point within one cell's width keep nulls; choose the width
-    no smaller than the largest gap of interest. Nothing is broadcast.
+    Points and distinct values are dealt into ranges of one order. The points
+    next to a value lie in its own range, or are the last before or the first
+    behind it, which as many rows as there are ranges tell. Nothing else is
+    broadcast. Null values keep nulls, and so do all if there is no point.
     """
-    cells = points.select(F.col(point).alias("p_"), F.floor(F.col(point) / width).alias("c_")).distinct()
-    near = cells.select("p_", F.explode(F.array(F.col("c_") - 1, F.col("c_"), F.col("c_") + 1)).alias("c_"))
-    lists = near.groupBy("c_").agg(F.array_sort(F.collect_set("p_")).alias("ps_"))
-    found = df.withColumn("c_", F.floor(F.col(value) / width)).join(lists, "c_", "left")
-    best = F.array_min(F.transform("ps_", lambda p: F.struct(F.abs(F.col(value) - p).alias("d"), p.alias("p"))))
-    near_p = F.when(best["d"] <= width, best["p"])
-    return found.withColumn("nearest", near_p).withColumn("distance", F.col(value) - F.col("nearest")).drop("c_", "ps_")
+    marks = points.where(F.col(point).isNotNull()).select(F.col(point).cast("double").alias("x_"), F.col(point).cast("double").alias("p_")).distinct()
+    asked = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x_"), F.lit(None).cast("double").alias("p_")).distinct()
+    rows = ranged(marks.unionByName(asked), ["x_"])
+    ends = rows.groupBy("part_").agg(F.min("p_").alias("a_"), F.max("p_").alias("b_"))
+    w = Window.orderBy("part_")
+    ends = ends.select("part_", F.max("b_").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("below_"), F.min("a_").over(w.rowsBetween(1, Window.unboundedFollowing)).alias("above_"))
+    own = Window.partitionBy("part_").orderBy("x_")
+    low, high = F.max("p_").over(own.rangeBetween(Window.unboundedPreceding, 0)), F.min("p_").over(own.rangeBetween(0, Window.unboundedFollowing))
+    near = rows.withColumns({"low_": low, "high_": high}).where("p_ IS NULL").join(F.broadcast(ends), "part_")
+    low, high = F.coalesce("low_", "below_"), F.coalesce("high_", "above_")
+    best = F.when(low.isNull(), high).when(high.isNull() | (F.col("x_") - low <= high - F.col("x_")), low).otherwise(high)
+    found = near.select("x_", best.alias("nearest")).repartition("x_")
+    return df.withColumn("x_", F.col(value).cast("double")).join(found, "x_", "left").withColumn("distance", F.col(value) - F.col("nearest")).drop("x_")
 
 
 def within_group_pairs(df: DataFrame, group: str, key: str, columns: Sequence[str]) -> DataFrame:
@@ -124,26 +135,55 @@ def positive_negative_pairs(items: DataFrame, negatives: DataFrame, scores: Data
     return found.withColumns({"scored": scored, "neg_score": F.coalesce("neg_score", F.lit(default_score).cast("double")), "weight": F.coalesce("weight", F.lit(1.0))})
 
 
-def set_similarity_join(df: DataFrame, key: str, tokens: str, low: float, high: float = 1.0) -> DataFrame:
+def equal_sets(df: DataFrame, key: str, tokens: str) -> DataFrame:
+    """(key, rep): of each row the least key among those with the same set of tokens."""
+    rows = df.select(F.col(key).alias("k"), F.array_sort(tokens).alias("s")).withColumns({"h": F.xxhash64("s"), "n": F.size("s")})
+    reps = rows.groupBy("h", "n", "s").agg(F.min("k").alias("rep"))
+    return rows.select("k", "h", "n", "s").join(reps, ["h", "n", "s"]).select(F.col("k").alias(key), "rep")
+
+
+def set_similarity_join(df: DataFrame, key: str, tokens: str, low: float, high: float = 1.0, expand: bool = True) -> DataFrame:
     """(key_a, key_b, similarity) of pairs with a Jaccard similarity from low to high.
 
-    Exact: an inverted index over the rarest tokens of each set. Two sets with a
-    similarity of ``low`` share one of their n - ceil(low n) + 1 rarest tokens.
-    ``tokens`` are distinct tokens in an array.
+    Exact. Rows with equal sets are one class, and classes meet by an inverted
+    index over their rarest tokens: two sets with a similarity of ``low`` share
+    a token among the n - ceil(low n) + 1 rarest of the larger and the
+    n - ceil(2 low / (1 + low) n) + 1 rarest of the smaller. What the shared
+    tokens there leave room for drops most candidates, and the rest are counted
+    on their numbered tokens. ``tokens`` are distinct tokens in an array; empty
+    sets match nothing. Without ``expand`` the pairs are those of the classes'
+    least keys, for which :func:`equal_sets` gives the members.
     """
-    held = df.select(F.col(key).alias("k"), F.explode(tokens).alias("t"))
-    counts = held.groupBy("t").agg(F.count("*").alias("df"))
-    ordered = held.join(counts, "t").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "t")))["t"].alias("s"))
-    ordered = ordered.withColumn("n", F.size("s"))
-    first = ordered.select("k", "s", "n", F.explode(F.expr(f"slice(s, 1, n - cast(ceil(n * {low}D - 1e-9) AS int) + 1)")).alias("t"))
-    a = first.select(F.col("k").alias("ka"), F.col("n").alias("na"), "t")
-    b = first.select(F.col("k").alias("kb"), F.col("n").alias("nb"), "t")
-    pairs = a.join(b, "t").where(F.expr(f"ka < kb AND least(na, nb) >= {low}D * greatest(na, nb) - 1e-9")).select("ka", "kb").distinct()
-    sets = ordered.select("k", "s")
-    both = pairs.join(sets.select(F.col("k").alias("ka"), F.col("s").alias("sa")), "ka").join(sets.select(F.col("k").alias("kb"), F.col("s").alias("sb")), "kb")
+    classes = written(equal_sets(df, key, tokens).withColumnRenamed(key, "k"), "similarity")
+    reps = classes.select("rep").distinct()
+    held = df.join(reps, F.col(key) == F.col("rep"), "left_semi").select(F.col(key).alias("k"), F.explode(tokens).alias("t"))
+    counts = numbered(held.groupBy("t").agg(F.count("*").alias("df")), ["df", "t"]).select("t", F.col("r_").cast("int").alias("no"))
+    sets = held.join(counts, "t").groupBy("k").agg(F.array_sort(F.collect_list("no")).alias("s")).withColumn("n", F.size("s"))
+    sets = written(sets, "similarity")
+
+    def prefix(share: float, name: str) -> DataFrame:
+        part = F.expr(f"slice(s, 1, n - cast(ceil(n * {share!r}D - 1e-9) AS int) + 1)")
+        return sets.select(F.col("k").alias(f"k{name}"), F.col("n").alias(f"n{name}"), F.posexplode(part).alias(f"i{name}", "no"))
+
+    a, b = prefix(low, "a"), prefix(2 * low / (1 + low), "b")
+    near = a.join(b, "no").where(F.expr(f"(nb < na OR (nb = na AND kb < ka)) AND nb >= {low!r}D * na - 1e-9"))
+    near = near.groupBy("ka", "kb", "na", "nb").agg(F.count("*").alias("c"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
+    near = near.where(F.expr(f"c + least(na - ia, nb - ib) - 1 >= {low / (1 + low)!r}D * (na + nb) - 1e-9")).select("ka", "kb")
+    both = near.join(sets.select(F.col("k").alias("ka"), F.col("s").alias("sa")), "ka").join(sets.select(F.col("k").alias("kb"), F.col("s").alias("sb")), "kb")
     same = F.size(F.array_intersect("sa", "sb"))
     similarity = same / (F.size("sa") + F.size("sb") - same)
-    return both.select(F.col("ka").alias(f"{key}_a"), F.col("kb").alias(f"{key}_b"), similarity.alias("similarity")).where(F.col("similarity").between(low, high))
+    found = both.select("ka", "kb", similarity.alias("similarity")).where(F.col("similarity").between(low, high))
+    first, second = F.least("ka", "kb").alias(f"{key}_a"), F.greatest("ka", "kb").alias(f"{key}_b")
+    if not expand:
+        return found.select(first, second, "similarity")
+    member = classes.select("k", "rep")
+    pairs = found.join(member.select(F.col("rep").alias("ka"), F.col("k").alias("x")), "ka").join(member.select(F.col("rep").alias("kb"), F.col("k").alias("y")), "kb")
+    pairs = pairs.select(F.col("x").alias("ka"), F.col("y").alias("kb"), "similarity")
+    if high >= 1.0:
+        full = member.join(sets.select(F.col("k").alias("rep")), "rep", "left_semi")
+        alike = full.join(full.select("rep", F.col("k").alias("y")), "rep").where("k < y").select(F.col("k").alias("ka"), F.col("y").alias("kb"), F.lit(1.0).alias("similarity"))
+        pairs = pairs.unionByName(alike)
+    return pairs.select(first, second, "similarity")
 
 
 def parameter_grid(df_or_spark, **axes: Sequence) -> DataFrame:
@@ -163,10 +203,24 @@ def union_support(p: DataFrame, q: DataFrame, by: Sequence[str], key: str) -> Da
 
 
 def interleaved_pairs(intervals: DataFrame, graph: str, start: str, end: str) -> DataFrame:
-    """Number of pairs of a graph's intervals with a1 < a2 < b1 < b2."""
-    a = intervals.select(graph, F.col(start).alias("a1"), F.col(end).alias("b1"))
-    b = intervals.select(graph, F.col(start).alias("a2"), F.col(end).alias("b2"))
-    found = a.join(b, graph).where("a1 < a2 AND a2 < b1 AND b1 < b2").groupBy(graph).agg(F.count("*").alias("n_crossings"))
+    """Number of pairs of a graph's intervals with a1 < a2 < b1 < b2.
+
+    Counted, not listed. With intervals numbered by (start, -end), two numbers
+    differ first in one binary digit, so each pair belongs to one block of one
+    level. In a block, an interval of the lower half crosses as many of the
+    upper half as start before its end less those that also end by then, which
+    is a running sum. So rows are intervals times the logarithm of their number.
+    """
+    own = Window.partitionBy(graph)
+    rows = intervals.select(graph, F.col(start).cast("double").alias("a"), F.col(end).cast("double").alias("b")).where("a < b")
+    rows = rows.withColumns({"i": F.row_number().over(own.orderBy("a", F.desc("b"))) - 1, "n": F.count("*").over(own)})
+    levels = F.explode(F.expr("sequence(0, cast(ceil(log2(greatest(n, 2))) AS int) - 1)")).alias("level")
+    rows = rows.select(graph, "a", "b", "i", levels).withColumn("block", F.expr("shiftright(i, level + 1)"))
+    # At one place an end of the upper half counts first, then a question of the lower half, then a start.
+    mark = "CASE WHEN shiftright(i, level) % 2 = 0 THEN array(struct(b AS x, 1 AS kind, 0 AS v)) ELSE array(struct(b AS x, 0 AS kind, -1 AS v), struct(a AS x, 2 AS kind, 1 AS v)) END"
+    marks = rows.select(graph, "level", "block", F.explode(F.expr(mark)).alias("m")).select(graph, "level", "block", "m.*")
+    run = F.sum("v").over(Window.partitionBy(graph, "level", "block").orderBy("x", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    found = marks.withColumn("k", run).where("kind = 1").groupBy(graph).agg(F.sum("k").alias("n_crossings"))
     return intervals.select(graph).distinct().join(found, graph, "left").withColumn("n_crossings", F.coalesce("n_crossings", F.lit(0)))
 
 

@@ -79,14 +79,13 @@ def nearest(spark, sf_dir):
 
 @query(
     "C8_nearest_join_large",
-    """SELECT o_orderkey, p AS nearest, o_totalprice - p AS distance FROM (
-         SELECT o_orderkey, o_totalprice, p, row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(o_totalprice - p), p) AS r
-         FROM orders LEFT JOIN (SELECT DISTINCT c_acctbal * 50 AS p FROM customer) ON abs(o_totalprice - p) <= 2000) WHERE r = 1""",
+    """WITH p AS (SELECT DISTINCT c_acctbal * 50 AS p FROM customer), l AS (SELECT o_orderkey, o_totalprice, p AS lo FROM orders ASOF LEFT JOIN p ON o_totalprice >= p), h AS (SELECT o_orderkey, p AS hi FROM orders ASOF LEFT JOIN p ON o_totalprice <= p),
+       n AS (SELECT *, CASE WHEN lo IS NULL THEN hi WHEN hi IS NULL OR o_totalprice - lo <= hi - o_totalprice THEN lo ELSE hi END AS nearest FROM l JOIN h USING (o_orderkey)) SELECT o_orderkey, nearest, o_totalprice - nearest AS distance FROM n""",
     "nearest distance",
 )
 def nearest_large(spark, sf_dir):
     points = table(spark, sf_dir, "customer").select((F.col("c_acctbal") * 50).alias("p"))
-    return J.nearest_join_large(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", points, "p", 2000.0).select("o_orderkey", "nearest", "distance")
+    return J.nearest_join_large(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", points, "p").select("o_orderkey", "nearest", "distance")
 
 
 @query("C9_within_group_pairs", "SELECT a.l_orderkey, a.l_linenumber AS l_linenumber_a, b.l_linenumber AS l_linenumber_b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber")
@@ -165,13 +164,13 @@ def grid(spark, sf_dir):
 
 @query(
     "C16_union_support",
-    """WITH a AS (SELECT event_type AS k, count(*) / (SELECT count(*) FROM events WHERE user_id < 50) AS p FROM events WHERE user_id < 50 GROUP BY 1), b AS (SELECT event_type AS k, count(*) / (SELECT count(*) FROM events WHERE value > 60) AS p FROM events WHERE value > 60 GROUP BY 1)
+    """WITH a AS (SELECT event_type AS k, count(*) / (SELECT count(*) FROM events WHERE value <= 60) AS p FROM events WHERE value <= 60 GROUP BY 1), b AS (SELECT event_type AS k, count(*) / (SELECT count(*) FROM events WHERE value > 60) AS p FROM events WHERE value > 60 GROUP BY 1)
        SELECT coalesce(a.k, b.k) AS event_type, coalesce(a.p, 0) AS p, coalesce(b.p, 0) AS q FROM a FULL OUTER JOIN b ON a.k = b.k""",
     "p q",
 )
 def support(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("g", F.lit(1))
-    a, b = (to_distribution(e.where(c), ["g"], "event_type") for c in ("user_id < 50", "value > 60"))
+    a, b = (to_distribution(e.where(c), ["g"], "event_type") for c in ("value <= 60", "value > 60"))
     return J.union_support(a, b, [], "event_type")
 
 
