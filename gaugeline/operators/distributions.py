@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions.scalars import log_ratio
 from gaugeline.operators.joins import union_support
+from gaugeline.operators.ordered import numbered
 from gaugeline.operators.stats import to_distribution
 from gaugeline.operators.windows import autocorrelation, cumulative_unique, split_half
+from gaugeline.sources.files import written
 
 
 def _terms(rule: str, eps: float) -> tuple[Column, Column]:
@@ -51,25 +53,37 @@ def symmetric_kl(p: DataFrame, q: DataFrame, by: Sequence[str], key: str, rule:
 def pairwise_kl(df: DataFrame, chain: str, key: str, eps: float = 1e-12) -> DataFrame:
     """One row: largest and mean KL over ordered pairs of chains, with eps added on the support of all chains.
 
-    Written as entropy and cross terms, a pair needs one sum over the keys of
-    its first chain; absent keys all have the same smoothed probability.
+    Absent keys all have the same smoothed probability, so a pair's divergence
+    is a term of its first chain, a term of its second, and a correction over
+    the keys that both have. The mean needs sums by chain and by key only. For
+    the largest, chains that share keys meet by key; of those that share none,
+    a chain needs only the largest other terms, one more than it has partners.
     """
     dist = to_distribution(df, [chain], key)
     n_keys = df.select(key).distinct().agg(F.count("*").alias("n_keys_"))
-    k = F.col("n_keys_")
-    rows = dist.join(F.broadcast(n_keys)).select(F.col(chain).alias("c"), F.col(key).alias("x"), ((F.col("p") + eps) / (1 + k * eps)).alias("p"), k.alias("k"), (F.lit(eps) / (1 + k * eps)).alias("e"))
-    # Over all keys: sum p ln p - sum p ln q, where a chain has e at the keys it lacks.
+    k, e, le = F.col("k"), F.col("e"), F.log("e")
+    rows = dist.join(F.broadcast(n_keys)).select(F.col(chain).alias("c"), F.col(key).alias("x"), ((F.col("p") + eps) / (1 + F.col("n_keys_") * eps)).alias("p"), F.col("n_keys_").alias("k"), (F.lit(eps) / (1 + F.col("n_keys_") * eps)).alias("e"))
+    rows = written(rows, "kl")
     own = rows.groupBy("c", "k", "e").agg(F.sum(F.col("p") * F.log("p")).alias("h"), F.sum(F.log("p")).alias("lp"), F.count("*").alias("n"), F.sum("p").alias("mass"))
-    a = own.select(F.col("c").alias("a"), "k", "e", F.col("h").alias("ha"), F.col("n").alias("na"), F.col("mass").alias("ma"))
-    b = own.select(F.col("c").alias("b"), F.col("lp").alias("lpb"), F.col("n").alias("nb"))
-    shared = rows.select(F.col("c").alias("a"), "x", F.col("p").alias("pa")).join(rows.select(F.col("c").alias("b"), "x", F.col("p").alias("pb")), "x")
-    shared = shared.where("a <> b").groupBy("a", "b").agg(F.sum(F.col("pa") * F.log("pb")).alias("s"), F.sum("pa").alias("sa"), F.sum(F.log("pb")).alias("sl"), F.count("*").alias("ns"))
-    pairs = a.join(b, F.col("a") != F.col("b")).join(shared, ["a", "b"], "left").fillna(0.0, ["s", "sa", "sl"]).fillna(0, ["ns"])
-    le = F.log("e")
-    entropy = F.col("ha") + (F.col("k") - F.col("na")) * F.col("e") * le
-    # q over keys of a alone, of b alone, and of neither
-    cross = F.col("s") + (F.col("ma") - F.col("sa")) * le + F.col("e") * (F.col("lpb") - F.col("sl")) + F.col("e") * le * (F.col("k") - F.col("na") - F.col("nb") + F.col("ns"))
-    return pairs.select((entropy - cross).alias("d")).agg(F.max("d").alias("kl_max"), F.avg("d").alias("kl_mean"))
+    # Of a pair without shared keys the divergence is f of the first and g of the second.
+    f = F.col("h") - F.col("mass") * le
+    g = -e * (F.col("lp") - F.col("n") * le)
+    own = written(own.select("c", f.alias("f"), g.alias("g")), "kl")
+    # Over shared keys: sum of (pa - e) (ln pb - ln e).
+    gain = rows.withColumns({"da": F.col("p") - e, "lb": F.log("p") - le})
+    per = gain.groupBy("x").agg((F.sum("da") * F.sum("lb") - F.sum(F.col("da") * F.col("lb"))).alias("s"))
+    parts = own.agg(F.count("*").alias("m"), (F.sum("f") + F.sum("g")).alias("t")).join(F.broadcast(per.agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))))
+    mean = parts.select(F.when(F.col("m") > 1, (F.col("t") * (F.col("m") - 1) - F.col("s")) / (F.col("m") * (F.col("m") - 1))).alias("kl_mean"))
+    one, two = gain.select(F.col("c").alias("a"), "x", "da"), gain.select(F.col("c").alias("b"), "x", "lb")
+    shared = one.join(two, "x").where("a <> b").groupBy("a", "b").agg(F.sum(F.col("da") * F.col("lb")).alias("s"))
+    shared = written(shared, "kl")
+    near = shared.join(own.select(F.col("c").alias("a"), "f"), "a").join(own.select(F.col("c").alias("b"), "g"), "b")
+    near = near.agg(F.max(F.col("f") + F.col("g") - F.col("s")).alias("d"))
+    order = numbered(own.withColumn("down", -F.col("g")), ["down", "c"]).select(F.col("c").alias("b"), "g", F.col("r_").alias("r"))
+    partners = shared.groupBy("a").agg(F.count("*").alias("n"))
+    asked = own.select(F.col("c").alias("a"), "f").join(partners, "a", "left").select("a", "f", F.explode(F.expr("sequence(1L, coalesce(n, 0L) + 2L)")).alias("r"))
+    far = asked.join(order, "r").where("a <> b").join(shared.select("a", "b"), ["a", "b"], "left_anti").agg(F.max(F.col("f") + F.col("g")).alias("d"))
+    return near.unionByName(far).agg(F.max("d").alias("kl_max")).join(F.broadcast(mean))
 
 
 def split_half_kl(df: DataFrame, by: str, order: Sequence[str], key: str, eps: float = 1e-12) -> DataFrame:
@@ -133,11 +147,19 @@ def weighted_softmax(df: DataFrame, by: Sequence[str], g: str, e: str, lam: Colu
 
 
 def fit_temperature(df: DataFrame, obs: str, g: str, e: str, low: float = 0.0, high: float = 10.0, steps: int = 401, fine: int = 201) -> DataFrame:
-    """One row (lam, kl): the lam of a grid, then of a finer one about the best, with least KL of obs against the softmax."""
+    """One row (lam, kl): the lam of a grid, then of a finer one about the best, with least KL of obs against the softmax.
+
+    Sums by lam are taken in the map tasks, so what is shuffled is the grid.
+    """
+    rows = df.select(F.col(obs).cast("double").alias("o"), F.col(g).cast("double").alias("g"), F.col(e).cast("double").alias("e"))
+    least = F.broadcast(rows.where("g > 0").agg(F.min("e").alias("lo")))
+
     def best(a: float, b: float, n: int):
         grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lit(a) + i * F.lit((b - a) / (n - 1)))).alias("lam")
-        rows = weighted_softmax(df.select(F.col(obs).alias("o_"), g, e, grid), ["lam"], g, e, F.col("lam"))
-        cost = rows.groupBy("lam").agg(F.sum(F.when(F.col("o_") > 0, F.col("o_") * F.log(F.col("o_") / F.greatest("p", F.lit(1e-300))))).alias("kl"))
+        terms = rows.join(least).select("o", "g", (F.col("e") - F.col("lo")).alias("x"), grid).withColumn("m", F.col("g") * F.exp(-F.col("lam") * F.col("x")))
+        mass = terms.groupBy("lam").agg(F.sum("m").alias("z"))
+        p = F.greatest(F.try_divide("m", F.col("z")), F.lit(1e-300))
+        cost = terms.where("o > 0").join(F.broadcast(mass), "lam").groupBy("lam").agg(F.sum(F.col("o") * F.log(F.col("o") / p)).alias("kl"))
         return cost.agg(F.min(F.struct("kl", "lam")).alias("b")).select(F.col("b.lam").alias("lam"), F.col("b.kl").alias("kl"))
 
     first = best(low, high, steps).first()

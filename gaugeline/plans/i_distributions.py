@@ -139,11 +139,22 @@ def i10b(spark, sf_dir):
     return I.weighted_softmax(table(spark, sf_dir, "part"), ["p_brand"], "p_size", "p_retailprice", 1.0, 0.0).select("p_partkey", "p")
 
 
-@query("I11_fit_temperature")
+def _best_lam(grid: str) -> str:
+    """SQL: (lam, kl), the first of the least, over a table of lam."""
+    return f"""SELECT lam, kl FROM (SELECT lam, sum(CASE WHEN o > 0 THEN o * ln(o / greatest(g * exp(-lam * (e - lo)) / z, 1e-300::DOUBLE)) END) AS kl FROM (SELECT *, sum(g * exp(-lam * (e - lo))) OVER (PARTITION BY lam) AS z FROM x, ({grid})) GROUP BY 1) ORDER BY kl, lam LIMIT 1"""
+
+
+@query(
+    "I11_fit_temperature",
+    f"""WITH n AS (SELECT c_nationkey, count(*)::DOUBLE AS g, -avg(c_acctbal) / 1000 AS e, count(*) FILTER (c_acctbal > 5000)::DOUBLE AS r FROM customer GROUP BY 1), x AS (SELECT g, e, r / (SELECT sum(r) FROM n) AS o, (SELECT min(e) FROM n) AS lo FROM n),
+    f AS ({_best_lam("SELECT i * (10.0::DOUBLE / 400) AS lam FROM (SELECT unnest(range(0, 401)) AS i)")}), a AS (SELECT greatest(0.0::DOUBLE, lam - 10.0::DOUBLE / 400) AS a, least(10.0::DOUBLE, lam + 10.0::DOUBLE / 400) AS b FROM f)
+    {_best_lam("SELECT a + i * ((b - a) / 200) AS lam FROM a, (SELECT unnest(range(0, 201)) AS i)")}""",
+    "lam kl",
+)
 def i11(spark, sf_dir):
-    """Shares of customers by nation against their mean balance; checked by a test."""
-    rows = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("g"), (F.avg("c_acctbal") / 1000).alias("e"))
-    rows = rows.join(F.broadcast(rows.agg(F.sum("g").alias("t")))).select("g", "e", (F.col("g") / F.col("t")).alias("o"))
+    """Shares of rich customers by nation against all customers, weighted by their mean balance."""
+    rows = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("g"), (-F.avg("c_acctbal") / 1000).alias("e"), F.count_if(F.col("c_acctbal") > 5000).alias("r"))
+    rows = rows.join(F.broadcast(rows.agg(F.sum("r").alias("t")))).select("g", "e", (F.col("r") / F.col("t")).alias("o"))
     return I.fit_temperature(rows, "o", "g", "e")
 
 
