@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions.scalars import finite, hardness_bin, pair_credit
 from gaugeline.operators.joins import tolerance_join
-from gaugeline.operators.stats import ranked_quantile, weighted_mean_std
+from gaugeline.operators.ordered import before, ranged
+from gaugeline.operators.stats import ranked_quantiles, weighted_mean_std
 
 
 def weighted_auc(df: DataFrame, by: Sequence[str], score: str = "score", label: str = "label", weight: str | None = "weight") -> DataFrame:
@@ -38,73 +40,102 @@ def weighted_auc(df: DataFrame, by: Sequence[str], score: str = "score", label:
     return out.select(*by, "n_pos", "n_neg", F.try_divide("u", F.col("wp") * F.col("wn")).alias("auc"))
 
 
-def weighted_auc_global(df: DataFrame, score: str = "score", label: str = "label", weight: str | None = "weight", buckets: int = 1024) -> DataFrame:
+def weighted_auc_global(df: DataFrame, score: str = "score", label: str = "label", weight: str | None = "weight", ranges: int | None = None) -> DataFrame:
     """The AUC of a whole table by a two-level prefix sum, so no task holds all scores.
 
-    Scores are cut at approximate quantiles; each range sums on its own, and
-    the range totals, at most ``buckets`` rows, give the offsets.
+    Rows are summed by score, and the sums dealt into ranges of the score; the
+    range totals, as many rows as there are ranges, give the offsets.
     """
     s = finite(F.col(score))
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     rows = df.where(s.isNotNull() & F.col(label).isNotNull()).select(s.alias("s"), (F.col(label) == 1).alias("y"), w.alias("w"))
-    cuts = rows.agg(F.percentile_approx("s", F.array(*(F.lit(k / buckets) for k in range(1, buckets))), 10_000)).first()[0] or []
-    cut = F.lit(0) if not cuts else F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))), lambda c: c < F.col("s")))
     zero = F.lit(0.0)
-    blocks = rows.groupBy(cut.alias("r"), "s").agg(F.sum(F.when(F.col("y"), F.col("w")).otherwise(zero)).alias("pos"), F.sum(F.when(~F.col("y"), F.col("w")).otherwise(zero)).alias("neg"))
-    totals = blocks.groupBy("r").agg(F.sum("neg").alias("t"))
-    offsets = totals.select("r", F.coalesce(F.sum("t").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), zero).alias("o"))
-    inner = F.coalesce(F.sum("neg").over(Window.partitionBy("r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), zero)
-    rows = blocks.withColumn("i", inner).join(F.broadcast(offsets), "r")
+    blocks = rows.groupBy("s").agg(F.sum(F.when(F.col("y"), F.col("w")).otherwise(zero)).alias("pos"), F.sum(F.when(~F.col("y"), F.col("w")).otherwise(zero)).alias("neg"))
+    parts = ranged(blocks, ["s"], ranges)
+    inner = F.coalesce(F.sum("neg").over(Window.partitionBy("part_").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), zero)
+    rows = parts.withColumn("i", inner).join(F.broadcast(before(parts, {"o": "neg"})), "part_")
     out = rows.agg(F.sum(F.col("pos") * (F.col("o") + F.col("i") + 0.5 * F.col("neg"))).alias("u"), F.sum("pos").alias("wp"), F.sum("neg").alias("wn"))
     return out.select(F.try_divide("u", F.col("wp") * F.col("wn")).alias("auc"))
 
 
+#: The product loses digits with every factor, so few are taken; with more, or as many steps, the characteristic function is inverted.
+_FACTORS, _STEPS = 20, 500_000_000
+
+
+def _null_masses(m: int, n: int) -> np.ndarray:
+    """Probability of each U for m positives and n negatives in random order without ties.
+
+    The product over i <= m of (1 - x^(n + i)) / (1 - x^i), each factor scaled to sum to 1.
+    """
+    m, n = min(m, n), max(m, n)
+    p = np.zeros(m * n + 1)
+    p[0] = 1.0
+    for i in range(1, m + 1):
+        top = i * n + 1
+        q = p[:top].copy()
+        if top > n + i:
+            q[n + i :] -= p[: top - n - i]
+        lanes = np.zeros((-(-top // i), i))
+        lanes.reshape(-1)[:top] = q
+        p[:top] = np.cumsum(lanes, axis=0).reshape(-1)[:top] * (i / (n + i))
+    return p
+
+
+def _null_below(m: int, n: int):
+    """u -> probability of U <= u, by inverting the characteristic function on a lattice far wider than the distribution.
+
+    As exact as doubles are: nodes are added until all of a block are under 1e-17.
+    """
+    m, n = min(m, n), max(m, n)
+    sd = math.sqrt(m * n * (m + n + 1) / 12)
+    width = int(min(m * n + 2, math.ceil(40 * sd)))
+    first = max(0, (m * n - width) // 2 - 1)
+    j = np.arange(1, m + 1)
+    t, r = [], []
+    for k in range(1, width // 2 + 1, 512):
+        at = np.arange(k, min(k + 512, width // 2 + 1)) * (2 * math.pi / width)
+        low, high = np.sin(np.outer(at, j) / 2), np.sin(np.outer(at, n + j) / 2)
+        with np.errstate(divide="ignore"):
+            size = np.log(np.abs(high * j)).sum(axis=1) - np.log(np.abs(low * (n + j))).sum(axis=1)
+        found = np.exp(size) * np.prod(np.sign(high) * np.sign(low), axis=1)
+        t.append(at)
+        r.append(found)
+        if np.abs(found).max() < 1e-17:
+            break
+    t, r = np.concatenate(t), np.concatenate(r)
+    weight = np.where(np.isclose(t, math.pi), 1.0, 2.0) * r / np.sin(t / 2) / (2 * width)
+    center = m * n / 2
+    start = np.sin(t * (first - 0.5 - center))
+    return lambda u: (u - first + 1) / width + float((weight * (np.sin(t * (u + 0.5 - center)) - start)).sum())
+
+
 def exact_null_quantile(m: int, n: int, q: float) -> float:
     """Least AUC whose probability up to it is q or more, for m positives and n negatives in random order without ties."""
-    # The largest item is positive or negative; positive terms only, so nothing cancels.
-    row = [np.ones(1) for _ in range(n + 1)]
-    for i in range(1, m + 1):
-        new = [np.ones(1)]
-        for j in range(1, n + 1):
-            p = np.zeros(i * j + 1)
-            p[j:] = row[j] * (i / (i + j))
-            p[: i * (j - 1) + 1] += new[j - 1] * (j / (i + j))
-            new.append(p)
-        row = new
-    return float(np.searchsorted(np.cumsum(row[n]), q - 1e-12) / (m * n))
+    q = q - 1e-11
+    if min(m, n) <= _FACTORS and min(m, n) ** 2 * max(m, n) <= _STEPS:
+        return min(int(np.searchsorted(np.cumsum(_null_masses(m, n)), q)), m * n) / (m * n)
+    below = _null_below(m, n)
+    low, high = 0, m * n
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if below(mid) >= q else (mid + 1, high)
+    return low / (m * n)
 
 
-def null_auc_quantile(sizes: DataFrame, q: float, cap: int = 10_000) -> DataFrame:
-    """(n_pos, n_neg, null_q, null_method) for each distinct pair of sizes.
+def null_auc_quantile(sizes: DataFrame, q: float) -> DataFrame:
+    """(n_pos, n_neg, null_q, null_method) for each distinct pair of sizes, exact at every size.
 
-    Exact while n_pos * n_neg is at most ``cap``; beyond, the normal
-    approximation of U, which is named in null_method.
+    null_method is exact, or none without a positive or a negative.
     """
 
     def run(batches):
         for pdf in batches:
             rows = []
             for m, n in zip(pdf["n_pos"], pdf["n_neg"], strict=True):
-                if m < 1 or n < 1:
-                    rows.append((m, n, None, "none"))
-                else:
-                    rows.append((m, n, exact_null_quantile(int(m), int(n), q), "exact"))
+                rows.append((m, n, None, "none") if m < 1 or n < 1 else (m, n, exact_null_quantile(int(m), int(n), q), "exact"))
             yield pd.DataFrame(rows, columns=["n_pos", "n_neg", "null_q", "null_method"])
 
-    pairs = sizes.select("n_pos", "n_neg").distinct()
-    small = pairs.where(F.col("n_pos") * F.col("n_neg") <= cap)
-    exact = small.mapInPandas(run, "n_pos long, n_neg long, null_q double, null_method string")
-    z = _normal_quantile(q)
-    mn = F.col("n_pos") * F.col("n_neg")
-    near = 0.5 + F.lit(z) * F.sqrt((F.col("n_pos") + F.col("n_neg") + 1) / (12.0 * mn))
-    large = pairs.where(mn > cap).select("n_pos", "n_neg", F.least(near, F.lit(1.0)).alias("null_q"), F.lit("normal").alias("null_method"))
-    return exact.unionByName(large)
-
-
-def _normal_quantile(q: float) -> float:
-    from statistics import NormalDist
-
-    return NormalDist().inv_cdf(q)
+    return sizes.select("n_pos", "n_neg").distinct().mapInPandas(run, "n_pos long, n_neg long, null_q double, null_method string")
 
 
 def null_auc_single(n: Column, q: float) -> Column:
@@ -112,12 +143,26 @@ def null_auc_single(n: Column, q: float) -> Column:
     return F.when(n >= 1, (F.greatest(F.ceil(F.lit(q) * (n + 1)), F.lit(1)) - 1) / n.cast("double"))
 
 
-def null_by_enumeration(df: DataFrame, by: Sequence[str], q: float, score: str = "score", label: str = "label") -> DataFrame:
-    """(group, n_labelings, null_q): the AUC quantile over all labelings with as many positives, for groups of up to 10 rows."""
-    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(score).alias("s")))).alias("x"), F.sum(label).alias("m"), F.count("*").alias("n")).where("n <= 10 AND m > 0 AND m < n")
+def null_by_enumeration(df: DataFrame, by: Sequence[str], key: str, q: float, reps: int, seed: int, score: str = "score", label: str = "label", limit: int = 10) -> DataFrame:
+    """(group, null_method, n_labelings, null_q): the AUC quantile over labelings with as many positives.
+
+    All labelings for groups of up to ``limit`` rows, and ``reps`` permutations
+    (see :func:`null_by_permutation`) for larger ones; null_method says which.
+    Groups without a positive or a negative have the method none.
+    """
+    sizes = df.groupBy(*by).agg(F.sum(label).alias("m"), F.count("*").alias("n"))
+    method = F.when((F.col("m") <= 0) | (F.col("m") >= F.col("n")), "none").when(F.col("n") <= limit, "enumeration").otherwise("permutation")
+    sizes = sizes.select(*by, method.alias("null_method"))
+
+    def of(name: str) -> DataFrame:
+        return df.join(sizes.where(F.col("null_method") == name).select(*by), list(by), "left_semi")
+
+    rows = of("enumeration").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(score).alias("s")))).alias("x"), F.sum(label).alias("m"), F.count("*").alias("n"))
     masks = rows.select(*by, "x", "m", "n", F.explode(F.expr("sequence(0, shiftleft(1, cast(n AS int)) - 1)")).alias("mask")).where(F.bit_count("mask") == F.col("m"))
     items = masks.select(*by, "mask", F.posexplode("x").alias("i", "e")).select(*by, "mask", F.col("e.s").alias("score"), F.expr("shiftright(mask, i) & 1").alias("label"))
-    return _quantile_of(weighted_auc(items, [*by, "mask"], weight=None), by, q).withColumnRenamed("n", "n_labelings")
+    small = _quantile_of(weighted_auc(items, [*by, "mask"], weight=None), by, q).withColumnRenamed("n", "n_labelings")
+    large = null_by_permutation(of("permutation"), by, key, reps, q, seed, score, label).select(*by, F.lit(reps).cast("long").alias("n_labelings"), "null_q")
+    return sizes.join(small.unionByName(large), list(by), "left").select(*by, "null_method", "n_labelings", "null_q")
 
 
 def _quantile_of(aucs: DataFrame, by: Sequence[str], q: float) -> DataFrame:
@@ -148,8 +193,8 @@ def _null_summary(aucs: DataFrame, by: Sequence[str], q: float) -> DataFrame:
 
 
 def audit_verdict(aucs: DataFrame, nulls: DataFrame, margin: float) -> DataFrame:
-    """gate = min(1, null quantile + margin), slack = auc - gate, PASS or FAIL; null without an AUC."""
-    found = aucs.join(nulls, ["n_pos", "n_neg"], "left").withColumn("gate", F.least(F.lit(1.0), F.col("null_q") + margin))
+    """gate = min(1, null quantile + margin), slack = auc - gate, PASS or FAIL; null without an AUC or a null quantile."""
+    found = aucs.join(nulls, ["n_pos", "n_neg"], "left").withColumn("gate", F.when(F.col("null_q").isNotNull(), F.least(F.lit(1.0), F.col("null_q") + margin)))
     found = found.withColumn("slack", F.col("auc") - F.col("gate"))
     return found.withColumn("verdict", F.when(F.col("slack") >= 0, "PASS").when(F.col("slack") < 0, "FAIL"))
 
@@ -188,10 +233,8 @@ def slack_stats(df: DataFrame, keys: Sequence[str] = (), slack: str = "slack", v
     """Rows, pass rate, mean and quartiles of the slack by nearest rank, over rows with a verdict."""
     rows = df.where(F.col(verdict).isNotNull()).select(*keys, F.col(slack).alias("x"), F.col(verdict).alias("v"))
     base = rows.groupBy(*keys).agg(F.count("*").alias("n_ok"), F.avg(F.when(F.col("v") == "PASS", 1.0).otherwise(0.0)).alias("pass_rate"), F.avg("x").alias("mean_slack"))
-    for name, q in (("p25", 0.25), ("median", 0.5), ("p75", 0.75)):
-        value = ranked_quantile(rows, keys, "x", q).withColumnRenamed("value", name)
-        base = base.join(value, list(keys), "left") if keys else base.join(value, how="left")
-    return base
+    found = ranked_quantiles(rows, keys, "x", {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    return base.join(found, list(keys), "left") if keys else base.join(F.broadcast(found), how="left")
 
 
 def audit_warnings(weighted: Column, missing: Column, scored: Column) -> Column:

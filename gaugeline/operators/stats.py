@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions.scalars import finite, safe_corr
+from gaugeline.operators.ordered import numbered
 
 
 def group_stats(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -51,12 +52,28 @@ def finite_stats(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.median(x).alias("median"), F.avg(x).alias("mean"), F.max(x).alias("max"))
 
 
+def ranked_quantiles(df: DataFrame, keys: Sequence[str], column: str, quantiles: Mapping[str, float], rule: str = "nearest") -> DataFrame:
+    """(group, {name}): for each named q the value of rank max(1, half-even round(q n)), or ceil(q n) for rule ``ceil``.
+
+    Without keys the order is that of the whole table, and no task holds it.
+    """
+    rows = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("x_"))
+    if keys:
+        w = Window.partitionBy(*keys)
+        rows = rows.withColumns({"r_": F.row_number().over(w.orderBy("x_")), "n_": F.count("*").over(w)})
+    else:
+        rows = numbered(rows, ["x_"])
+
+    def place(q: float) -> Column:
+        target = F.bround(F.col("n_") * F.lit(q), 0) if rule == "nearest" else F.ceil(F.col("n_") * F.lit(q))
+        return F.greatest(F.lit(1), target).cast("long")
+
+    return rows.groupBy(*keys).agg(*(F.max(F.when(F.col("r_") == place(q), F.col("x_"))).alias(name) for name, q in quantiles.items()))
+
+
 def ranked_quantile(df: DataFrame, keys: Sequence[str], column: str, q: float, rule: str = "nearest") -> DataFrame:
-    """The value of rank max(1, half-even round(q n)), or ceil(q n) for rule ``ceil``, per group."""
-    w = Window.partitionBy(*keys)
-    rows = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("x_"), F.row_number().over(w.orderBy(column)).alias("r_"), F.count("*").over(w).alias("n_"))
-    target = F.bround(F.col("n_") * F.lit(q), 0) if rule == "nearest" else F.ceil(F.col("n_") * F.lit(q))
-    return rows.where(F.col("r_") == F.greatest(F.lit(1), target).cast("int")).select(*keys, F.col("x_").alias("value"))
+    """(group, value) of one quantile; see :func:`ranked_quantiles`."""
+    return ranked_quantiles(df, keys, column, {"value": q}, rule)
 
 
 def linear_percentile(df: DataFrame, keys: Sequence[str], column: str, q: float, approximate: bool = False) -> DataFrame:

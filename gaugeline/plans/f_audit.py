@@ -53,6 +53,12 @@ def f2(spark, sf_dir):
     return A.item_audit(labelled(spark, sf_dir), ["source"])
 
 
+@query("F2_item_audit_auc", auc_sql(_LABELLED, "source"), "auc")
+def f2b(spark, sf_dir):
+    """The columns of the audit that do not rest on the null of F6."""
+    return A.item_audit(labelled(spark, sf_dir), ["source"]).select("source", "n_pos", "n_neg", "auc")
+
+
 @query("F3_pair_credit", "SELECT l_orderkey, l_linenumber, CASE WHEN abs(l_tax - l_discount) <= 1e-9::DOUBLE THEN 0.5 WHEN l_tax > l_discount THEN 1.0 ELSE 0.0 END AS credit FROM lineitem", "credit")
 def f3(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", pair_credit(F.col("l_tax"), F.col("l_discount"), 1e-9).alias("credit"))
@@ -96,28 +102,31 @@ def f7(spark, sf_dir):
     return n.select("o_custkey", "n", A.null_auc_single(F.col("n"), 0.95).alias("null_q"))
 
 
-_SMALL = "SELECT o_custkey AS g, o_totalprice AS score, (o_orderstatus = 'F')::INTEGER AS label, o_orderkey AS k FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) BETWEEN 2 AND 6)"
+_CUSTOMERS = "SELECT o_custkey AS g, o_totalprice AS score, (o_orderstatus = 'F')::INTEGER AS label, o_orderkey AS item_id FROM orders"
 
 
-def _small(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "orders")
-    sizes = rows.groupBy("o_custkey").agg(F.count("*").alias("n")).where("n BETWEEN 2 AND 6")
-    return rows.join(sizes, "o_custkey", "left_semi").select(F.col("o_custkey").alias("g"), F.col("o_totalprice").alias("score"), (F.col("o_orderstatus") == "F").cast("int").alias("label"), F.col("o_orderkey").alias("k"))
+def _customers(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("g"), F.col("o_totalprice").alias("score"), (F.col("o_orderstatus") == "F").cast("int").alias("label"), F.col("o_orderkey").alias("item_id"))
 
 
-_ENUM = f"""WITH x AS ({_SMALL}), r AS (SELECT g, score, row_number() OVER (PARTITION BY g ORDER BY score) - 1 AS i, sum(label) OVER (PARTITION BY g) AS m, count(*) OVER (PARTITION BY g) AS n FROM x),
-  k AS (SELECT g, i, score, m, n, unnest(range(0, (2 ** n)::BIGINT)) AS mask FROM r WHERE m > 0 AND m < n), s AS (SELECT * FROM k WHERE bit_count(mask) = m),
-  a AS (SELECT p.g, p.mask, avg(CASE WHEN p.score > q.score THEN 1.0 WHEN p.score = q.score THEN 0.5 ELSE 0 END) AS auc FROM s p JOIN s q ON p.g = q.g AND p.mask = q.mask AND ((p.mask >> p.i) & 1) = 1 AND ((q.mask >> q.i) & 1) = 0 GROUP BY 1, 2),
-  o AS (SELECT g, auc, row_number() OVER (PARTITION BY g ORDER BY auc) AS r, count(*) OVER (PARTITION BY g) AS n FROM a)
-  SELECT g, n AS n_labelings, auc AS null_q FROM o WHERE r = greatest(1, ceil(n * 0.9::DOUBLE - 1e-9::DOUBLE))"""
+_DRAW = "md5('7|' || rep::VARCHAR || '|' || item_id::VARCHAR)"
 
 
-@query("F8_null_by_enumeration", _ENUM, "null_q")
-def f8(spark, sf_dir):
-    return A.null_by_enumeration(_small(spark, sf_dir), ["g"], 0.9)
+def _enumerated() -> str:
+    drawn = f"""WITH x AS (SELECT *, sum(label) OVER (PARTITION BY g) AS m, unnest(range(1, 21)) AS rep FROM w), d AS (SELECT g, rep, score, (row_number() OVER (PARTITION BY g, rep ORDER BY {_DRAW}) <= m)::INTEGER AS label FROM x),
+    a AS ({auc_sql("SELECT * FROM d", "g rep", "")}) SELECT g, quantile_cont(auc, 0.9::DOUBLE) AS null_q FROM a WHERE auc IS NOT NULL GROUP BY 1"""
+    return f"""WITH c AS ({_CUSTOMERS}), s AS (SELECT g, CASE WHEN sum(label) <= 0 OR sum(label) >= count(*) THEN 'none' WHEN count(*) <= 10 THEN 'enumeration' ELSE 'permutation' END AS null_method FROM c GROUP BY 1),
+    v AS (SELECT c.* FROM c JOIN s USING (g) WHERE null_method = 'enumeration'), w AS (SELECT c.* FROM c JOIN s USING (g) WHERE null_method = 'permutation'),
+    r AS (SELECT g, score, row_number() OVER (PARTITION BY g ORDER BY score) - 1 AS i, sum(label) OVER (PARTITION BY g) AS m, count(*) OVER (PARTITION BY g) AS n FROM v),
+    k AS (SELECT * FROM (SELECT g, i, score, m, unnest(range(0, (2 ** n)::BIGINT)) AS mask FROM r) WHERE bit_count(mask) = m),
+    a AS (SELECT p.g, p.mask, avg(CASE WHEN p.score > q.score THEN 1.0 WHEN p.score = q.score THEN 0.5 ELSE 0 END) AS auc FROM k p JOIN k q ON p.g = q.g AND p.mask = q.mask AND ((p.mask >> p.i) & 1) = 1 AND ((q.mask >> q.i) & 1) = 0 GROUP BY 1, 2),
+    o AS (SELECT g, auc, row_number() OVER (PARTITION BY g ORDER BY auc) AS r, count(*) OVER (PARTITION BY g) AS n FROM a), e AS (SELECT g, n AS n_labelings, auc AS null_q FROM o WHERE r = greatest(1, ceil(n * 0.9::DOUBLE - 1e-9::DOUBLE))),
+    f AS (SELECT * FROM e UNION ALL SELECT g, 20, null_q FROM ({drawn})) SELECT g, null_method, n_labelings, null_q FROM s LEFT JOIN f USING (g)"""
 
 
-_DRAW = "md5('7|' || rep::VARCHAR || '|' || item_id::VARCHAR)"
+@query("F8_null_by_enumeration", _enumerated(), "null_q")
+def f8(spark, sf_dir):
+    return A.null_by_enumeration(_customers(spark, sf_dir), ["g"], "item_id", 0.9, 20, 7)
 
 
 @query(
