@@ -81,3 +81,13 @@ def concat_tables(tables: Sequence[DataFrame]) -> DataFrame:
     for more in tables[1:]:
         out = out.unionByName(more, allowMissingColumns=True)
     return out
+
+
+def flag_ranges(df: DataFrame, specs: Mapping[str, tuple]) -> DataFrame:
+    """Add a flag for each name: ``(column, "between", low, high)``, ``(column, "in", values)`` or ``(column, "near", center, tol)``, ends included."""
+    kinds = {
+        "between": lambda x, low, high: x.between(low, high),
+        "in": lambda x, values: x.isin(*values),
+        "near": lambda x, center, tol: F.abs(x - center) <= tol,
+    }
+    return df.withColumns({name: kinds[kind](F.col(column), *args) for name, (column, kind, *args) in specs.items()})

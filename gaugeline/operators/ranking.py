@@ -141,10 +141,15 @@ def _solve(entries: Mapping[tuple[str, str], float], features: Sequence[str], y:
     return out
 
 
-def ridge_fit(df: DataFrame, y: str, features: Sequence[str], lam: float, intercept: bool = True) -> dict[str, float]:
-    """Ridge weights on standardised features with a free intercept; only the p by p sums reach the driver."""
-    entries = {(r.i, r.j): r.s for r in gram(df, [], y, features).collect()}
-    return _solve(entries, features, y, lam, intercept)
+def ridge_fit(df: DataFrame, y: str, features: Sequence[str], lam: float, intercept: bool = True) -> DataFrame:
+    """(feature, weight): ridge weights on standardised features with a free intercept, solved from the p by p sums."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        w = _solve({(r.i, r.j): r.s for r in pdf.itertuples()}, features, y, lam, intercept)
+        return pd.DataFrame({"feature": list(w), "weight": list(w.values())})
+
+    return gram(df, [], y, features).groupBy().applyInPandas(run, "feature string, weight double")
 
 
 def logo_ridge(df: DataFrame, group: str, y: str, features: Sequence[str], lam: float, intercept: bool = True) -> DataFrame:
@@ -167,12 +172,14 @@ def logo_ridge(df: DataFrame, group: str, y: str, features: Sequence[str], lam:
     return folds.groupBy("fold").applyInPandas(run, f"fold {fold_type}, feature string, weight double")
 
 
-def predict(df: DataFrame, weights: Mapping[str, float], name: str = "pred") -> DataFrame:
-    out = F.lit(weights.get("intercept", 0.0))
-    for c, w in weights.items():
-        if c != "intercept":
-            out = out + F.lit(w) * F.col(c)
-    return df.withColumn(name, out)
+def predict(df: DataFrame, weights: DataFrame, features: Sequence[str], name: str = "pred") -> DataFrame:
+    """Add the linear prediction from ``weights(feature, weight)``, which are one row for each feature."""
+    wide = weights.groupBy().pivot("feature", [*features, "intercept"]).agg(F.first("weight"))
+    wide = wide.select(*(F.coalesce(F.col(c), F.lit(0.0)).alias(f"w_{c}") for c in [*features, "intercept"]))
+    out = F.col("w_intercept")
+    for c in features:
+        out = out + F.col(f"w_{c}") * F.col(c)
+    return df.join(F.broadcast(wide)).withColumn(name, out).drop(*wide.columns)
 
 
 def cross_validate(df: DataFrame, group: str, key: str, y: str, features: Sequence[str], lam: float) -> DataFrame:
@@ -186,14 +193,14 @@ def cross_validate(df: DataFrame, group: str, key: str, y: str, features: Sequen
     return df.join(wide, group).withColumn("pred", pred).drop(*(f"w_{c}" for c in [*features, "intercept"]))
 
 
-def pairwise_logistic_fit(df: DataFrame, label: str, features: Sequence[str], lam: float, max_iter: int = 200, tol: float = 1e-8) -> dict[str, float]:
-    """Weights of a logistic fit without intercept and with an L2 penalty on feature differences."""
+def pairwise_logistic_fit(df: DataFrame, label: str, features: Sequence[str], lam: float, max_iter: int = 200, tol: float = 1e-8) -> DataFrame:
+    """(feature, weight) of a logistic fit without intercept and with an L2 penalty on feature differences."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
     rows = VectorAssembler(inputCols=list(features), outputCol="x_").transform(df)
     fit = LogisticRegression(featuresCol="x_", labelCol=label, fitIntercept=False, standardization=False, regParam=lam, elasticNetParam=0.0, maxIter=max_iter, tol=tol).fit(rows)
-    return dict(zip(features, map(float, fit.coefficients), strict=True))
+    return df.sparkSession.createDataFrame(list(zip(features, map(float, fit.coefficients), strict=True)), "feature string, weight double")
 
 
 def sweep_leaderboard(preds: DataFrame, config: str, group: str, key: str, pred: str, truth: str) -> DataFrame:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions.scalars import set_similarity
 from gaugeline.operators.audit import item_audit
 from gaugeline.operators.joins import pending_items
+from gaugeline.sources.files import written
 
 
 def preflight(df: DataFrame, checks: Sequence[tuple[Column, str]], warnings: Sequence[tuple[Column, str]] = ()) -> DataFrame:
@@ -78,21 +78,21 @@ def hard_negatives(pairs: DataFrame, a: str, b: str, low: float, high: float, k:
 def min_distance_filter(df: DataFrame, item: str, order: str, vec: str, distance: str, d_item: float, d_pair: float) -> DataFrame:
     """Candidates at least ``d_item`` from their item, then in order those at least ``d_pair`` from every one taken before.
 
-    An item's candidates are bounded by the k of the step before.
+    Each round takes the first candidate left of every item and drops the ones
+    too near to it; a round is a written table, and there are as many as the
+    item with most choices has. ``order`` is one to one within an item.
     """
-    far = df.where(F.col(distance) >= d_item)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[set] = []
-        rows = []
-        for k, tokens in enumerate(pdf.sort_values(order)[vec]):
-            one = set(tokens)
-            if all(1 - len(one & other) / max(1, len(one | other)) >= d_pair for other in kept):
-                kept.append(one)
-                rows.append(k)
-        return pdf.sort_values(order).iloc[rows]
-
-    return far.groupBy(item).applyInPandas(run, far.schema)
+    rest, out = written(df.where(F.col(distance) >= d_item), "distance"), None
+    while True:
+        first = rest.groupBy(item).agg(F.min(F.struct(order, vec)).alias("b_")).select(item, F.col(f"b_.{order}").alias("o_"), F.col(f"b_.{vec}").alias("v_"))
+        near = rest.join(first, item)
+        taken = near.where(F.col(order) == F.col("o_")).select(df.columns)
+        out = taken if out is None else out.unionByName(taken)
+        apart = 1 - F.coalesce(set_similarity(F.col(vec), F.col("v_")), F.lit(0.0))
+        left = written(near.where((F.col(order) > F.col("o_")) & (apart >= d_pair)).select(df.columns), "distance")
+        if left.isEmpty():
+            return out
+        rest = left
 
 
 def maxmin_select(df: DataFrame, item: str, cand: str, vec: str, k: int, seed: int) -> DataFrame:

@@ -51,9 +51,10 @@ def size_bin():
     return "doc_id", S.size_bin(F.col("n_chars")).alias("bin")
 
 
-@_b("B5_flag_ranges", "part", "SELECT p_partkey, p_size BETWEEN 10 AND 20 AS mid, p_brand IN ('Brand#11', 'Brand#23') AS listed, abs(p_retailprice - 1000) <= 50 AS near FROM part")
-def flags():
-    return "p_partkey", F.col("p_size").between(10, 20).alias("mid"), F.col("p_brand").isin("Brand#11", "Brand#23").alias("listed"), (F.abs(F.col("p_retailprice") - 1000) <= 50).alias("near")
+@query("B5_flag_ranges", "SELECT p_partkey, p_size BETWEEN 10 AND 20 AS mid, p_brand IN ('Brand#11', 'Brand#23') AS listed, abs(p_retailprice - 1000) <= 50 AS near FROM part")
+def flags(spark, sf_dir):
+    specs = {"mid": ("p_size", "between", 10, 20), "listed": ("p_brand", "in", ["Brand#11", "Brand#23"]), "near": ("p_retailprice", "near", 1000, 50)}
+    return contracts.flag_ranges(table(spark, sf_dir, "part"), specs).select("p_partkey", *specs)
 
 
 @query("B6_filter_regime", "SELECT event_id, value FROM events WHERE value BETWEEN 20 AND 60", "value")

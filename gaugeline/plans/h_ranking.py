@@ -120,15 +120,14 @@ def h11(spark, sf_dir):
 )
 def h11b(spark, sf_dir):
     """Without a penalty the ridge fit is the regression line."""
-    w = H.ridge_fit(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity"], 0.0)
-    return spark.createDataFrame(sorted(w.items()), "feature string, weight double")
+    return H.ridge_fit(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity"], 0.0)
 
 
 @query("H12_pairwise_logistic_fit")
 def h12(spark, sf_dir):
     """Weights of an iterative fit."""
     pairs = H.pair_training_table(_rows(spark, sf_dir), "g", "k", "truth", ["pred"])
-    return spark.createDataFrame(sorted(H.pairwise_logistic_fit(pairs, "label", ["d_pred"], 0.1).items()), "feature string, weight double")
+    return H.pairwise_logistic_fit(pairs, "label", ["d_pred"], 0.1)
 
 
 @query(
@@ -144,13 +143,23 @@ def h13(spark, sf_dir):
 
 def _configs(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("g"), (F.col("l_orderkey") * 10000 + F.col("l_partkey")).alias("k"), F.col("l_extendedprice").alias("truth"), "l_quantity", "l_discount", "l_tax")
-    rows = rows.dropDuplicates(["g", "k"])
+    once = rows.groupBy("g", "k").agg(F.count("*").alias("n")).where("n = 1").select("g", "k")
+    rows = rows.join(once, ["g", "k"], "left_semi")
     return rows.select("g", "k", "truth", F.explode(F.array(*(F.struct(F.lit(n).alias("config"), c.alias("pred")) for n, c in (("a", F.col("l_quantity")), ("b", F.col("l_discount")), ("c", F.col("l_quantity") * (1 - F.col("l_tax"))))))).alias("s")).select("g", "k", "truth", "s.*")
 
 
-@query("H14_sweep_leaderboard")
+_CONFIGS = {"a": "l_quantity", "b": "l_discount", "c": "l_quantity * (1 - l_tax)"}
+_CONFIG = "SELECT l_suppkey AS g, l_orderkey * 10000 + l_partkey AS k, l_extendedprice AS truth, {v} AS pred FROM lineitem WHERE (l_suppkey, l_orderkey * 10000 + l_partkey) NOT IN (SELECT (l_suppkey, l_orderkey * 10000 + l_partkey) FROM lineitem GROUP BY ALL HAVING count(*) > 1)"
+
+
+@query(
+    "H14_sweep_leaderboard",
+    f"""WITH r AS ({" UNION ALL ".join(f"SELECT '{n}' AS config, * FROM (SELECT {_REPORT} FROM ({_metrics(_CONFIG.format(v=v))}))" for n, v in _CONFIGS.items())})
+    SELECT *, row_number() OVER (ORDER BY round(mean_rho, 9) DESC, round(pair_accuracy, 9) DESC, top1_rate DESC, config) = 1 AS best FROM r""",
+    _REPORT_FLOATS,
+)
 def h14(spark, sf_dir):
-    """Three configurations over all lines of each supplier; too slow as SQL over whole tables."""
+    """Three configurations over the lines of each supplier; parts that an order has twice from one supplier have no key and are left out."""
     return H.sweep_leaderboard(_configs(spark, sf_dir), "config", "g", "k", "pred", "truth")
 
 

@@ -53,10 +53,8 @@ def stream_moments(samples: DataFrame, chain: str, order: str, x: str) -> DataFr
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, s, q, p, last = state.get if state.exists else (0, 0.0, 0.0, 0.0, None)
         values = pd.concat(list(batches)).sort_values(order)[x].to_numpy(float)
-        for v in values:
-            p += 0.0 if last is None else v * last
-            last = float(v)
-        n, s, q = n + len(values), s + float(values.sum()), q + float((values * values).sum())
+        p += float(values[1:] @ values[:-1]) + (0.0 if last is None else float(values[0]) * last)
+        n, s, q, last = n + len(values), s + float(values.sum()), q + float(values @ values), float(values[-1])
         state.update((n, s, q, p, last))
         yield pd.DataFrame({chain: [key[0]], "n": [n], "sum_x": [s], "sum_xx": [q], "sum_lag": [p]})
 
