@@ -49,7 +49,7 @@ def test_auc_ignores_null_and_infinite_scores(spark):
 
 def test_global_auc(spark):
     rows, df = scored(spark, 4, 500)
-    assert audit.weighted_auc_global(df, buckets=16).first().auc == pytest.approx(brute_auc([r[1:] for r in rows]), abs=1e-12)
+    assert audit.weighted_auc_global(df, ranges=16).first().auc == pytest.approx(brute_auc([r[1:] for r in rows]), abs=1e-12)
 
 
 @pytest.mark.parametrize("m, n", [(1, 5), (2, 3), (3, 4), (5, 1)])
@@ -68,11 +68,61 @@ def test_null_for_one_positive_has_a_closed_form(spark):
     assert all(r.q == pytest.approx(audit.exact_null_quantile(1, r.id, 0.95)) for r in rows)
 
 
-def test_null_beyond_the_cap_is_named(spark):
-    df = spark.createDataFrame([(3, 4), (120, 100), (0, 5)], "n_pos long, n_neg long")
+def positive_recurrence(m, n):
+    """Probabilities of U from positive terms only: the largest item is positive or negative."""
+    row = [np.ones(1) for _ in range(n + 1)]
+    for i in range(1, m + 1):
+        new = [np.ones(1)]
+        for j in range(1, n + 1):
+            p = np.zeros(i * j + 1)
+            p[j:] = row[j] * (i / (i + j))
+            p[: i * (j - 1) + 1] += new[j - 1] * (j / (i + j))
+            new.append(p)
+        row = new
+    return row[n]
+
+
+@pytest.mark.parametrize("m, n", [(7, 9), (20, 60), (21, 60), (120, 100), (3, 400)])
+def test_null_distribution_equals_the_positive_recurrence(m, n):
+    want = np.cumsum(positive_recurrence(m, n))
+    if min(m, n) <= 20:
+        assert np.abs(np.cumsum(audit._null_masses(m, n)) - want).max() < 1e-13
+    else:
+        below = audit._null_below(m, n)
+        assert max(abs(below(u) - want[u]) for u in range(0, m * n + 1, 37)) < 1e-13
+    for q in (0.5, 0.9, 0.95, 0.99):
+        assert audit.exact_null_quantile(m, n, q) == np.searchsorted(want, q - 1e-11) / (m * n)
+
+
+def test_null_is_exact_at_ten_times_the_former_cap(spark):
+    df = spark.createDataFrame([(3, 4), (400, 300), (0, 5), (20_000, 30_000)], "n_pos long, n_neg long")
     got = {(r.n_pos, r.n_neg): r for r in audit.null_auc_quantile(df, 0.95).collect()}
-    assert got[3, 4].null_method == "exact" and got[120, 100].null_method == "normal" and got[0, 5].null_q is None
-    assert got[120, 100].null_q == pytest.approx(audit.exact_null_quantile(120, 100, 0.95), abs=2e-3)
+    assert got[3, 4].null_method == got[400, 300].null_method == "exact" and got[0, 5].null_q is None
+    assert got[400, 300].null_q * 120_000 == pytest.approx(round(got[400, 300].null_q * 120_000), abs=1e-6)  # a step of the distribution
+    for m, n in ((400, 300), (20_000, 30_000)):
+        assert got[m, n].null_q == pytest.approx(0.5 + 1.6448536 * ((m + n + 1) / (12 * m * n)) ** 0.5, abs=1e-4)
+
+
+def test_item_audit(spark):
+    rows, df = scored(spark, 5)
+    for r in audit.item_audit(df, ["g"], 0.9, 0.02).collect():
+        own = [x[1:] for x in rows if x[0] == r.g]
+        m = sum(y for _, y, _ in own)
+        assert (r.n_pos, r.n_neg) == (m, len(own) - m)
+        if 0 < m < len(own):
+            null = np.searchsorted(np.cumsum(positive_recurrence(m, len(own) - m)), 0.9 - 1e-11) / (m * (len(own) - m))
+            assert r.auc == pytest.approx(brute_auc(own)) and r.null_q == pytest.approx(null) and r.gate == pytest.approx(min(1, null + 0.02))
+            assert r.slack == pytest.approx(r.auc - r.gate) and r.verdict == ("PASS" if r.slack >= 0 else "FAIL")
+        else:
+            assert (r.auc, r.null_q, r.verdict) == (None, None, None)
+
+
+def test_null_by_enumeration_beyond_ten_rows(spark):
+    rows = [("a", k, float(k % 3), k % 2) for k in range(6)] + [("b", k, float(k), k % 2) for k in range(100)] + [("c", 1, 1.0, 1)]
+    got = {r.g: r for r in audit.null_by_enumeration(spark.createDataFrame(rows, "g string, k int, score double, label int"), ["g"], "k", 0.9, 30, 1).collect()}
+    assert [(got[g].null_method, got[g].n_labelings) for g in "abc"] == [("enumeration", 20), ("permutation", 30), ("none", None)]
+    aucs = sorted(brute_auc([(s, int(k in pos), 1.0) for _, k, s, _ in rows[:6]]) for pos in itertools.combinations(range(6), 3))
+    assert got["a"].null_q == pytest.approx(aucs[17]) and 0.5 < got["b"].null_q < 0.7
 
 
 def test_contracts(spark):
@@ -99,12 +149,42 @@ def test_tolerance_join_equals_brute_force(spark, relative):
     assert got == want
 
 
-def test_similarity_join_equals_brute_force(spark):
+@pytest.mark.parametrize("low, high", [(0.6, 1.0), (0.6, 0.9), (0.3, 0.8)])
+def test_similarity_join_equals_brute_force(spark, low, high):
     rng = random.Random(6)
-    rows = [(k, sorted(rng.sample(range(12), rng.randint(1, 8)))) for k in range(80)]
-    got = {(r.k_a, r.k_b): r.similarity for r in joins.set_similarity_join(spark.createDataFrame(rows, "k int, s array<int>"), "k", "s", 0.6).collect()}
-    want = {(a, b): len(set(x) & set(y)) / len(set(x) | set(y)) for a, x in rows for b, y in rows if a < b}
-    assert got == pytest.approx({k: v for k, v in want.items() if v >= 0.6})
+    rows = [(k, rng.sample(range(12), rng.randint(1, 8))) for k in range(80)] + [(100 + k, [3, 1, 2]) for k in range(30)] + [(200, []), (201, []), (202, None)]
+    df = spark.createDataFrame(rows, "k int, s array<int>")
+    got = {(r.k_a, r.k_b): r.similarity for r in joins.set_similarity_join(df, "k", "s", low, high).collect()}
+    full = [(k, set(s)) for k, s in rows if s]
+    want = {(a, b): len(x & y) / len(x | y) for a, x in full for b, y in full if a < b}
+    assert got == pytest.approx({k: v for k, v in want.items() if low <= v <= high})
+    rep = {r.k: r.rep for r in joins.equal_sets(df, "k", "s").collect()}
+    assert all(rep[k] == min(b for b, y in full if y == s) for k, s in full)
+    short = {(r.k_a, r.k_b) for r in joins.set_similarity_join(df, "k", "s", low, high, expand=False).collect()}
+    assert short == {(a, b) for a, b in got if rep[a] == a and rep[b] == b and rep[a] != rep[b]}
+
+
+def test_nearest_in_a_large_table_equals_brute_force(spark):
+    rng = random.Random(21)
+    points = [rng.choice([rng.uniform(-10, 10), 1e6 + rng.random()]) for _ in range(40)] + [5.0, 7.0]
+    rows = [(k, rng.choice([rng.uniform(-50, 50), 6.0, 3e6, -1e9, None])) for k in range(200)]
+    at = spark.createDataFrame([(p,) for p in points] + [(None,), (5.0,)], "p double")
+    df = spark.createDataFrame(rows, "k int, x double")
+    got = {r.k: (r.nearest, r.distance) for r in joins.nearest_join_large(df, "x", at, "p").collect()}
+    for k, x in rows:
+        best = None if x is None else min(sorted(points), key=lambda p: abs(x - p))
+        assert got[k] == (best, None if x is None else x - best)
+    assert all(r.nearest is None for r in joins.nearest_join_large(df, "x", at.limit(0), "p").collect())
+
+
+def test_crossing_pairs_equal_brute_force(spark):
+    rng = random.Random(22)
+    rows = [(rng.choice("abc"), rng.randint(0, 30), rng.randint(0, 30)) for _ in range(150)] + [("one", 1, 2), ("none", 3, 1)]
+    rows += [("hub", k, 400 - k % 7) for k in range(300)]
+    got = {r.g: r.n_crossings for r in joins.interleaved_pairs(spark.createDataFrame(rows, "g string, a int, b int"), "g", "a", "b").collect()}
+    for g in got:
+        own = [r[1:] for r in rows if r[0] == g]
+        assert got[g] == sum(a1 < a2 < b1 < b2 for a1, b1 in own for a2, b2 in own)
 
 
 def test_vector_collisions_equal_brute_force(spark):
@@ -120,6 +200,13 @@ def test_quantile_rules(spark):
     assert stats.ranked_quantile(df, ["g"], "x", 0.5).first().value == 2.0  # half-even of 2.5
     assert stats.ranked_quantile(df, ["g"], "x", 0.5, "ceil").first().value == 3.0
     assert stats.ranked_quantile(df, ["g"], "x", 0.0).first().value == 1.0
+    rng = random.Random(23)
+    values = [float(rng.randint(0, 40)) for _ in range(501)]
+    whole = spark.createDataFrame([(v, "PASS" if v > 9 else "FAIL") for v in values], "x double, v string").repartition(7)
+    for q in (0.0, 0.25, 0.5, 0.9, 1.0):
+        assert stats.ranked_quantile(whole, [], "x", q).first().value == sorted(values)[max(1, round(501 * q)) - 1]
+    r = audit.slack_stats(whole, (), "x", "v").first()
+    assert (r.n_ok, r.p25, r.median, r.p75) == (501, sorted(values)[124], sorted(values)[249], sorted(values)[375])
 
 
 def test_ranks_and_correlations_with_ties_and_constants(spark):
@@ -164,7 +251,7 @@ def test_logistic_fit_recovers_the_direction(spark):
     rng = np.random.default_rng(10)
     x = rng.normal(size=(200, 2))
     df = spark.createDataFrame([(float(a), float(b), int(a - 2 * b > 0)) for a, b in x], "a double, b double, label int")
-    w = ranking.pairwise_logistic_fit(df, "label", ["a", "b"], 0.01)
+    w = {r.feature: r.weight for r in ranking.pairwise_logistic_fit(df, "label", ["a", "b"], 0.01).collect()}
     assert w["a"] > 0 > w["b"] and abs(w["b"]) > abs(w["a"])
 
 
@@ -177,6 +264,38 @@ def test_negatives_ladder_and_shortfall(spark):
     assert short == {1: 0, 2: 0, 3: 2}
 
 
+def test_min_distance_filter_equals_greedy(spark):
+    rng = random.Random(24)
+    rows = [(i, c, sorted(rng.sample(range(8), 4)), rng.random()) for i in range(4) for c in rng.sample(range(1000), 40)]
+    got = sorted((r.i, r.c) for r in screening.min_distance_filter(spark.createDataFrame(rows, "i int, c int, v array<int>, d double"), "i", "c", "v", "d", 0.2, 0.5).collect())
+    want = []
+    for i in range(4):
+        kept = []
+        for c, v in sorted((c, set(v)) for j, c, v, d in rows if j == i and d >= 0.2):
+            if all(1 - len(v & o) / len(v | o) >= 0.5 for o in kept):
+                kept.append(v)
+                want.append((i, c))
+    assert got == want
+
+
+def test_ridge_weights_predict(spark):
+    rng = np.random.default_rng(25)
+    x = rng.normal(size=(80, 2))
+    df = spark.createDataFrame([(float(a), float(b), float(2 * a - b + 3)) for a, b in x], "a double, b double, y double")
+    w = ranking.ridge_fit(df, "y", ["a", "b"], 0.0)
+    assert {r.feature: round(r.weight, 9) for r in w.collect()} == {"a": 2.0, "b": -1.0, "intercept": 3.0}
+    assert ranking.predict(df, w, ["a", "b"]).where("abs(pred - y) > 1e-9").count() == 0
+
+
+def test_leaderboard(spark):
+    rng = random.Random(26)
+    rows = [(c, g, k, rng.random() * s + t, t) for c, s in (("bad", 9.0), ("good", 0.01), ("mid", 1.0)) for g in "xyz" for k, t in enumerate([1.0, 2.0, 3.0, 4.0])]
+    got = {r.c: r for r in ranking.sweep_leaderboard(spark.createDataFrame(rows, "c string, g string, k int, p double, t double"), "c", "g", "k", "p", "t").collect()}
+    assert [c for c in got if got[c].best] == ["good"] and got["good"].mean_rho == got["good"].pair_accuracy == got["good"].top1_rate == 1.0
+    pairs = [(rows[i], rows[j]) for i in range(len(rows)) for j in range(i) if rows[i][:2] == rows[j][:2] and rows[i][0] == "bad"]
+    assert got["bad"].pair_accuracy == pytest.approx(sum((a[3] > b[3]) == (a[4] > b[4]) for a, b in pairs) / len(pairs))
+
+
 def test_maxmin_choice_equals_greedy(spark):
     rng = random.Random(11)
     rows = [(1, k, sorted(rng.sample(range(10), 4))) for k in range(12)]
@@ -207,15 +326,51 @@ def test_components_and_distances(spark):
 def test_spectrum_traces(spark):
     edges = spark.createDataFrame([("p", 1, 2), ("p", 2, 3)], "graph string, u int, v int")
     assert [round(r.value, 9) for r in graphs.spectrum(edges).orderBy("k").collect()] == [0.0, 1.0, 3.0]
-    assert graphs.spectrum(edges, max_nodes=2).count() == 0
-
-
-def test_pairwise_kl_equals_brute_force(spark):
-    rng = random.Random(12)
-    rows = [(c, rng.choice("xyz"[: c + 1])) for c in range(3) for _ in range(20)]
+    large = graphs.spectrum(edges, max_nodes=2).collect()
+    assert [(r.status, r.n_nodes, r.k, r.value, r.trace, r.trace_sq) for r in large] == [("too_large", 3, None, None, 4.0, 10.0)]
+    assert graphs.spectrum(edges, weights=True).agg(F.sum("first_weight")).first()[0] == pytest.approx(1.0)
+    path = spark.range(2500).select(F.lit("path").alias("graph"), F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    values = [r.value for r in graphs.spectrum(path).orderBy("k").collect()]
+    assert np.allclose(values, 2 - 2 * np.cos(np.pi * np.arange(2501) / 2501), atol=1e-8)
+
+
+def test_distances_and_components_of_long_paths(spark):
+    path = spark.range(220).select(F.lit("path").alias("graph"), F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    r = graphs.graph_distances(path).first()
+    assert (r.diameter, r.wiener, r.leaves) == (220, 220 * 221 * 222 // 6, 2)
+    long = spark.range(600).select(F.lit("path").alias("graph"), (F.col("id") * 389 % 601).alias("u"), ((F.col("id") + 1) * 389 % 601).alias("v"))
+    nodes = long.select("graph", F.explode(F.array("u", "v")).alias("node"))
+    assert graphs.components(nodes, long).first().n_components == 1
+
+
+def test_moments_and_shape_equal_dense_matrices(spark):
+    rng = random.Random(28)
+    rows = [(g, rng.randrange(12), rng.randrange(12)) for g in "ab" for _ in range(40)] + [("hub", 0, k) for k in range(1, 200)] + [("hub", k, k + 1) for k in range(1, 20)]
+    edges = spark.createDataFrame(rows, "graph string, u int, v int")
+    moments = {r.graph: (r.m2, r.m3, r.m4) for r in graphs.spectral_moments(edges).collect()}
+    shape = {r.graph: r for r in graphs.graph_shape(edges).collect()}
+    for g in ("a", "b", "hub"):
+        a = np.zeros((201, 201))
+        for h, u, v in rows:
+            if h == g and u != v:
+                a[u, v] = a[v, u] = 1
+        d = a.sum(0)
+        a, d = a[d > 0][:, d > 0], d[d > 0]
+        assert moments[g] == pytest.approx([np.trace(np.linalg.matrix_power(a, k)) / len(d) for k in (2, 3, 4)])
+        tri = np.diag(a @ a @ a) / 2
+        assert shape[g].n_triangles == round(tri.sum() / 3)
+        assert shape[g].mean_clustering == pytest.approx(np.where(d > 1, 2 * tri / np.maximum(d * (d - 1), 1), 0).mean())
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_pairwise_kl_equals_brute_force(spark, seed):
+    """Chains over few of many keys, so that some pairs share none."""
+    rng = random.Random(seed)
+    own = {c: rng.sample("stuvwxyz", rng.randint(1, 3)) for c in range(6)}
+    rows = [(c, rng.choice(own[c])) for c in own for _ in range(20)]
     eps, keys = 1e-3, sorted({k for _, k in rows})
-    dist = {c: {k: (sum(r == (c, k) for r in rows) / 20 + eps) / (1 + len(keys) * eps) for k in keys} for c in range(3)}
-    want = [sum(dist[a][k] * np.log(dist[a][k] / dist[b][k]) for k in keys) for a in range(3) for b in range(3) if a != b]
+    dist = {c: {k: (sum(r == (c, k) for r in rows) / 20 + eps) / (1 + len(keys) * eps) for k in keys} for c in own}
+    want = [sum(dist[a][k] * np.log(dist[a][k] / dist[b][k]) for k in keys) for a in own for b in own if a != b]
     got = distributions.pairwise_kl(spark.createDataFrame(rows, "c int, k string"), "c", "k", eps).first()
     assert (got.kl_max, got.kl_mean) == (pytest.approx(max(want)), pytest.approx(np.mean(want)))
 
@@ -250,6 +405,19 @@ def test_empty_tables(spark):
     assert stats.status_summary(empty, "g").first().n_rows == 0
 
 
+def test_row_seeds(spark):
+    import zlib
+
+    rows = spark.range(50).select("id", S.row_seed(42, F.col("id").cast("string")).alias("s")).collect()
+    assert all(r.s == zlib.crc32(str(r.id).encode()) ^ 42 for r in rows)
+
+
+def test_running_percentile(spark):
+    values = [float(k * 7919 % 1000) for k in range(1000)]
+    r = stats.running_percentile(spark.createDataFrame([("g", v) for v in values], "g string, x double"), ["g"], "x", 0.9).first()
+    assert r.mean == pytest.approx(np.mean(values)) and abs(r.percentile - 900) <= 1
+
+
 def test_scalars(spark):
     row = spark.range(1).select(
         S.size_bin(F.lit(81)).alias("bin"),

@@ -23,6 +23,27 @@ def duck():
     return con
 
 
+#: Queries without SQL, and the tests that hold their operators against plain Python.
+TESTED = {
+    "A11_file_manifest": "test_files",
+    "B10_row_seed": "test_row_seeds",
+    "D36_running_percentile": "test_running_percentile",
+    "F2_item_audit": "test_item_audit",
+    "F6_null_auc_quantile": "test_null_distribution_equals_the_positive_recurrence",
+    "G6_maxmin_select": "test_maxmin_choice_equals_greedy",
+    "H12_pairwise_logistic_fit": "test_logistic_fit_recovers_the_direction",
+    "H20_calibrate_scores": "test_calibrated_scores_rank_better",
+    "J9_spectrum": "test_spectrum_traces",
+}
+
+
+def test_every_query_has_sql_or_a_test():
+    from tests import test_operators
+
+    assert set(TESTED) == set(registry.QUERIES) - set(registry.SQL)
+    assert all(hasattr(test_operators, name) for name in TESTED.values())
+
+
 def _value(x):
     if x is None or isinstance(x, float) and math.isnan(x):
         return "null"
@@ -41,7 +62,7 @@ def test_query(spark, duck, name):
     df = registry.QUERIES[name](spark, SF)
     rows = df.collect()
     if name not in registry.SQL:
-        assert df.columns
+        assert rows and name in TESTED
         return
     want = duck.execute(registry.SQL[name])
     columns = [c[0] for c in want.description]
@@ -58,6 +79,6 @@ def test_entry(spark):
 
 def test_every_part_gets_negatives(spark):
     parts = {r.p_partkey for r in registry.table(spark, SF, "part").collect()}
-    ids = {n: [r.item_id for r in registry.QUERIES[n](spark, SF).collect()] for n in ("G2_shortfall_all", "G3_matched_negatives_ladder_all")}
-    assert sorted(ids["G2_shortfall_all"]) == sorted(parts)
-    assert set(ids["G3_matched_negatives_ladder_all"]) == parts
+    ids = {n: [r.item_id for r in registry.QUERIES[n](spark, SF).collect()] for n in ("G2_shortfall", "G3_matched_negatives_ladder")}
+    assert sorted(ids["G2_shortfall"]) == sorted(parts)
+    assert set(ids["G3_matched_negatives_ladder"]) == parts
