@@ -11,9 +11,8 @@ are combined associatively, and each chunk is then traced back on its own.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +22,6 @@ from pyspark.sql import functions as F
 from gaugeline.llm.common import Scratch, partitions
 
 _SPACE = "▁"
-_UNIT = re.compile("▁*[^▁]+|▁+")
-_SHORT = 32
 
 
 class Pieces:
@@ -43,7 +40,6 @@ class Pieces:
         if any(_SPACE in p.lstrip(_SPACE) for p in self.id):
             raise ValueError("a piece of this model goes over a word boundary")
         self._apart: dict[tuple[str, str], bool] = {}
-        self._units: dict[str, tuple[int, ...]] = {}
 
     def ids(self, piece: str) -> list[int]:
         found = self.id.get(piece)
@@ -73,23 +69,10 @@ class Pieces:
         return [(i, j) for i in range(max(0, cut - self.longest), cut) for j in self.starting(s, i) if j >= cut]
 
     def stretch(self, s: str) -> list[int]:
-        """The ids of whole words, the first of which begins with a space mark.
-
-        No piece goes over a word start, so words are merged each on their own,
-        and a short one is asked of the library once.
-        """
-        out: list[int] = []
-        known = self._units
-        for unit in _UNIT.findall(s):
-            found = known.get(unit)
-            if found is None:
-                found = tuple(self.ids(unit) if unit == _SPACE else self.library.encode(unit[1:].replace(_SPACE, " ")))
-                if len(unit) <= _SHORT:
-                    if len(known) > 200_000:
-                        known.clear()
-                    known[unit] = found
-            out.extend(found)
-        return out
+        """The ids of whole words, the first of which begins with a space mark."""
+        if s == _SPACE:
+            return self.ids(s)
+        return self.library.encode(s[1:].replace(_SPACE, " ")) if s else []
 
 
 def _word_starts(s: str, lo: int, hi: int) -> tuple[int, int] | None:
@@ -210,10 +193,14 @@ def _slices(batches, rows: int) -> Iterator[pa.RecordBatch]:
 
 def _encoder(model: bytes):
     def run(batches):
-        p = Pieces(model)
+        import sentencepiece
+
+        library = sentencepiece.SentencePieceProcessor(model_proto=model)
         for part in _slices(batches, 256):
-            found = [p.stretch(_marked(t)) if t else [] for t in part.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "text_key", "ids"])
+            found = library.encode(part.column(2).to_pylist(), num_threads=1)
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(found), np.int32, ends[-1])))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids], names=["doc_id", "text_key", "ids"])
 
     return run
 
@@ -383,7 +370,9 @@ def _decoder(model: bytes):
 
         library = sentencepiece.SentencePieceProcessor(model_proto=model)
         for part in _slices(batches, 256):
-            texts = [library.decode(x) if x else "" for x in part.column(2).to_pylist()]
+            ids = part.column(2).fill_null([])
+            flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *ids.value_lengths().to_pylist()])
+            texts = [library.decode(flat[x:y].tolist()) if y > x else "" for x, y in pairwise(ends)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(texts, pa.string())], names=["doc_id", "text_key", "ids", "text"])
 
     return run
