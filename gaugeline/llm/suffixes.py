@@ -8,12 +8,13 @@ the same next ``length - v + 1`` bytes. First the cover positions whose hash of
 those bytes stands at another position too are found, one bucket at a time.
 Then only suffixes within reach of such a position are dealt into buckets.
 Equal hashes take the place of ranks and suffix order, since only ties matter;
-a tie of suffixes is one of two independent 64-bit hashes of all their bytes.
+a tie of suffixes is one of 96 bits of hashes of all their bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 from itertools import product
 from math import ceil
 
@@ -113,8 +114,11 @@ def chosen_windows(text: bytes, gram: int, run: int) -> tuple[np.ndarray, np.nda
 #: fp_2: of each entry a second hash, or nothing.
 _PACKED = "bucket int, fp binary, pos binary, keys binary, counts binary, fp_2 binary"
 _PACKED_ARROW = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in ("fp", "pos", "keys", "counts", "fp_2"))])
-_FOUND = "k1 long, k2 long, pos binary"
-_FOUND_ARROW = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("pos", pa.binary())])
+#: Positions of many texts in a row; the texts of a group meet in one task.
+_TOLD = "share int, keys binary, counts binary, pos binary"
+_TOLD_ARROW = pa.schema([("share", pa.int32()), *((k, pa.binary()) for k in ("keys", "counts", "pos"))])
+_AT = "k1 long, k2 long, at binary"
+_AT_ARROW = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.binary())])
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -141,13 +145,18 @@ def _unpacked_positions(data: bytes, counts: np.ndarray) -> np.ndarray:
     return (total - np.repeat(total[starts] - step[starts], counts)).astype(np.uint32)
 
 
-def _pack(fp: np.ndarray, pos: np.ndarray, who: np.ndarray, keys: np.ndarray, bits: int, narrow: bool, fp_2: np.ndarray | None = None):
+def _share(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Number under ``n`` of the equal range of 64-bit hashes that each lies in."""
+    return (((hashes.view(np.uint64) >> _HALF) * np.uint64(n)) >> _HALF).astype(np.int32)
+
+
+def _pack(fp: np.ndarray, pos: np.ndarray, who: np.ndarray, keys: np.ndarray, buckets: int, narrow: bool, fp_2: np.ndarray | None = None):
     """A row per bucket; within it positions stand together by text."""
-    bucket = (fp >> np.uint64(64 - bits)).astype(np.int32)
+    bucket = _share(fp, buckets)
     order = np.lexsort((pos, who, bucket))
     fp, pos, who, bucket = fp[order], pos[order].astype(np.int64), who[order], bucket[order]
-    fp = (fp >> np.uint64(64 - bits - 32)).astype(np.uint32) if narrow else fp
-    fp_2 = np.empty(0, np.uint64) if fp_2 is None else fp_2[order]
+    fp = fp.astype(np.uint32) if narrow else fp
+    fp_2 = np.empty(0, np.uint32) if fp_2 is None else fp_2[order].astype(np.uint32)
     cuts = np.append(_runs(bucket), len(bucket)) if len(bucket) else np.zeros(1, int)
     rows = []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -185,7 +194,7 @@ def _first_of_each(batch: pa.RecordBatch, seen: set) -> pa.RecordBatch:
     return batch.filter(pa.array(fresh, pa.bool_()))
 
 
-def _cover_entries(length: int, prime: int, bits: int):
+def _cover_entries(length: int, prime: int, buckets: int):
     def run(batches):
         period, cover = difference_cover(prime)
         short = length - period + 1
@@ -206,12 +215,12 @@ def _cover_entries(length: int, prime: int, bits: int):
                     who.append(np.full(len(p), k))
                 at, pos, who = map(np.concatenate, (at, pos, who))
                 if len(at):
-                    yield _pack(fp[at], pos, who, keys, bits, True)
+                    yield _pack(fp[at], pos, who, keys, buckets, True)
 
     return run
 
 
-def _word_entries(gram: int, run_words: int, bits: int):
+def _word_entries(gram: int, run_words: int, buckets: int):
     def run(batches):
         seen = set()
         for batch in batches:
@@ -221,19 +230,19 @@ def _word_entries(gram: int, run_words: int, bits: int):
                 found = [(k, *chosen_windows(batch.column(2)[k].as_py(), gram, run_words)) for k in range(a, min(a + _TEXTS, batch.num_rows))]
                 who = np.repeat([k for k, _, _ in found], [len(x) for _, x, _ in found])
                 if len(who):
-                    yield _pack(np.concatenate([x for _, _, x in found]), np.concatenate([x for _, x, _ in found]), who, keys, bits, False)
+                    yield _pack(np.concatenate([x for _, _, x in found]), np.concatenate([x for _, x, _ in found]), who, keys, buckets, False)
 
     return run
 
 
-def _suffix_entries(length: int, period: int, bits: int):
+def _suffix_entries(length: int, period: int, buckets: int):
     def run(batches):
         seen = set()
         for batch in batches:
             batch = _first_of_each(batch, seen)
             keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)], axis=1)
             wanted = batch.column(3).to_pylist()
-            texts = ((k, v.as_buffer(), np.concatenate([np.frombuffer(w, np.uint32) for w in wanted[k]])) for k, v in enumerate(batch.column(2)))
+            texts = ((k, v.as_buffer(), np.frombuffer(wanted[k], np.uint32)) for k, v in enumerate(batch.column(2)))
             for data, held in _segments(texts, length):
                 fp = fingerprints(data, length)
                 at, pos, who = [], [], []
@@ -248,39 +257,45 @@ def _suffix_entries(length: int, period: int, bits: int):
                     who.append(np.full(len(p), k))
                 at, pos, who = map(np.concatenate, (at, pos, who))
                 if len(at):
-                    yield _pack(fp[at], pos, who, keys, bits, False, fingerprints(data, length, second=True)[at])
+                    yield _pack(fp[at], pos, who, keys, buckets, False, fingerprints(data, length, second=True)[at])
 
     return run
 
 
-def _ties(narrow: bool, across: bool = False):
+def _ties(narrow: bool, shares: int, across: bool = False):
     """Of each bucket in turn, the positions whose fingerprint also stands at another position, or ``across`` in another text.
 
     Rows come by bucket. Entries are taken in blocks and merged into the
     sorted distinct fingerprints seen so far, so memory follows the number of
-    distinct ones in a bucket, however often one is repeated.
+    distinct ones in a bucket, however often one is repeated. What is found is
+    told in ``shares`` by the texts' keys.
     """
     kind = np.uint32 if narrow else np.uint64
 
     def found(k1, k2, pos):
-        order = np.lexsort((pos, k2, k1))
-        k1, k2, pos = k1[order], k2[order], pos[order]
+        share = _share(k1, shares)
+        order = np.lexsort((pos, k2, k1, share))
+        share, k1, k2, pos = share[order], k1[order], k2[order], pos[order]
         once = _runs(k1, k2, pos)
-        k1, k2, pos = k1[once], k2[once], pos[once]
-        cuts = _runs(k1, k2) if len(k1) else []
-        parts = np.split(pos, cuts[1:]) if len(k1) else []
-        return pa.RecordBatch.from_arrays([pa.array(k1[cuts]), pa.array(k2[cuts]), pa.array([p.tobytes() for p in parts], pa.binary())], schema=_FOUND_ARROW)
+        share, k1, k2, pos = share[once], k1[once], k2[once], pos[once].astype(np.int64)
+        cuts = np.append(_runs(share), len(share)) if len(share) else np.zeros(1, int)
+        rows = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            at = _runs(k1[a:b], k2[a:b])
+            counts = np.diff(np.append(at, b - a)).astype(np.uint32)
+            rows.append((int(share[a]), np.stack([k1[a:b][at], k2[a:b][at]], axis=1).tobytes(), counts.tobytes(), _packed_positions(pos[a:b], at)))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_TOLD_ARROW)], schema=_TOLD_ARROW)
 
     class Bucket:
         def __init__(self):
-            self.state = [np.empty(0, kind), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, bool)]
+            self.state = [np.empty(0, kind), np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, bool)]
             self.held, self.size = [], 0
 
         def add(self, row):
             counts = np.frombuffer(row[4], np.uint32).astype(np.int64)
             fp, pos = np.frombuffer(row[1], kind), _unpacked_positions(row[2], counts)
             keys = np.repeat(np.frombuffer(row[3], np.int64).reshape(-1, 2), counts, axis=0)
-            fp_2 = np.frombuffer(row[5], np.uint64) if row[5] else np.zeros(len(fp), np.uint64)
+            fp_2 = np.frombuffer(row[5], np.uint32) if row[5] else np.zeros(len(fp), np.uint32)
             self.held.append((fp, fp_2, keys[:, 0], keys[:, 1], pos))
             self.size += len(fp)
 
@@ -344,6 +359,35 @@ def _ties(narrow: bool, across: bool = False):
     return run
 
 
+def _gathered(batches):
+    """Of rows by share, all positions of each text, once each."""
+    held: list[tuple] = []
+
+    def out():
+        k1, k2, pos = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((pos, k2, k1))
+        k1, k2, pos = k1[order], k2[order], pos[order]
+        once = _runs(k1, k2, pos)
+        k1, k2, pos = k1[once], k2[once], pos[once]
+        cuts = _runs(k1, k2)
+        for a in range(0, len(cuts), _TEXTS):
+            some = np.append(cuts[a : a + _TEXTS], cuts[a + _TEXTS] if a + _TEXTS < len(cuts) else len(k1))
+            yield pa.RecordBatch.from_arrays([pa.array(k1[some[:-1]]), pa.array(k2[some[:-1]]), pa.array([pos[x:y].tobytes() for x, y in zip(some, some[1:])], pa.binary())], schema=_AT_ARROW)
+
+    now = None
+    for batch in batches:
+        for share, keys, counts, pos in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if share != now and held:
+                yield from out()
+                held.clear()
+            now = share
+            counts = np.frombuffer(counts, np.uint32).astype(np.int64)
+            both = np.repeat(np.frombuffer(keys, np.int64).reshape(-1, 2), counts, axis=0)
+            held.append((both[:, 0], both[:, 1], _unpacked_positions(pos, counts)))
+    if held:
+        yield from out()
+
+
 def _removal(length: int):
     def run(batches):
         for batch in batches:
@@ -351,9 +395,9 @@ def _removal(length: int):
             for k1, k2, text, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = np.frombuffer(text, np.uint8)
                 step = np.zeros(len(data) + 1, np.int64)
-                at = np.concatenate([np.frombuffer(s, np.uint32) for s in starts]).astype(np.int64)
-                np.add.at(step, at, 1)
-                np.add.at(step, at + length, -1)
+                at = np.frombuffer(starts, np.uint32).astype(np.int64)
+                step[at] += 1
+                step[at + length] -= 1
                 gone = np.cumsum(step[:-1]) > 0
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                 spans = [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
@@ -368,7 +412,7 @@ def repeated_strings(
     docs: DataFrame,
     length: int = 400,
     prime: int = 13,
-    bucket_entries: int = 500_000,
+    bucket_entries: int = 2_000_000,
     run_words: int = 51,
     gram: int = 36,
     task_bytes: int = 64 << 20,
@@ -382,13 +426,13 @@ def repeated_strings(
 
     Texts with an identical copy are removed whole by a count of their digests.
     For the rest, entries of cover positions, then of candidate suffixes, go to
-    2**bits buckets, as many as hold about ``bucket_entries`` entries each; a
-    task is dealt about ``task_bytes`` and works on one bucket at a time. A task
-    that makes entries takes each distinct text once, so however many copies a
-    text has, its positions are dealt at most once a task, and told once in
-    each merge of a bucket. Only texts with a tied cover position are looked at
-    again. ``length`` must be at least prime**2 + prime + 8. A tie of suffixes
-    means that two independent 64-bit hashes of all their bytes are equal.
+    buckets of about ``bucket_entries`` entries or fewer; a task is dealt about
+    ``task_bytes`` or less and works on one bucket at a time. A task that makes
+    entries takes each distinct text once, so however many copies a text has,
+    its positions are dealt at most once a task, and told once in each merge of
+    a bucket. Only texts with a tied cover position are looked at again.
+    ``length`` must be at least prime**2 + prime + 8. A tie of suffixes means
+    that two independent hashes of all their bytes, of 64 and 32 bits, are equal.
 
     has_repeat is about words, ended by ASCII white space: it is true for every
     document that has ``run_words`` words in a row in common with another
@@ -412,32 +456,28 @@ def repeated_strings(
     digest = scratch.keep(digest, "digest")
     total = digest.agg(F.sum("n_bytes")).first()[0] or 0
 
-    def bits_for(entries: float) -> int:
-        return max(3, ceil(np.log2(max(1, entries / bucket_entries))))
-
-    def ties(entries: DataFrame, expected: float, narrow: bool, across: bool, label: str) -> DataFrame:
-        tasks = max(partitions(spark), ceil(expected * (8 if narrow else 20) / task_bytes))
-        dealt = entries.repartition(tasks, "bucket").sortWithinPartitions("bucket")
-        return scratch.keep(dealt.mapInArrow(_ties(narrow, across), _FOUND), label)
-
-    def at(rows: DataFrame, label: str) -> DataFrame:
-        return scratch.keep(rows.groupBy("k1", "k2").agg(F.collect_set("pos").alias("at")), label)
+    def ties(rows: DataFrame, make, expected: float, narrow: bool, across: bool, label: str) -> DataFrame:
+        """(k1, k2, at): the tied positions of each text, from the entries that ``make`` deals into buckets."""
+        tasks = max(partitions(spark), ceil(expected * (7 if narrow else 15) / task_bytes))
+        buckets = tasks * max(1, ceil(expected / tasks / bucket_entries))
+        dealt = rows.mapInArrow(make(buckets), _PACKED).repartitionById(tasks, F.col("bucket")).sortWithinPartitions("bucket")
+        told = scratch.keep(dealt.mapInArrow(_ties(narrow, tasks, across), _TOLD), f"{label}-told")
+        gathered = told.repartitionById(tasks, F.col("share")).sortWithinPartitions("share").mapInArrow(_gathered, _AT)
+        gathered = scratch.keep(gathered, label)
+        scratch.drop(f"{label}-told")
+        return gathered
 
     data = base.select("k1", "k2", F.encode("text", "UTF-8").alias("data"), "doc_id")
-    expected = total * len(cover) / period
-    bits = bits_for(expected)
-    tied = at(ties(data.where(F.length("data") >= length).mapInArrow(_cover_entries(length, prime, bits), _PACKED), expected, True, False, "tied-rows"), "tied")
-    expected = total / 50  # two of every run_words - gram + 2 words, of six bytes or so
-    bits = bits_for(expected)
-    alike = ties(data.where(F.length("data") >= 2 * run_words - 1).mapInArrow(_word_entries(gram, run_words, bits), _PACKED), expected, False, True, "alike-rows")
-    alike = alike.select("k1", "k2").distinct().withColumn("alike", F.lit(True))
+    tied = ties(data.where(F.length("data") >= length), partial(_cover_entries, length, prime), total * len(cover) / period, True, False, "tied")
+    # Two of every run_words - gram + 2 words, of six bytes or so.
+    alike = ties(data.where(F.length("data") >= 2 * run_words - 1), partial(_word_entries, gram, run_words), total / 50, False, True, "alike")
+    alike = alike.select("k1", "k2", F.lit(True).alias("alike"))
     copies = scratch.keep(digest.groupBy("k1", "k2").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("rep"), F.count("*").alias("n")), "copies")
     looked = data.withColumn("rep", F.coalesce("doc_id", F.lit(-(2**63)))).drop("doc_id")
     wanted = tied.join(copies.drop("n"), ["k1", "k2"])
     looked = scratch.keep(looked.join(wanted, ["k1", "k2", "rep"]).select("k1", "k2", "data", "at"), "looked")
-    expected = looked.agg(F.sum(F.least(F.octet_length("data").cast("long"), F.expr(f"aggregate(at, 0L, (a, x) -> a + octet_length(x) div 4) * {period}")))).first()[0] or 0
-    bits = bits_for(expected)
-    starts = at(ties(looked.mapInArrow(_suffix_entries(length, period, bits), _PACKED), expected, False, False, "starts-rows"), "starts")
+    expected = looked.agg(F.sum(F.least(F.octet_length("data").cast("long"), F.octet_length("at").cast("long") / 4 * period))).first()[0] or 0
+    starts = ties(looked, partial(_suffix_entries, length, period), expected, False, False, "starts")
     removed = looked.drop("at").join(starts, ["k1", "k2"]).mapInArrow(_removal(length), "k1 long, k2 long, spans array<struct<start: long, end: long>>, kept_sha256 string")
     removed = removed.dropDuplicates(["k1", "k2"])
     known = copies.select("k1", "k2", "n").join(removed, ["k1", "k2"], "left").join(alike, ["k1", "k2"], "left").where("n > 1 OR spans IS NOT NULL OR alike")
