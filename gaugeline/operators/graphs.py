@@ -42,14 +42,66 @@ def valence_check(nodes: DataFrame, edges: DataFrame, limits: DataFrame, by: str
     return rows.groupBy(by).agg((~F.bool_or(over)).alias("ok"), F.count_if(over).alias("n_over"), F.sum(F.greatest(F.col("limit") - F.col("degree"), F.lit(0))).alias("free"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, by: str = "graph") -> DataFrame:
+def _small_components(by: str, rows: int):
+    """Component counts of whole graphs, from rows (graph, u, v) sorted by graph, in blocks of about ``rows``; a node is a loop."""
+
+    def counted(pdf: pd.DataFrame) -> pd.DataFrame:
+        graph, names = pd.factorize(pdf[by])
+        node = pd.factorize(pd.concat([pdf["u"], pdf["v"]]))[0].astype(np.int64)
+        where = np.concatenate([graph, graph]) * (node.max() + 1) + node
+        _, first, at = np.unique(where, return_index=True, return_inverse=True)
+        u, v = np.split(at, 2)
+        label = np.arange(len(first))
+        while True:
+            low = label.copy()
+            np.minimum.at(low, u, label[v])
+            np.minimum.at(low, v, label[u])
+            low = low[low]
+            if np.array_equal(low, label):
+                break
+            label = low
+        owner = np.concatenate([graph, graph])[first]
+
+        def per(of):
+            return np.bincount(of, minlength=len(names))
+
+        return pd.DataFrame({by: names, "n_nodes": per(owner), "n_edges": per(graph[u != v]), "n_components": per(owner[label == np.arange(len(label))])})
+
+    def run(batches):
+        held = None
+        for pdf in batches:
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            ready = int((held[by] != held[by].iloc[-1]).sum()) if len(held) else 0
+            if len(held) >= rows and ready:
+                yield counted(held.iloc[:ready])
+                held = held.iloc[ready:]
+        if held is not None and len(held):
+            yield counted(held)
+
+    return run
+
+
+def components(nodes: DataFrame, edges: DataFrame, by: str = "graph", small: int = 100_000) -> DataFrame:
     """(graph, n_nodes, n_edges, n_components, cyclomatic), by least labels along edges.
 
-    Each round takes the least label of the neighbours and then follows the
-    label's own label; it ends when no label changes. A round is a written
-    table, and graphs in which nothing changed are left out of later ones.
+    Graphs of up to ``small`` nodes and edges are solved whole, many in a task.
+    Larger ones are solved in rounds: each takes the least label of the
+    neighbours and then follows the label's own label; it ends when no label
+    changes. A round is a written table, and graphs in which nothing changed
+    are left out of later ones.
     """
     undir = written(undirected(edges, by), "components")
+    rows = undir.unionByName(nodes.select(by, F.col("node").alias("u"), F.col("node").alias("v")).distinct())
+    large = written(rows.groupBy(by).agg(F.count("*").alias("n_")).where(F.col("n_") > small).select(by), "components")
+    kind = dict(nodes.dtypes)[by]
+    few = rows.join(large, by, "left_anti").repartition(by).sortWithinPartitions(by)
+    found = few.mapInPandas(_small_components(by, small), f"{by} {kind}, n_nodes long, n_edges long, n_components long")
+    if not large.isEmpty():
+        found = found.unionByName(_large_components(nodes.join(large, by, "left_semi"), undir.join(large, by, "left_semi"), by))
+    return found.withColumn("cyclomatic", F.col("n_edges") - F.col("n_nodes") + F.col("n_components"))
+
+
+def _large_components(nodes: DataFrame, undir: DataFrame, by: str) -> DataFrame:
     links = both_ways(undir, by)
     labels = nodes.select(by, "node").distinct().withColumn("label", F.col("node"))
     done = None
@@ -68,7 +120,7 @@ def components(nodes: DataFrame, edges: DataFrame, by: str = "graph") -> DataFra
         links = links.join(moved, by, "left_semi")
     found = done.groupBy(by).agg(F.count("*").alias("n_nodes"), F.count_distinct("label").alias("n_components"))
     m = undir.groupBy(by).agg(F.count("*").alias("n_edges"))
-    return found.join(m, by, "left").select(by, "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "n_components", (F.coalesce("n_edges", F.lit(0)) - F.col("n_nodes") + F.col("n_components")).alias("cyclomatic"))
+    return found.join(m, by, "left").select(by, "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "n_components")
 
 
 def oriented(edges: DataFrame, by: str = "graph") -> DataFrame:

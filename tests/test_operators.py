@@ -315,8 +315,9 @@ def test_maxmin_choice_equals_greedy(spark):
 def test_components_and_distances(spark):
     edges = spark.createDataFrame([("t", 1, 2), ("t", 2, 3), ("t", 3, 1), ("p", 1, 2), ("p", 2, 3), ("p", 3, 4), ("d", 1, 2), ("d", 5, 6)], "graph string, u int, v int")
     nodes = edges.select("graph", F.explode(F.array("u", "v")).alias("node")).distinct().union(spark.createDataFrame([("single", 9)], "graph string, node int"))
-    got = {r.graph: (r.n_components, r.cyclomatic) for r in graphs.components(nodes, edges).collect()}
-    assert got == {"t": (1, 1), "p": (1, 0), "d": (2, 0), "single": (1, 0)}
+    for small in (100_000, 4, 0):
+        got = {r.graph: (r.n_components, r.cyclomatic) for r in graphs.components(nodes, edges, small=small).collect()}
+        assert got == {"t": (1, 1), "p": (1, 0), "d": (2, 0), "single": (1, 0)}
     far = {r.graph: (r.diameter, r.wiener) for r in graphs.graph_distances(edges).collect()}
     assert far["p"] == (3, 10) and far["t"] == (1, 3)
     shape = {r.graph: (r.n_triangles, r.mean_clustering) for r in graphs.graph_shape(edges).collect()}
@@ -341,6 +342,7 @@ def test_distances_and_components_of_long_paths(spark):
     long = spark.range(600).select(F.lit("path").alias("graph"), (F.col("id") * 389 % 601).alias("u"), ((F.col("id") + 1) * 389 % 601).alias("v"))
     nodes = long.select("graph", F.explode(F.array("u", "v")).alias("node"))
     assert graphs.components(nodes, long).first().n_components == 1
+    assert graphs.components(path.select("graph", F.explode(F.array("u", "v")).alias("node")), path, small=100).first().n_components == 1
 
 
 def test_moments_and_shape_equal_dense_matrices(spark):
