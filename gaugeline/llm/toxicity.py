@@ -112,8 +112,10 @@ def train(
     some = some.orderBy("turn", "doc_id", "label").limit(max_rows)
     order = ["turn", "doc_id", "label", "text_key"]
     rows = docs.join(F.broadcast(some), "doc_id").select("turn", "doc_id", "label", F.xxhash64("text").alias("text_key"), "text")
-    rows = rows.mapInArrow(_extracted(bits), "turn long, doc_id long, label int, text_key long, features binary").orderBy(*order).limit(max_rows)
-    rows = scratch.keep(rows, "rows").repartition(1).sortWithinPartitions(*order)
+    rows = scratch.keep(rows.mapInArrow(_extracted(bits), "turn long, doc_id long, label int, text_key long, features binary"), "rows")
+    if rows.count() > max_rows:  # ids repeat
+        rows = scratch.keep(rows.orderBy(*order).limit(max_rows), "first-rows")
+    rows = rows.repartition(1).sortWithinPartitions(*order)
     return scratch.keep(rows.mapInArrow(_trainer(bits, epochs, alpha, beta, l1, l2), "feature long, weight double"), "weights")
 
 
