@@ -49,12 +49,14 @@ def fit(rows: list[np.ndarray], labels: list[float], bits: int, epochs: int, alp
 
     A feature whose weight is 0 moves by less than 1 in each row that holds it,
     so one in l1 / epochs rows or fewer never passes the penalty and is left out.
+    The list of rows is changed in place, so that the full ones are let go.
     """
     z, n, seen = (np.zeros((1 << bits) + 1) for _ in range(3))
     for at in rows:
         seen[at] += 1
     free = np.int32(1 << bits)  # the bias, without penalty
-    rows = [np.append(at[seen[at] * epochs > l1], free) for at in rows]
+    for k, at in enumerate(rows):
+        rows[k] = np.append(at[seen[at] * epochs > l1], free)
     for epoch in range(epochs):
         for k in np.random.default_rng(epoch).permutation(len(rows)):
             at = rows[k]

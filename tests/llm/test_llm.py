@@ -390,7 +390,7 @@ def test_weights_equal_plain_ftrl():
     texts = [words(rng, rng.randint(5, 40), 60) + (" vile rotten" if k % 4 == 0 else "") for k in range(200)]
     rows, labels = [np.unique(toxicity.features(t, 12)).astype(np.int32) for t in texts], [float(k % 4 == 0) for k in range(200)]
     for l1 in (0.0, 3.0, 8.0):
-        at, w = toxicity.fit(rows, labels, 12, 3, 1.0, 1.0, l1, 0.1)
+        at, w = toxicity.fit(list(rows), labels, 12, 3, 1.0, 1.0, l1, 0.1)
         want = ftrl([r.tolist() for r in rows], labels, 12, 3, 1.0, 1.0, l1, 0.1)
         assert set(at.tolist()) == set(want) and max(abs(want[i] - x) for i, x in zip(at.tolist(), w)) < 1e-9
 
