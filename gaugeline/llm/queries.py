@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import contamination, exact, minhash, pieces, pii, secrets, suffixes, toxicity, urls, warc
+from gaugeline.llm import contamination, exact, minhash, pieces, pii, secrets, suffixes, toxicity, trie, urls, warc
 from gaugeline.llm.common import Scratch, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with personal data, pseudonymised."""
     keys = pii.key_table(spark, {1: PSEUDONYM_KEY.encode()})
     return pii.pseudonymised(read(spark, sf_dir, "documents"), keys, 1).drop("text_key")
+
+
+@query("op13_conversation_trie")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all conversations, each with the first turns of the hundred it belongs to."""
+    return trie.prefix_trie(trie.turn_sequences(read(spark, sf_dir, "conversations"), branch=100, heads=6))
