@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import contamination, exact, minhash, pieces, pii, secrets, suffixes, toxicity, trie, urls, warc
+from gaugeline.llm import contamination, exact, minhash, pieces, pii, runs, secrets, suffixes, toxicity, trie, urls, warc
 from gaugeline.llm.common import Scratch, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,6 +169,27 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(read(spark, sf_dir, "documents"), keys, 1).drop("text_key")
 
 
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number, longest and digests of the periodic runs of each document, some of which are given a loop first."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", runs.looped(F.col("doc_id"), F.col("text")).alias("text"))
+    told = F.transform("runs", lambda x: F.concat_ws(",", x["start"].cast("string"), x["length"].cast("string"), x["period"].cast("string")))
+    lines = F.when(F.size("runs") > 0, F.concat(F.array_join(told, "\n"), F.lit("\n"))).otherwise("")
+    # The greatest by length, then by smallest start and period.
+    top = F.array_max(F.transform("runs", lambda x: F.struct(x["length"].alias("length"), (-x["start"]).alias("start"), (-x["period"]).alias("period"))))
+    found = runs.periodic_runs(docs).withColumn("top", top)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.start")).alias("start"),
+        "top.length",
+        (-F.col("top.period")).alias("period"),
+        F.floor(F.lit(1000) * F.col("top.length") / -F.col("top.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 @query("op13_conversation_trie")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the trie of all conversations, each with the first turns of the hundred it belongs to."""
