@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import contamination, exact, minhash, pieces, pii, runs, secrets, suffixes, toxicity, trie, urls, warc
+from gaugeline.llm import contamination, exact, language, minhash, pieces, pii, runs, secrets, suffixes, toxicity, trie, urls, warc
 from gaugeline.llm.common import Scratch, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,6 +169,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(read(spark, sf_dir, "documents"), keys, 1).drop("text_key")
 
 
+@query("op11_language_id")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest language of each document; ``rejected`` where the margin is narrow, or nothing can be told."""
+    docs = read(spark, sf_dir, "documents")
+    learned = language.dictionaries(docs.where(~language.held_out()).select("text", "lang"))
+    return language.languages(docs, learned).select(
+        "doc_id", "held_out", F.coalesce("nearest", F.lit("und")).alias("lang_pred"), "score", F.col("lang").isNull().alias("rejected"), "margin"
+    )
+
+
 @query("op12_periodic_runs")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number, longest and digests of the periodic runs of each document, some of which are given a loop first."""
