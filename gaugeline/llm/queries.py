@@ -173,7 +173,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest language of each document; ``rejected`` where the margin is narrow, or nothing can be told."""
     docs = read(spark, sf_dir, "documents")
-    learned = language.dictionaries(docs.where(~language.held_out()).select("text", "lang"))
+    learned = language.dictionaries(docs.where("doc_id IS NOT NULL").where(~language.held_out()).select("text", "lang"))
     return language.languages(docs, learned).select(
         "doc_id", "held_out", F.coalesce("nearest", F.lit("und")).alias("lang_pred"), "score", F.col("lang").isNull().alias("rejected"), "margin"
     )
