@@ -35,35 +35,36 @@ def directory(entries: DataFrame, capacity: int, max_depth: int) -> DataFrame:
 def build_index(docs: DataFrame, scratch: Scratch, capacity: int = 4096, max_depth: int | None = None, key_bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """Write the index of ``docs(doc_id, text)``; returns (entries, index), both on shared files.
 
-    ``entries`` has a row per document: doc_id, key (64-bit hash), text_sha256
-    and row (a number of its own). ``index`` has a row per distinct text:
-    bucket, key, chain (its place among the texts of that key), text_sha256,
-    keep_id, keep_row and group_size.
+    ``entries`` has a row per document: doc_id, row (a number of its own),
+    text_sha256, and its slot, which is bucket, key (64-bit hash) and chain.
+    ``index`` has a row per slot, that is, per distinct text: keep_id, keep_row
+    and group_size.
 
     The directory's depth follows the number of documents, with two splits to
-    spare, up to 2**20 cells. Rows go to the owner of (bucket, key), which keeps
-    the chain of different texts of each key by comparing their bytes; copies
-    meet in the map tasks first, so a hot text is one row per map task there.
-    The documents then probe the chains by digest, combined per text before they
-    are dealt, and so get the one that stays. Two texts of a chain with one
-    digest stop the run. Fewer ``key_bits`` make collisions, for tests.
+    spare, up to 2**20 cells. Rows go to the owner of (bucket, key), which
+    compares their bytes and chains the different texts of a key; copies meet in
+    the map tasks first, so a hot text is one row per map task there. A document
+    finds its place in the chain of its key by comparing bytes; where an owner
+    met one text only, the place is 0 and no chain is looked up. The owners of
+    the slots then reckon which document stays. The digest takes no part in
+    this. Fewer ``key_bits`` make collisions, for tests.
     """
     key = F.xxhash64("text") if key_bits == 64 else F.shiftleft(F.shiftrightunsigned(F.xxhash64("text"), 64 - key_bits), 64 - key_bits)
     base = docs.withColumn("key", key)
-    entries = base.select("doc_id", "key", F.sha2("text", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row"))
+    keys = scratch.keep(base.select("key"), "keys")
+    depth = max_depth or min(MAX_DEPTH, max(1, ceil(log2(max(1.0, keys.count() / capacity))) + 2))
+    cells = scratch.keep(directory(keys, capacity, depth), "directory")
+    scratch.drop("keys")
+    owned = base.withColumn("cell", F.shiftrightunsigned("key", 64 - depth)).join(F.broadcast(cells.select("cell", "bucket")), "cell").drop("cell")
+    chains = owned.groupBy("bucket", "key").agg(F.collect_set("text").alias("texts")).where(F.size("texts") > 1)
+    chains = scratch.keep(chains.select("bucket", "key", F.array_sort("texts").alias("texts")), "chains")
+    place = F.coalesce(F.array_position("texts", F.col("text")) - 1, F.lit(0)).cast("int")
+    entries = owned.join(chains, ["bucket", "key"], "left")
+    entries = entries.select("doc_id", F.monotonically_increasing_id().alias("row"), "bucket", "key", place.alias("chain"), F.sha2("text", 256).alias("text_sha256"))
     entries = scratch.keep(entries, "entries")
-    depth = max_depth or min(MAX_DEPTH, max(1, ceil(log2(max(1.0, entries.count() / capacity))) + 2))
-    cells = scratch.keep(directory(entries, capacity, depth), "directory")
-    owned = base.withColumn("cell", F.shiftrightunsigned("key", 64 - depth)).join(F.broadcast(cells.select("cell", "bucket")), "cell")
-    chains = owned.groupBy("bucket", "key").agg(F.array_sort(F.collect_set("text")).alias("chain"))
-    chains = chains.select("bucket", "key", F.expr("transform(chain, t -> sha2(t, 256))").alias("chain"))
-    clash = F.size(F.array_distinct("chain")) < F.size("chain")
-    chains = chains.withColumn("chain", F.when(clash, F.raise_error(F.lit("two texts share both digests")).cast("array<string>")).otherwise(F.col("chain")))
-    slots = chains.select("bucket", "key", F.posexplode("chain").alias("chain", "text_sha256"))
     top = F.max(F.struct("doc_id", (-F.col("row")).alias("row"))).alias("top")
-    asked = entries.groupBy("key", "text_sha256").agg(top, F.count("*").alias("group_size"))
-    index = slots.join(asked, ["key", "text_sha256"])
-    index = index.select("bucket", "key", "chain", "text_sha256", F.col("top.doc_id").alias("keep_id"), (-F.col("top.row")).alias("keep_row"), "group_size")
+    slots = entries.groupBy("bucket", "key", "chain").agg(top, F.count("*").alias("group_size"))
+    index = slots.select("bucket", "key", "chain", F.col("top.doc_id").alias("keep_id"), (-F.col("top.row")).alias("keep_row"), "group_size")
     return entries, scratch.keep(index.repartitionByRange(partitions(docs.sparkSession), "bucket", "key").sortWithinPartitions("bucket", "key", "chain"), "index")
 
 
@@ -78,5 +79,5 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     entries, index = build_index(base, Scratch(docs.sparkSession, "exact"), **index)
-    found = entries.join(spread(index), ["key", "text_sha256"])
+    found = entries.join(spread(index), ["bucket", "key", "chain"])
     return found.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")

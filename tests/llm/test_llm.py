@@ -7,6 +7,7 @@ import hmac
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -148,6 +149,21 @@ def test_chains_tell_colliding_texts_apart(spark):
     assert {r.keep_id for r in found} == set(range(160, 200)) and entries.count() == 200
 
 
+def test_documents_come_through_the_index(spark, monkeypatch):
+    """A slot that the index names otherwise changes the result: nothing else tells copies."""
+    docs = table(spark, [(1, "a"), (2, "a"), (3, "b")]).select("doc_id", "text")
+    _, index = exact.build_index(docs, Scratch(spark, "test"), key_bits=1, max_depth=1)
+    assert "text_sha256" not in index.columns
+    build = exact.build_index
+
+    def bent(*args, **given):
+        entries, index = build(*args, **given)
+        return entries, index.withColumn("keep_id", F.lit(7))
+
+    monkeypatch.setattr(exact, "build_index", bent)
+    assert {r.keep_id for r in exact.exact_duplicates(docs).collect()} == {7}
+
+
 def test_directory_splits_overfull_buckets(spark):
     keys = spark.range(3000).select(F.xxhash64("id").alias("key"))
     found = exact.directory(keys, 100, 10)
@@ -615,6 +631,33 @@ def test_pseudonyms_keep_formats_and_links(spark):
         pii.pseudonymised(table(spark, rows), keys, 2).collect()
 
 
+def test_pseudonyms_in_very_long_texts(spark):
+    ip = "10.0.0.255"
+    rows = [
+        (1, "a@" + "b." * 100_000 + "b " + ip),
+        (2, "1." * 100_000 + "1 " + ip),
+        (3, "7" * 200_000 + " " + ip),
+        (4, "1234-" * 50_000 + "x " + ip),
+        (5, "+1 " * 100_000 + ip),
+        (6, "a" * 100_000 + "@" + "b" * 100_000 + ".c " + ip),
+        (7, "a@b@" * 50_000 + " " + ip),
+        (8, "ann1@" + "b." * 100_000 + " " + ip),
+    ]
+    got = {r.doc_id: r for r in pii.pseudonymised(table(spark, rows), pii.key_table(spark, {1: b"k"}), 1).collect()}
+    new = ".".join(map(str, feistel(b"k", "ip", [10, 0, 0, 255], [256] * 4)))
+    assert set(got) == set(range(1, 9)) and all(r.n_ip == 1 and r.text.endswith(" " + new) for r in got.values())
+    assert [got[k].n_email for k in range(1, 9)] == [1, 0, 0, 0, 0, 1, 0, 1]
+    assert all(got[k].text[: -len(new)] == dict(rows)[k][: -len(ip)] for k in (2, 3, 4, 5, 7))
+    assert got[8].text[5:-len(new)] == rows[7][1][5:-len(ip)] and got[8].text[:4] != "ann1"
+
+
+def test_many_pseudonyms_in_one_text(spark):
+    text = " ".join(f"10.0.{k // 250}.{k % 250} ann{k}@x.org 4952935900253052" for k in range(3400))
+    began = time.time()
+    row = pii.pseudonymised(table(spark, [(1, text)]), pii.key_table(spark, {1: b"k"}), 1).first()
+    assert (row.n_ip, row.n_email, row.n_card) == (3400, 3400, 3400) and time.time() - began < 30
+
+
 def test_pseudonyms_of_every_kind_equal_a_plain_network(spark):
     secret = b"a secret " * 20  # longer than a block
     rng = random.Random(20)
