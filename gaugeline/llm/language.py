@@ -39,11 +39,16 @@ def dictionaries(labelled: DataFrame, texts: int = TEXTS, lines: int = LINES, mo
     """
     rows = labelled.where("lang IS NOT NULL AND trim(text) <> ''").select("lang", "text", F.xxhash64("text").alias("h"))
     by = Window.partitionBy("lang")
-    few = rows.select("lang", "h").distinct().withColumn("r", F.row_number().over(by.orderBy("h"))).where(F.col("r") <= texts).drop("r")
-    # At most texts * max_languages rows of a name and a number, if there are no more languages than allowed.
-    names = sorted(r.lang for r in few.select("lang").distinct().limit(max_languages + 1).collect())
-    if len(names) > max_languages:
+    ids = rows.select("lang", "h").distinct()
+    counts = {r.lang: r["count"] for r in ids.groupBy("lang").count().limit(max_languages + 1).collect()}
+    if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
+    names = sorted(counts)
+    # Hashes are spread evenly, so those under a bound that leaves four times as many are enough to rank.
+    below = [(name, int((min(1.0, 4 * texts / n) - 0.5) * 2**64) - 1) for name, n in counts.items()]
+    near = ids.join(F.broadcast(labelled.sparkSession.createDataFrame(below, "lang string, most long")), "lang").where("h <= most")
+    few = near.withColumn("r", F.row_number().over(by.orderBy("h"))).where(F.col("r") <= texts).select("lang", "h")
+    # At most texts * max_languages rows of a name and a number.
     found = rows.join(F.broadcast(few), ["lang", "h"]).select("lang", F.explode(F.split("text", "\n")).alias("line")).select("lang", F.trim("line").alias("line")).where("line <> ''")
     listed = found.groupBy("line").agg(F.collect_set("lang").alias("langs"))
     listed = listed.select((F.size("langs") > 1).alias("common"), F.explode("langs").alias("lang"), F.left("line", F.lit(LINE)).alias("line"), F.xxhash64("line").alias("h"))
