@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions.scalars import finite, hardness_bin, pair_credit
 from gaugeline.operators.joins import tolerance_join
-from gaugeline.operators.ordered import before, ranged
+from gaugeline.operators.ordered import running
 from gaugeline.operators.stats import ranked_quantiles, weighted_mean_std
 
 
-def weighted_auc(df: DataFrame, by: Sequence[str], score: str = "score", label: str = "label", weight: str | None = "weight") -> DataFrame:
+def weighted_auc(df: DataFrame, by: Sequence[str], score: str = "score", label: str = "label", weight: str | None = "weight", ranges: int | None = None) -> DataFrame:
     """(group, n_pos, n_neg, auc): sum over tie blocks of pos (negatives below + half of those in the block), over W+ W-.
 
-    Rows are summed by score first, so the window sees distinct scores only.
+    Rows are summed by score first, and a group of any size, or the whole table
+    without one, is put in order by ranges, so no task holds all its scores.
     A group without a positive or a negative has a null AUC. Rows with a null or
     non-finite score are left out.
     """
@@ -33,29 +34,15 @@ def weighted_auc(df: DataFrame, by: Sequence[str], score: str = "score", label:
         F.count_if("y").alias("np"),
         F.count_if(~F.col("y")).alias("nn"),
     )
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), zero)
-    out = blocks.withColumn("below", below).groupBy(*by).agg(
+    out = running(blocks, by, ["s"], {"below": "neg"}, ranges=ranges).groupBy(*by).agg(
         F.sum("np").alias("n_pos"), F.sum("nn").alias("n_neg"), F.sum(F.col("pos") * (F.col("below") + 0.5 * F.col("neg"))).alias("u"), F.sum("pos").alias("wp"), F.sum("neg").alias("wn")
     )
     return out.select(*by, "n_pos", "n_neg", F.try_divide("u", F.col("wp") * F.col("wn")).alias("auc"))
 
 
 def weighted_auc_global(df: DataFrame, score: str = "score", label: str = "label", weight: str | None = "weight", ranges: int | None = None) -> DataFrame:
-    """The AUC of a whole table by a two-level prefix sum, so no task holds all scores.
-
-    Rows are summed by score, and the sums dealt into ranges of the score; the
-    range totals, as many rows as there are ranges, give the offsets.
-    """
-    s = finite(F.col(score))
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    rows = df.where(s.isNotNull() & F.col(label).isNotNull()).select(s.alias("s"), (F.col(label) == 1).alias("y"), w.alias("w"))
-    zero = F.lit(0.0)
-    blocks = rows.groupBy("s").agg(F.sum(F.when(F.col("y"), F.col("w")).otherwise(zero)).alias("pos"), F.sum(F.when(~F.col("y"), F.col("w")).otherwise(zero)).alias("neg"))
-    parts = ranged(blocks, ["s"], ranges)
-    inner = F.coalesce(F.sum("neg").over(Window.partitionBy("part_").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), zero)
-    rows = parts.withColumn("i", inner).join(F.broadcast(before(parts, {"o": "neg"})), "part_")
-    out = rows.agg(F.sum(F.col("pos") * (F.col("o") + F.col("i") + 0.5 * F.col("neg"))).alias("u"), F.sum("pos").alias("wp"), F.sum("neg").alias("wn"))
-    return out.select(F.try_divide("u", F.col("wp") * F.col("wn")).alias("auc"))
+    """The AUC of a whole table; see :func:`weighted_auc`."""
+    return weighted_auc(df, [], score, label, weight, ranges).select("auc")
 
 
 #: The product loses digits with every factor, so few are taken; with more, or as many steps, the characteristic function is inverted.

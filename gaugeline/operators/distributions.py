@@ -11,7 +11,7 @@ from gaugeline.functions.scalars import log_ratio
 from gaugeline.operators.joins import union_support
 from gaugeline.operators.ordered import numbered
 from gaugeline.operators.stats import to_distribution
-from gaugeline.operators.windows import autocorrelation, cumulative_unique, split_half
+from gaugeline.operators.windows import autocorrelation, cumulative_unique, placed, split_half
 from gaugeline.sources.files import written
 
 
@@ -97,8 +97,8 @@ def split_half_kl(df: DataFrame, by: str, order: Sequence[str], key: str, eps: f
 def rhat(df: DataFrame, chain: str, order: Sequence[str], x: str, by: Sequence[str] = (), degenerate: float | None = None) -> DataFrame:
     """Gelman-Rubin statistic over chains cut to the shortest one; ``degenerate`` where it is undefined."""
     sizes = df.groupBy(*by, chain).agg(F.count("*").alias("n_")).groupBy(*by).agg(F.min("n_").alias("n"), F.count("*").alias("m"))
-    rows = df.withColumn("i_", F.row_number().over(Window.partitionBy(*by, chain).orderBy(*order)))
-    rows = (rows.join(sizes, list(by)) if by else rows.join(F.broadcast(sizes))).where("i_ <= n")
+    rows = placed(df, [*by, chain], order)
+    rows = (rows.join(sizes, list(by)) if by else rows.join(F.broadcast(sizes))).where("i_ < n")
     per = rows.groupBy(*by, chain, "n", "m").agg(F.avg(x).alias("mean_"), F.var_samp(x).alias("var_"))
     out = per.groupBy(*by, "n", "m").agg(F.avg("var_").alias("w"), F.var_samp("mean_").alias("b"))
     value = F.sqrt(((F.col("n") - 1) / F.col("n") * F.col("w") + F.col("b")) / F.col("w"))
@@ -121,7 +121,11 @@ def ess_ar1(n: Column, rho1: Column) -> Column:
 
 
 def mixing_report(df: DataFrame, chain: str, order: Sequence[str], key: str, x: str, max_lag: int, bins: int, eps: float = 1e-12) -> DataFrame:
-    """One row: KL between chains, largest split-half KL, R-hat, least effective size, least final number of keys seen."""
+    """One row: KL between chains, largest split-half KL, R-hat, least effective size, least final number of keys seen.
+
+    The chains are put in order once, by ranges, and written with their places.
+    """
+    df = written(placed(df.select(chain, *order, *{key, x} - {chain, *order}), [chain], order, x), "chains")
     parts = [
         pairwise_kl(df, chain, key, eps),
         split_half_kl(df, chain, order, key, eps).agg(F.max("kl").alias("split_kl_max")),

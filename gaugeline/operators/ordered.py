@@ -1,14 +1,16 @@
-"""Order over a whole table without bringing it into one task.
+"""Order over a whole table or within groups without bringing either into one task.
 
-Rows are dealt into ranges and written with the number of their range; sums or
-ends of the ranges, as many rows as there are ranges, carry what lies before.
+Rows are dealt into ranges of (group, order) and written with the number of
+their range; sums or ends of the ranges carry what lies before. Ranges follow
+each other, so at most two groups of a range go on in another one, and what is
+carried has at most two rows for each range, however many groups there are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.sources.files import written
@@ -17,7 +19,7 @@ from gaugeline.sources.files import written
 def ranged(df: DataFrame, order: Sequence[str], ranges: int | None = None) -> DataFrame:
     """The rows with ``part_``, the number of the range of ``order`` that they lie in; a written table.
 
-    Equal rows may lie on both sides of a border if they fill several ranges.
+    Rows that are equal in ``order`` lie in one range, so sum those up before.
     """
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return written(df.repartitionByRange(n, *order).withColumn("part_", F.spark_partition_id()), "ranged")
@@ -37,3 +39,59 @@ def numbered(df: DataFrame, order: Sequence[str], ranges: int | None = None) ->
     total = rows.agg(F.count("*").alias("n_"))
     within = F.row_number().over(Window.partitionBy("part_").orderBy(*order))
     return rows.withColumn("i_", within).join(F.broadcast(starts), "part_").join(F.broadcast(total)).withColumn("r_", F.col("start_") + F.col("i_")).drop("part_", "i_", "start_")
+
+
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    found = F.lit(True)
+    for k in keys:
+        found = found & left[k].eqNullSafe(right[k])
+    return found
+
+
+def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mapping[str, str | Column] = {}, maxima: Mapping[str, str | Column] = {}, totals: bool = False, ranges: int | None = None) -> DataFrame:
+    """The rows with, for each name, the sum or maximum of a column over the rows before in the order of their group.
+
+    With ``totals`` also {name}_all, over the whole group. A sum before the first
+    row is 0, a maximum null. A group of any size is split over the ranges: two
+    windows of a range's rows, and the parts of those groups that lie in several
+    ranges, at most two rows for a range, which are broadcast. A null key is a
+    group. Rows that are equal in ``by`` and ``order`` are in one task and stand
+    in any order.
+    """
+    by, names = list(by), [*sums, *maxima]
+    how = {n: F.sum for n in sums} | {n: F.max for n in maxima}
+    given = {f"{n}_x_": F.col(c) if isinstance(c, str) else c for n, c in {**sums, **maxima}.items()}
+    rows = ranged(df.withColumns(given), [*by, *order], ranges)
+    pieces = rows.groupBy(*by, "part_").agg(*(how[n](f"{n}_x_").alias(n) for n in names))
+    group = Window.partitionBy(*by)
+    ahead = group.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    carried = pieces.select(*by, "part_", F.count("*").over(group).alias("n_"), *(how[n](n).over(ahead).alias(f"{n}_b_") for n in names), *(how[n](n).over(group).alias(f"{n}_t_") for n in names))
+    carried = carried.where("n_ > 1").drop("n_")
+    part = Window.partitionBy("part_", *by)
+    within = part.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"{n}_w_": how[n](f"{n}_x_").over(within) for n in names} | ({f"{n}_a_": how[n](f"{n}_x_").over(part) for n in names} if totals else {}))
+    rows = rows.join(F.broadcast(carried), _same(rows, carried, ["part_", *by]), "left").select(*(rows[c] for c in rows.columns), *(carried[f"{n}_{k}_"] for n in names for k in "bt"))
+
+    def both(n: str) -> Column:
+        if n in maxima:
+            return F.greatest(f"{n}_b_", f"{n}_w_")
+        return F.coalesce(f"{n}_b_", F.lit(0)) + F.coalesce(f"{n}_w_", F.lit(0))
+
+    out = {n: both(n) for n in names} | ({f"{n}_all": F.coalesce(f"{n}_t_", f"{n}_a_") for n in names} if totals else {})
+    return rows.select(*df.columns, *(c.alias(n) for n, c in out.items()))
+
+
+def ranked(df: DataFrame, by: Sequence[str], x: str, name: str = "r") -> DataFrame:
+    """The rows with their place from 1 on within the group by ``x``; ties share their mean place, nulls come first.
+
+    Equal values are one row with a count before they are put in order; the
+    places are joined back by group and value.
+    """
+    by = list(by)
+    blocks = df.groupBy(*by, x).agg(F.count("*").alias("c_"))
+    placed = running(blocks, by, [x], {"p_": "c_"})
+    placed = placed.select(*(F.col(k).alias(f"{k}_k_") for k in [*by, x]), (F.col("p_") + (F.col("c_") + 1) / F.lit(2.0)).alias(name))
+    same = F.lit(True)
+    for k in [*by, x]:
+        same = same & df[k].eqNullSafe(placed[f"{k}_k_"])
+    return df.join(placed, same).select(*df.columns, name)

@@ -19,7 +19,7 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     Rounded to 12 digits, so that its sign does not depend on the order of sums.
     """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rows = rows.select(*by, average_rank(by, x).alias("rx"), average_rank(by, y).alias("ry"))
+    rows = average_rank(average_rank(rows.select(*by, F.col(x).alias("x_"), F.col(y).alias("y_")), by, "x_", "rx"), by, "y_", "ry")
     varied = (F.count("*") >= 2) & (F.min("rx") < F.max("rx")) & (F.min("ry") < F.max("ry"))
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.when(varied, F.round(safe_corr("rx", "ry"), 12)).alias("rho"))
 

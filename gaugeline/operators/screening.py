@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gaugeline.functions.scalars import set_similarity
 from gaugeline.operators.audit import item_audit
 from gaugeline.operators.joins import pending_items
+from gaugeline.operators.ordered import running
 from gaugeline.sources.files import written
 
 
@@ -34,11 +35,11 @@ def matched_negatives(items: DataFrame, pool: DataFrame, strata: Sequence[str],
     Within its stratum the pool stands in the order of a digest. An item takes
     the k members that follow a place given by its own digest, going round at
     the end. So each item meets k + 1 candidates and not its whole stratum:
-    rows grow with items times k, however large a stratum is.
+    rows grow with items times k, however large a stratum is, and a large one is
+    put in order by ranges.
     """
     pool = pool.select(*strata, cand).distinct()
-    own = Window.partitionBy(*strata)
-    placed = pool.withColumn("place_", F.row_number().over(own.orderBy(_digest(seed, cand), cand)) - 1)
+    placed = running(pool.withColumn("digest_", _digest(seed, cand)), strata, ["digest_", cand], {"place_": F.lit(1)}).drop("digest_").withColumn("place_", F.col("place_").cast("int"))
     sizes = pool.groupBy(*strata).agg(F.count("*").alias("n_"))
     start = F.conv(F.substring(_digest(seed, item), 1, 8), 16, 10).cast("bigint") % F.col("n_")
     asked = items.select(item, *strata).distinct().join(sizes, list(strata)).withColumn("start_", start)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions.scalars import finite, safe_corr
-from gaugeline.operators.ordered import numbered
+from gaugeline.operators.ordered import running
 
 
 def group_stats(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -55,20 +55,19 @@ def finite_stats(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
 def ranked_quantiles(df: DataFrame, keys: Sequence[str], column: str, quantiles: Mapping[str, float], rule: str = "nearest") -> DataFrame:
     """(group, {name}): for each named q the value of rank max(1, half-even round(q n)), or ceil(q n) for rule ``ceil``.
 
-    Without keys the order is that of the whole table, and no task holds it.
+    Equal values are one row with a count; a group of any size, or the whole
+    table without keys, is put in order by ranges.
     """
     rows = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("x_"))
-    if keys:
-        w = Window.partitionBy(*keys)
-        rows = rows.withColumns({"r_": F.row_number().over(w.orderBy("x_")), "n_": F.count("*").over(w)})
-    else:
-        rows = numbered(rows, ["x_"])
+    rows = running(rows.groupBy(*keys, "x_").agg(F.count("*").alias("c_")), keys, ["x_"], {"r_": "c_"}, totals=True)
 
-    def place(q: float) -> Column:
-        target = F.bround(F.col("n_") * F.lit(q), 0) if rule == "nearest" else F.ceil(F.col("n_") * F.lit(q))
-        return F.greatest(F.lit(1), target).cast("long")
+    def here(q: float) -> Column:
+        n = F.col("r__all")
+        target = F.bround(n * F.lit(q), 0) if rule == "nearest" else F.ceil(n * F.lit(q))
+        place = F.greatest(F.lit(1), target).cast("long")
+        return (F.col("r_") < place) & (place <= F.col("r_") + F.col("c_"))
 
-    return rows.groupBy(*keys).agg(*(F.max(F.when(F.col("r_") == place(q), F.col("x_"))).alias(name) for name, q in quantiles.items()))
+    return rows.groupBy(*keys).agg(*(F.max(F.when(here(q), F.col("x_"))).alias(name) for name, q in quantiles.items()))
 
 
 def ranked_quantile(df: DataFrame, keys: Sequence[str], column: str, q: float, rule: str = "nearest") -> DataFrame:

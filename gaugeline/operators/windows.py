@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from gaugeline.operators.ordered import ranked, running
 
-def average_rank(by: Sequence[str], x: str) -> Column:
-    """1-based rank within a group; ties share their mean rank."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / F.lit(2.0)
+
+def average_rank(df: DataFrame, by: Sequence[str], x: str, name: str = "r") -> DataFrame:
+    """The rows with their 1-based rank within a group, however large; ties share their mean rank."""
+    return ranked(df, by, x, name)
 
 
 def top_k(df: DataFrame, k: int, order: Sequence[Column | str], by: Sequence[str] = ()) -> DataFrame:
@@ -33,21 +39,33 @@ def min_center(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> Data
     return df.withColumns({f"{c}_centered": F.col(c) - F.min(c).over(w) for c in columns})
 
 
+def placed(df: DataFrame, by: Sequence[str], order: Sequence[str], x: str | None = None) -> DataFrame:
+    """The rows of sequences with ``i_``, their place from 0 on, ``n_``, the length, and with ``x`` its mean as ``mean_``.
+
+    A sequence of any length is put in order by ranges. Rows that have their
+    place already are returned as they are.
+    """
+    if "i_" in df.columns:
+        return df
+    sums = {"i_": F.lit(1)} | ({"s_": F.col(x).cast("double"), "c_": F.when(F.col(x).isNotNull(), 1)} if x else {})
+    rows = running(df, by, order, sums, totals=True)
+    mean = {"mean_": F.try_divide("s__all", "c__all")} if x else {}
+    return rows.withColumns({"n_": F.col("i__all"), **mean}).select(*df.columns, "i_", "n_", *mean)
+
+
 def cumulative_unique(df: DataFrame, by: str, order: Sequence[str], key: str, bins: int) -> DataFrame:
     """(group, bin, n_unique): distinct keys seen up to each of ``bins`` equal parts of a sequence."""
-    w = Window.partitionBy(by)
-    rows = df.select(by, F.col(key).alias("k"), F.row_number().over(w.orderBy(*order)).alias("i"), F.count("*").over(w).alias("n"))
-    first = rows.groupBy(by, "k", "n").agg(F.min("i").alias("i"))
+    rows = placed(df, [by], order).select(by, F.col(key).alias("k"), "i_", F.col("n_").alias("n"))
+    first = rows.groupBy(by, "k", "n").agg((F.min("i_") + 1).alias("i"))
     counts = first.groupBy(by, F.ceil(F.col("i") * bins / F.col("n")).cast("int").alias("bin")).agg(F.count("*").alias("fresh"))
     grid = df.select(by).distinct().select(by, F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
     full = grid.join(counts, [by, "bin"], "left")
-    return full.select(by, "bin", F.sum(F.coalesce("fresh", F.lit(0))).over(w.orderBy("bin")).alias("n_unique"))
+    return full.select(by, "bin", F.sum(F.coalesce("fresh", F.lit(0))).over(Window.partitionBy(by).orderBy("bin")).alias("n_unique"))
 
 
 def split_half(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Add half: 1 for the first n // 2 rows of a sequence, 2 for the rest."""
-    w = Window.partitionBy(*by)
-    return df.withColumn("half", F.when(F.row_number().over(w.orderBy(*order)) <= F.floor(F.count("*").over(w) / 2), 1).otherwise(2))
+    return placed(df, by, order).withColumn("half", F.when(F.col("i_") < F.floor(F.col("n_") / 2), 1).otherwise(2)).select(*df.columns, "half")
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int = 1) -> DataFrame:
@@ -64,23 +82,92 @@ def drop_duplicates_first(df: DataFrame, keys: Sequence[str], order: Sequence[st
 
 def lag1_autocorr(df: DataFrame, by: str, order: Sequence[str], x: str) -> DataFrame:
     """Mean, population variance and lag-1 autocorrelation, held between -1 and 1; 0 without variance."""
-    w = Window.partitionBy(by)
-    rows = df.select(by, (F.col(x) - F.avg(x).over(w)).alias("d"), F.col(x).alias("x"), *order)
-    rows = rows.withColumn("p", F.lag("d").over(w.orderBy(*order)))
-    out = rows.groupBy(by).agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.avg(F.col("d") * F.col("d")).alias("var"), F.try_divide(F.sum(F.col("d") * F.col("p")), F.sum(F.col("d") * F.col("d"))).alias("rho1"))
-    return out.withColumn("rho1", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce("rho1", F.lit(0.0)))))
+    sums = _lag_sums(df, by, order, x, 1)
+    per = df.groupBy(by).agg(F.avg(x).alias("mean"), F.var_pop(x).alias("var"))
+    one = F.sum(F.when(F.col("lag") == 1, F.col("s")))
+    rho = sums.groupBy(F.col(by).alias("by_")).agg(F.sum("n").alias("n"), F.try_divide(one, F.sum(F.when(F.col("lag") == 0, F.col("s")))).alias("r"))
+    out = per.join(rho, F.col(by).eqNullSafe(F.col("by_")))
+    return out.select(by, "n", "mean", "var", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce("r", F.lit(0.0)))).alias("rho1"))
+
+
+#: Rows of a block, unless there are more lags; lags up to which shifted products are cheaper than transforms.
+BLOCK, SHIFTS = 1 << 16, 48
+
+
+def _block_sums(keys: pa.Array, off: np.ndarray, d: np.ndarray, block: int, max_lag: int, schema: pa.Schema) -> pa.RecordBatch:
+    """(key, lag, s, n) of whole blocks: sums of products ``lag`` apart, whose first row is the block's own."""
+    start = np.flatnonzero(off == 0)
+    size = np.diff(np.append(start, len(off)))
+    own = np.where(off < block, d, 0.0)
+    sums = np.zeros((len(start), max_lag + 1))
+    sums[:, 0] = np.add.reduceat(own * own, start)
+    large = size > SHIFTS if max_lag > SHIFTS else np.zeros(len(size), bool)
+    for k in range(1, min(max_lag, int(size[~large].max(initial=0)) - 1) + 1):
+        near = np.zeros(len(off))
+        near[:-k] = np.where(off[k:] - off[:-k] == k, own[:-k] * d[k:], 0.0)
+        sums[:, k] = np.add.reduceat(near, start)
+    for b in np.flatnonzero(large):
+        lo, n = start[b], int(size[b])
+        width = 1 << int(n + max_lag).bit_length()
+        x, y = np.fft.rfft(own[lo : lo + n], width), np.fft.rfft(d[lo : lo + n], width)
+        sums[b, 1:] = np.fft.irfft(np.conj(x) * y, width)[1 : max_lag + 1]
+    told = np.minimum(size - 1, max_lag) + 1
+    row = np.repeat(np.arange(len(start)), told)
+    lag = np.arange(len(row)) - np.repeat(np.cumsum(told) - told, told)
+    n = np.where(lag == 0, np.add.reduceat((off < block).astype(np.int64), start)[row], 0)
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(start[row])), pa.array(lag, pa.int32()), pa.array(sums[row, lag]), pa.array(n)], schema=schema)
+
+
+def _lag_sums(df: DataFrame, by: str, order: Sequence[str], x: str, max_lag: int) -> DataFrame:
+    """(group, lag, s, n) for lags from 0 on, parts to be added up: products of mean-centred values, and rows at lag 0.
+
+    A sequence is cut into blocks, each with a halo of the next ``max_lag`` rows;
+    within a block products are summed by shifts, or by Fourier transform for
+    many lags. A null value counts as the mean.
+    """
+    block = max(BLOCK, max_lag)
+    rows = placed(df, [by], order, x).select(by, "i_", F.coalesce(F.col(x).cast("double") - F.col("mean_"), F.lit(0.0)).alias("d"))
+    b, o = F.floor(F.col("i_") / block), F.col("i_") % block
+    at = F.struct(b.alias("block"), o.alias("off"))
+    halo = F.struct((b - 1).alias("block"), (o + block).alias("off"))
+    rows = rows.select(by, "d", F.explode(F.when((b > 0) & (o < max_lag), F.array(at, halo)).otherwise(F.array(at))).alias("a")).select(by, "d", "a.block", "a.off")
+    rows = rows.repartition(by, "block").sortWithinPartitions(by, "block", "off").select(by, "off", "d")
+    kind = df.schema[by].dataType
+    out = T.StructType([T.StructField(by, kind), T.StructField("lag", T.IntegerType()), T.StructField("s", T.DoubleType()), T.StructField("n", T.LongType())])
+    schema = to_arrow_schema(out)
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            held.append(batch)
+            off = batch.column("off").to_numpy()
+            last = np.flatnonzero(off == 0)
+            if len(last) == 0 or (len(held) == 1 and last[-1] == 0):
+                continue
+            cut = int(last[-1])
+            held[-1] = batch.slice(0, cut)
+            yield from done(held)
+            held = [batch.slice(cut)]
+        yield from done(held)
+
+    def done(held):
+        whole = pa.Table.from_batches(held) if held else None
+        if whole is not None and whole.num_rows:
+            keys = whole.column(0).combine_chunks()
+            yield _block_sums(keys, whole.column("off").to_numpy(), whole.column("d").to_numpy(), block, max_lag, schema)
+
+    return rows.mapInArrow(run, out)
 
 
 def autocorrelation(df: DataFrame, by: str, order: Sequence[str], x: str, max_lag: int) -> DataFrame:
-    """(group, lag, rho) for lags 1 to max_lag, mean-centred; each lag a window column, so there is one shuffle."""
-    w = Window.partitionBy(by)
-    rows = df.select(by, (F.col(x) - F.avg(x).over(w)).alias("d"), *order)
-    ordered = w.orderBy(*order)
-    rows = rows.select(by, "d", *(F.lag("d", k).over(ordered).alias(f"d{k}") for k in range(1, max_lag + 1)))
-    var = F.sum(F.col("d") * F.col("d"))
-    sums = rows.groupBy(by).agg(F.count("*").alias("n"), *(F.try_divide(F.sum(F.col("d") * F.col(f"d{k}")), var).alias(f"r{k}") for k in range(1, max_lag + 1)))
-    lags = F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"r{k}").alias("rho")) for k in range(1, max_lag + 1))))
-    return sums.select(by, "n", lags.alias("s")).select(by, "n", "s.*").where("rho IS NOT NULL")
+    """(group, n, lag, rho) for lags 1 to max_lag within the sequence, mean-centred; none without variance.
+
+    See :func:`_lag_sums`; a sequence of any length is worked on in blocks.
+    """
+    sums = _lag_sums(df, by, order, x, max_lag).groupBy(by, "lag").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    whole = sums.groupBy(by).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("lag") == 0, F.col("s"))).alias("v"), F.collect_list(F.struct("lag", "s")).alias("lags"))
+    rows = whole.where("v > 0").select(by, "n", "v", F.explode("lags").alias("l")).where("l.lag > 0")
+    return rows.select(by, "n", "l.lag", (F.col("l.s") / F.col("v")).alias("rho"))
 
 
 def worst_groups(df: DataFrame, n: int, metric: str, key: str, fill: float = -1e9) -> DataFrame:

@@ -10,7 +10,7 @@ from gaugeline.registry import query, table
 
 @query("E1_average_rank", "SELECT l_orderkey, l_linenumber, rank() OVER (PARTITION BY l_orderkey ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_orderkey, l_discount) - 1) / 2.0 AS r FROM lineitem", "r")
 def e1(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", W.average_rank(["l_orderkey"], "l_discount").alias("r"))
+    return W.average_rank(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_discount"), ["l_orderkey"], "l_discount").drop("l_discount")
 
 
 @query("E2_top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25", "o_totalprice")

@@ -4,11 +4,13 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions import scalars as S
-from gaugeline.operators import audit, contracts, distributions, graphs, joins, ranking, screening, stats, windows
+from gaugeline.operators import audit, contracts, distributions, graphs, joins, ordered, ranking, screening, stats, windows
 from gaugeline.sources import files
 
 
@@ -211,7 +213,7 @@ def test_quantile_rules(spark):
 
 def test_ranks_and_correlations_with_ties_and_constants(spark):
     df = spark.createDataFrame([("a", 1.0, 1.0), ("a", 1.0, 2.0), ("a", 3.0, 3.0), ("c", 1.0, 1.0), ("c", 1.0, 2.0), ("s", 1.0, 1.0)], "g string, x double, y double")
-    assert [r.r for r in df.where("g = 'a'").select("x", windows.average_rank(["g"], "x").alias("r")).orderBy("x").collect()] == [1.5, 1.5, 3.0]
+    assert [r.r for r in windows.average_rank(df.where("g = 'a'"), ["g"], "x").orderBy("x").collect()] == [1.5, 1.5, 3.0]
     got = {r.g: r.rho for r in ranking.spearman(df, ["g"], "x", "y").collect()}
     assert got["a"] == pytest.approx(0.8660254, abs=1e-6) and got["c"] is None and got["s"] is None
 
@@ -430,3 +432,77 @@ def test_scalars(spark):
         S.list_cost(F.array().cast("array<double>"), [2.0], 1).alias("no_cost"),
     ).first()
     assert (row.bin, row.none, row.bad, row.empty, row.cost, row.no_cost) == ("81-200", None, None, None, 1.0, 1e9)
+
+
+# Order within groups of any size
+
+
+def test_running_equals_windows_in_skewed_groups(spark):
+    rng = random.Random(8)
+    names = ["hot"] * 900 + ["a", "b", None, "c"] * 25
+    rows = [(g, rng.choice([None, 1.0, 2.5, float("nan")]) if rng.random() < 0.4 else rng.random(), rng.randrange(5), k) for k, g in enumerate(names)]
+    df = spark.createDataFrame(rows, "g string, x double, n int, id int")
+    w = Window.partitionBy("g").orderBy("x", "id").rowsBetween(Window.unboundedPreceding, -1)
+    want = df.withColumns({"s": F.coalesce(F.sum("n").over(w), F.lit(0)), "m": F.max("id").over(w), "s_all": F.sum("n").over(Window.partitionBy("g")), "m_all": F.max("id").over(Window.partitionBy("g"))})
+    for ranges in (1, 7, 40):
+        got = ordered.running(df, ["g"], ["x", "id"], {"s": "n"}, {"m": "id"}, totals=True, ranges=ranges)
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    whole = ordered.running(df, [], ["id"], {"s": "n"}, ranges=9).orderBy("id").collect()
+    assert [r.s for r in whole] == [sum(x[2] for x in rows[:k]) for k in range(len(rows))]
+    assert ordered.running(df.limit(0), ["g"], ["x"], {"s": "n"}).count() == 0
+
+
+def test_a_hot_group_is_split_over_tasks(spark):
+    df = spark.range(4000).select(F.lit("hot").alias("g"), F.rand(1).alias("x"))
+    rows = ordered.ranged(df, ["g", "x"], 8)
+    counts = [r["count"] for r in rows.groupBy("part_").count().collect()]
+    assert len(counts) == 8 and max(counts) < 1000
+
+
+def test_ranks_and_quantiles_of_skewed_groups(spark):
+    rng = random.Random(9)
+    rows = [("hot" if k % 10 else rng.choice("ab"), rng.choice([1.0, 1.0, None, rng.random()]), rng.choice([2.0, rng.random()])) for k in range(700)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    w = Window.partitionBy("g")
+    mean = F.rank().over(w.orderBy("x")) + (F.count("*").over(Window.partitionBy("g", "x")) - 1) / F.lit(2.0)
+    want = df.withColumn("r", mean)
+    assert sorted(map(str, windows.average_rank(df, ["g"], "x").collect())) == sorted(map(str, want.collect()))
+    got = {r.g: r for r in stats.ranked_quantiles(df, ["g"], "x", {"low": 0.1, "mid": 0.5, "all": 1.0}).collect()}
+    for g in ("hot", "a", "b"):
+        x = sorted(v for k, v, _ in rows if k == g and v is not None)
+        assert [got[g].low, got[g].mid, got[g].all] == [x[max(1, round(q * len(x))) - 1] for q in (0.1, 0.5, 1.0)]
+    rho = {r.g: r.rho for r in ranking.spearman(df, ["g"], "x", "y").collect()}
+    for g in ("hot", "a"):
+        both = pd.DataFrame([(a, b) for k, a, b in rows if k == g and a is not None], columns=["a", "b"])
+        assert rho[g] == pytest.approx(both.a.rank().corr(both.b.rank()), abs=1e-10)
+
+
+# Long sequences
+
+
+@pytest.mark.parametrize("max_lag,block", [(3, 16), (7, 5), (60, 64), (90, 10), (5, 1 << 16)])
+def test_autocorrelation_in_blocks(spark, monkeypatch, max_lag, block):
+    monkeypatch.setattr(windows, "BLOCK", block)
+    rng = random.Random(max_lag)
+    chains = {"long": 400, "two": 2, "one": 1, "flat": 30, "a": 64, "b": 65, None: 40}
+    rows = [(c, i, 7.0 if c == "flat" else 1e3 + rng.gauss(0, 1) + (i % 5)) for c, n in chains.items() for i in range(n)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "c string, t int, x double").repartition(5)
+    got = {(r.c, r.lag): (r.n, r.rho) for r in windows.autocorrelation(df, "c", ["t"], "x", max_lag).collect()}
+    want = {}
+    for c, n in chains.items():
+        d = np.array([x for k, _, x in sorted(r for r in rows if r[0] == c)] if c else [x for _, _, x in sorted((r for r in rows if r[0] is None), key=lambda r: r[1])])
+        d = d - d.mean()
+        if (d * d).sum() > 0:
+            want |= {(c, k): (n, (d[:-k] * d[k:]).sum() / (d * d).sum()) for k in range(1, min(max_lag, n - 1) + 1)}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=1e-9) for k in want)
+    one = {r.c: r.rho1 for r in windows.lag1_autocorr(df, "c", ["t"], "x").collect()}
+    assert set(one) == set(chains) and one["flat"] == 0 and one["long"] == pytest.approx(want["long", 1][1], abs=1e-9)
+
+
+def test_null_values_count_as_the_mean(spark):
+    df = spark.createDataFrame([("a", k, None if k == 3 else float(k)) for k in range(6)], "c string, t int, x double")
+    d = np.array([0, 1, 2, 2.4, 4, 5]) - 2.4
+    got = windows.autocorrelation(df, "c", ["t"], "x", 1).first()
+    assert (got.n, got.rho) == (6, pytest.approx((d[:-1] * d[1:]).sum() / (d * d).sum()))
