@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions.scalars import finite, hardness_bin, pair_credit
 from gaugeline.operators.joins import tolerance_join
+from gaugeline.operators.nulls import label_null
 from gaugeline.operators.ordered import running
 from gaugeline.operators.stats import ranked_quantiles, weighted_mean_std
 
@@ -158,21 +159,26 @@ def _quantile_of(aucs: DataFrame, by: Sequence[str], q: float) -> DataFrame:
     return rows.where(F.col("r") == F.greatest(F.lit(1), F.ceil(F.col("n") * q - 1e-9))).select(*by, "n", F.col("auc").alias("null_q"))
 
 
-def null_by_permutation(df: DataFrame, by: Sequence[str], key: str, reps: int, q: float, seed: int, score: str = "score", label: str = "label") -> DataFrame:
-    """(group, null_mean, null_q) over label permutations; the order of a draw is that of md5(seed|rep|key)."""
-    rows = df.select(*by, F.col(key).alias("k"), F.col(score).alias("score"), F.sum(label).over(Window.partitionBy(*by)).alias("m"))
+def null_by_permutation(df: DataFrame, by: Sequence[str], key: str, reps: int, q: float, seed: int, score: str = "score", label: str = "label", weight: str | None = None) -> DataFrame:
+    """(group, null_mean, null_q) over label permutations; the order of a draw is that of md5(seed|rep|key).
+
+    Every draw orders all rows, so that SQL can draw the same; see
+    :func:`gaugeline.operators.nulls.label_null` for large tables.
+    """
+    w = F.col(weight) if weight else F.lit(1.0)
+    rows = df.select(*by, F.col(key).alias("k"), F.col(score).alias("score"), w.alias("weight"), F.sum(label).over(Window.partitionBy(*by)).alias("m"))
     rows = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     turn = F.row_number().over(Window.partitionBy(*by, "rep").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("k").cast("string")))))
     drawn = rows.withColumn("label", F.when(turn <= F.col("m"), 1).otherwise(0))
-    return _null_summary(weighted_auc(drawn, [*by, "rep"], weight=None), by, q)
+    return _null_summary(weighted_auc(drawn, [*by, "rep"]), by, q)
 
 
-def null_by_random_score(df: DataFrame, by: Sequence[str], key: str, reps: int, q: float, seed: int, label: str = "label") -> DataFrame:
+def null_by_random_score(df: DataFrame, by: Sequence[str], key: str, reps: int, q: float, seed: int, label: str = "label", weight: str | None = None) -> DataFrame:
     """(group, null_mean, null_q) with scores drawn from md5(seed|rep|key)."""
-    rows = df.select(*by, F.col(key).alias("k"), F.col(label).alias("label"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    rows = df.select(*by, F.col(key).alias("k"), F.col(label).alias("label"), (F.col(weight) if weight else F.lit(1.0)).alias("weight"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("k").cast("string")))
     drawn = rows.withColumn("score", F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(16**12 - 1))
-    return _null_summary(weighted_auc(drawn, [*by, "rep"], weight=None), by, q)
+    return _null_summary(weighted_auc(drawn, [*by, "rep"]), by, q)
 
 
 def _null_summary(aucs: DataFrame, by: Sequence[str], q: float) -> DataFrame:
@@ -192,6 +198,19 @@ def item_audit(df: DataFrame, by: Sequence[str], q: float = 0.95, margin: float
     return audit_verdict(aucs, null_auc_quantile(aucs, q), margin).select(*by, "n_pos", "n_neg", "auc", "null_q", "null_method", "gate", "slack", "verdict")
 
 
+def item_audit_labels(df: DataFrame, by: Sequence[str], reps: int, q: float = 0.95, margin: float = 0.05, seed: int = 0, score: str = "score", label: str = "label", weight: str | None = "weight") -> DataFrame:
+    """The columns of :func:`item_audit` and null_mean, with a null that keeps ties and weights; see :func:`gaugeline.operators.nulls.label_null`."""
+    aucs = weighted_auc(df, by, score, label, weight).select(*by, "auc")
+    nulls = label_null(df, by, reps, q, seed, score, label, weight)
+    same = F.lit(True)
+    for k in by:
+        same = same & aucs[k].eqNullSafe(nulls[k])
+    found = nulls.join(aucs, same).select(*(nulls[k] for k in by), "n_pos", "n_neg", "auc", "null_q", "null_mean", "null_method")
+    found = found.withColumn("gate", F.when(F.col("null_q").isNotNull(), F.least(F.lit(1.0), F.col("null_q") + margin)))
+    found = found.withColumn("slack", F.col("auc") - F.col("gate"))
+    return found.withColumn("verdict", F.when(F.col("slack") >= 0, "PASS").when(F.col("slack") < 0, "FAIL"))
+
+
 def hardness_curve(pairs: DataFrame, similarity: str = "similarity", medium: float = 0.5, hard: float = 0.7) -> DataFrame:
     """(bin, n_total, n_scored, auc, median_similarity) of pairs (pos_score, neg_score, weight)."""
     scored = F.col("pos_score").isNotNull() & F.col("neg_score").isNotNull()

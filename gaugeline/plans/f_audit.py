@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions.scalars import pair_credit
 from gaugeline.operators import audit as A
+from gaugeline.operators.nulls import label_null
 from gaugeline.registry import query, table
 
 
@@ -139,6 +140,20 @@ def f9(spark, sf_dir):
     return A.null_by_permutation(labelled(spark, sf_dir), ["lang"], "item_id", 20, 0.95, 7)
 
 
+@query("F9_null_by_labels")
+def f9b(spark, sf_dir):
+    """Weighted permutation null of every customer's orders and of every source's documents, by dealing positives out."""
+    orders = _customers(spark, sf_dir).select(F.concat(F.lit("customer "), F.col("g").cast("string")).alias("g"), "score", "label", F.lit(1.0).alias("weight"))
+    docs = labelled(spark, sf_dir).select(F.col("source").alias("g"), "score", "label", "weight")
+    return label_null(orders.unionByName(docs), ["g"], 200, 0.95, 7)
+
+
+@query("F2_item_audit_labels")
+def f2c(spark, sf_dir):
+    """AUC, null with ties and weights, gate and verdict per source."""
+    return A.item_audit_labels(labelled(spark, sf_dir), ["source"], 200)
+
+
 @query(
     "F10_null_by_random_score",
     f"""WITH x AS (SELECT lang, label, item_id, unnest(range(1, 21)) AS rep FROM ({_LABELLED})), d AS (SELECT lang, rep, label, ('0x' || substr({_DRAW}, 1, 12))::BIGINT / 281474976710655.0::DOUBLE AS score FROM x),

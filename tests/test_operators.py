@@ -1,6 +1,8 @@
 """Operators on small frames against plain Python."""
 
+import hashlib
 import itertools
+import math
 import random
 
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions import scalars as S
-from gaugeline.operators import audit, contracts, distributions, graphs, joins, ordered, ranking, screening, stats, windows
+from gaugeline.operators import audit, contracts, distributions, graphs, joins, nulls, ordered, ranking, screening, stats, windows
 from gaugeline.sources import files
 
 
@@ -506,3 +508,91 @@ def test_null_values_count_as_the_mean(spark):
     d = np.array([0, 1, 2, 2.4, 4, 5]) - 2.4
     got = windows.autocorrelation(df, "c", ["t"], "x", 1).first()
     assert (got.n, got.rho) == (6, pytest.approx((d[:-1] * d[1:]).sum() / (d * d).sum()))
+
+
+# Nulls with ties and weights
+
+
+def null_groups(rng):
+    rows = []
+    for g, n, m in (("one", 7, 1), ("last", 9, 8), ("small", 8, 3), ("ten", 10, 5), ("none", 5, 0), ("all", 4, 4), (None, 6, 2), ("big", 60, 20), ("more", 45, 43), ("even", 30, 15)):
+        labels = [1] * m + [0] * (n - m)
+        rng.shuffle(labels)
+        rows += [(g, float(rng.randint(0, 4)), y, rng.choice([0.5, 1.0, 2.0])) for y in labels]
+    return rows
+
+
+def test_label_nulls_equal_brute_force(spark):
+    rows = null_groups(random.Random(4))
+    df = spark.createDataFrame(rows + [("one", None, 1, 1.0), ("one", 1.0, None, 1.0), ("one", float("nan"), 0, 1.0)], "g string, score double, label int, weight double")
+    for weight in ("weight", None):
+        got = {r.g: r for r in nulls.label_null(df, ["g"], 400, 0.9, 3, weight=weight).collect()}
+        for g, r in got.items():
+            items = [(s, y, w if weight else 1.0) for k, s, y, w in rows if k == g]
+            m = sum(y for _, y, _ in items)
+            assert (r.n_pos, r.n_neg) == (m, len(items) - m)
+            if m in (0, len(items)):
+                assert (r.null_method, r.null_q, r.n_draws) == ("none", None, None)
+            elif r.null_method != "draws":
+                assert r.null_method == ("single" if m in (1, len(items) - 1) else "enumeration")
+                aucs = sorted(brute_auc([(s, int(k in pos), w) for k, (s, _, w) in enumerate(items)]) for pos in itertools.combinations(range(len(items)), m))
+                assert r.n_draws == len(aucs) and r.null_mean == pytest.approx(sum(aucs) / len(aucs))
+                assert r.null_q == pytest.approx(aucs[max(1, math.ceil(len(aucs) * 0.9 - 1e-9)) - 1])
+            else:
+                rng, labels, aucs = random.Random(1), [y for _, y, _ in items], []
+                for _ in range(1500):
+                    rng.shuffle(labels)
+                    aucs.append(brute_auc([(s, y, w) for (s, _, w), y in zip(items, labels, strict=True)]))
+                spread = np.std(aucs)
+                assert r.n_draws == 400 and abs(r.null_mean - np.mean(aucs)) < 5 * spread / 400**0.5
+                assert abs(r.null_q - np.quantile(aucs, 0.9)) < 0.4 * spread
+        assert {r.null_method for r in got.values()} == {"none", "single", "enumeration", "draws"}
+
+
+def test_draws_do_not_depend_on_partitions_or_block_counts(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(g, rng.random(), rng.randint(0, 1), rng.choice([1.0, 2.0])) for g in "ab" for _ in range(300)]
+    monkeypatch.setattr(nulls, "FAN", 8)  # four levels
+    seen = set()
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "g string, score double, label int, weight double").repartition(parts)
+        seen.add(tuple(sorted(map(tuple, nulls.label_null(df, ["g"], 50, 0.9, 3).collect()))))
+    assert len(seen) == 1
+    a = next(iter(seen))[0]
+    assert a[:3] == ("a", sum(y for g, _, y, _ in rows if g == "a"), sum(1 - y for g, _, y, _ in rows if g == "a")) and abs(a[5] - 0.5) < 0.03
+
+
+def test_positives_are_dealt_without_replacement(monkeypatch):
+    rng = np.random.default_rng(0)
+    sizes = np.array([5, 1, 0, 30, 14])
+    m = np.full(4000, 20)
+    for limit in (10**9, 1):
+        monkeypatch.setattr(nulls, "EXACT", limit)
+        out = nulls.deal(rng, sizes, m)
+        assert (out.sum(axis=1) == 20).all() and (out <= sizes).all() and (out >= 0).all()
+        assert np.abs(out.mean(axis=0) - 20 * sizes / 50).max() < 0.15
+
+
+def test_item_audit_with_ties_and_weights(spark):
+    rows = null_groups(random.Random(4))
+    df = spark.createDataFrame(rows, "g string, score double, label int, weight double")
+    null = {r.g: r.null_q for r in nulls.label_null(df, ["g"], 100, 0.8, 5).collect()}
+    for r in audit.item_audit_labels(df, ["g"], 100, 0.8, 0.02, 5).collect():
+        auc = brute_auc([x[1:] for x in rows if x[0] == r.g])
+        assert (r.auc is None and auc is None) or r.auc == pytest.approx(auc)
+        assert r.null_q == null[r.g]
+        if r.null_q is None:
+            assert (r.gate, r.slack, r.verdict) == (None, None, None)
+        else:
+            assert r.gate == min(1.0, r.null_q + 0.02) and r.verdict == ("PASS" if r.auc - r.gate >= 0 else "FAIL")
+
+
+def test_keyed_draws_keep_weights(spark):
+    rows = [(k, float(k % 5), int(k % 3 == 0), 1.0 + k % 4) for k in range(24)]
+    df = spark.createDataFrame([("g", *r) for r in rows], "g string, id int, score double, label int, weight double")
+    want = []
+    for rep in range(1, 31):
+        order = sorted(rows, key=lambda r: hashlib.md5(f"9|{rep}|{r[0]}".encode()).hexdigest())
+        chosen = {r[0] for r in order[: sum(r[2] for r in rows)]}
+        want.append(brute_auc([(s, int(k in chosen), w) for k, s, _, w in rows]))
+    assert audit.null_by_permutation(df, ["g"], "id", 30, 0.5, 9, weight="weight").first().null_mean == pytest.approx(np.mean(want))

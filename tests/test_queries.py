@@ -29,7 +29,9 @@ TESTED = {
     "B10_row_seed": "test_row_seeds",
     "D36_running_percentile": "test_running_percentile",
     "F2_item_audit": "test_item_audit",
+    "F2_item_audit_labels": "test_item_audit_with_ties_and_weights",
     "F6_null_auc_quantile": "test_null_distribution_equals_the_positive_recurrence",
+    "F9_null_by_labels": "test_label_nulls_equal_brute_force",
     "G6_maxmin_select": "test_maxmin_choice_equals_greedy",
     "H12_pairwise_logistic_fit": "test_logistic_fit_recovers_the_direction",
     "H20_calibrate_scores": "test_calibrated_scores_rank_better",
