@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions.scalars import finite, hardness_bin, pair_credit
-from gaugeline.operators.joins import tolerance_join
+from gaugeline.operators.joins import tolerance_counts
 from gaugeline.operators.nulls import label_null
 from gaugeline.operators.ordered import running
 from gaugeline.operators.stats import ranked_quantiles, weighted_mean_std
+from gaugeline.sources.files import written
 
 
 def weighted_auc(df: DataFrame, by: Sequence[str], score: str = "score", label: str = "label", weight: str | None = "weight", ranges: int | None = None) -> DataFrame:
@@ -276,26 +277,59 @@ def one_vs_other(df: DataFrame, x: str, cls: str, classes: Sequence, weight: str
 
 
 def collision_summary(df: DataFrame, key: str, value: str, cls: str, tol: float) -> DataFrame:
-    """One row: colliding pairs in all, within and across classes, their rates, and the largest gap across classes."""
-    pairs = tolerance_join(df, key, value, tol, [cls])
-    same = F.col(f"{cls}_a") == F.col(f"{cls}_b")
-    gap = F.abs(F.col(f"{value}_a") - F.col(f"{value}_b"))
-    hits = pairs.agg(F.count("*").alias("n_pairs"), F.count_if(same).alias("n_within"), F.count_if(~same).alias("n_across"), F.coalesce(F.max(F.when(~same, gap)), F.lit(0.0)).alias("max_across_gap"))
-    total = df.where(F.col(value).isNotNull()).agg((F.count("*") * (F.count("*") - 1) / 2).cast("bigint").alias("n_total"))
+    """One row: colliding pairs in all, within and across classes, their rates, and the largest gap across classes.
+
+    Pairs are counted and not listed, see :func:`gaugeline.operators.joins.tolerance_counts`.
+    A row of a null class is in pairs, but in none within or across classes.
+    """
+    rows = df.where(F.col(value).isNotNull())
+    hits = tolerance_counts(rows, value, tol, cls)
+    total = rows.agg((F.count("*") * (F.count("*") - 1) / 2).cast("bigint").alias("n_total"))
     return hits.join(F.broadcast(total)).withColumns({"rate": F.try_divide("n_pairs", "n_total"), "across_rate": F.try_divide("n_across", "n_total")})
 
 
 def vector_collision_rate(df: DataFrame, key: str, vec: str, tol: float) -> DataFrame:
-    """One row: pairs equal in every coordinate (within tol + 1e-5 |b|), by cells of the first coordinate."""
-    rows = df.select(F.col(key).alias("k"), F.col(vec).alias("v")).where("size(v) > 0")
-    first = F.get("v", F.lit(0)).cast("double")
-    # On this scale, steps of the tolerance are about 1e-5 or less everywhere.
-    cells = F.floor(F.asinh(first * F.lit(1e-5 / max(tol, 1e-300)) if tol else first) / F.lit(2e-5))
-    a = rows.select(F.col("k").alias("ka"), F.col("v").alias("va"), cells.alias("c"))
-    b = rows.select(F.col("k").alias("kb"), F.col("v").alias("vb"), F.explode(F.array(cells - 1, cells, cells + 1)).alias("c"))
-    equal = F.expr(f"size(va) = size(vb) AND forall(zip_with(va, vb, (x, y) -> abs(x - y) <= {tol}D + 1e-5D * abs(y)), z -> z)")
-    hits = a.join(b, "c").where("ka < kb").where(equal).agg(F.count("*").alias("n_equal"))
+    """One row: pairs equal in every coordinate (within tol + 1e-5 |b|, where b has the greater key).
+
+    Equal vectors are one class with a count, and their pairs are not listed.
+    Classes meet in cells of the coordinates with most different cells, up to
+    three, so coordinates that hardly differ cost nothing; each candidate is
+    compared in full. Only where two classes are equal in one direction and not
+    in the other are their keys compared. Vectors with a null, NaN or infinite
+    coordinate are in the total and equal no other.
+    """
+    rows = df.select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v")).where("size(v) > 0")
     total = rows.agg((F.count("*") * (F.count("*") - 1) / 2).cast("bigint").alias("n_total"))
+    sound = rows.where(F.expr("forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf'))"))
+    classes = written(sound.groupBy("v").agg(F.count("*").alias("c")).withColumn("id", F.monotonically_increasing_id()), "vectors")
+
+    def cell(x: Column) -> Column:
+        # On this scale, steps of the tolerance are about 1e-5 or less everywhere.
+        return F.floor(F.asinh(x * F.lit(1e-5 / max(tol, 1e-300)) if tol else x) / F.lit(2e-5))
+
+    spread = classes.select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(F.approx_count_distinct(cell(F.col("x"))).alias("n"))
+    n = classes.count()
+    best = spread.orderBy(F.desc("n"), "at").limit(3).collect()
+    # One coordinate is enough if it leaves few classes to a cell, and so on.
+    enough = next((g for g in range(1, len(best)) if math.prod(b.n for b in best[:g]) >= n / 4), len(best))
+    chosen = [b["at"] for b in best[:enough]]
+    cells = [F.coalesce(cell(F.get("v", F.lit(k))), F.lit(0)) for k in chosen]
+    names = [f"c{g}" for g in range(len(chosen))]
+    a = classes.select(F.col("id").alias("ia"), F.col("v").alias("va"), F.col("c").alias("na"), F.size("v").alias("d"), *(c.alias(n) for c, n in zip(cells, names, strict=True)))
+    b = classes.select(F.col("id").alias("ib"), F.col("v").alias("vb"), F.col("c").alias("nb"), F.size("v").alias("d"), *(c.alias(n) for c, n in zip(cells, names, strict=True)))
+    for name in names:
+        b = b.withColumn(name, F.explode(F.array(*(F.col(name) + step for step in (-1, 0, 1)))))
+
+    def equal(x: str, y: str) -> Column:
+        return F.expr(f"forall(zip_with({x}, {y}, (x, y) -> abs(x - y) <= {tol}D + 1e-5D * abs(y)), z -> z)")
+
+    near = a.join(b, ["d", *names]).where("ia < ib").select("ia", "ib", "va", "vb", "na", "nb", equal("va", "vb").alias("ab"), equal("vb", "va").alias("ba")).where("ab OR ba")
+    near = written(near, "near")
+    within = classes.agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).cast("bigint").alias("n"))
+    both = near.where("ab AND ba").agg(F.sum(F.col("na") * F.col("nb")).cast("bigint").alias("n"))
+    one = near.where("NOT (ab AND ba)").join(sound.select(F.col("k").alias("ka"), F.col("v").alias("va")), "va").join(sound.select(F.col("k").alias("kb"), F.col("v").alias("vb")), "vb")
+    one = one.agg(F.count_if(F.when(F.col("ab"), F.col("ka") < F.col("kb")).otherwise(F.col("kb") < F.col("ka"))).alias("n"))
+    hits = within.unionByName(both).unionByName(one).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_equal"))
     return hits.join(F.broadcast(total)).withColumn("rate", F.try_divide("n_equal", "n_total"))
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeline.operators.ordered import numbered, ranged
+from gaugeline.operators.ordered import numbered, ranged, running
 from gaugeline.sources.files import written
 
 
@@ -116,6 +118,61 @@ def tolerance_join(df: DataFrame, key: str, value: str, tol: float, columns: Seq
     return a.join(b, "c").where((F.col(f"{key}_a") < F.col(f"{key}_b")) & (gap <= limit)).drop("c")
 
 
+def _reach(tol: float):
+    """The greatest double b with b - a <= tol, by halving the doubles from a on."""
+
+    @F.pandas_udf("double")
+    def reach(values: pd.Series) -> pd.Series:
+        flip = np.int64(2**63 - 1)
+        a = values.to_numpy(np.float64) + 0.0
+        low = a.view(np.int64)
+        low = low ^ ((low >> 63) & flip)  # in the order of the doubles
+        high = np.full(len(a), np.float64(np.inf)).view(np.int64)
+        for _ in range(64):
+            mid = (low & high) + ((low ^ high) >> 1)
+            with np.errstate(over="ignore", invalid="ignore"):
+                fits = (mid ^ ((mid >> 63) & flip)).view(np.float64) - a <= tol
+            low, high = np.where(fits, mid, low), np.where(fits, high, mid)
+        return pd.Series((low ^ ((low >> 63) & flip)).view(np.float64))
+
+    return reach
+
+
+def tolerance_counts(df: DataFrame, value: str, tol: float, cls: str) -> DataFrame:
+    """One row (n_pairs, n_within, n_across, max_across_gap): the pairs of rows with values at most ``tol`` apart, counted and not listed.
+
+    Equal values of a class are one row with a count. A value's partners above
+    it end at the greatest value within its reach; sums over the order of all
+    values and reaches together tell how many there are, in all and in each
+    class, in time n log n however dense the values lie. The last value of
+    another class below a reach gives the widest gap across classes, or 0.
+    Null and NaN values are left out; a null class is within none and across none.
+    """
+    x = F.col(value).cast("double")
+    blocks = df.where(x.isNotNull() & ~F.isnan(x)).groupBy(x.alias("v"), F.col(cls).alias("k")).agg(F.count("*").alias("c"))
+    blocks = written(blocks.withColumn("end", _reach(tol)("v")), "values")
+    points = blocks.select(F.col("v").alias("x"), F.lit(0).alias("kind"), "k", "c", "v")
+    asked = blocks.select(F.col("end").alias("x"), F.lit(1).alias("kind"), "k", "c", "v")
+    events = points.unionByName(asked).withColumns({"p": F.when(F.col("kind") == 0, F.col("c")), "told": F.col("k").isNotNull()})
+    order = ["x", "kind", "k", "v"]
+    last = F.when((F.col("kind") == 0) & F.col("told"), F.struct("x", "k"))
+    rows = running(events, [], order, {"all": "p", "known": F.when(F.col("told"), F.col("p"))}, {"last": last})
+    jump = F.when((F.col("kind") == 0) & F.col("told") & (F.col("last.k") != F.col("k")), F.col("last.x"))
+    rows = running(rows, [], order, maxima={"other": jump})
+    own = running(events.where("told"), ["k"], order, {"own": "p"})
+
+    def pairs(name: str, told: Column) -> Column:
+        c = F.col("c").cast("decimal(19,0)")
+        part = F.when(F.col("kind") == 1, c * F.col(name)).otherwise(-c * F.col(name) - c * (c + 1) / 2)
+        return F.coalesce(F.sum(F.when(told, part)), F.lit(0)).cast("bigint")
+
+    far = F.when(F.col("last.k") != F.col("k"), F.col("last.x")).otherwise(F.col("other"))
+    gap = F.max(F.when((F.col("kind") == 1) & F.col("told") & (far >= F.col("v")), far - F.col("v")))
+    found = rows.agg(pairs("all", F.lit(True)).alias("n_pairs"), pairs("known", F.col("told")).alias("n_known"), F.coalesce(gap, F.lit(0.0)).alias("max_across_gap"))
+    within = own.agg(pairs("own", F.lit(True)).alias("n_within"))
+    return found.join(F.broadcast(within)).select("n_pairs", "n_within", (F.col("n_known") - F.col("n_within")).alias("n_across"), "max_across_gap")
+
+
 def lookup_or_report(df: DataFrame, params: DataFrame, key: str, value: str) -> DataFrame:
     """Parameter of each row; rows without one have status ERROR."""
     found = df.join(params.select(key, value), key, "left")

@@ -596,3 +596,48 @@ def test_keyed_draws_keep_weights(spark):
         chosen = {r[0] for r in order[: sum(r[2] for r in rows)]}
         want.append(brute_auc([(s, int(k in chosen), w) for k, s, _, w in rows]))
     assert audit.null_by_permutation(df, ["g"], "id", 30, 0.5, 9, weight="weight").first().null_mean == pytest.approx(np.mean(want))
+
+
+# Pairs that are counted and not listed
+
+
+@pytest.mark.parametrize("tol", [0.0, 0.25, 1.0, 50.0])
+def test_tolerance_counts_equal_all_pairs(spark, tol):
+    rng = random.Random(int(tol * 4))
+    draw = [lambda: rng.choice([0.0, 1.0, -1.0, 0.25, 2.0]), lambda: rng.uniform(-3, 3), lambda: rng.uniform(-1, 1) * 10 ** rng.randint(-18, 3)]
+    rows = [(k, rng.choice(draw)(), rng.choice(["a", "a", "b", None])) for k in range(300)] + [(901, None, "a"), (902, float("inf"), "a"), (903, float("-inf"), "b")]
+    df = spark.createDataFrame(rows, "id int, x double, g string")
+    pairs = [(x, y, p, q) for (_, x, p), (_, y, q) in itertools.combinations([r for r in rows if r[1] is not None], 2) if abs(x - y) <= tol]
+    apart = [abs(x - y) for x, y, p, q in pairs if p and q and p != q]
+    r = audit.collision_summary(df, "id", "x", "g", tol).first()
+    assert (r.n_pairs, r.n_within, r.n_across) == (len(pairs), sum(p is not None and p == q for _, _, p, q in pairs), len(apart))
+    assert r.max_across_gap == max(apart, default=0.0) and r.n_total == 302 * 301 // 2
+
+
+def test_dense_values_are_counted_without_their_pairs(spark):
+    n = 200_000
+    df = spark.range(n).select("id", (F.col("id") / n).alias("x"), (F.col("id") % 2).alias("g"))
+    r = audit.collision_summary(df, "id", "x", "g", 1.0).first()
+    assert (r.n_pairs, r.n_within, r.n_across) == (n * (n - 1) // 2, 2 * (n // 2) * (n // 2 - 1) // 2, (n // 2) ** 2)
+    assert r.max_across_gap == (n - 1) / n
+
+
+def test_vector_collisions_equal_all_pairs(spark):
+    rng = random.Random(12)
+    for tol, size in ((0.0, 1.0), (0.01, 1.0), (0.5, 1e4)):
+        vs = [[1.0, 2.0, *(round(rng.random() * size, 2) for _ in range(rng.choice([1, 2, 3])))] for _ in range(120)]
+        vs += vs[:20] + [[x * (1 + rng.choice([1e-5, 0.99e-5, 1.01e-5])) + tol for x in v] for v in vs[:40]] + [[float("nan"), 1.0], [float("inf"), 1.0], [], None, [0.0], [-0.0]]
+        order = list(range(len(vs)))
+        rng.shuffle(order)
+        rows = list(zip(order, vs, strict=True))
+        got = audit.vector_collision_rate(spark.createDataFrame(rows, "k int, v array<double>"), "k", "v", tol).first()
+        some = sorted(r for r in rows if r[1])
+        near = sum(len(a) == len(b) and all(abs(x - y) <= tol + 1e-5 * abs(y) for x, y in zip(a, b)) for (_, a), (_, b) in itertools.combinations(some, 2) if not any(math.isinf(x) for x in a + b))
+        assert (got.n_equal, got.n_total) == (near, len(some) * (len(some) - 1) // 2)
+
+
+def test_constant_leading_coordinates_cost_no_pairs(spark):
+    n = 30_000
+    df = spark.range(n).select("id", F.array(F.lit(1.0), F.lit(2.0), (F.col("id") % 10_000).cast("double") * 5).alias("v"))
+    r = audit.vector_collision_rate(df, "id", "v", 0.5).first()
+    assert r.n_equal == 10_000 * 3
