@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Sequence
+from fractions import Fraction
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -48,7 +51,9 @@ def weighted_auc_global(df: DataFrame, score: str = "score", label: str = "label
 
 
 #: The product loses digits with every factor, so few are taken; with more, or as many steps, the characteristic function is inverted.
-_FACTORS, _STEPS = 20, 500_000_000
+_FACTORS, _STEPS = 20, 20_000_000
+#: Nodes and factors of the characteristic function that are held at once: 32 MB an array.
+_NODES, _HELD = 64, 1 << 16
 
 
 def _null_masses(m: int, n: int) -> np.ndarray:
@@ -79,14 +84,17 @@ def _null_below(m: int, n: int):
     sd = math.sqrt(m * n * (m + n + 1) / 12)
     width = int(min(m * n + 2, math.ceil(40 * sd)))
     first = max(0, (m * n - width) // 2 - 1)
-    j = np.arange(1, m + 1)
     t, r = [], []
-    for k in range(1, width // 2 + 1, 512):
-        at = np.arange(k, min(k + 512, width // 2 + 1)) * (2 * math.pi / width)
-        low, high = np.sin(np.outer(at, j) / 2), np.sin(np.outer(at, n + j) / 2)
-        with np.errstate(divide="ignore"):
-            size = np.log(np.abs(high * j)).sum(axis=1) - np.log(np.abs(low * (n + j))).sum(axis=1)
-        found = np.exp(size) * np.prod(np.sign(high) * np.sign(low), axis=1)
+    for k in range(1, width // 2 + 1, _NODES):
+        at = np.arange(k, min(k + _NODES, width // 2 + 1)) * (2 * math.pi / width)
+        size, sign = np.zeros(len(at)), np.ones(len(at))
+        for lo in range(1, m + 1, _HELD):
+            j = np.arange(lo, min(lo + _HELD, m + 1))
+            low, high = np.sin(np.outer(at, j) / 2), np.sin(np.outer(at, n + j) / 2)
+            with np.errstate(divide="ignore"):
+                size += np.log(np.abs(high * j)).sum(axis=1) - np.log(np.abs(low * (n + j))).sum(axis=1)
+            sign *= np.prod(np.sign(high) * np.sign(low), axis=1)
+        found = np.exp(size) * sign
         t.append(at)
         r.append(found)
         if np.abs(found).max() < 1e-17:
@@ -98,9 +106,21 @@ def _null_below(m: int, n: int):
     return lambda u: (u - first + 1) / width + float((weight * (np.sin(t * (u + 0.5 - center)) - start)).sum())
 
 
+def _pairs_below(n: int, u: int) -> int:
+    """Orders of two positives and n negatives whose U is u or less."""
+    half = u // 2 + 1
+    beyond = max(0, u - n)
+    return half * (half + u % 2) - beyond * (beyond + 1) // 2
+
+
 def exact_null_quantile(m: int, n: int, q: float) -> float:
     """Least AUC whose probability up to it is q or more, for m positives and n negatives in random order without ties."""
     q = q - 1e-11
+    if min(m, n) <= 2:
+        m, n = min(m, n), max(m, n)
+        below, total = (lambda u: u + 1, n + 1) if m == 1 else (partial(_pairs_below, n), (n + 2) * (n + 1) // 2)
+        least = math.ceil(Fraction(q) * total)
+        return bisect_left(range(m * n), least, key=below) / (m * n)
     if min(m, n) <= _FACTORS and min(m, n) ** 2 * max(m, n) <= _STEPS:
         return min(int(np.searchsorted(np.cumsum(_null_masses(m, n)), q)), m * n) / (m * n)
     below = _null_below(m, n)

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -641,3 +642,24 @@ def test_constant_leading_coordinates_cost_no_pairs(spark):
     df = spark.range(n).select("id", F.array(F.lit(1.0), F.lit(2.0), (F.col("id") % 10_000).cast("double") * 5).alias("v"))
     r = audit.vector_collision_rate(df, "id", "v", 0.5).first()
     assert r.n_equal == 10_000 * 3
+
+
+def test_null_quantiles_of_few_and_many_positives():
+    for m, n in ((1, 1), (1, 9), (2, 2), (2, 7), (2, 40), (3, 30), (5, 17)):
+        aucs = sorted(sum(p - k for k, p in enumerate(c)) for c in itertools.combinations(range(n + m), m))
+        for q in (0.05, 0.5, 0.9, 0.95, 1.0):
+            want = aucs[max(1, math.ceil(len(aucs) * (q - 1e-11))) - 1] / (m * n)
+            assert audit.exact_null_quantile(m, n, q) == audit.exact_null_quantile(n, m, q) == pytest.approx(want, abs=1e-12)
+    # Two against a billion: the triangle of the limit; three against a million: the inversion by blocks equals the product.
+    assert audit.exact_null_quantile(2, 10**9, 0.95) == pytest.approx(1 - (0.05 / 2) ** 0.5, abs=1e-6)
+    masses = np.cumsum(audit._null_masses(3, 20_000))
+    assert audit._null_below(3, 20_000)(40_000) == pytest.approx(masses[40_000], abs=1e-11)
+
+
+def test_null_quantile_of_large_classes_in_bounded_memory():
+    tracemalloc.start()
+    got = audit.exact_null_quantile(200_000, 300_000, 0.95)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    sd = (500_001 / (12 * 200_000 * 300_000)) ** 0.5
+    assert got == pytest.approx(0.5 + 1.6448536 * sd, rel=1e-6) and peak < 300 << 20
