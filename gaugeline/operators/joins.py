@@ -192,30 +192,35 @@ def positive_negative_pairs(items: DataFrame, negatives: DataFrame, scores: Data
     return found.withColumns({"scored": scored, "neg_score": F.coalesce("neg_score", F.lit(default_score).cast("double")), "weight": F.coalesce("weight", F.lit(1.0))})
 
 
+def set_classes(df: DataFrame, key: str, tokens: str) -> tuple[DataFrame, DataFrame]:
+    """((rep, s, size), (key, rep)): the different sets of tokens, with their least key and number of rows, and the rows' classes; written.
+
+    ``tokens`` are distinct tokens in an array; null ones are left out.
+    """
+    base = df.where(F.col(tokens).isNotNull()).select(F.col(key).alias("k"), F.sort_array(tokens).alias("s")).withColumn("h", F.xxhash64("s"))
+    base = written(base, "sets")
+    reps = written(base.groupBy("h", "s").agg(F.min("k").alias("rep"), F.count("*").alias("size")), "classes")
+    members = base.join(reps.select("h", "s", "rep"), ["h", "s"]).select(F.col("k").alias(key), "rep")
+    return reps.select("rep", "s", "size"), written(members, "members")
+
+
 def equal_sets(df: DataFrame, key: str, tokens: str) -> DataFrame:
     """(key, rep): of each row the least key among those with the same set of tokens."""
-    rows = df.select(F.col(key).alias("k"), F.array_sort(tokens).alias("s")).withColumns({"h": F.xxhash64("s"), "n": F.size("s")})
-    reps = rows.groupBy("h", "n", "s").agg(F.min("k").alias("rep"))
-    return rows.select("k", "h", "n", "s").join(reps, ["h", "n", "s"]).select(F.col("k").alias(key), "rep")
-
-
-def set_similarity_join(df: DataFrame, key: str, tokens: str, low: float, high: float = 1.0, expand: bool = True) -> DataFrame:
-    """(key_a, key_b, similarity) of pairs with a Jaccard similarity from low to high.
-
-    Exact. Rows with equal sets are one class, and classes meet by an inverted
-    index over their rarest tokens: two sets with a similarity of ``low`` share
-    a token among the n - ceil(low n) + 1 rarest of the larger and the
-    n - ceil(2 low / (1 + low) n) + 1 rarest of the smaller. What the shared
-    tokens there leave room for drops most candidates, and the rest are counted
-    on their numbered tokens. ``tokens`` are distinct tokens in an array; empty
-    sets match nothing. Without ``expand`` the pairs are those of the classes'
-    least keys, for which :func:`equal_sets` gives the members.
+    return set_classes(df, key, tokens)[1]
+
+
+def similar_classes(reps: DataFrame, low: float, high: float = 1.0) -> DataFrame:
+    """(ka, kb, similarity) of pairs of ``reps(rep, s)`` with a Jaccard similarity from low to high, once each.
+
+    Exact. Classes meet by an inverted index over their rarest tokens: two sets
+    with a similarity of ``low`` share a token among the n - ceil(low n) + 1
+    rarest of the larger and the n - ceil(2 low / (1 + low) n) + 1 rarest of the
+    smaller. What the shared tokens there leave room for drops most candidates,
+    and the rest are counted on their numbered tokens. Empty sets match nothing.
     """
-    classes = written(equal_sets(df, key, tokens).withColumnRenamed(key, "k"), "similarity")
-    reps = classes.select("rep").distinct()
-    held = df.join(reps, F.col(key) == F.col("rep"), "left_semi").select(F.col(key).alias("k"), F.explode(tokens).alias("t"))
+    held = reps.select(F.col("rep").alias("k"), F.explode("s").alias("t"))
     counts = numbered(held.groupBy("t").agg(F.count("*").alias("df")), ["df", "t"]).select("t", F.col("r_").cast("int").alias("no"))
-    sets = held.join(counts, "t").groupBy("k").agg(F.array_sort(F.collect_list("no")).alias("s")).withColumn("n", F.size("s"))
+    sets = held.join(counts, "t").groupBy("k").agg(F.sort_array(F.collect_list("no")).alias("s")).withColumn("n", F.size("s"))
     sets = written(sets, "similarity")
 
     def prefix(share: float, name: str) -> DataFrame:
@@ -229,15 +234,26 @@ def set_similarity_join(df: DataFrame, key: str, tokens: str, low: float, high:
     both = near.join(sets.select(F.col("k").alias("ka"), F.col("s").alias("sa")), "ka").join(sets.select(F.col("k").alias("kb"), F.col("s").alias("sb")), "kb")
     same = F.size(F.array_intersect("sa", "sb"))
     similarity = same / (F.size("sa") + F.size("sb") - same)
-    found = both.select("ka", "kb", similarity.alias("similarity")).where(F.col("similarity").between(low, high))
+    return both.select("ka", "kb", similarity.alias("similarity")).where(F.col("similarity").between(low, high))
+
+
+def set_similarity_join(df: DataFrame, key: str, tokens: str, low: float, high: float = 1.0, expand: bool = False) -> DataFrame:
+    """(key_a, key_b, similarity) of pairs with a Jaccard similarity from low to high; see :func:`similar_classes`.
+
+    Rows with equal sets are one class, and the pairs are those of the classes'
+    least keys, for which :func:`equal_sets` gives the members. With ``expand``
+    all pairs of rows are listed, which is quadratic in copies.
+    """
+    reps, classes = set_classes(df, key, tokens)
+    found = similar_classes(reps, low, high)
     first, second = F.least("ka", "kb").alias(f"{key}_a"), F.greatest("ka", "kb").alias(f"{key}_b")
     if not expand:
         return found.select(first, second, "similarity")
-    member = classes.select("k", "rep")
+    member = classes.select(F.col(key).alias("k"), "rep")
     pairs = found.join(member.select(F.col("rep").alias("ka"), F.col("k").alias("x")), "ka").join(member.select(F.col("rep").alias("kb"), F.col("k").alias("y")), "kb")
     pairs = pairs.select(F.col("x").alias("ka"), F.col("y").alias("kb"), "similarity")
     if high >= 1.0:
-        full = member.join(sets.select(F.col("k").alias("rep")), "rep", "left_semi")
+        full = member.join(reps.where(F.size("s") > 0).select("rep"), "rep", "left_semi")
         alike = full.join(full.select("rep", F.col("k").alias("y")), "rep").where("k < y").select(F.col("k").alias("ka"), F.col("y").alias("kb"), F.lit(1.0).alias("similarity"))
         pairs = pairs.unionByName(alike)
     return pairs.select(first, second, "similarity")

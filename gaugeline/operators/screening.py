@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions.scalars import set_similarity
 from gaugeline.operators.audit import item_audit
-from gaugeline.operators.joins import pending_items
+from gaugeline.operators.joins import pending_items, set_classes, similar_classes
 from gaugeline.operators.ordered import running
-from gaugeline.sources.files import written
+from gaugeline.sources.files import kept, shared_folder, written
 
 
 def preflight(df: DataFrame, checks: Sequence[tuple[Column, str]], warnings: Sequence[tuple[Column, str]] = ()) -> DataFrame:
@@ -67,51 +67,86 @@ def matched_negatives_ladder(items: DataFrame, pool: DataFrame, levels: Sequence
     return out
 
 
-def hard_negatives(pairs: DataFrame, a: str, b: str, low: float, high: float, k: int, seed: int, item: str = "item_id", cand: str = "cand_id") -> DataFrame:
-    """Up to k candidates per item whose similarity lies in the band, with the number rejected for the item."""
-    rows = pairs.withColumn("similarity", set_similarity(F.col(a), F.col(b))).withColumn("in_band", F.coalesce(F.col("similarity").between(low, high), F.lit(False)))
-    rejected = F.sum(F.when(~F.col("in_band"), 1).otherwise(0)).over(Window.partitionBy(item))
-    rows = rows.withColumn("n_rejected", rejected).where("in_band")
-    turn = F.row_number().over(Window.partitionBy(item).orderBy(_turn(seed, item, cand), cand))
-    return rows.withColumn("turn", turn).where(F.col("turn") <= k).drop("in_band")
+def alike(df: DataFrame, key: str, tokens: str, low: float) -> tuple[DataFrame, DataFrame]:
+    """((item, cand, similarity, sa, sb, n_item, n_cand), (key, rep)): classes of equal sets with all classes alike, both ways, and the members.
+
+    A class of several rows is alike to itself, with one row less. ``n_cand`` is
+    the number of rows that a row of the item's class finds there.
+    """
+    reps, members = set_classes(df, key, tokens)
+    pairs = similar_classes(reps, low)
+    own = reps.where("size > 1 AND size(s) > 0").select(F.col("rep").alias("item"), F.col("rep").alias("cand"), F.lit(1.0).alias("similarity"))
+    both = pairs.select(F.col("ka").alias("item"), F.col("kb").alias("cand"), "similarity").unionByName(pairs.select(F.col("kb").alias("item"), F.col("ka").alias("cand"), "similarity")).unionByName(own)
+    a, b = (reps.select(F.col("rep").alias(c), F.col("s").alias(f"s{n}"), F.col("size").alias(f"n_{c}")) for c, n in (("item", "a"), ("cand", "b")))
+    found = both.join(a, "item").join(b, "cand")
+    return written(found.withColumn("n_cand", F.col("n_cand") - (F.col("item") == F.col("cand")).cast("int")), "alike"), members
+
+
+def hard_negatives(pairs: DataFrame, members: DataFrame, key: str, low: float, high: float, k: int, seed: int) -> DataFrame:
+    """(item_id, cand_id, similarity, n_rejected): up to k rows per item whose class is alike within the band, of :func:`alike`.
+
+    What an item may take are the rows of the classes in the band, class by
+    class in the order of a digest, and so within a class. It takes those that
+    follow a place given by its own digest, going round at the end, never
+    itself. So each item has k rows and a copied set is not paired with its
+    copies. ``n_rejected`` counts the rows alike outside the band.
+    """
+    in_band = F.col("similarity").between(low, high)
+    out = pairs.groupBy("item").agg(F.coalesce(F.sum(F.when(~in_band, F.col("n_cand"))), F.lit(0)).alias("n_rejected"))
+    size = F.col("n_cand") + (F.col("item") == F.col("cand")).cast("int")
+    pool = pairs.where(in_band).select("item", "cand", "similarity", size.alias("n_"), _digest(seed, "cand").alias("d_"))
+    pool = written(running(pool, ["item"], ["d_", "cand"], {"off_": "n_"}, totals=True), "pool")
+    whole = pool.groupBy("item").agg(F.max("off__all").alias("all_"))
+    asked = members.select(F.col(key).alias("item_id"), F.col("rep").alias("item")).join(whole, "item")
+    start = F.conv(F.substring(_digest(seed, "item_id"), 1, 8), 16, 10).cast("bigint") % F.col("all_")
+    asked = asked.withColumn("step_", F.explode(F.expr(f"sequence(0, cast(least({k}, all_ - 1) AS int))"))).select("item", "item_id", "step_", ((start + F.col("step_")) % F.col("all_")).alias("at_"))
+    none = {"item_id": F.lit(None).cast(members.schema[key].dataType), "step_": F.lit(None).cast("int")}
+    marks = pool.select("item", F.col("off_").alias("at_"), F.struct("off_", "cand", "similarity").alias("m_")).withColumns(none)
+    rows = marks.withColumn("kind_", F.lit(0)).unionByName(asked.withColumn("m_", F.lit(None)).withColumn("kind_", F.lit(1)))
+    found = running(rows, ["item"], ["at_", "kind_"], maxima={"c_": "m_"}).where("kind_ = 1")
+    found = found.select("item", "item_id", "step_", F.col("c_.cand").alias("rep"), "c_.similarity", (F.col("at_") - F.col("c_.off_")).alias("place_"))
+    placed = running(members.select(F.col(key).alias("cand_id"), "rep").withColumn("d_", _digest(seed, "cand_id")), ["rep"], ["d_", "cand_id"], {"place_": F.lit(1)}).select("rep", "cand_id", "place_")
+    found = found.join(placed, ["rep", "place_"]).where("item_id <> cand_id")
+    turn = F.row_number().over(Window.partitionBy("item_id").orderBy("step_"))
+    return found.withColumn("turn", turn).where(F.col("turn") <= k).join(out, "item").select("item_id", "cand_id", "similarity", "n_rejected")
 
 
 def min_distance_filter(df: DataFrame, item: str, order: str, vec: str, distance: str, d_item: float, d_pair: float) -> DataFrame:
     """Candidates at least ``d_item`` from their item, then in order those at least ``d_pair`` from every one taken before.
 
     Each round takes the first candidate left of every item and drops the ones
-    too near to it; a round is a written table, and there are as many as the
-    item with most choices has. ``order`` is one to one within an item.
+    too near to it; the rounds are as many as the item with most choices has,
+    and what they take is appended to one table. ``order`` is one to one within an item.
     """
-    rest, out = written(df.where(F.col(distance) >= d_item), "distance"), None
+    rest, out = written(df.where(F.col(distance) >= d_item), "distance"), shared_folder(df.sparkSession, "taken")
     while True:
         first = rest.groupBy(item).agg(F.min(F.struct(order, vec)).alias("b_")).select(item, F.col(f"b_.{order}").alias("o_"), F.col(f"b_.{vec}").alias("v_"))
-        near = rest.join(first, item)
-        taken = near.where(F.col(order) == F.col("o_")).select(df.columns)
-        out = taken if out is None else out.unionByName(taken)
+        near = written(rest.join(first, item), "near")
+        near.where(F.col(order) == F.col("o_")).select(df.columns).write.mode("append").parquet(out)
         apart = 1 - F.coalesce(set_similarity(F.col(vec), F.col("v_")), F.lit(0.0))
         left = written(near.where((F.col(order) > F.col("o_")) & (apart >= d_pair)).select(df.columns), "distance")
         if left.isEmpty():
-            return out
+            return kept(df.sparkSession, out, df.schema)
         rest = left
 
 
 def maxmin_select(df: DataFrame, item: str, cand: str, vec: str, k: int, seed: int) -> DataFrame:
     """(item, candidate, turn): greedy choice of the candidate farthest from those taken, from the one of lowest digest on.
 
-    k rounds; each joins the candidates with the one row chosen per item and
-    keeps the least distance, so nothing is pairwise.
+    k rounds, each a written table; it joins the candidates with the one row
+    chosen per item and keeps the least distance, so nothing is pairwise.
     """
     rest = df.select(item, cand, vec).withColumn("d_", F.lit(float("inf"))).withColumn("h_", _turn(seed, item, cand))
     out = None
     for turn in range(1, k + 1):
         best = rest.groupBy(item).agg(F.max(F.struct("d_", _inverse("h_").alias("h"), cand, vec)).alias("b"))
-        chosen = best.select(item, F.col(f"b.{cand}").alias(cand), F.col(f"b.{vec}").alias("v_"), F.lit(turn).alias("turn"))
+        chosen = written(best.select(item, F.col(f"b.{cand}").alias(cand), F.col(f"b.{vec}").alias("v_"), F.lit(turn).alias("turn")), "chosen")
         out = chosen.drop("v_") if out is None else out.unionByName(chosen.drop("v_"))
         if turn < k:
             near = chosen.select(item, F.col(cand).alias("c_"), "v_")
             rest = rest.join(near, item).where(F.col(cand) != F.col("c_"))
             rest = rest.withColumn("d_", F.least("d_", 1 - F.coalesce(set_similarity(F.col(vec), F.col("v_")), F.lit(1.0)))).drop("c_", "v_")
+            rest = written(rest, "left")
     return out
 
 
@@ -120,18 +155,29 @@ def _inverse(col: str) -> Column:
     return F.translate(F.col(col), "0123456789abcdef", "fedcba9876543210")
 
 
-def distance_summary(df: DataFrame, item: str, cand: str, tokens: str, distance: str) -> DataFrame:
-    """Least, mean and largest distance to the item; least and mean between its candidates."""
-    own = df.groupBy(item).agg(F.count("*").alias("n"), F.min(distance).alias("min_d"), F.avg(distance).alias("mean_d"), F.max(distance).alias("max_d"))
-    a = df.select(item, F.col(cand).alias("ca"), F.col(tokens).alias("ta"))
-    b = df.select(item, F.col(cand).alias("cb"), F.col(tokens).alias("tb"))
-    d = 1 - F.coalesce(set_similarity(F.col("ta"), F.col("tb")), F.lit(1.0))
-    pair = a.join(b, item).where("ca < cb").groupBy(item).agg(F.min(d).alias("min_pair_d"), F.avg(d).alias("mean_pair_d"))
-    return own.join(pair, item, "left")
+def distance_summary(df: DataFrame, item: str, cand: str, tokens: str, distance: str, copies: str | None = None) -> DataFrame:
+    """Least, mean and largest distance to the item; least and mean between its candidates.
 
-
-def similarity_stats(pairs: DataFrame, item: str, similarity: str = "similarity") -> DataFrame:
-    return pairs.groupBy(item).agg(F.min(similarity).alias("min_similarity"), F.median(similarity).alias("median_similarity"))
+    With ``copies`` a row stands for so many equal candidates, whose distance
+    from one another is 0; they are reckoned and not listed.
+    """
+    w = F.col(copies) if copies else F.lit(1)
+    own = df.groupBy(item).agg(F.sum(w).alias("n"), F.min(distance).alias("min_d"), (F.sum(F.col(distance) * w) / F.sum(w)).alias("mean_d"), F.max(distance).alias("max_d"), F.sum(w * (w - 1) / 2).alias("e_"))
+    a = df.select(item, F.col(cand).alias("ca"), F.col(tokens).alias("ta"), w.alias("wa"))
+    b = df.select(item, F.col(cand).alias("cb"), F.col(tokens).alias("tb"), w.alias("wb"))
+    d = 1 - F.coalesce(set_similarity(F.col("ta"), F.col("tb")), F.lit(1.0))
+    pair = a.join(b, item).where("ca < cb").select(item, d.alias("d"), (F.col("wa") * F.col("wb")).alias("w"))
+    pair = pair.groupBy(item).agg(F.min("d").alias("m_"), F.sum(F.col("d") * F.col("w")).alias("s_"), F.sum("w").alias("w_"))
+    both = own.join(pair, item, "left")
+    least = F.when(F.col("e_") > 0, 0.0).otherwise(F.col("m_"))
+    mean = F.try_divide(F.coalesce("s_", F.lit(0.0)), F.coalesce("w_", F.lit(0)) + F.col("e_"))
+    return both.select(item, "n", "min_d", "mean_d", "max_d", least.alias("min_pair_d"), mean.alias("mean_pair_d"))
+
+
+def similarity_stats(pairs: DataFrame, item: str, similarity: str = "similarity", copies: str | None = None) -> DataFrame:
+    """Least and median similarity of an item; with ``copies`` a row stands for so many."""
+    middle = F.percentile(similarity, 0.5, F.col(copies) if copies else F.lit(1))
+    return pairs.groupBy(item).agg(F.min(similarity).alias("min_similarity"), middle.alias("median_similarity"))
 
 
 def covariate_balance(pairs: DataFrame, attributes: Sequence[str]) -> DataFrame:

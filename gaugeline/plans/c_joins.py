@@ -144,17 +144,32 @@ def similarity(spark, sf_dir):
     return both.select("a", "b", set_similarity(F.col("sa"), F.col("sb")).alias("similarity"))
 
 
+_CLASSES = """WITH s AS MATERIALIZED (SELECT doc_id AS k, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS s FROM documents),
+    m AS MATERIALIZED (SELECT k, s, min(k) OVER (PARTITION BY s) AS rep FROM s WHERE s IS NOT NULL), w AS (SELECT k, unnest(s) AS t FROM m WHERE k = rep), n AS (SELECT k, count(*) AS n FROM w GROUP BY 1),
+    c AS (SELECT a.k AS k_a, b.k AS k_b, count(*) AS c FROM w a JOIN w b ON a.t = b.t AND a.k < b.k GROUP BY 1, 2), p AS (SELECT k_a, k_b, c / (x.n + y.n - c) AS similarity FROM c JOIN n x ON x.k = k_a JOIN n y ON y.k = k_b)"""
+
+
+def _word_sets(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.expr(_WORDS).alias("s"))
+
+
+@query("C14_set_similarity_join", f"{_CLASSES} SELECT * FROM p WHERE similarity BETWEEN 0.65 AND 0.95", "similarity")
+def similarity_join(spark, sf_dir):
+    """Pairs of different word sets that are alike but not equal, by the least document of each set."""
+    return J.set_similarity_join(_word_sets(spark, sf_dir), "k", "s", 0.65, 0.95)
+
+
 @query(
-    "C14_set_similarity_join",
-    """WITH w AS (SELECT DISTINCT doc_id AS k, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS t FROM documents), n AS (SELECT k, count(*) AS n FROM w GROUP BY 1),
-       c AS (SELECT a.k AS k_a, b.k AS k_b, count(*) AS c FROM w a JOIN w b ON a.t = b.t AND a.k < b.k GROUP BY 1, 2), s AS (SELECT k_a, k_b, c / (x.n + y.n - c) AS similarity FROM c JOIN n x ON x.k = k_a JOIN n y ON y.k = k_b)
-       SELECT * FROM s WHERE similarity BETWEEN 0.65 AND 0.95""",
-    "similarity",
+    "C14_set_members",
+    f"""{_CLASSES}, l AS (SELECT k, count(*) AS n FROM (SELECT k_a AS k FROM p WHERE similarity BETWEEN 0.65 AND 0.95 UNION ALL SELECT k_b FROM p WHERE similarity BETWEEN 0.65 AND 0.95) GROUP BY 1)
+    SELECT m.k, rep, coalesce(l.n, 0) AS n_links FROM m LEFT JOIN l ON l.k = rep""",
 )
-def similarity_join(spark, sf_dir):
-    """Documents whose word sets are alike but not equal."""
-    sets = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.expr(_WORDS).alias("s"))
-    return J.set_similarity_join(sets, "k", "s", 0.65, 0.95)
+def set_members(spark, sf_dir):
+    """Of each document the class of its word set and the number of classes alike but not equal to it."""
+    reps, members = J.set_classes(_word_sets(spark, sf_dir), "k", "s")
+    found = J.similar_classes(reps, 0.65, 0.95)
+    links = found.select(F.explode(F.array("ka", "kb")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    return members.join(links, "rep", "left").select("k", "rep", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 @query("C15_parameter_grid", "SELECT n_nationkey, b AS beta, m AS mode FROM nation, (SELECT unnest([0.5, 1.0]) AS b), (SELECT unnest(['u', 'w']) AS m)", "beta")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions.scalars import edge_distance
 from gaugeline.operators import screening as G
-from gaugeline.operators.joins import set_similarity_join
 from gaugeline.registry import query, table
 
 _CHECKS = """CASE WHEN trim(coalesce(text, '')) = '' THEN 'missing' WHEN n_chars > 5000 THEN 'too_large' WHEN NOT regexp_matches(text, '[A-Za-z]') THEN 'invalid' END"""
@@ -67,24 +66,19 @@ def g3(spark, sf_dir):
     return G.matched_negatives_ladder(_items(spark, sf_dir), _pool(spark, sf_dir), [["p_brand", "p_size"], ["p_brand"]], 2, 5)
 
 
-# The same queries under the names by which the whole table was asked for before.
-query("G2_matched_negatives_all", _match("p_brand, p_size", 2))(g2)
-query("G2_shortfall_all", _shortfall(3))(g2b)
-query("G3_matched_negatives_ladder_all", _LADDER)(g3)
-
-
 _WORDS = "array_remove(array_distinct(regexp_extract_all(lower(text), '[a-z]+', 0)), '')"
 _SETS = "SELECT doc_id AS k, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS s FROM documents"
 _SIM = "len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b})))"
 
 
-def _alike(spark, sf_dir) -> DataFrame:
-    """Each document with all others whose word sets have a similarity of 0.5 or more, both ways, with both sets."""
-    sets = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.expr(_WORDS).alias("s"))
-    pairs = set_similarity_join(sets, "k", "s", 0.5)
-    both = pairs.select(F.col("k_a").alias("item_id"), F.col("k_b").alias("cand_id"), "similarity").unionByName(pairs.select(F.col("k_b").alias("item_id"), F.col("k_a").alias("cand_id"), "similarity"))
-    own, other = (sets.select(F.col("k").alias(c), F.col("s").alias(n)) for c, n in (("item_id", "sa"), ("cand_id", "sb")))
-    return both.join(own, "item_id").join(other, "cand_id")
+def _alike(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The classes of equal word sets with those of a similarity of 0.5 or more, and the documents of each class."""
+    return G.alike(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.expr(_WORDS).alias("s")), "k", "s", 0.5)
+
+
+def _of_rows(found: DataFrame, members: DataFrame) -> DataFrame:
+    """What was found for an item's class, for each of its rows."""
+    return found.join(members.select(F.col("k").alias("item_id"), F.col("rep").alias("item")), "item").drop("item")
 
 
 _ALIKE = f"""WITH w AS MATERIALIZED ({_SETS}), t AS (SELECT k, unnest(s) AS t FROM w), c AS (SELECT a.k AS ka, b.k AS kb, count(*) AS c FROM t a JOIN t b ON a.t = b.t AND a.k <> b.k GROUP BY 1, 2)
@@ -93,12 +87,17 @@ _ALIKE = f"""WITH w AS MATERIALIZED ({_SETS}), t AS (SELECT k, unnest(s) AS t FR
 
 @query(
     "G4_hard_negatives",
-    f"""WITH x AS ({_ALIKE}), y AS (SELECT *, similarity BETWEEN 0.65 AND 0.95 AS ok, count(*) FILTER (NOT similarity BETWEEN 0.65 AND 0.95) OVER (PARTITION BY item_id) AS n_rejected FROM x)
-    SELECT item_id, cand_id, similarity, n_rejected FROM (SELECT *, {_TURN} AS turn FROM y WHERE ok) WHERE turn <= 2""",
+    f"""WITH x AS MATERIALIZED ({_ALIKE}), c AS (SELECT k, min(k) OVER (PARTITION BY list_sort(s)) AS rep FROM ({_SETS})),
+    o AS (SELECT item_id, count(*) AS n_rejected FROM x WHERE NOT similarity BETWEEN 0.65 AND 0.95 GROUP BY 1),
+    y AS (SELECT item_id, cand_id, similarity, count(*) OVER (PARTITION BY item_id) AS n, row_number() OVER (PARTITION BY item_id ORDER BY md5('5|' || rep::VARCHAR), rep, md5('5|' || cand_id::VARCHAR), cand_id) - 1 AS place
+      FROM x JOIN c ON c.k = cand_id WHERE similarity BETWEEN 0.65 AND 0.95),
+    z AS (SELECT *, (place - ('0x' || substr(md5('5|' || item_id::VARCHAR), 1, 8))::BIGINT % n + n) % n AS step FROM y)
+    SELECT item_id, cand_id, similarity, coalesce(n_rejected, 0) AS n_rejected FROM z LEFT JOIN o USING (item_id) WHERE step < 2""",
     "similarity",
 )
 def g4(spark, sf_dir):
-    return G.hard_negatives(_alike(spark, sf_dir), "sa", "sb", 0.65, 0.95, 2, 5).select("item_id", "cand_id", "similarity", "n_rejected")
+    pairs, members = _alike(spark, sf_dir)
+    return G.hard_negatives(pairs, members, "k", 0.65, 0.95, 2, 5)
 
 
 @query(
@@ -111,14 +110,18 @@ def g4(spark, sf_dir):
 )
 def g5(spark, sf_dir):
     """Of all alike documents, those not equal and not too near to one taken before."""
-    rows = _alike(spark, sf_dir).select("item_id", "cand_id", "sb", (1 - F.col("similarity")).alias("d"))
-    return G.min_distance_filter(rows, "item_id", "cand_id", "sb", "d", 0.05, 0.2).select("item_id", "cand_id")
+    pairs, members = _alike(spark, sf_dir)
+    # Of equal candidates only the first can be taken, which stands for its class.
+    rows = pairs.select("item", F.col("cand").alias("cand_id"), "sb", (1 - F.col("similarity")).alias("d"))
+    return _of_rows(G.min_distance_filter(rows, "item", "cand_id", "sb", "d", 0.05, 0.2).select("item", "cand_id"), members)
 
 
 @query("G6_maxmin_select")
 def g6(spark, sf_dir):
-    """Greedy by nature, so without SQL; see test_maxmin_choice_equals_greedy."""
-    return G.maxmin_select(_alike(spark, sf_dir).select("item_id", "cand_id", "sb"), "item_id", "cand_id", "sb", 3, 5)
+    """Of each word set the three others alike that lie farthest apart. Greedy by nature, so without SQL; see test_maxmin_choice_equals_greedy."""
+    pairs, members = _alike(spark, sf_dir)
+    rows = pairs.where("item <> cand").select("item", F.col("cand").alias("cand_id"), "sb")
+    return _of_rows(G.maxmin_select(rows, "item", "cand_id", "sb", 3, 5), members)
 
 
 @query(
@@ -128,21 +131,29 @@ def g6(spark, sf_dir):
     "min_d mean_d max_d min_pair_d mean_pair_d",
 )
 def g7(spark, sf_dir):
-    return G.distance_summary(_alike(spark, sf_dir).withColumn("d", 1 - F.col("similarity")), "item_id", "cand_id", "sb", "d")
+    pairs, members = _alike(spark, sf_dir)
+    return _of_rows(G.distance_summary(pairs.withColumn("d", 1 - F.col("similarity")), "item", "cand", "sb", "d", "n_cand"), members)
+
+
+_OTHERS = f"SELECT x.* FROM ({_ALIKE}) x JOIN (SELECT k, min(k) OVER (PARTITION BY list_sort(s)) AS rep FROM ({_SETS})) c ON c.k = cand_id AND c.rep = cand_id AND similarity < 1"
 
 
 @query(
     "G8_edge_distance",
-    f"SELECT item_id, cand_id, (len(sa) + len(sb) - 2 * len(list_intersect(sa, sb))) / (2.0 * (len(sa) + 1)) AS d FROM ({_ALIKE})",
+    f"SELECT item_id, cand_id, (len(sa) + len(sb) - 2 * len(list_intersect(sa, sb))) / (2.0 * (len(sa) + 1)) AS d FROM ({_OTHERS})",
     "d",
 )
 def g8(spark, sf_dir):
-    return _alike(spark, sf_dir).select("item_id", "cand_id", edge_distance(F.col("sa"), F.col("sb"), F.size("sa") + 2).alias("d"))
+    """Distance of each document from every other word set alike, which its least document stands for."""
+    pairs, members = _alike(spark, sf_dir)
+    rows = pairs.where("item <> cand").select("item", F.col("cand").alias("cand_id"), edge_distance(F.col("sa"), F.col("sb"), F.size("sa") + 2).alias("d"))
+    return _of_rows(rows, members)
 
 
 @query("G9_similarity_stats", f"SELECT item_id, min(similarity) AS min_similarity, median(similarity) AS median_similarity FROM ({_ALIKE}) GROUP BY 1", "min_similarity median_similarity")
 def g9(spark, sf_dir):
-    return G.similarity_stats(_alike(spark, sf_dir), "item_id")
+    pairs, members = _alike(spark, sf_dir)
+    return _of_rows(G.similarity_stats(pairs, "item", copies="n_cand"), members)
 
 
 @query(

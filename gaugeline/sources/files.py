@@ -25,8 +25,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write a step of an iteration below the shared folder and read it back, which cuts its lineage."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    _WRITTEN.append((df.sparkSession, path))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return kept(df.sparkSession, path, df.schema)
+
+
+def kept(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A written step, to be deleted like those of :func:`written`."""
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(schema).parquet(path)
 
 
 #: Written steps, deleted when the driver ends.

@@ -159,13 +159,13 @@ def test_similarity_join_equals_brute_force(spark, low, high):
     rng = random.Random(6)
     rows = [(k, rng.sample(range(12), rng.randint(1, 8))) for k in range(80)] + [(100 + k, [3, 1, 2]) for k in range(30)] + [(200, []), (201, []), (202, None)]
     df = spark.createDataFrame(rows, "k int, s array<int>")
-    got = {(r.k_a, r.k_b): r.similarity for r in joins.set_similarity_join(df, "k", "s", low, high).collect()}
+    got = {(r.k_a, r.k_b): r.similarity for r in joins.set_similarity_join(df, "k", "s", low, high, expand=True).collect()}
     full = [(k, set(s)) for k, s in rows if s]
     want = {(a, b): len(x & y) / len(x | y) for a, x in full for b, y in full if a < b}
     assert got == pytest.approx({k: v for k, v in want.items() if low <= v <= high})
     rep = {r.k: r.rep for r in joins.equal_sets(df, "k", "s").collect()}
     assert all(rep[k] == min(b for b, y in full if y == s) for k, s in full)
-    short = {(r.k_a, r.k_b) for r in joins.set_similarity_join(df, "k", "s", low, high, expand=False).collect()}
+    short = {(r.k_a, r.k_b) for r in joins.set_similarity_join(df, "k", "s", low, high).collect()}
     assert short == {(a, b) for a, b in got if rep[a] == a and rep[b] == b and rep[a] != rep[b]}
 
 
@@ -663,3 +663,39 @@ def test_null_quantile_of_large_classes_in_bounded_memory():
     tracemalloc.stop()
     sd = (500_001 / (12 * 200_000 * 300_000)) ** 0.5
     assert got == pytest.approx(0.5 + 1.6448536 * sd, rel=1e-6) and peak < 300 << 20
+
+
+# Sets with many copies
+
+
+def test_hard_negatives_of_many_copies(spark):
+    rng = random.Random(31)
+    rows = [(k, [1, 2, 3, 4]) for k in range(3000)] + [(5000 + k, rng.sample(range(1, 8), rng.randint(3, 5))) for k in range(40)]
+    df = spark.createDataFrame(rows, "k int, s array<int>")
+    pairs, members = screening.alike(df, "k", "s", 0.5)
+    assert pairs.count() < 2000
+    sets = dict((k, frozenset(s)) for k, s in rows)
+    count = {s: sum(x == s for x in sets.values()) for s in set(sets.values())}
+    like = {(a, b): len(a & b) / len(a | b) for a in count for b in count}
+    for low, high in ((0.6, 1.0), (0.6, 0.9)):
+        got = screening.hard_negatives(pairs, members, "k", low, high, 3, 7).collect()
+        by = {}
+        for r in got:
+            by.setdefault(r.item_id, []).append(r.cand_id)
+            assert r.similarity == like[sets[r.item_id], sets[r.cand_id]] and low <= r.similarity <= high
+            alike = {b: n - (b == sets[r.item_id]) for b, n in count.items() if like[sets[r.item_id], b] >= 0.5}
+            assert r.n_rejected == sum(n for b, n in alike.items() if not low <= like[sets[r.item_id], b] <= high)
+        for k, s in sets.items():
+            n = sum(c - (b == s) for b, c in count.items() if low <= like[s, b] <= high)
+            found = by.get(k, [])
+            assert len(found) == len(set(found)) == min(3, n) and k not in found
+    n = screening.distance_summary(pairs.withColumn("d", 1 - F.col("similarity")), "item", "cand", "sb", "d", "n_cand").where("item = 0").first()
+    others = [s for k, s in sets.items() if k and like[sets[0], s] >= 0.5]
+    apart = [1 - like[a, b] for a, b in itertools.combinations(others[-60:], 2)]
+    assert n.n == len(others) and n.min_pair_d == min(apart) == 0.0
+
+
+def test_plan_of_maxmin_choice_does_not_grow(spark):
+    df = spark.createDataFrame([(1, k, [k, k + 1, k % 3]) for k in range(12)], "i int, c int, v array<int>")
+    plans = [screening.maxmin_select(df, "i", "c", "v", k, 3)._jdf.queryExecution().toString().count("Join") for k in (2, 6)]
+    assert plans[0] == plans[1] == 0
