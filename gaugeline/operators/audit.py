@@ -13,10 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeline.functions.scalars import finite, hardness_bin, pair_credit
+from gaugeline.functions.scalars import finite, hardness_bin, pair_credit, safe_corr
 from gaugeline.operators.joins import tolerance_counts
 from gaugeline.operators.nulls import label_null
-from gaugeline.operators.ordered import running
+from gaugeline.operators.ordered import ranked, running
 from gaugeline.operators.stats import ranked_quantiles, weighted_mean_std
 from gaugeline.sources.files import written
 
@@ -281,12 +281,32 @@ def class_separation(df: DataFrame, by: Sequence[str], x: str, cls: str, a, b, w
     return both.select(*by, "mean_a", "mean_b", (F.col("mean_a") - F.col("mean_b")).alias("delta"), F.try_divide(F.col("mean_a") - F.col("mean_b"), pooled).alias("effect"), "auc", best.alias("best_auc"), (best >= trivial).alias("trivial"))
 
 
-def feature_screen(long_df: DataFrame, feature: str, x: str, cls: str, a, b, weight: str, proxies: DataFrame, limit: float = 0.999) -> DataFrame:
-    """Separation of every feature, without proxies whose |rank correlation| with the baseline is ``limit`` or more; ``selected`` marks the largest |delta|."""
-    found = class_separation(long_df, [feature], x, cls, a, b, weight).join(proxies, feature, "left")
-    kept = found.where(F.coalesce(F.abs("rho"), F.lit(0.0)) < limit)
-    top = kept.agg(F.max(F.struct(F.abs("delta").alias("d"), (-F.hash(feature)).alias("h"), F.col(feature).alias("f")))["f"].alias("top"))
-    return kept.join(F.broadcast(top)).withColumn("selected", F.col(feature) == F.col("top")).drop("top")
+def feature_screen(long_df: DataFrame, item: str, feature: str, x: str, cls: str, a, b, weight: str, baseline: DataFrame, limit: float = 0.999) -> DataFrame:
+    """Separation of two classes by every feature of ``long_df(item, feature, x, class, weight)``, against ``baseline(item, value)``.
+
+    Adds per feature: rho, the absolute rank correlation with the baseline over
+    the items of both classes (null if either is constant); proxy, whether it is
+    ``limit`` or more; auc_gap, best_auc less that of the baseline;
+    selected_default for the largest absolute difference of means, and selected
+    for the largest best_auc among features that are no proxies, ties by
+    feature. All features are ranked in one sort of (feature, value), whose
+    ranges split a feature of any size. Items without a baseline are left out.
+    """
+    base = baseline.select(F.col(item).alias("i_"), F.col("value").cast("double").alias("v_"))
+    rows = long_df.where(F.col(cls).isin(a, b) & finite(F.col(x)).isNotNull()).select(F.col(item).alias("i_"), F.col(feature).alias("f_"), F.col(x).cast("double").alias("x_"), F.col(cls).alias("k_"), F.col(weight).alias("w_"))
+    items = written(rows.groupBy("i_").agg(F.max("k_").alias("k_"), F.max("w_").alias("w_")).join(base, "i_"), "items")
+    ranks = ranked(items, [], "v_", "rv_").select("i_", "rv_")
+    both = ranked(rows, ["f_"], "x_", "rx_").join(ranks, "i_")
+    varied = (F.min("rx_") < F.max("rx_")) & (F.min("rv_") < F.max("rv_"))
+    rho = both.groupBy("f_").agg(F.when(varied, F.round(F.abs(safe_corr("rx_", "rv_")), 12)).alias("rho"))
+    found = class_separation(rows.join(items.select("i_"), "i_", "left_semi"), ["f_"], "x_", "k_", a, b, "w_").join(rho, "f_")
+    own = class_separation(items, [], "v_", "k_", a, b, "w_").select(F.col("best_auc").alias("base_"))
+    found = written(found.join(F.broadcast(own)).withColumn("auc_gap", F.col("best_auc") - F.col("base_")).drop("base_").withColumn("proxy", F.coalesce(F.col("rho") >= limit, F.lit(False))), "screen")
+    top = found.agg(F.max(F.round(F.abs("delta"), 12)).alias("d_"), F.max(F.when(~F.col("proxy"), F.round("best_auc", 12))).alias("a_"))
+    marked = found.join(F.broadcast(top))
+    first = marked.agg(F.min(F.when(F.round(F.abs("delta"), 12) == F.col("d_"), F.col("f_"))).alias("fd_"), F.min(F.when(~F.col("proxy") & (F.round("best_auc", 12) == F.col("a_")), F.col("f_"))).alias("fa_"))
+    out = found.join(F.broadcast(first)).withColumns({"selected_default": F.coalesce(F.col("f_") == F.col("fd_"), F.lit(False)), "selected": F.coalesce(F.col("f_") == F.col("fa_"), F.lit(False))})
+    return out.drop("fd_", "fa_").withColumnRenamed("f_", feature)
 
 
 def one_vs_other(df: DataFrame, x: str, cls: str, classes: Sequence, weight: str = "weight") -> DataFrame:

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeline.functions.scalars import safe_corr
 from gaugeline.operators.joins import within_group_pairs
 from gaugeline.operators.windows import average_rank
+from gaugeline.sources.files import written
 
 
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
@@ -193,14 +196,113 @@ def cross_validate(df: DataFrame, group: str, key: str, y: str, features: Sequen
     return df.join(wide, group).withColumn("pred", pred).drop(*(f"w_{c}" for c in [*features, "intercept"]))
 
 
-def pairwise_logistic_fit(df: DataFrame, label: str, features: Sequence[str], lam: float, max_iter: int = 200, tol: float = 1e-8) -> DataFrame:
-    """(feature, weight) of a logistic fit without intercept and with an L2 penalty on feature differences."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
+#: Numbers of the weights of all folds that a round holds at the driver.
+MAX_WEIGHTS = 1_000_000
 
-    rows = VectorAssembler(inputCols=list(features), outputCol="x_").transform(df)
-    fit = LogisticRegression(featuresCol="x_", labelCol=label, fitIntercept=False, standardization=False, regParam=lam, elasticNetParam=0.0, maxIter=max_iter, tol=tol).fit(rows)
-    return df.sparkSession.createDataFrame(list(zip(features, map(float, fit.coefficients), strict=True)), "feature string, weight double")
+
+def _logistic_folds(df: DataFrame, fold: Column, names: Sequence, label: str, features: Sequence[str], lam: float, max_iter: int, tol: float) -> np.ndarray:
+    """Weights by Newton steps, a row for each of ``names``; a row of data counts for every fold but its own.
+
+    A round is one pass over the rows: each task adds up the gradient, the
+    Hessian and the loss of all folds side by side, and one row for a fold and
+    task is shuffled. A step that does not lower the loss is halved.
+    """
+    import pandas as pd
+
+    p, place = len(features), {name: k for k, name in enumerate(names)}
+    rows = df.select(fold.alias("f_"), F.col(label).cast("double").alias("y_"), *(F.col(c).cast("double") for c in features))
+    schema = "f_ int, n double, loss double, g array<double>, h array<double>"
+    weights, moves = np.zeros((len(names), p)), np.zeros((len(names), p))
+    best = np.full(len(names), np.inf)
+    for _ in range(max_iter):
+        trial = weights + moves
+
+        def run(batches, trial=trial):
+            total = [np.zeros(len(trial)), np.zeros(len(trial)), np.zeros((len(trial), p)), np.zeros((len(trial), p, p))]
+            for pdf in batches:
+                x, y = pdf[list(features)].to_numpy(float), pdf["y_"].to_numpy(float)
+                own = pdf["f_"].map(place).fillna(-1).to_numpy(int)
+                for k, w in enumerate(trial):
+                    use = own != k
+                    z = x[use] @ w
+                    q = 0.5 * (1 + np.tanh(z / 2))
+                    total[0][k] += use.sum()
+                    total[1][k] += (np.logaddexp(0, z) - y[use] * z).sum()
+                    total[2][k] += (q - y[use]) @ x[use]
+                    total[3][k] += (x[use] * (q * (1 - q))[:, None]).T @ x[use]
+            yield pd.DataFrame({"f_": range(len(trial)), "n": total[0], "loss": total[1], "g": list(total[2]), "h": list(total[3].reshape(len(trial), -1))})
+
+        parts = rows.mapInPandas(run, schema)
+        sums = parts.groupBy("f_").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"), *(F.array(*(F.sum(F.get(c, F.lit(k))) for k in range(size))).alias(c) for c, size in (("g", p), ("h", p * p))))
+        change = 0.0
+        for r in sums.collect():
+            k, n = r.f_, max(r.n, 1.0)
+            loss = r.loss / n + lam / 2 * trial[k] @ trial[k]
+            if loss > best[k] + 1e-12 * abs(best[k]):
+                moves[k] /= 2
+            else:
+                weights[k], best[k] = trial[k], loss
+                grad = np.array(r.g) / n + lam * trial[k]
+                moves[k] = -np.linalg.lstsq(np.array(r.h).reshape(p, p) / n + lam * np.eye(p), grad, rcond=None)[0]
+            change = max(change, float(np.abs(moves[k]).max(initial=0)))
+        if change <= tol:
+            break
+    return weights
+
+
+def pairwise_logistic_fit(df: DataFrame, label: str, features: Sequence[str], lam: float, max_iter: int = 50, tol: float = 1e-9) -> DataFrame:
+    """(feature, weight): the least mean logistic loss + lam / 2 |w|**2 of feature differences, without intercept."""
+    w = _logistic_folds(df, F.lit(None).cast("string"), [""], label, features, lam, max_iter, tol)[0]
+    return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(features, w, strict=True)], "feature string, weight double")
+
+
+def logo_logistic(df: DataFrame, group: str, label: str, features: Sequence[str], lam: float, max_iter: int = 50, tol: float = 1e-9) -> DataFrame:
+    """(fold, feature, weight): the fit of :func:`pairwise_logistic_fit` for each group from all other groups, side by side.
+
+    Work grows with rows times folds, as each fold has weights of its own; rows
+    are not multiplied. The driver holds folds times features numbers, at most
+    MAX_WEIGHTS; more are refused. Rows of a null group count for every fold.
+    """
+    names = [r[0] for r in df.where(F.col(group).isNotNull()).select(group).distinct().limit(MAX_WEIGHTS // max(1, len(features)) + 1).collect()]
+    if len(names) * len(features) > MAX_WEIGHTS:
+        raise ValueError(f"more than {MAX_WEIGHTS} weights in all folds")
+    names.sort()
+    w = _logistic_folds(df, F.col(group), names, label, features, lam, max_iter, tol)
+    rows = [(name, c, float(v)) for name, fit in zip(names, w, strict=True) for c, v in zip(features, fit, strict=True)]
+    return df.sparkSession.createDataFrame(rows, T.StructType([T.StructField("fold", df.schema[group].dataType), T.StructField("feature", T.StringType()), T.StructField("weight", T.DoubleType())]))
+
+
+class Evaluation(NamedTuple):
+    """Of one evaluation with groups left out: rows with pred, metrics of each fold, the report over folds, and (fold, feature, weight)."""
+
+    predictions: DataFrame
+    metrics: DataFrame
+    report: DataFrame
+    weights: DataFrame
+
+
+def _evaluated(df: DataFrame, group: str, key: str, truth: str, features: Sequence[str], weights: DataFrame, intercept: bool) -> Evaluation:
+    names = [*features, *(["intercept"] if intercept else [])]
+    wide = weights.groupBy("fold").pivot("feature", names).agg(F.first("weight"))
+    wide = wide.select(F.col("fold").alias(group), *(F.col(c).alias(f"w_{c}") for c in names))
+    pred = F.col("w_intercept") if intercept else F.lit(0.0)
+    for c in features:
+        pred = pred + F.col(f"w_{c}") * F.col(c)
+    rows = written(df.join(wide, group).withColumn("pred", pred).drop(*(f"w_{c}" for c in names)), "evaluated")
+    metrics = written(group_metrics(rows, group, key, "pred", truth), "metrics")
+    return Evaluation(rows, metrics, rank_report(metrics), weights)
+
+
+def evaluate_ridge(df: DataFrame, group: str, key: str, truth: str, features: Sequence[str], lam: float) -> Evaluation:
+    """Ridge fits with each group left out: predictions, H1-H3 per fold, H4 overall and the weights."""
+    return _evaluated(df, group, key, truth, features, written(logo_ridge(df, group, truth, features, lam), "weights"), True)
+
+
+def evaluate_pairwise(df: DataFrame, group: str, key: str, truth: str, features: Sequence[str], lam: float) -> Evaluation:
+    """Pairwise logistic fits with each group left out; a row's prediction is its score under the fit of the others."""
+    pairs = written(pair_training_table(df, group, key, truth, features).where("side = 1"), "pairs")
+    fits = logo_logistic(pairs, group, "label", [f"d_{c}" for c in features], lam)
+    return _evaluated(df, group, key, truth, features, fits.withColumn("feature", F.substring("feature", 3, 10_000)), False)
 
 
 def sweep_leaderboard(preds: DataFrame, config: str, group: str, key: str, pred: str, truth: str) -> DataFrame:

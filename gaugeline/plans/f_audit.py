@@ -209,20 +209,23 @@ def f13(spark, sf_dir):
     return A.class_separation(labelled(spark, sf_dir).withColumnRenamed("lang", "g"), ["g"], "score", "label", 1, 0)
 
 
-def _features(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where("label IN (0, 1)")
-    return e.select("label", F.lit(1.0).alias("weight"), F.posexplode("embedding").alias("g", "x")).withColumn("x", F.col("x").cast("double"))
+_FEATURES = "SELECT vec_id AS i, d AS g, embedding[d + 1]::DOUBLE AS x, (label = 0)::INTEGER AS c, 1.0 AS weight FROM embeddings, (SELECT unnest(range(0, (SELECT len(embedding) FROM embeddings LIMIT 1))) AS d) WHERE label IN (0, 1)"
 
 
-_FEATURES = "SELECT i AS g, embedding[i + 1]::DOUBLE AS x, (label = 0)::INTEGER AS c, 1.0 AS weight FROM embeddings, (SELECT unnest(range(0, (SELECT len(embedding) FROM embeddings LIMIT 1))) AS i) WHERE label IN (0, 1)"
-
-
-@query("F14_feature_screen", f"SELECT g::INTEGER AS g, delta, auc FROM ({_separation_sql(_FEATURES)}) WHERE g % 5 <> 0", "delta auc")
+@query(
+    "F14_feature_screen",
+    f"""WITH x AS MATERIALIZED ({_FEATURES}), v AS (SELECT i, x AS v FROM x WHERE g = 0), k AS (SELECT g, rank() OVER (PARTITION BY g ORDER BY x) + (count(*) OVER (PARTITION BY g, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY g ORDER BY v) + (count(*) OVER (PARTITION BY g, v) - 1) / 2.0 AS b FROM x JOIN v USING (i)),
+    r AS (SELECT g, round(abs(corr(a, b)), 12) AS rho FROM k GROUP BY 1), s AS ({_separation_sql("SELECT g, x, c, weight FROM x")}),
+    f AS (SELECT s.g::INTEGER AS g, delta, auc, rho, rho >= 0.999 AS proxy, best_auc - (SELECT best_auc FROM s WHERE g = 0) AS auc_gap, best_auc FROM s JOIN r USING (g))
+    SELECT g, delta, auc, rho, proxy, auc_gap, g = (SELECT g FROM f ORDER BY round(abs(delta), 12) DESC, g LIMIT 1) AS selected_default, g = (SELECT g FROM f WHERE NOT proxy ORDER BY round(best_auc, 12) DESC, g LIMIT 1) AS selected FROM f""",
+    "delta auc rho auc_gap",
+)
 def f14(spark, sf_dir):
-    """Every dimension as a feature; each fifth is marked as a proxy of the baseline."""
-    rows = _features(spark, sf_dir)
-    proxies = rows.select("g").distinct().select("g", F.when(F.col("g") % 5 == 0, 1.0).otherwise(0.2).alias("rho"))
-    return A.feature_screen(rows, "g", "x", "label", 0, 1, "weight", proxies).select("g", "delta", "auc")
+    """Every dimension as a feature, with the first one as the baseline."""
+    e = table(spark, sf_dir, "embeddings").where("label IN (0, 1)").select("vec_id", "label", "embedding")
+    rows = e.select("vec_id", "label", F.lit(1.0).alias("weight"), F.posexplode("embedding").alias("g", "x"))
+    baseline = e.select("vec_id", F.get("embedding", F.lit(0)).alias("value"))
+    return A.feature_screen(rows, "vec_id", "g", "x", "label", 0, 1, "weight", baseline).select("g", "delta", "auc", "rho", "proxy", "auc_gap", "selected_default", "selected")
 
 
 @query(

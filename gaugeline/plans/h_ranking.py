@@ -141,6 +141,32 @@ def h13(spark, sf_dir):
     return H.cross_validate(table(spark, sf_dir, "part"), "p_brand", "p_partkey", "p_retailprice", ["p_size"], 0.0).select("p_partkey", "pred")
 
 
+_FOLDS = """WITH s AS (SELECT p_brand AS g, p_partkey AS k, p_size, p_retailprice AS truth FROM part), f AS (SELECT t.g, regr_slope(s.truth, s.p_size) AS b, regr_intercept(s.truth, s.p_size) AS a FROM (SELECT DISTINCT g FROM s) t JOIN s ON s.g <> t.g GROUP BY 1)
+  SELECT g, k, truth, a + b * p_size AS pred FROM s JOIN f USING (g)"""
+
+
+def _brands(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("g"), F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("truth"), "p_size")
+
+
+@query("H13_fold_metrics", _metrics(_FOLDS), "rho")
+def h13b(spark, sf_dir):
+    """Rank accuracy of each brand under the fit of the others."""
+    return H.evaluate_ridge(_brands(spark, sf_dir), "g", "k", "truth", ["p_size"], 0.0).metrics
+
+
+@query("H13_fold_report", f"SELECT {_REPORT} FROM ({_metrics(_FOLDS)})", _REPORT_FLOATS)
+def h13c(spark, sf_dir):
+    return H.evaluate_ridge(_brands(spark, sf_dir), "g", "k", "truth", ["p_size"], 0.0).report
+
+
+@query("H12_logo_weights")
+def h12b(spark, sf_dir):
+    """Weights of the pairwise logistic fit with each brand left out; iterative, see test_logistic_folds_equal_direct_fits."""
+    parts = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_retailprice", (F.col("p_size") / 50).alias("size"), (F.length("p_name") / 50).alias("name"))
+    return H.evaluate_pairwise(parts, "p_brand", "p_partkey", "p_retailprice", ["size", "name"], 0.1).weights
+
+
 def _configs(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("g"), (F.col("l_orderkey") * 10000 + F.col("l_partkey")).alias("k"), F.col("l_extendedprice").alias("truth"), "l_quantity", "l_discount", "l_tax")
     once = rows.groupBy("g", "k").agg(F.count("*").alias("n")).where("n = 1").select("g", "k")

@@ -252,12 +252,70 @@ def test_calibrated_scores_rank_better(spark):
     assert got["calibrated"] > 0.99 > got["raw"]
 
 
-def test_logistic_fit_recovers_the_direction(spark):
+def plain_logistic(x, y, lam):
+    w = np.zeros(x.shape[1])
+    for _ in range(100):
+        q = 1 / (1 + np.exp(-x @ w))
+        grad = x.T @ (q - y) / len(y) + lam * w
+        w = w - np.linalg.solve((x.T * (q * (1 - q))) @ x / len(y) + lam * np.eye(len(w)), grad)
+    return w
+
+
+def test_logistic_folds_equal_direct_fits(spark):
     rng = np.random.default_rng(10)
-    x = rng.normal(size=(200, 2))
-    df = spark.createDataFrame([(float(a), float(b), int(a - 2 * b > 0)) for a, b in x], "a double, b double, label int")
-    w = {r.feature: r.weight for r in ranking.pairwise_logistic_fit(df, "label", ["a", "b"], 0.01).collect()}
-    assert w["a"] > 0 > w["b"] and abs(w["b"]) > abs(w["a"])
+    x = rng.normal(size=(240, 3)) * [1, 5, 0.2]
+    y = (x @ [1.0, -0.5, 2.0] + rng.logistic(size=240) > 0).astype(int)
+    g = rng.choice(list("abcd"), size=240)
+    df = spark.createDataFrame([(str(k), *map(float, r), int(v)) for k, r, v in zip(g, x, y)], "g string, a double, b double, c double, label int").repartition(5)
+    for lam in (0.0, 0.3):
+        got = {(r.fold, r.feature): r.weight for r in ranking.logo_logistic(df, "g", "label", ["a", "b", "c"], lam).collect()}
+        for fold in "abcd":
+            want = plain_logistic(x[g != fold], y[g != fold], lam)
+            assert [got[fold, c] for c in "abc"] == pytest.approx(want, abs=1e-7)
+        whole = {r.feature: r.weight for r in ranking.pairwise_logistic_fit(df, "label", ["a", "b", "c"], lam).collect()}
+        assert [whole[c] for c in "abc"] == pytest.approx(plain_logistic(x, y, lam), abs=1e-7)
+    apart = spark.createDataFrame([(1.0, 1), (-1.0, 0)] * 5, "a double, label int")
+    assert ranking.pairwise_logistic_fit(apart, "label", ["a"], 0.01).first().weight == pytest.approx(plain_logistic(np.array([[1.0], [-1.0]]), np.array([1, 0]), 0.01)[0], abs=1e-7)
+
+
+def test_evaluation_with_groups_left_out(spark):
+    rng = random.Random(14)
+    rows = [(g, 10 * k + n, rng.random(), rng.random()) for k, g in enumerate("abcde") for n in range(5)]
+    rows = [(g, k, a, b, round(2 * a - b + rng.gauss(0, 0.3), 1)) for g, k, a, b in rows]
+    df = spark.createDataFrame(rows, "g string, k int, a double, b double, t double")
+    found = ranking.evaluate_pairwise(df, "g", "k", "t", ["a", "b"], 0.05)
+    weights, metrics = {}, {r.g: r for r in found.metrics.collect()}
+    for r in found.weights.collect():
+        weights.setdefault(r.fold, {})[r.feature] = r.weight
+    correct = total = 0
+    for fold in "abcde":
+        pairs = [(np.array([p[2] - q[2], p[3] - q[3]]), int(p[4] > q[4])) for p, q in itertools.combinations(rows, 2) if p[0] == q[0] != fold and p[4] != q[4]]
+        want = plain_logistic(np.array([x for x, _ in pairs]), np.array([y for _, y in pairs]), 0.05)
+        assert [weights[fold]["a"], weights[fold]["b"]] == pytest.approx(want, abs=1e-7)
+        own = [(k, want[0] * a + want[1] * b, t) for g, k, a, b, t in rows if g == fold]
+        good = [np.sign(p[1] - q[1]) == np.sign(p[2] - q[2]) for p, q in itertools.combinations(own, 2) if p[2] != q[2]]
+        assert (metrics[fold].n_correct, metrics[fold].n_pairs) == (sum(good), len(good))
+        assert metrics[fold].hit == (min(own, key=lambda r: r[1])[2] == min(r[2] for r in own))
+        correct, total = correct + sum(good), total + len(good)
+    report = found.report.first()
+    assert report.n_groups == 5 and report.pair_accuracy == pytest.approx(correct / total)
+    ridge = ranking.evaluate_ridge(df, "g", "k", "t", ["a", "b"], 0.0)
+    assert ridge.weights.count() == 15 and ridge.predictions.count() == 25 and ridge.metrics.count() == 5
+
+
+def test_feature_screen_finds_proxies_by_rank(spark):
+    rng = random.Random(15)
+    items = [(k, rng.gauss(0, 1) + (k % 2), k % 2) for k in range(80)]
+    values = {"same": lambda v, c: math.exp(v), "back": lambda v, c: -v, "class": lambda v, c: c + rng.random(), "noise": lambda v, c: 50 * rng.random(), "flat": lambda v, c: 1.0}
+    rows = [(k, f, float(make(v, c)), c, 1.0) for k, v, c in items for f, make in values.items()]
+    df = spark.createDataFrame(rows, "i int, f string, x double, c int, w double")
+    base = spark.createDataFrame([(k, v) for k, v, _ in items], "i int, value double")
+    got = {r.f: r for r in audit.feature_screen(df, "i", "f", "x", "c", 1, 0, "w", base).collect()}
+    assert [f for f, r in got.items() if r.proxy] == [f for f in got if f in ("same", "back")] and got["flat"].rho is None
+    auc = brute_auc([(v, c, 1.0) for _, v, c in items])
+    assert got["back"].auc_gap == pytest.approx(0) and got["class"].auc_gap == pytest.approx(1 - max(auc, 1 - auc))
+    assert [f for f, r in got.items() if r.selected] == ["class"]
+    assert [f for f, r in got.items() if r.selected_default] == [max(got, key=lambda f: abs(got[f].delta))]
 
 
 def test_negatives_ladder_and_shortfall(spark):

@@ -33,7 +33,8 @@ TESTED = {
     "F6_null_auc_quantile": "test_null_distribution_equals_the_positive_recurrence",
     "F9_null_by_labels": "test_label_nulls_equal_brute_force",
     "G6_maxmin_select": "test_maxmin_choice_equals_greedy",
-    "H12_pairwise_logistic_fit": "test_logistic_fit_recovers_the_direction",
+    "H12_logo_weights": "test_logistic_folds_equal_direct_fits",
+    "H12_pairwise_logistic_fit": "test_logistic_folds_equal_direct_fits",
     "H20_calibrate_scores": "test_calibrated_scores_rank_better",
     "J9_spectrum": "test_spectrum_traces",
 }
