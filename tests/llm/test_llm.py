@@ -325,8 +325,24 @@ def test_contamination_equals_brute_force_on_odd_rows(spark):
     assert contamination.contaminated(table(spark, docs), bench.limit(0)).count() == 0
 
 
-def test_contamination_equals_brute_force_at_every_rate(spark):
+def test_items_that_share_a_phrase_do_not_meet_by_it(spark):
+    rng = random.Random(29)
+    phrase = "the end of the story"
+    items = [(k, f"{words(rng, 30, 10**6)} {phrase} {words(rng, 30, 10**6)}") for k in range(400)]
+    docs = [(k, f"{words(rng, 40, 10**6)} {phrase} {words(rng, 40, 10**6)}") for k in range(400)] + [(400 + k, edited(rng, items[k][1], 0.15)) for k in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = alignments(docs[400:], items[:40])
+    for passes in (8, 0):
+        began = time.time()
+        assert found_in(contamination.contaminated(table(spark, docs), bench, passes=passes)) == want
+        assert time.time() - began < 30
+    assert {d - 400 for d, _ in want} == set(range(40))
+
+
+@pytest.mark.parametrize("hot", [8, 0])
+def test_contamination_equals_brute_force_at_every_rate(spark, monkeypatch, hot):
     """Items of 13 to 60 tokens with 5 to 30 % of them replaced at random; nothing that counts is missed."""
+    monkeypatch.setattr(contamination, "HOT_ITEMS", hot)
     rng = random.Random(27)
     items = [(k, words(rng, rng.randint(13, 60), 10**6)) for k in range(60)]
     docs = []
@@ -338,8 +354,10 @@ def test_contamination_equals_brute_force_at_every_rate(spark):
     assert len(want) > 250
 
 
-def test_contamination_finds_every_replacement_that_counts(spark):
-    """All ways to replace 3 of 13 or 12, or 2 of 11 or 10 tokens, which the verification accepts."""
+@pytest.mark.parametrize("hot", [8, 0])
+def test_contamination_finds_every_replacement_that_counts(spark, monkeypatch, hot):
+    """All ways to replace 3 of 13 or 12, or 2 of 11 or 10 tokens, which the verification accepts; by lengthened seeds alone too."""
+    monkeypatch.setattr(contamination, "HOT_ITEMS", hot)
     rng = random.Random(17)
     items = {n: [f"i{n}x{j}" for j in range(n)] for n in (13, 12, 11, 10)}
     bench = spark.createDataFrame([(n, " ".join(t)) for n, t in items.items()], "item_id long, text string")
