@@ -12,7 +12,7 @@ from gaugeline.operators import ranking
 from gaugeline.operators.audit import audit_verdict, audit_warnings, hardness_curve, interpret_hardness, null_auc_quantile, score_request_pack, slack_stats, weighted_auc
 from gaugeline.operators.screening import matched_negatives, preflight
 from gaugeline.operators.windows import worst_groups
-from gaugeline.sources.files import file_manifest, read_items_csv, read_scores_json, write_result, written
+from gaugeline.sources.files import file_manifest, read_items_csv, read_scores_json, step_scope, write_result, written
 
 
 def scored_pairs(chosen: DataFrame, scores: DataFrame, default: float | None = None) -> DataFrame:
@@ -63,6 +63,7 @@ def screen_with_scores(items: DataFrame, pool: DataFrame, scores: DataFrame, str
     return out, pairs
 
 
+@step_scope()
 def run_screen(spark: SparkSession, items_csv: str, scores_json: str, version: str, out: str, strata: Sequence[str], checks: Sequence[tuple[Column, str]], k: int, seed: int, default: float | None = None, similarity: DataFrame | None = None) -> DataFrame:
     """A screening run: items as CSV and nested scores as JSON to tables below ``out``; returns the manifest.
 
@@ -94,6 +95,7 @@ def run_screen(spark: SparkSession, items_csv: str, scores_json: str, version: s
     return spark.read.option("header", True).csv(f"{out}/manifest")
 
 
+@step_scope()
 def run_ranking(spark: SparkSession, rows_csv: str, out: str, group: str, key: str, pred: str, truth: str, least: Mapping[str, float], worst: int = 10) -> DataFrame:
     """A grouped-rank evaluation: CSV rows to tables below ``out``; returns the report with its verdict.
 

@@ -11,7 +11,7 @@ from gaugeline.functions.scalars import set_similarity
 from gaugeline.operators.audit import item_audit
 from gaugeline.operators.joins import pending_items, set_classes, similar_classes
 from gaugeline.operators.ordered import running
-from gaugeline.sources.files import kept, shared_folder, written
+from gaugeline.sources.files import shared_folder, written
 
 
 def preflight(df: DataFrame, checks: Sequence[tuple[Column, str]], warnings: Sequence[tuple[Column, str]] = ()) -> DataFrame:
@@ -126,7 +126,7 @@ def min_distance_filter(df: DataFrame, item: str, order: str, vec: str, distance
         apart = 1 - F.coalesce(set_similarity(F.col(vec), F.col("v_")), F.lit(0.0))
         left = written(near.where((F.col(order) > F.col("o_")) & (apart >= d_pair)).select(df.columns), "distance")
         if left.isEmpty():
-            return kept(df.sparkSession, out, df.schema)
+            return df.sparkSession.read.schema(df.schema).parquet(out)
         rest = left
 
 

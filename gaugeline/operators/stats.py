@@ -272,3 +272,33 @@ def label_agreement(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataF
 def running_percentile(df: DataFrame, keys: Sequence[str], x: str, q: float) -> DataFrame:
     """Mean and a mergeable approximate percentile, for long runs."""
     return df.groupBy(*keys).agg(F.avg(x).alias("mean"), F.percentile_approx(x, q, 10_000).alias("percentile"))
+
+
+def quantile_sketches(df: DataFrame, keys: Sequence[str], x: str, k: int = 400) -> DataFrame:
+    """(group, n, total, sketch, rank_error): a run's mean and quantiles in a few kilobytes, to be stored and merged later.
+
+    ``sketch`` is a KLL sketch of parameter ``k`` over the values that are not
+    null or NaN. ``rank_error`` bounds, with a probability of 99 %, how far the
+    rank of a quantile told by it, or by any merging of such sketches, is from
+    the one asked for, as a share of n; a run of no more than k values is exact.
+    """
+    v = F.when(~F.isnan(F.col(x).cast("double")), F.col(x).cast("double"))
+    out = df.groupBy(*keys).agg(F.count(v).alias("n"), F.sum(v).alias("total"), F.kll_sketch_agg_double(v, F.lit(k)).alias("sketch"))
+    return out.withColumn("rank_error", F.lit(kll_rank_error(k)))
+
+
+def kll_rank_error(k: int) -> float:
+    """The published normalised rank error of one rank from a KLL sketch, 2.296 / k ** 0.9021."""
+    return 2.296 / k**0.9021
+
+
+def merge_sketches(runs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The sketches of runs added up by group, or all in one row; the bound on ranks is that of the widest."""
+    return runs.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.kll_merge_agg_double("sketch").alias("sketch"), F.max("rank_error").alias("rank_error"))
+
+
+def sketch_quantiles(runs: DataFrame, quantiles: Mapping[str, float]) -> DataFrame:
+    """The sketches' mean, {name} for each named quantile, and the rank error; null for a run without values."""
+    kept = [c for c in runs.columns if c not in ("sketch", "total", "n", "rank_error")]
+    told = {name: F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(float(q)))).alias(name) for name, q in quantiles.items()}
+    return runs.select(*kept, "n", F.try_divide("total", "n").alias("mean"), *told.values(), "rank_error")

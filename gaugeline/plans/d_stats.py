@@ -303,3 +303,13 @@ def d35(spark, sf_dir):
 def d36(spark, sf_dir):
     """Approximate by design."""
     return D.running_percentile(table(spark, sf_dir, "events"), ["event_type"], "value", 0.9)
+
+
+@query("D36_quantile_sketches", "SELECT event_type, count(value) AS n, avg(value) AS mean, TRUE AS within FROM events GROUP BY 1", "mean")
+def d36b(spark, sf_dir):
+    """Sketches of each user's values, merged by kind of event; whether the 90 % quantile lies within the bound on ranks."""
+    e = table(spark, sf_dir, "events")
+    merged = D.sketch_quantiles(D.merge_sketches(D.quantile_sketches(e, ["event_type", "user_id"], "value"), ["event_type"]), {"q": 0.9})
+    rank = e.join(merged, "event_type").groupBy("event_type").agg((F.count_if(F.col("value") < F.col("q")) / F.count("value")).alias("low"), (F.count_if(F.col("value") <= F.col("q")) / F.count("value")).alias("high"))
+    near = (F.col("low") <= 0.9 + F.col("rank_error")) & (F.col("high") >= 0.9 - F.col("rank_error"))
+    return merged.join(rank, "event_type").select("event_type", "n", "mean", near.alias("within"))

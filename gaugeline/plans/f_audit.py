@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions.scalars import pair_credit
 from gaugeline.operators import audit as A
+from gaugeline.operators.joins import missing_scores
 from gaugeline.operators.nulls import label_null
 from gaugeline.registry import query, table
 
@@ -274,9 +275,9 @@ def f18(spark, sf_dir):
 
 @query("F19_score_request_pack", "SELECT l_partkey, count(DISTINCT l_orderkey) AS n_items, min(l_suppkey) AS example FROM lineitem JOIN part ON p_partkey = l_partkey AND p_size <= 10 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def f19(spark, sf_dir):
-    """A top-k report."""
-    small = table(spark, sf_dir, "part").where("p_size <= 10").select(F.col("p_partkey").alias("l_partkey"))
-    return A.score_request_pack(table(spark, sf_dir, "lineitem").join(small, "l_partkey", "left_semi"), "l_orderkey", "l_partkey", "l_suppkey")
+    """A top-k report of the negatives without a score; small parts have none."""
+    scores = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_size") > 10, F.col("p_retailprice")).alias("score"))
+    return A.score_request_pack(missing_scores(table(spark, sf_dir, "lineitem"), scores, "l_partkey"), "l_orderkey", "l_partkey", "l_suppkey")
 
 
 @query(

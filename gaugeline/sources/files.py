@@ -6,44 +6,70 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, which driver and executors share; a local session without it gets a temporary one."""
+    """A new path below spark.checkpoint.dir, which driver and executors share; a local session without it gets a temporary one.
+
+    What is written there goes at the end of the running :func:`step_scope`, or
+    else of the driver, also if the session was stopped before.
+    """
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = f"file://{tempfile.gettempdir()}"
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    scopes = _SCOPES.get()
+    (scopes[-1] if scopes else _LEFT).append((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path))
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a step of an iteration below the shared folder and read it back, which cuts its lineage."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return kept(df.sparkSession, path, df.schema)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def kept(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A written step, to be deleted like those of :func:`written`."""
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(schema).parquet(path)
+#: Handed out folders by scope, innermost last; those outside any scope go when the driver ends.
+_SCOPES: ContextVar[tuple[list, ...]] = ContextVar("scopes", default=())
+_LEFT: list = []
+
+
+@contextmanager
+def step_scope():
+    """Delete the written steps of all operators called inside at its end.
+
+    Operators return lazy results that still read such steps, so write the
+    result inside the scope.
+    """
+    made: list = []
+    token = _SCOPES.set((*_SCOPES.get(), made))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for step in made:
+            _delete(*step)
 
 
-#: Written steps, deleted when the driver ends.
-_WRITTEN: list[tuple[SparkSession, str]] = []
+def _delete(jvm, conf, path: str) -> None:
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
 
 
 @atexit.register
-def _delete_written() -> None:
-    for spark, path in _WRITTEN:
+def _delete_left() -> None:
+    """The JVM outlives a stopped session, and its file systems need no session."""
+    for step in _LEFT:
         try:
-            if spark.sparkContext._jsc is not None:
-                delete(spark, path)
+            _delete(*step)
         except Exception:  # noqa: BLE001, PERF203  the JVM may be gone
             return
 

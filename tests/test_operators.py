@@ -3,7 +3,10 @@
 import hashlib
 import itertools
 import math
+import os
 import random
+import subprocess
+import sys
 import tracemalloc
 
 import numpy as np
@@ -757,3 +760,44 @@ def test_plan_of_maxmin_choice_does_not_grow(spark):
     df = spark.createDataFrame([(1, k, [k, k + 1, k % 3]) for k in range(12)], "i int, c int, v array<int>")
     plans = [screening.maxmin_select(df, "i", "c", "v", k, 3)._jdf.queryExecution().toString().count("Join") for k in (2, 6)]
     assert plans[0] == plans[1] == 0
+
+
+# Sketches and scratch
+
+
+def test_quantile_sketches_are_merged_within_their_bound(spark):
+    rng = random.Random(41)
+    rows = [(run, rng.expovariate(1)) for run in range(40) for _ in range(500)] + [(99, None), (99, float("nan")), (1, float("nan"))]
+    runs = stats.quantile_sketches(spark.createDataFrame(rows, "run int, x double").repartition(7), ["run"], "x")
+    x = sorted(v for _, v in rows if v is not None and v == v)
+    whole = stats.sketch_quantiles(stats.merge_sketches(runs), {"a": 0.1, "b": 0.5, "c": 0.99}).first()
+    assert whole.n == len(x) and whole.mean == pytest.approx(sum(x) / len(x))
+    for name, q in (("a", 0.1), ("b", 0.5), ("c", 0.99)):
+        at = np.searchsorted(x, whole[name]) / len(x)
+        assert abs(at - q) <= whole.rank_error
+    assert whole.rank_error == stats.kll_rank_error(400) < 0.011
+    none = stats.sketch_quantiles(runs.where("run = 99"), {"q": 0.5}).first()
+    assert (none.n, none.mean, none.q) == (0, None, None)
+    short = stats.sketch_quantiles(stats.quantile_sketches(spark.createDataFrame([(1, float(k)) for k in range(101)], "run int, x double"), ["run"], "x"), {"q": 0.5}).first()
+    assert short.q == 50.0
+
+
+def test_written_steps_go_at_the_end_of_their_scope(spark, tmp_path):
+    df = spark.range(5)
+    with files.step_scope():
+        kept = files.written(df, "step").inputFiles()[0].removeprefix("file:").removeprefix("//")
+        assert os.path.exists(kept)
+    assert not os.path.exists(kept)
+    code = f"""
+import os, sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}").getOrCreate()
+from gaugeline.sources.files import written
+written(s.range(3), "left")
+assert [x for x in os.listdir({str(tmp_path)!r}) if x.startswith("left-")]
+s.stop()
+"""
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_GATEWAY", "SPARK_"))}
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=200, env=env)
+    assert not [x for x in os.listdir(tmp_path) if x.startswith("left-")]
