@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def stream_screen(items: DataFrame, key: str, ts: str, delay: str, run: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
@@ -24,7 +22,7 @@ def stream_screen(items: DataFrame, key: str, ts: str, delay: str, run: Callable
 
 
 def stream_task_board(submissions: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
-    """Newest submission of each task and their number, for update or complete mode."""
+    """Newest submission of each task and their number; in update mode a batch tells the tasks that changed."""
     rest = [c for c in submissions.columns if c not in keys]
     return submissions.groupBy(*keys).agg(F.count("*").alias("n_submissions"), F.max(F.struct(ts, *(c for c in rest if c != ts))).alias("latest")).select(*keys, "n_submissions", "latest.*")
 
@@ -40,23 +38,18 @@ def stream_status(outcomes: DataFrame, ts: str, delay: str, width: str, status:
     return stream_histogram(outcomes.withColumn("reason", F.coalesce(F.col(reason), F.lit(""))), ts, delay, width, [status, "reason"])
 
 
-MOMENTS = "n long, s double, q double, p double, last double"
+def write_changes(stream: DataFrame, out: str, checkpoint: str):
+    """Write what each batch of an update-mode stream tells into a folder of its own; a retried batch overwrites its folder."""
 
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-def stream_moments(samples: DataFrame, chain: str, order: str, x: str) -> DataFrame:
-    """Per chain the running n, sum, sum of squares and sum of lag-1 products, in arrival order of batches.
+    return stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    Rows of one batch are taken in their own order; the state of a chain is five numbers.
-    """
-    kind = dict(samples.dtypes)[chain]
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, s, q, p, last = state.get if state.exists else (0, 0.0, 0.0, 0.0, None)
-        values = pd.concat(list(batches)).sort_values(order)[x].to_numpy(float)
-        p += float(values[1:] @ values[:-1]) + (0.0 if last is None else float(values[0]) * last)
-        n, s, q, last = n + len(values), s + float(values.sum()), q + float(values @ values), float(values[-1])
-        state.update((n, s, q, p, last))
-        yield pd.DataFrame({chain: [key[0]], "n": [n], "sum_x": [s], "sum_xx": [q], "sum_lag": [p]})
-
-    out = f"{chain} {kind}, n long, sum_x double, sum_xx double, sum_lag double"
-    return samples.groupBy(chain).applyInPandasWithState(step, out, MOMENTS, "update", GroupStateTimeout.NoTimeout)
+
+def read_changes(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
+    """The newest row of each key that :func:`write_changes` wrote, whichever batches told it."""
+    rows = spark.read.option("basePath", out).parquet(out)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last_"))
+    return last.select(*keys, *(F.col(f"last_.{c}").alias(c) for c in rest))

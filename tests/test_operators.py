@@ -801,3 +801,37 @@ s.stop()
     env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_GATEWAY", "SPARK_"))}
     subprocess.run([sys.executable, "-c", code], check=True, timeout=200, env=env)
     assert not [x for x in os.listdir(tmp_path) if x.startswith("left-")]
+
+
+# Streams of late rows
+
+
+def test_streams_of_late_rows_give_the_batch_results(spark, tmp_path, monkeypatch):
+    from gaugeline.streaming import flows, halves
+
+    monkeypatch.setattr(halves, "BLOCK", 4)
+    rng = random.Random(51)
+    rows = [(c, k, rng.choice("xyz"), rng.uniform(-2, 2)) for c in "ab" for k in range(45)] + [("one", 1, "x", 2.0)]
+    rng.shuffle(rows)
+    for b in range(4):
+        spark.createDataFrame(rows[b * 23 : (b + 1) * 23] + [("a", None, "x", 1.0)], "c string, t long, k string, x double").coalesce(1).write.parquet(f"{tmp_path}/in/{b}")
+    stream = spark.readStream.schema("c string, t long, k string, x double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for n in range(2):  # a restarted stream finds nothing new and tells nothing else
+            flows.write_changes(halves.stream_halves(stream, "c", "t", "k"), f"{tmp_path}/halves", f"{tmp_path}/h").awaitTermination()
+        flows.write_changes(halves.stream_ordered_moments(stream, "c", "t", "x"), f"{tmp_path}/moments", f"{tmp_path}/m").awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    got = {(r.c, r.k): (r.n, r.n_first, r.n_second) for r in flows.read_changes(spark, f"{tmp_path}/halves", ["c", "k"]).collect()}
+    sums = {r.c: r for r in flows.read_changes(spark, f"{tmp_path}/moments", ["c"]).collect()}
+    for c in ("a", "b", "one"):
+        own = sorted(r[1:] for r in rows if r[0] == c)
+        first = own[: len(own) // 2]
+        for k in {r[1] for r in own}:
+            n, m = (sum(r[1] == k for r in part) for part in (own, first))
+            assert got[c, k] == (n, m, n - m)
+        x = [r[2] for r in own]
+        assert [sums[c].n, sums[c].sum_x, sums[c].sum_xx, sums[c].sum_lag] == pytest.approx([len(x), sum(x), sum(v * v for v in x), sum(a * b for a, b in zip(x, x[1:]))])
