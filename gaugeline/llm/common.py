@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-#: Scratch roots to delete when the running scope ends, innermost last; those outside any scope go when the driver ends.
+#: Scratch roots to delete when the running scope ends, innermost last; those outside any scope go when the driver ends, also after its session.
 _SCOPES: ContextVar[tuple[list, ...]] = ContextVar("scopes", default=())
 _LEFT: list[Scratch] = []
 
@@ -46,7 +46,7 @@ def scratch_scope():
     finally:
         _SCOPES.reset(token)
         for scratch in made:
-            scratch.delete()
+            scratch.drop()
 
 
 @contextmanager
@@ -74,6 +74,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        # The JVM outlives a stopped session, and its file systems need no session.
+        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         scopes = _SCOPES.get()
         (scopes[-1] if scopes else _LEFT).append(self)
 
@@ -85,21 +87,16 @@ class Scratch:
 
     def drop(self, *labels: str) -> None:
         """Delete tables that no later step reads; without labels, all."""
-        jvm = self.spark.sparkContext._jvm
         for label in labels or ("",):
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{label}" if label else self.root)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-    def delete(self) -> None:
-        if self.spark.sparkContext._jsc is not None:  # else the driver is at its end
-            self.drop()
+            path = self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{label}" if label else self.root)
+            path.getFileSystem(self.conf).delete(path, True)
 
 
 @atexit.register
 def _delete_left() -> None:
     for scratch in _LEFT:
         try:
-            scratch.delete()
+            scratch.drop()
         except Exception:  # noqa: BLE001, PERF203  the JVM may be gone
             return
 

@@ -83,7 +83,7 @@ def _url_sql() -> str:
     fits = {h + p: (v, f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')") for v, h, p in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))}
     rule = " ".join(f"WHEN {c} THEN '{r}'" for r, (_, c) in fits.items())
     given = " ".join(f"WHEN {c} THEN '{v}'" for v, c in fits.values())
-    has = {t: f"regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::BIGINT" for t, _, _ in URL_TERMS}
+    has = {t: rf"regexp_matches(low, '(^|[^\pL\pN]){t}([^\pL\pN]|$)')::BIGINT" for t, _, _ in URL_TERMS}
     strict, soft = (" + ".join(has[t] for t, k, _ in URL_TERMS if k == kind) for kind in ("strict", "soft"))
     weight = " + ".join(f"{w} * {has[t]}" for t, k, w in URL_TERMS if k == "soft")
     return f"""

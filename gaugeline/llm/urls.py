@@ -44,9 +44,6 @@ def _counter(strict: frozenset[str], soft: dict[str, int]):
             automaton.add_word(word, word)
         automaton.make_automaton()
 
-        def word_char(c: str) -> bool:
-            return c.isascii() and c.isalnum()
-
         for batch in batches:
             n_strict, n_soft, weight = [], [], []
             for url in batch.column("url_").to_pylist():
@@ -54,7 +51,7 @@ def _counter(strict: frozenset[str], soft: dict[str, int]):
                 found = set()
                 for at, word in automaton.iter(low) if len(automaton) else ():
                     start = at - len(word) + 1
-                    if word not in found and (start == 0 or not word_char(low[start - 1])) and (at + 1 == len(low) or not word_char(low[at + 1])):
+                    if word not in found and (start == 0 or not low[start - 1].isalnum()) and (at + 1 == len(low) or not low[at + 1].isalnum()):
                         found.add(word)
                 n_strict.append(len(found & strict))
                 n_soft.append(len(found - strict))
@@ -81,8 +78,8 @@ def url_verdicts(
     subdomains if the path begins with the rule's; the longest rule wins, the
     first of equally long ones. Where none fits, one automaton looks for all of
     ``terms(term, kind, weight)`` in the URL, after percent-decoding and in
-    lower case; a term counts if no ASCII letter or digit stands next to it, and
-    once however often it occurs. The URL is blocked for one strict term, or
+    lower case; a term counts if no letter or digit of any script stands next to
+    it, and once however often it occurs. The URL is blocked for one strict term, or
     for ``soft_least`` different soft terms with a joint weight of
     ``soft_limit`` or more. A term that is listed as strict is not soft, and
     one listed twice has its largest weight. Null and empty terms are left out,

@@ -526,6 +526,10 @@ def test_url_verdicts(spark):
         ("http://poker.example.net/win", "poker.example.net", "/win", None, "block"),
         ("http://a.net/%70orn", "a.net", "/%70orn", None, "block"),
         ("http://a.net/%D0%BF%D0%BE%D1%80%D0%BD%D0%BE", "a.net", "/%D0%BF%D0%BE%D1%80%D0%BD%D0%BE", None, "block"),
+        ("http://a.net/казиновый", "a.net", "/казиновый", None, "allow"),
+        ("http://a.net/суперказино", "a.net", "/суперказино", None, "allow"),
+        ("http://a.net/casinoé", "a.net", "/casinoé", None, "allow"),
+        ("http://a.net/x_казино_x", "a.net", "/x_казино_x", None, "block"),
         ("http://a.net/" + "x" * 100_000 + "/porn", "a.net", "/" + "x" * 100_000 + "/porn", None, "block"),
         ("http://a.net/%zz%e", "a.net", "/%zz%e", None, "allow"),
         ("x/porn", "", "", None, "block"),
