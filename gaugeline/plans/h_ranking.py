@@ -141,8 +141,9 @@ def h13(spark, sf_dir):
     return H.cross_validate(table(spark, sf_dir, "part"), "p_brand", "p_partkey", "p_retailprice", ["p_size"], 0.0).select("p_partkey", "pred")
 
 
+# Rounded, so that equal sizes tie however often the fit is reckoned anew.
 _FOLDS = """WITH s AS (SELECT p_brand AS g, p_partkey AS k, p_size, p_retailprice AS truth FROM part), f AS (SELECT t.g, regr_slope(s.truth, s.p_size) AS b, regr_intercept(s.truth, s.p_size) AS a FROM (SELECT DISTINCT g FROM s) t JOIN s ON s.g <> t.g GROUP BY 1)
-  SELECT g, k, truth, a + b * p_size AS pred FROM s JOIN f USING (g)"""
+  SELECT g, k, truth, round(a + b * p_size, 8) AS pred FROM s JOIN f USING (g)"""
 
 
 def _brands(spark, sf_dir) -> DataFrame:
