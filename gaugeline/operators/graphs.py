@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeline.operators.ordered import running
 from gaugeline.sources.files import written
 
 
@@ -308,15 +309,37 @@ def run_verdict(df: DataFrame, keys: Sequence[str], measured: str, correct: str,
     return row.select(*keys, "n", "noise", "speed", verdict.alias("verdict"))
 
 
-def graph_distances(edges: DataFrame, by: str = "graph") -> DataFrame:
+def graph_distances(edges: DataFrame, by: str = "graph", small: int = 2000) -> DataFrame:
     """(graph, diameter, wiener, leaves, max_degree) from the distances of all pairs of nodes that are connected.
 
+    Graphs of up to ``small`` edges, and larger ones with a cycle, have their
+    pairs listed in rounds; the set of pairs is the square of a graph's size by
+    its nature. Larger trees and forests are read off their Euler tours, in time
+    n log n: see :func:`_tour_distances`. Both ways are exact.
+    """
+    links = written(both_ways(undirected(edges, by), by), "links")
+    m = links.groupBy(by).agg((F.count("*") / 2).alias("m_"), F.count_distinct("u").alias("n_"))
+    large = written(m.where((F.col("m_") > small) & (F.col("m_") < F.col("n_"))).select(by), "large")
+    none = large.isEmpty()
+    dist = _pair_distances(links if none else links.join(large, by, "left_anti"), by)
+    if not none:
+        # As many trees as nodes exceed edges; a cycle beside other trees is told by the number of tours.
+        trees = links.join(large, by, "left_semi")
+        tours = written(_tours(trees, by), "tours")
+        sound = tours.groupBy(by).agg(F.count_distinct("tour").alias("t"), (F.count("*") / 2).alias("m")).join(m, by).where("t = n_ - m").select(by)
+        dist = dist.unionByName(_tour_distances(tours.join(sound, by, "left_semi"), by))
+        dist = dist.unionByName(_pair_distances(trees.join(sound, by, "left_anti"), by))
+    deg = degrees(edges, by).groupBy(by).agg(F.count_if(F.col("degree") == 1).alias("leaves"), F.max("degree").alias("max_degree"))
+    return dist.join(deg, by)
+
+
+def _pair_distances(links: DataFrame, by: str) -> DataFrame:
+    """(graph, diameter, wiener) from all pairs.
+
     Distances up to L give those up to 2 L: on a shortest path that is longer
     there is a node at distance L from its start. So rounds, each a written
-    table, are the logarithm of the largest diameter. The set of node pairs is
-    the square of a graph's size by its nature; graphs are small and many.
+    table, are the logarithm of the largest diameter.
     """
-    links = both_ways(undirected(edges, by), by)
     reached = written(links.select(by, F.col("u").alias("s"), F.col("v").alias("t")).withColumn("d", F.lit(1)), "distances")
     size = 1
     while True:
@@ -327,9 +350,57 @@ def graph_distances(edges: DataFrame, by: str = "graph") -> DataFrame:
         if step.isEmpty():
             break
         reached, size = reached.unionByName(step), 2 * size
-    dist = reached.groupBy(by).agg(F.max("d").alias("diameter"), (F.sum("d") / 2).cast("bigint").alias("wiener"))
-    deg = degrees(edges, by).groupBy(by).agg(F.count_if(F.col("degree") == 1).alias("leaves"), F.max("degree").alias("max_degree"))
-    return dist.join(deg, by)
+    return reached.groupBy(by).agg(F.max("d").cast("bigint").alias("diameter"), (F.sum("d") / 2).cast("bigint").alias("wiener"))
+
+
+def _tours(links: DataFrame, by: str) -> DataFrame:
+    """(graph, tour, u, v, id, back, at, length): the arcs of each Euler tour with their place in it and the arc that leads back.
+
+    The arc after u -> v goes from v to its next neighbour after u, round and
+    round, so a tree has one tour and a connected graph with cycles has one or
+    more. Places come from pointer jumping: in round k each arc knows the least
+    arc among the next 2**k and how far it is. Neighbours are numbered by
+    ranges, so a hub is no single task.
+    """
+    arcs = running(links, [by, "u"], ["v"], {"k": F.lit(1)}, totals=True).withColumnRenamed("k_all", "deg").withColumn("id", F.monotonically_increasing_id())
+    arcs = written(arcs, "arcs")
+    back = arcs.select(by, F.col("u").alias("v"), F.col("v").alias("u"), F.col("id").alias("back"), ((F.col("k") + 1) % F.col("deg")).alias("k_"))
+    arcs = arcs.select(by, "u", "v", "id").join(back, [by, "u", "v"]).join(arcs.select(by, F.col("u").alias("v"), F.col("k").alias("k_"), F.col("id").alias("next")), [by, "v", "k_"]).drop("k_")
+    arcs = written(arcs, "arcs")
+    found = arcs.select("id", "next", F.struct(F.col("id").alias("tour"), F.lit(0).cast("long").alias("off")).alias("best"))
+    span, most = 1, arcs.groupBy(by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    while span < most:
+        ahead = found.select(F.col("id").alias("next"), F.col("next").alias("far"), F.struct(F.col("best.tour").alias("tour"), (F.col("best.off") + span).alias("off")).alias("other"))
+        found = written(found.join(ahead, "next").select("id", F.col("far").alias("next"), F.least("best", "other").alias("best")), "tour")
+        span *= 2
+    found = found.select("id", "best.tour", "best.off")
+    length = found.groupBy("tour").agg(F.count("*").alias("length"))
+    rows = arcs.drop("next").join(found, "id").join(length, "tour")
+    return rows.withColumn("at", F.pmod(-F.col("off"), F.col("length"))).drop("off")
+
+
+def _tour_distances(tours: DataFrame, by: str) -> DataFrame:
+    """(graph, diameter, wiener) of forests from their Euler tours.
+
+    The arc that comes first leads down, and between it and the arc back lie the
+    arcs below: so sizes of subtrees give the Wiener index, each edge with the
+    pairs it parts. Depth is a running sum. From the deepest node the distance
+    to another is told by the least depth between the two on the tour, a running
+    minimum to either side, and the greatest is the diameter.
+    """
+    both = tours.join(tours.select(F.col("id").alias("back"), F.col("at").alias("to")), "back").withColumn("down", F.col("at") < F.col("to"))
+    both = running(both, [by, "tour"], ["at"], {"depth": F.when(F.col("down"), 1).otherwise(-1)})
+    rows = written(both.select(by, "tour", "at", "to", "length", "down", (F.col("depth") + F.when(F.col("down"), 1).otherwise(-1)).alias("depth")), "depths")
+    size, whole = F.expr("(to - at + 1) div 2"), F.expr("length div 2 + 1")
+    wiener = rows.where("down").groupBy(by).agg(F.sum(size * (whole - size)).alias("wiener"))
+    deep = rows.groupBy(by, "tour").agg(F.max(F.struct(F.col("depth").alias("d"), (-F.col("at")).alias("at"))).alias("a")).select(by, "tour", F.col("a.d").alias("d_a"), (-F.col("a.at")).alias("a"))
+    far = rows.join(deep, [by, "tour"])
+    sides = F.when(F.col("at") == F.col("a"), F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("at") > F.col("a")).cast("int")))
+    far = far.select(by, "tour", "depth", "d_a", F.abs(F.col("at") - F.col("a")).alias("away"), F.explode(sides).alias("side"))
+    far = running(far, [by, "tour", "side"], ["away"], maxima={"least": -F.col("depth")})
+    least = -F.greatest(F.coalesce("least", -F.col("depth")), -F.col("depth"))
+    diameter = far.groupBy(by).agg(F.max(F.greatest(F.col("d_a"), F.col("d_a") + F.col("depth") - 2 * least)).cast("bigint").alias("diameter"))
+    return diameter.join(wiener, by).select(by, "diameter", "wiener")
 
 
 def heat_features(spec: DataFrame, taus: Sequence[float], by: str = "graph", value: str = "value") -> DataFrame:

@@ -835,3 +835,46 @@ def test_streams_of_late_rows_give_the_batch_results(spark, tmp_path, monkeypatc
             assert got[c, k] == (n, m, n - m)
         x = [r[2] for r in own]
         assert [sums[c].n, sums[c].sum_x, sums[c].sum_xx, sums[c].sum_lag] == pytest.approx([len(x), sum(x), sum(v * v for v in x), sum(a * b for a, b in zip(x, x[1:]))])
+
+
+# Distances in large trees
+
+
+def plain_distances(edges):
+    near = {}
+    for u, v in edges:
+        if u != v:
+            near.setdefault(u, set()).add(v)
+            near.setdefault(v, set()).add(u)
+    far = total = 0
+    for s in near:
+        seen, front = {s: 0}, [s]
+        while front:
+            front = [w for u in front for w in near[u] if w not in seen and not seen.update({w: seen[u] + 1})]
+        far, total = max(far, *seen.values()), total + sum(seen.values())
+    return far, total // 2
+
+
+def test_distances_of_trees_by_tours_equal_plain_search(spark):
+    rng = random.Random(61)
+    graphs_ = {
+        "path": [(k, k + 1) for k in range(70)],
+        "star": [(0, k) for k in range(1, 60)],
+        "random": [(k, rng.randrange(k)) for k in range(1, 120)],
+        "twigs": [(k, max(0, k - rng.choice([1, 1, 2]))) for k in range(1, 100)],
+        "forest": [(k, rng.randrange(k)) for k in range(1, 40)] + [(k, rng.randrange(1000, k)) for k in range(1001, 1060)] + [(5000, 5001)],
+        "cycle": [(k, (k + 1) % 40) for k in range(40)] + [(k, k + 1) for k in range(100, 130)],
+        "edge": [(1, 2), (2, 1), (2, 2)],
+    }
+    edges = spark.createDataFrame([(g, *e) for g, es in graphs_.items() for e in es], "graph string, u int, v int")
+    want = {g: plain_distances(es) for g, es in graphs_.items()}
+    for small in (2000, 10, 0):
+        got = {r.graph: (r.diameter, r.wiener) for r in graphs.graph_distances(edges, small=small).collect()}
+        assert got == want
+
+
+def test_distances_of_a_long_path(spark):
+    n = 30_000
+    edges = spark.range(n).select(F.lit(1).alias("graph"), F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    r = graphs.graph_distances(edges).first()
+    assert (r.diameter, r.wiener, r.leaves, r.max_degree) == (n, n * (n + 1) * (n + 2) // 6, 2, 2)
