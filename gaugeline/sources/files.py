@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,25 +128,83 @@ def read_optional(spark: SparkSession, path: str, schema: T.StructType | str) ->
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """One folder per table, as Parquet, CSV with a header, or JSON lines."""
+    """One folder per table, as Parquet, CSV with a header, or JSON lines.
+
+    An overwriting table is written beside the old one, under a hidden name, and
+    takes its place when it is whole; a write that fails leaves the old table.
+    """
     writer = df.write.mode(mode)
-    (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
+    writer = (writer.option("header", True) if fmt == "csv" else writer).format(fmt)
+    if mode == "overwrite":
+        _replaced(df.sparkSession, path, writer.save)
+    else:
+        writer.save(path)
+
+
+def _replaced(spark: SparkSession, path: str, save: Callable[[str], None]) -> None:
+    """Save into a hidden folder beside ``path`` and put that in its place by renaming."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    parent, _, name = path.rstrip("/").rpartition("/")
+    staged, old = (f"{parent}/.{name}.{part}-{uuid.uuid4().hex}" for part in ("new", "old"))
+    try:
+        save(staged)
+    except BaseException:
+        _delete(jvm, conf, staged)
+        raise
+    to, new, was = (jvm.org.apache.hadoop.fs.Path(x) for x in (path.rstrip("/"), staged, old))
+    system = to.getFileSystem(conf)
+    kept = system.exists(to)
+    if kept and not system.rename(to, was) or not system.rename(new, to):
+        raise OSError(f"{path} could not be replaced by {staged}")
+    if kept:
+        system.delete(was, True)
 
 
 def write_item_documents(df: DataFrame, path: str, key: str, drop: Sequence[str] = (), full: bool = True) -> None:
     """A nested JSON document per item without the bulky columns; nothing if not ``full``."""
     if full:
         kept = [c for c in df.columns if c not in drop and c != key]
-        df.select(key, F.struct(*kept).alias("document")).write.mode("overwrite").json(path)
+        write_result(df.select(key, F.struct(*kept).alias("document")), path, "json")
+
+
+def _stream_digests(batches):
+    """SHA-256 of files, read a few megabytes at a time."""
+    import hashlib
+    from urllib.parse import quote
+
+    import pyarrow as pa
+    from pyarrow.fs import FileSystem
+
+    for batch in batches:
+        digests = []
+        for path in batch.column("path").to_pylist():
+            scheme, _, rest = path.partition(":")
+            system, at = FileSystem.from_uri(f"{scheme}:{'' if rest.startswith('//') else '//'}{quote(rest, safe='/:@')}")
+            found = hashlib.sha256()
+            with system.open_input_stream(at) as stream:
+                while part := stream.read(8 << 20):
+                    found.update(part)
+            digests.append(found.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array(digests, pa.string())], names=["path", "length", "sha256"])
 
 
-def file_manifest(spark: SparkSession, folder: str, skip: Sequence[str] = ()) -> DataFrame:
+def file_manifest(spark: SparkSession, folder: str, skip: Sequence[str] = (), large: int = 256 << 20) -> DataFrame:
     """(path below the folder, size, sha256) of every file, once each and sorted.
 
-    Spark hands over a file's bytes as one value, so a file of 2 GB or more fails.
+    Spark hands over a file of up to ``large`` bytes as one value. Larger ones,
+    of any size, are dealt out file by file and read in chunks by the workers,
+    which need to reach the folder by its own address; their contents are never
+    a value. Spark reads no empty files, so those come from its listing.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     root = folder.rstrip("/").split(":", 1)[-1].lstrip("/")
+    small = files.where(F.col("length") <= large).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    big = files.where(F.col("length") > large).select("path", "length").distinct()
+    big = big.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").mapInArrow(_stream_digests, "path string, length long, sha256 string")
     below = F.element_at(F.split(F.col("path"), root + "/", 2), -1)
-    found = files.select(below.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256")).distinct()
+    listed = [(re.sub(r"^(\w+):/+", r"\1:/", unquote(x)),) for x in files.inputFiles()]
+    full = small.unionByName(big).withColumn("path", F.regexp_replace("path", r"^(\w+):/+", "$1:/"))
+    empty = spark.createDataFrame(listed, "path string").join(files.select(F.regexp_replace("path", r"^(\w+):/+", "$1:/").alias("path")), "path", "left_anti")
+    empty = empty.select("path", F.lit(0).cast("long").alias("length"), F.sha2(F.lit(""), 256).alias("sha256"))
+    found = full.unionByName(empty).select(below.alias("path"), F.col("length").alias("size"), "sha256").distinct()
     return found.where(~F.col("path").isin(*skip)).orderBy("path") if skip else found.orderBy("path")

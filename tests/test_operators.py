@@ -878,3 +878,27 @@ def test_distances_of_a_long_path(spark):
     edges = spark.range(n).select(F.lit(1).alias("graph"), F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     r = graphs.graph_distances(edges).first()
     assert (r.diameter, r.wiener, r.leaves, r.max_degree) == (n, n * (n + 1) * (n + 2) // 6, 2, 2)
+
+
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
+    path = f"{tmp_path}/out/table"
+    files.write_result(spark.range(3), path)
+    broken = spark.range(1000).repartition(4).select(F.when(F.col("id") == 777, F.raise_error(F.lit("broken")).cast("long")).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        files.write_result(broken, path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [0, 1, 2] and os.listdir(f"{tmp_path}/out") == ["table"]
+    files.write_result(spark.read.parquet(path).select((F.col("id") * 2).alias("id")), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [0, 2, 4] and os.listdir(f"{tmp_path}/out") == ["table"]
+    files.write_result(spark.range(2), path, mode="append")
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_manifest_of_large_files_is_read_in_chunks(spark, tmp_path):
+    rng = random.Random(71)
+    sizes = {"a.bin": 0, "b/c d.bin": 10, "b/é.bin": 20_000_000, "z.bin": 9_000_000}
+    for name, n in sizes.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(rng.randbytes(n))
+    want = sorted((name, n, hashlib.sha256((tmp_path / name).read_bytes()).hexdigest()) for name, n in sizes.items())
+    for large in (256 << 20, 1 << 20, 5):
+        assert [tuple(r) for r in files.file_manifest(spark, str(tmp_path), large=large).collect()] == want
