@@ -24,7 +24,7 @@ from gaugeline.sources.files import written
 def weighted_auc(df: DataFrame, by: Sequence[str], score: str = "score", label: str = "label", weight: str | None = "weight", ranges: int | None = None) -> DataFrame:
     """(group, n_pos, n_neg, auc): sum over tie blocks of pos (negatives below + half of those in the block), over W+ W-.
 
-    Rows are summed by score first, and a group of any size, or the whole table
+    Rows are summed by score first, and a large group, or the whole table
     without one, is put in order by ranges, so no task holds all its scores.
     A group without a positive or a negative has a null AUC. Rows with a null or
     non-finite score are left out.
@@ -39,7 +39,7 @@ def weighted_auc(df: DataFrame, by: Sequence[str], score: str = "score", label:
         F.count_if("y").alias("np"),
         F.count_if(~F.col("y")).alias("nn"),
     )
-    out = running(blocks, by, ["s"], {"below": "neg"}, ranges=ranges).groupBy(*by).agg(
+    out = running(blocks, by, ["s"], {"below": "neg"}, ranges=ranges, sizes=rows).groupBy(*by).agg(
         F.sum("np").alias("n_pos"), F.sum("nn").alias("n_neg"), F.sum(F.col("pos") * (F.col("below") + 0.5 * F.col("neg"))).alias("u"), F.sum("pos").alias("wp"), F.sum("neg").alias("wn")
     )
     return out.select(*by, "n_pos", "n_neg", F.try_divide("u", F.col("wp") * F.col("wn")).alias("auc"))

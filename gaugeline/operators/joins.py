@@ -156,10 +156,10 @@ def tolerance_counts(df: DataFrame, value: str, tol: float, cls: str) -> DataFra
     events = points.unionByName(asked).withColumns({"p": F.when(F.col("kind") == 0, F.col("c")), "told": F.col("k").isNotNull()})
     order = ["x", "kind", "k", "v"]
     last = F.when((F.col("kind") == 0) & F.col("told"), F.struct("x", "k"))
-    rows = running(events, [], order, {"all": "p", "known": F.when(F.col("told"), F.col("p"))}, {"last": last})
+    rows = running(events, [], order, {"all": "p", "known": F.when(F.col("told"), F.col("p"))}, {"last": last}, sizes=blocks)
     jump = F.when((F.col("kind") == 0) & F.col("told") & (F.col("last.k") != F.col("k")), F.col("last.x"))
-    rows = running(rows, [], order, maxima={"other": jump})
-    own = running(events.where("told"), ["k"], order, {"own": "p"})
+    rows = running(rows, [], order, maxima={"other": jump}, sizes=blocks)
+    own = running(events.where("told"), ["k"], order, {"own": "p"}, sizes=blocks)
 
     def pairs(name: str, told: Column) -> Column:
         c = F.col("c").cast("decimal(19,0)")

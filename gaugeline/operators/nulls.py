@@ -48,10 +48,10 @@ def placed_cells(df: DataFrame, by: Sequence[str], score: str, label: str, weigh
     rows = df.where(s.isNotNull() & F.col(label).isNotNull() & w.isNotNull()).select(*by, s.alias("s"), w.alias("w"), (F.col(label) == 1).cast("long").alias("y"))
     cells = rows.groupBy(*by, "s", "w").agg(F.count("*").alias("c"), F.sum("y").alias("y"))
     if not weight:
-        out = running(cells, by, ["s"], {"b": "c", "k": F.lit(1), "m": "y"}, totals=True)
+        out = running(cells, by, ["s"], {"b": "c", "k": F.lit(1), "m": "y"}, totals=True, sizes=rows)
         return out.select(*by, "w", "c", (F.col("b") + F.col("c") / 2).alias("r"), "k", F.col("b_all").alias("n"), F.col("m_all").alias("m"), F.col("b_all").cast("double").alias("total"))
-    cells = running(cells, by, ["s", "w"], {"k": F.lit(1), "n": "c", "m": "y"}, totals=True)
-    ties = running(cells.groupBy(*by, "s").agg(F.sum(F.col("w") * F.col("c")).alias("t")), by, ["s"], {"b": "t"}, totals=True)
+    cells = running(cells, by, ["s", "w"], {"k": F.lit(1), "n": "c", "m": "y"}, totals=True, sizes=rows)
+    ties = running(cells.groupBy(*by, "s").agg(F.sum(F.col("w") * F.col("c")).alias("t")), by, ["s"], {"b": "t"}, totals=True, sizes=rows)
     both = cells.join(ties, _same(cells, ties, [*by, "s"]))
     return both.select(*(cells[k] for k in by), "w", "c", (F.col("b") + F.col("t") / 2).alias("r"), "k", F.col("n_all").alias("n"), F.col("m_all").alias("m"), F.col("b_all").alias("total"))
 

@@ -41,6 +41,15 @@ def numbered(df: DataFrame, order: Sequence[str], ranges: int | None = None) ->
     return rows.withColumn("i_", within).join(F.broadcast(starts), "part_").join(F.broadcast(total)).withColumn("r_", F.col("start_") + F.col("i_")).drop("part_", "i_", "start_")
 
 
+#: Rows of a group up to which it is put in order by one task.
+SMALL = 1_000_000
+
+
+def all_small(rows: DataFrame, by: Sequence[str]) -> bool:
+    """Whether no group of ``rows``, or the whole without keys, has more than SMALL rows; one pass over the keys, combined before the shuffle."""
+    return (rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= SMALL
+
+
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     found = F.lit(True)
     for k in keys:
@@ -48,7 +57,7 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return found
 
 
-def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mapping[str, str | Column] = {}, maxima: Mapping[str, str | Column] = {}, totals: bool = False, ranges: int | None = None) -> DataFrame:
+def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mapping[str, str | Column] = {}, maxima: Mapping[str, str | Column] = {}, totals: bool = False, ranges: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """The rows with, for each name, the sum or maximum of a column over the rows before in the order of their group.
 
     With ``totals`` also {name}_all, over the whole group. A sum before the first
@@ -56,11 +65,19 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mappin
     windows of a range's rows, and the parts of those groups that lie in several
     ranges, at most two rows for a range, which are broadcast. A null key is a
     group. Rows that are equal in ``by`` and ``order`` are in one task and stand
-    in any order.
+    in any order. If no group of ``sizes``, the rows that ``df`` was made from,
+    has more than SMALL rows, windows over whole groups give the same with one
+    shuffle.
     """
     by, names = list(by), [*sums, *maxima]
     how = {n: F.sum for n in sums} | {n: F.max for n in maxima}
     given = {f"{n}_x_": F.col(c) if isinstance(c, str) else c for n, c in {**sums, **maxima}.items()}
+    if sizes is not None and ranges is None and all_small(sizes, by):
+        whole = Window.partitionBy(*by)
+        w = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        before = {n: F.coalesce(F.sum(f"{n}_x_").over(w), F.lit(0)) if n in sums else F.max(f"{n}_x_").over(w) for n in names}
+        after = {f"{n}_all": how[n](f"{n}_x_").over(whole) for n in names} if totals else {}
+        return df.withColumns(given).withColumns(before | after).drop(*given)
     rows = ranged(df.withColumns(given), [*by, *order], ranges)
     pieces = rows.groupBy(*by, "part_").agg(*(how[n](f"{n}_x_").alias(n) for n in names))
     group = Window.partitionBy(*by)
@@ -81,13 +98,22 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mappin
     return rows.select(*df.columns, *(c.alias(n) for n, c in out.items()))
 
 
+def mean_rank(by: Sequence[str], x: str) -> Column:
+    """Place from 1 on within a group by ``x``, ties with their mean place, as a window over the whole group."""
+    ties = F.count("*").over(Window.partitionBy(*by, x))
+    return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (ties - 1) / F.lit(2.0)
+
+
 def ranked(df: DataFrame, by: Sequence[str], x: str, name: str = "r") -> DataFrame:
     """The rows with their place from 1 on within the group by ``x``; ties share their mean place, nulls come first.
 
-    Equal values are one row with a count before they are put in order; the
-    places are joined back by group and value.
+    With groups of up to SMALL rows this is a window. Else equal values are one
+    row with a count before they are put in order, and the places are joined
+    back by group and value.
     """
     by = list(by)
+    if all_small(df, by):
+        return df.withColumn(name, mean_rank(by, x))
     blocks = df.groupBy(*by, x).agg(F.count("*").alias("c_"))
     placed = running(blocks, by, [x], {"p_": "c_"})
     placed = placed.select(*(F.col(k).alias(f"{k}_k_") for k in [*by, x]), (F.col("p_") + (F.col("c_") + 1) / F.lit(2.0)).alias(name))

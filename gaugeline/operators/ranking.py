@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from gaugeline.functions.scalars import safe_corr
 from gaugeline.operators.joins import within_group_pairs
+from gaugeline.operators.ordered import all_small, mean_rank
 from gaugeline.operators.windows import average_rank
 from gaugeline.sources.files import written
 
@@ -22,7 +23,11 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     Rounded to 12 digits, so that its sign does not depend on the order of sums.
     """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rows = average_rank(average_rank(rows.select(*by, F.col(x).alias("x_"), F.col(y).alias("y_")), by, "x_", "rx"), by, "y_", "ry")
+    rows = rows.select(*by, F.col(x).alias("x_"), F.col(y).alias("y_"))
+    if all_small(rows, by):
+        rows = rows.select(*by, mean_rank(by, "x_").alias("rx"), mean_rank(by, "y_").alias("ry"))
+    else:
+        rows = average_rank(average_rank(rows, by, "x_", "rx"), by, "y_", "ry")
     varied = (F.count("*") >= 2) & (F.min("rx") < F.max("rx")) & (F.min("ry") < F.max("ry"))
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.when(varied, F.round(safe_corr("rx", "ry"), 12)).alias("rho"))
 

@@ -39,7 +39,7 @@ def matched_negatives(items: DataFrame, pool: DataFrame, strata: Sequence[str],
     put in order by ranges.
     """
     pool = pool.select(*strata, cand).distinct()
-    placed = running(pool.withColumn("digest_", _digest(seed, cand)), strata, ["digest_", cand], {"place_": F.lit(1)}).drop("digest_").withColumn("place_", F.col("place_").cast("int"))
+    placed = running(pool.withColumn("digest_", _digest(seed, cand)), strata, ["digest_", cand], {"place_": F.lit(1)}, sizes=pool).drop("digest_").withColumn("place_", F.col("place_").cast("int"))
     sizes = pool.groupBy(*strata).agg(F.count("*").alias("n_"))
     start = F.conv(F.substring(_digest(seed, item), 1, 8), 16, 10).cast("bigint") % F.col("n_")
     asked = items.select(item, *strata).distinct().join(sizes, list(strata)).withColumn("start_", start)

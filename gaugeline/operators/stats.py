@@ -59,7 +59,7 @@ def ranked_quantiles(df: DataFrame, keys: Sequence[str], column: str, quantiles:
     table without keys, is put in order by ranges.
     """
     rows = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("x_"))
-    rows = running(rows.groupBy(*keys, "x_").agg(F.count("*").alias("c_")), keys, ["x_"], {"r_": "c_"}, totals=True)
+    blocks = running(rows.groupBy(*keys, "x_").agg(F.count("*").alias("c_")), keys, ["x_"], {"r_": "c_"}, totals=True, sizes=rows)
 
     def here(q: float) -> Column:
         n = F.col("r__all")
@@ -67,7 +67,7 @@ def ranked_quantiles(df: DataFrame, keys: Sequence[str], column: str, quantiles:
         place = F.greatest(F.lit(1), target).cast("long")
         return (F.col("r_") < place) & (place <= F.col("r_") + F.col("c_"))
 
-    return rows.groupBy(*keys).agg(*(F.max(F.when(here(q), F.col("x_"))).alias(name) for name, q in quantiles.items()))
+    return blocks.groupBy(*keys).agg(*(F.max(F.when(here(q), F.col("x_"))).alias(name) for name, q in quantiles.items()))
 
 
 def ranked_quantile(df: DataFrame, keys: Sequence[str], column: str, q: float, rule: str = "nearest") -> DataFrame:

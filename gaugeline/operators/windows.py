@@ -48,7 +48,7 @@ def placed(df: DataFrame, by: Sequence[str], order: Sequence[str], x: str | None
     if "i_" in df.columns:
         return df
     sums = {"i_": F.lit(1)} | ({"s_": F.col(x).cast("double"), "c_": F.when(F.col(x).isNotNull(), 1)} if x else {})
-    rows = running(df, by, order, sums, totals=True)
+    rows = running(df, by, order, sums, totals=True, sizes=df)
     mean = {"mean_": F.try_divide("s__all", "c__all")} if x else {}
     return rows.withColumns({"n_": F.col("i__all"), **mean}).select(*df.columns, "i_", "n_", *mean)
 

@@ -306,7 +306,8 @@ def test_evaluation_with_groups_left_out(spark):
     assert ridge.weights.count() == 15 and ridge.predictions.count() == 25 and ridge.metrics.count() == 5
 
 
-def test_feature_screen_finds_proxies_by_rank(spark):
+def test_feature_screen_finds_proxies_by_rank(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "SMALL", 0)
     rng = random.Random(15)
     items = [(k, rng.gauss(0, 1) + (k % 2), k % 2) for k in range(80)]
     values = {"same": lambda v, c: math.exp(v), "back": lambda v, c: -v, "class": lambda v, c: c + rng.random(), "noise": lambda v, c: 50 * rng.random(), "flat": lambda v, c: 1.0}
@@ -508,8 +509,8 @@ def test_running_equals_windows_in_skewed_groups(spark):
     df = spark.createDataFrame(rows, "g string, x double, n int, id int")
     w = Window.partitionBy("g").orderBy("x", "id").rowsBetween(Window.unboundedPreceding, -1)
     want = df.withColumns({"s": F.coalesce(F.sum("n").over(w), F.lit(0)), "m": F.max("id").over(w), "s_all": F.sum("n").over(Window.partitionBy("g")), "m_all": F.max("id").over(Window.partitionBy("g"))})
-    for ranges in (1, 7, 40):
-        got = ordered.running(df, ["g"], ["x", "id"], {"s": "n"}, {"m": "id"}, totals=True, ranges=ranges)
+    for ranges in (1, 7, 40, None):
+        got = ordered.running(df, ["g"], ["x", "id"], {"s": "n"}, {"m": "id"}, totals=True, ranges=ranges, sizes=None if ranges else df)
         assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
     whole = ordered.running(df, [], ["id"], {"s": "n"}, ranges=9).orderBy("id").collect()
     assert [r.s for r in whole] == [sum(x[2] for x in rows[:k]) for k in range(len(rows))]
@@ -523,7 +524,9 @@ def test_a_hot_group_is_split_over_tasks(spark):
     assert len(counts) == 8 and max(counts) < 1000
 
 
-def test_ranks_and_quantiles_of_skewed_groups(spark):
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_ranks_and_quantiles_of_skewed_groups(spark, monkeypatch, small):
+    monkeypatch.setattr(ordered, "SMALL", small)
     rng = random.Random(9)
     rows = [("hot" if k % 10 else rng.choice("ab"), rng.choice([1.0, 1.0, None, rng.random()]), rng.choice([2.0, rng.random()])) for k in range(700)]
     df = spark.createDataFrame(rows, "g string, x double, y double")
@@ -546,6 +549,7 @@ def test_ranks_and_quantiles_of_skewed_groups(spark):
 
 @pytest.mark.parametrize("max_lag,block", [(3, 16), (7, 5), (60, 64), (90, 10), (5, 1 << 16)])
 def test_autocorrelation_in_blocks(spark, monkeypatch, max_lag, block):
+    monkeypatch.setattr(ordered, "SMALL", 0 if block < 60 else 10**6)
     monkeypatch.setattr(windows, "BLOCK", block)
     rng = random.Random(max_lag)
     chains = {"long": 400, "two": 2, "one": 1, "flat": 30, "a": 64, "b": 65, None: 40}
@@ -664,7 +668,8 @@ def test_keyed_draws_keep_weights(spark):
 
 
 @pytest.mark.parametrize("tol", [0.0, 0.25, 1.0, 50.0])
-def test_tolerance_counts_equal_all_pairs(spark, tol):
+def test_tolerance_counts_equal_all_pairs(spark, monkeypatch, tol):
+    monkeypatch.setattr(ordered, "SMALL", 0 if tol < 1 else 10**6)
     rng = random.Random(int(tol * 4))
     draw = [lambda: rng.choice([0.0, 1.0, -1.0, 0.25, 2.0]), lambda: rng.uniform(-3, 3), lambda: rng.uniform(-1, 1) * 10 ** rng.randint(-18, 3)]
     rows = [(k, rng.choice(draw)(), rng.choice(["a", "a", "b", None])) for k in range(300)] + [(901, None, "a"), (902, float("inf"), "a"), (903, float("-inf"), "b")]
@@ -676,7 +681,8 @@ def test_tolerance_counts_equal_all_pairs(spark, tol):
     assert r.max_across_gap == max(apart, default=0.0) and r.n_total == 302 * 301 // 2
 
 
-def test_dense_values_are_counted_without_their_pairs(spark):
+def test_dense_values_are_counted_without_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "SMALL", 0)
     n = 200_000
     df = spark.range(n).select("id", (F.col("id") / n).alias("x"), (F.col("id") % 2).alias("g"))
     r = audit.collision_summary(df, "id", "x", "g", 1.0).first()
