@@ -247,12 +247,23 @@ def test_left_out_fits_equal_direct_fits(spark):
         assert got[f"g{g}", "intercept"] == pytest.approx(y[keep].mean() - w @ m, rel=1e-6)
 
 
-def test_calibrated_scores_rank_better(spark):
+def test_calibrated_scores_equal_direct_fits(spark):
     rng = np.random.default_rng(9)
-    rows = [(f"g{k % 5}", k, float(a), float(b), float(3 * a - b)) for k, (a, b) in enumerate(rng.normal(size=(60, 2)))]
+    rows = [(f"g{k % 5}", k, float(a), float(b), round(float(a - 2 * b + rng.normal()), 1)) for k, (a, b) in enumerate(rng.normal(size=(60, 2)))]
     df = spark.createDataFrame(rows, "g string, k int, x double, z double, y double")
-    got = {r.score: r.mean_rho for r in ranking.calibrate_scores(df, "g", "k", "y", ["x", "z"], 0.1, "z").collect()}
-    assert got["calibrated"] > 0.99 > got["raw"]
+    got = {r.score: r for r in ranking.calibrate_scores(df, "g", "k", "y", ["x", "z"], 40.0, "z").collect()}
+    frame, rho, right, total = pd.DataFrame(rows, columns=list("gkxzy")), {"raw": [], "calibrated": []}, {"raw": 0, "calibrated": 0}, 0
+    for fold, own in frame.groupby("g"):
+        pairs = [(np.array([p.x - q.x, p.z - q.z]), p.y - q.y) for _, rest in frame[frame.g != fold].groupby("g") for p, q in itertools.permutations(list(rest.itertuples()), 2) if p.y != q.y]
+        x, d = np.array([v for v, _ in pairs]), np.array([v for _, v in pairs])
+        w = np.linalg.solve(x.T @ x + 40.0 * np.eye(2), x.T @ d)
+        for name, pred in (("raw", own.z), ("calibrated", own.x * w[0] + own.z * w[1])):
+            rho[name].append(pred.rank().corr(own.y.rank()))
+            right[name] += sum(np.sign(a - b) == np.sign(c - e) for (a, c), (b, e) in itertools.combinations(list(zip(pred, own.y)), 2) if c != e)
+        total += sum(c != e for c, e in itertools.combinations(own.y, 2))
+    for name, values in rho.items():
+        assert got[name].mean_rho == pytest.approx(np.mean(values), abs=1e-9) and got[name].pair_accuracy == pytest.approx(right[name] / total)
+    assert got["calibrated"].mean_rho > 0.5 > got["raw"].mean_rho
 
 
 def plain_logistic(x, y, lam):
