@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from gaugeline.functions.scalars import finite, hardness_bin, pair_credit, safe_corr
 from gaugeline.operators.joins import tolerance_counts
 from gaugeline.operators.nulls import label_null
-from gaugeline.operators.ordered import ranked, running
+from gaugeline.operators.ordered import null_safe_join, ranked, running
 from gaugeline.operators.stats import ranked_quantiles, weighted_mean_std
 from gaugeline.sources.files import written
 
@@ -223,10 +223,7 @@ def item_audit_labels(df: DataFrame, by: Sequence[str], reps: int, q: float = 0.
     """The columns of :func:`item_audit` and null_mean, with a null that keeps ties and weights; see :func:`gaugeline.operators.nulls.label_null`."""
     aucs = weighted_auc(df, by, score, label, weight).select(*by, "auc")
     nulls = label_null(df, by, reps, q, seed, score, label, weight)
-    same = F.lit(True)
-    for k in by:
-        same = same & aucs[k].eqNullSafe(nulls[k])
-    found = nulls.join(aucs, same).select(*(nulls[k] for k in by), "n_pos", "n_neg", "auc", "null_q", "null_mean", "null_method")
+    found = null_safe_join(nulls, aucs, by).select(*by, "n_pos", "n_neg", "auc", "null_q", "null_mean", "null_method")
     found = found.withColumn("gate", F.when(F.col("null_q").isNotNull(), F.least(F.lit(1.0), F.col("null_q") + margin)))
     found = found.withColumn("slack", F.col("auc") - F.col("gate"))
     return found.withColumn("verdict", F.when(F.col("slack") >= 0, "PASS").when(F.col("slack") < 0, "FAIL"))

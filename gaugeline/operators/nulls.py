@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeline.functions.scalars import finite
-from gaugeline.operators.ordered import running
+from gaugeline.operators.ordered import null_safe_join, running
 from gaugeline.sources.files import written
 
 #: Cells of a block, blocks of a block of blocks, and so on.
@@ -29,13 +29,6 @@ FAN = 1024
 EXACT = 10**9
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    found = F.lit(True)
-    for k in keys:
-        found = found & left[k].eqNullSafe(right[k])
-    return found
-
-
 def placed_cells(df: DataFrame, by: Sequence[str], score: str, label: str, weight: str | None) -> DataFrame:
     """(group, w, c, r, k, n, m, total): cells of equal score and weight with their number of items and R.
 
@@ -52,8 +45,8 @@ def placed_cells(df: DataFrame, by: Sequence[str], score: str, label: str, weigh
         return out.select(*by, "w", "c", (F.col("b") + F.col("c") / 2).alias("r"), "k", F.col("b_all").alias("n"), F.col("m_all").alias("m"), F.col("b_all").cast("double").alias("total"))
     cells = running(cells, by, ["s", "w"], {"k": F.lit(1), "n": "c", "m": "y"}, totals=True, sizes=rows)
     ties = running(cells.groupBy(*by, "s").agg(F.sum(F.col("w") * F.col("c")).alias("t")), by, ["s"], {"b": "t"}, totals=True, sizes=rows)
-    both = cells.join(ties, _same(cells, ties, [*by, "s"]))
-    return both.select(*(cells[k] for k in by), "w", "c", (F.col("b") + F.col("t") / 2).alias("r"), "k", F.col("n_all").alias("n"), F.col("m_all").alias("m"), F.col("b_all").alias("total"))
+    both = null_safe_join(cells, ties, [*by, "s"])
+    return both.select(*by, "w", "c", (F.col("b") + F.col("t") / 2).alias("r"), "k", F.col("n_all").alias("n"), F.col("m_all").alias("m"), F.col("b_all").alias("total"))
 
 
 def deal(rng: np.random.Generator, sizes: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -172,4 +165,4 @@ def label_null(df: DataFrame, by: Sequence[str], reps: int, q: float, seed: int,
     drawn = drawn.groupBy(*by).agg(F.array_sort(F.collect_list(F.round("auc", 12))).alias("a"), F.avg("auc").alias("null_mean"))
     drawn = drawn.select(*by, F.size("a").cast("long").alias("n_draws"), "null_mean", F.element_at("a", place).alias("null_q"))
     found = exact.unionByName(drawn)
-    return groups.join(found, _same(groups, found, by), "left").select(*(groups[k] for k in by), "n_pos", "n_neg", "null_method", "n_draws", "null_mean", "null_q")
+    return null_safe_join(groups, found, by, "left").select(*by, "n_pos", "n_neg", "null_method", "n_draws", "null_mean", "null_q")

@@ -50,11 +50,13 @@ def all_small(rows: DataFrame, by: Sequence[str]) -> bool:
     return (rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= SMALL
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    found = F.lit(True)
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", broadcast: bool = False) -> DataFrame:
+    """Both sides joined on ``keys``, of which nulls are equal; the keys of the left and the other columns of both."""
+    named = right.select(*(F.col(k).alias(f"{k}_j_") for k in keys), *(c for c in right.columns if c not in keys))
+    same = F.lit(True)
     for k in keys:
-        found = found & left[k].eqNullSafe(right[k])
-    return found
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_j_"))
+    return left.join(F.broadcast(named) if broadcast else named, same, how).drop(*(f"{k}_j_" for k in keys))
 
 
 def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mapping[str, str | Column] = {}, maxima: Mapping[str, str | Column] = {}, totals: bool = False, ranges: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
@@ -87,7 +89,7 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mappin
     part = Window.partitionBy("part_", *by)
     within = part.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns({f"{n}_w_": how[n](f"{n}_x_").over(within) for n in names} | ({f"{n}_a_": how[n](f"{n}_x_").over(part) for n in names} if totals else {}))
-    rows = rows.join(F.broadcast(carried), _same(rows, carried, ["part_", *by]), "left").select(*(rows[c] for c in rows.columns), *(carried[f"{n}_{k}_"] for n in names for k in "bt"))
+    rows = null_safe_join(rows, carried, ["part_", *by], "left", broadcast=True)
 
     def both(n: str) -> Column:
         if n in maxima:
@@ -116,8 +118,5 @@ def ranked(df: DataFrame, by: Sequence[str], x: str, name: str = "r") -> DataFra
         return df.withColumn(name, mean_rank(by, x))
     blocks = df.groupBy(*by, x).agg(F.count("*").alias("c_"))
     placed = running(blocks, by, [x], {"p_": "c_"})
-    placed = placed.select(*(F.col(k).alias(f"{k}_k_") for k in [*by, x]), (F.col("p_") + (F.col("c_") + 1) / F.lit(2.0)).alias(name))
-    same = F.lit(True)
-    for k in [*by, x]:
-        same = same & df[k].eqNullSafe(placed[f"{k}_k_"])
-    return df.join(placed, same).select(*df.columns, name)
+    placed = placed.select(*by, x, (F.col("p_") + (F.col("c_") + 1) / F.lit(2.0)).alias(name))
+    return null_safe_join(df, placed, [*by, x])
