@@ -224,6 +224,13 @@ def test_ranks_and_correlations_with_ties_and_constants(spark):
     assert got["a"] == pytest.approx(0.8660254, abs=1e-6) and got["c"] is None and got["s"] is None
 
 
+def test_calibration_gate_does_not_depend_on_the_order_of_sums(spark):
+    # 0.1 + 0.2 is over 0.3, and 0.7 - 2 * (0.1 + 0.2) under 0.7 - 2 * 0.3, in the last digit only.
+    df = spark.createDataFrame([(1, 0.7, 0.1 + 0.2), (2, 0.7, 0.3), (3, 0.6, 0.3)], "t int, auc double, other double")
+    got = {r.t: (r.status, r.best) for r in ranking.calibration_gate(df, "t", [("auc", "min", 0.1 + 0.6), ("other", "max", 0.3)], "auc", ["other"], 2.0).collect()}
+    assert got == {1: ("PASS", True), 2: ("PASS", False), 3: ("FAIL", False)}
+
+
 def test_pairwise_accuracy_counts_prediction_ties_as_wrong(spark):
     df = spark.createDataFrame([("g", 1, 1.0, 1.0), ("g", 2, 1.0, 2.0), ("g", 3, 3.0, 3.0)], "g string, k int, p double, t double")
     r = ranking.pairwise_accuracy(df, "g", "k", "p", "t").first()
