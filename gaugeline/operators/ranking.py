@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from gaugeline.functions.scalars import safe_corr
 from gaugeline.operators.joins import within_group_pairs
-from gaugeline.operators.ordered import all_small, mean_rank
+from gaugeline.operators.ordered import all_small, mean_rank, running
 from gaugeline.operators.windows import average_rank
 from gaugeline.sources.files import written
 
@@ -32,13 +32,61 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.when(varied, F.round(safe_corr("rx", "ry"), 12)).alias("rho"))
 
 
+#: Rows of a group up to which its pairs are listed.
+FEW = 32
+
+
 def pairwise_accuracy(df: DataFrame, group: str, key: str, pred: str, truth: str) -> DataFrame:
-    """(group, n_correct, n_pairs) over pairs of different truth; a tie of predictions is wrong."""
-    pairs = within_group_pairs(df, group, key, [pred, truth]).where(F.col(f"{truth}_a") != F.col(f"{truth}_b"))
+    """(group, n_correct, n_pairs) over pairs of different truth and key; a tie of predictions is wrong.
+
+    Where no group has more than FEW rows its pairs are listed, else they are
+    counted, see :func:`_ordered_pairs`. Null keys and truths make no pairs, a
+    null or NaN prediction none that is right; NaN is the greatest truth.
+    """
+    rows = df.where(F.col(group).isNotNull() & F.col(key).isNotNull() & F.col(truth).isNotNull())
+    if (rows.groupBy(group).count().agg(F.max("count")).first()[0] or 0) > FEW:
+        return _counted_accuracy(rows, group, key, pred, truth)
+    pairs = within_group_pairs(rows, group, key, [pred, truth]).where(F.col(f"{truth}_a") != F.col(f"{truth}_b"))
     right = F.signum(F.col(f"{pred}_a") - F.col(f"{pred}_b")) == F.signum(F.col(f"{truth}_a") - F.col(f"{truth}_b"))
     return pairs.groupBy(group).agg(F.count_if(right).alias("n_correct"), F.count("*").alias("n_pairs"))
 
 
+def _counted_accuracy(df: DataFrame, group: str, key: str, pred: str, truth: str) -> DataFrame:
+    """The same with rows times the logarithm of their number: all pairs in order, less those of rows with one key."""
+    told = df.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(truth).alias("t"), F.when(~F.isnan(F.col(pred).cast("double")), F.col(pred)).alias("p"))
+    twice = told.groupBy("g", "k").agg(F.count("*").alias("c"), F.collect_list(F.struct("t", "p")).alias("s")).where("c > 1")
+    one, two = (twice.select("g", "k", F.posexplode("s").alias(f"i{n}", f"s{n}")) for n in "ab")
+    same = one.join(two, ["g", "k"]).where("ia < ib AND sa.t <> sb.t")
+    same = same.groupBy("g").agg(F.count_if(F.expr("sa.p <> sb.p AND (sa.p < sb.p) = (sa.t < sb.t)")).alias("r_"), F.count("*").alias("n_"))
+    cells = written(told.groupBy("g", "t", "p").agg(F.count("*").alias("c")), "cells")
+    ties = cells.groupBy("g", "t").agg(F.sum("c").alias("c"))
+    square = F.col("c").cast("decimal(19,0)")
+    pairs = ties.groupBy("g").agg(((F.sum("c").cast("decimal(19,0)") * F.sum("c").cast("decimal(19,0)") - F.sum(square * square)) / 2).cast("bigint").alias("n_pairs"))
+    right = _ordered_pairs(cells.where("p IS NOT NULL"))
+    out = pairs.join(right, "g", "left").join(same, "g", "left")
+    less = {n: F.coalesce(n, F.lit(0)) - F.coalesce(m, F.lit(0)) for n, m in (("n_correct", "r_"), ("n_pairs", "n_"))}
+    return out.select(F.col("g").alias(group), *(c.alias(n) for n, c in less.items())).where("n_pairs > 0")
+
+
+def _ordered_pairs(cells: DataFrame) -> DataFrame:
+    """(g, n_correct) of cells (g, t, p, c): pairs of rows of which one is greater in both t and p.
+
+    With truths numbered within a group, two of them differ first in one binary
+    digit, so each pair belongs to one block of one level. In a block a row of
+    the upper half is right with as many of the lower half as lie before it in
+    the order of p, which is a running sum over groups of any size.
+    """
+    truths = cells.select("g", "t").distinct()
+    placed = running(truths, ["g"], ["t"], {"i": F.lit(1)}, totals=True, sizes=truths)
+    rows = cells.join(placed, ["g", "t"])
+    levels = F.explode(F.expr("sequence(0, cast(ceil(log2(greatest(i_all, 2))) AS int) - 1)")).alias("level")
+    rows = rows.select("g", "p", "c", F.col("i").cast("int").alias("i"), levels)
+    rows = rows.groupBy("g", "level", F.expr("shiftright(i, level + 1)").alias("block"), "p", F.expr("1 - shiftright(i, level) % 2").alias("low")).agg(F.sum("c").alias("c"))
+    # At one p the upper half asks before the lower half is added.
+    asked = running(rows, ["g", "level", "block"], ["p", "low"], {"n": F.when(F.col("low") == 1, F.col("c"))}, sizes=rows)
+    return asked.where("low = 0").groupBy("g").agg(F.sum(F.col("c") * F.col("n")).alias("n_correct"))
+
+
 def top1_hit(df: DataFrame, group: str, key: str, pred: str, truth: str) -> DataFrame:
     """(group, hit): whether the row of least prediction (least key on ties) has the least truth."""
     w = Window.partitionBy(group)

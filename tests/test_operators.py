@@ -231,6 +231,25 @@ def test_calibration_gate_does_not_depend_on_the_order_of_sums(spark):
     assert got == {1: ("PASS", True), 2: ("PASS", False), 3: ("FAIL", False)}
 
 
+@pytest.mark.parametrize("many", [False, True])
+def test_pairwise_accuracy_is_counted_without_listing(spark, monkeypatch, many):
+    rng = random.Random(5)
+    rows = [(g, rng.choice([None, *range(40)]), rng.choice([None, float("nan"), *map(float, range(6))]), rng.choice([None, *map(float, range(9))])) for g in "abc" for _ in range(30)]
+    df = spark.createDataFrame([*rows, ("d", 1, 1.0, 1.0), ("d", 2, 1.0, 1.0)], "g string, k int, p double, t double")
+    listed = {r.g: (r.n_correct, r.n_pairs) for r in ranking.pairwise_accuracy(df, "g", "k", "p", "t").collect()}
+    want = {}
+    for (g, k, p, t), (h, m, q, u) in itertools.combinations(rows, 2):
+        if g == h and None not in (k, m, t, u) and k != m and t != u:
+            right, n = want.get(g, (0, 0))
+            want[g] = right + (None not in (p, q) and (p < q and t < u or p > q and t > u)), n + 1
+    monkeypatch.setattr(ranking, "FEW", 1)
+    if many:
+        monkeypatch.setattr(ordered, "SMALL", 5)
+    monkeypatch.setattr(ranking, "within_group_pairs", None)  # pairs are not listed
+    got = {r.g: (r.n_correct, r.n_pairs) for r in ranking.pairwise_accuracy(df, "g", "k", "p", "t").collect()}
+    assert got == want == listed
+
+
 def test_pairwise_accuracy_counts_prediction_ties_as_wrong(spark):
     df = spark.createDataFrame([("g", 1, 1.0, 1.0), ("g", 2, 1.0, 2.0), ("g", 3, 3.0, 3.0)], "g string, k int, p double, t double")
     r = ranking.pairwise_accuracy(df, "g", "k", "p", "t").first()
