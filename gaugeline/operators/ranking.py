@@ -68,20 +68,28 @@ def _counted_accuracy(df: DataFrame, group: str, key: str, pred: str, truth: str
     return out.select(F.col("g").alias(group), *(c.alias(n) for n, c in less.items())).where("n_pairs > 0")
 
 
-def _ordered_pairs(cells: DataFrame) -> DataFrame:
-    """(g, n_correct) of cells (g, t, p, c): pairs of rows of which one is greater in both t and p.
+def _levels(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(g, level, block, low, columns, c) of cells (g, t, columns, c): the halves of blocks in which all pairs of different t meet once.
 
     With truths numbered within a group, two of them differ first in one binary
-    digit, so each pair belongs to one block of one level. In a block a row of
-    the upper half is right with as many of the lower half as lie before it in
-    the order of p, which is a running sum over groups of any size.
+    digit, so each pair belongs to one block of one level; low is 1 in the half
+    of the smaller truths. Rows are cells times the logarithm of their number.
     """
     truths = cells.select("g", "t").distinct()
     placed = running(truths, ["g"], ["t"], {"i": F.lit(1)}, totals=True, sizes=truths)
-    rows = cells.join(placed, ["g", "t"])
     levels = F.explode(F.expr("sequence(0, cast(ceil(log2(greatest(i_all, 2))) AS int) - 1)")).alias("level")
-    rows = rows.select("g", "p", "c", F.col("i").cast("int").alias("i"), levels)
-    rows = rows.groupBy("g", "level", F.expr("shiftright(i, level + 1)").alias("block"), "p", F.expr("1 - shiftright(i, level) % 2").alias("low")).agg(F.sum("c").alias("c"))
+    rows = cells.join(placed, ["g", "t"]).select("g", *columns, "c", F.col("i").cast("int").alias("i"), levels)
+    return rows.groupBy("g", "level", F.expr("shiftright(i, level + 1)").alias("block"), F.expr("1 - shiftright(i, level) % 2").alias("low"), *columns).agg(F.sum("c").alias("c"))
+
+
+def _ordered_pairs(cells: DataFrame) -> DataFrame:
+    """(g, n_correct) of cells (g, t, p, c): pairs of rows of which one is greater in both t and p.
+
+    In a block of :func:`_levels` a row of the upper half is right with as many
+    of the lower half as lie before it in the order of p, which is a running sum
+    over groups of any size.
+    """
+    rows = _levels(cells, ["p"])
     # At one p the upper half asks before the lower half is added.
     asked = running(rows, ["g", "level", "block"], ["p", "low"], {"n": F.when(F.col("low") == 1, F.col("c"))}, sizes=rows)
     return asked.where("low = 0").groupBy("g").agg(F.sum(F.col("c") * F.col("n")).alias("n_correct"))
@@ -214,12 +222,15 @@ def logo_ridge(df: DataFrame, group: str, y: str, features: Sequence[str], lam:
     Sums are taken once per group; a fold's are the totals less its own. Each
     fold is solved in a task of its own.
     """
+    return _solved(gram(df, [group], y, features), group, dict(df.dtypes)[group], y, features, lam, intercept)
+
+
+def _solved(per: DataFrame, group: str, fold_type: str, y: str, features: Sequence[str], lam: float, intercept: bool) -> DataFrame:
+    """(fold, feature, weight) from the sums of each group, as :func:`gram` gives them."""
     import pandas as pd
 
-    per = gram(df, [group], y, features)
     total = per.groupBy("i", "j").agg(F.sum("s").alias("t"))
     folds = per.join(F.broadcast(total), ["i", "j"]).select(F.col(group).alias("fold"), "i", "j", (F.col("t") - F.col("s")).alias("s"))
-    fold_type = dict(df.dtypes)[group]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         w = _solve({(r.i, r.j): r.s for r in pdf.itertuples()}, features, y, lam, intercept)
@@ -253,8 +264,8 @@ def cross_validate(df: DataFrame, group: str, key: str, y: str, features: Sequen
 MAX_WEIGHTS = 1_000_000
 
 
-def _logistic_folds(df: DataFrame, fold: Column, names: Sequence, label: str, features: Sequence[str], lam: float, max_iter: int, tol: float) -> np.ndarray:
-    """Weights by Newton steps, a row for each of ``names``; a row of data counts for every fold but its own.
+def _logistic_folds(df: DataFrame, fold: Column, names: Sequence, label: str, features: Sequence[str], lam: float, max_iter: int, tol: float, count: str | None = None) -> np.ndarray:
+    """Weights by Newton steps, a row for each of ``names``; a row of data counts for every fold but its own, ``count`` times.
 
     A round is one pass over the rows: each task adds up the gradient, the
     Hessian and the loss of all folds side by side, and one row for a fold and
@@ -263,7 +274,7 @@ def _logistic_folds(df: DataFrame, fold: Column, names: Sequence, label: str, fe
     import pandas as pd
 
     p, place = len(features), {name: k for k, name in enumerate(names)}
-    rows = df.select(fold.alias("f_"), F.col(label).cast("double").alias("y_"), *(F.col(c).cast("double") for c in features))
+    rows = df.select(fold.alias("f_"), F.col(label).cast("double").alias("y_"), (F.col(count).cast("double") if count else F.lit(1.0)).alias("c_"), *(F.col(c).cast("double") for c in features))
     schema = "f_ int, n double, loss double, g array<double>, h array<double>"
     weights, moves = np.zeros((len(names), p)), np.zeros((len(names), p))
     best = np.full(len(names), np.inf)
@@ -274,15 +285,16 @@ def _logistic_folds(df: DataFrame, fold: Column, names: Sequence, label: str, fe
             total = [np.zeros(len(trial)), np.zeros(len(trial)), np.zeros((len(trial), p)), np.zeros((len(trial), p, p))]
             for pdf in batches:
                 x, y = pdf[list(features)].to_numpy(float), pdf["y_"].to_numpy(float)
+                c = pdf["c_"].to_numpy(float)
                 own = pdf["f_"].map(place).fillna(-1).to_numpy(int)
                 for k, w in enumerate(trial):
                     use = own != k
                     z = x[use] @ w
                     q = 0.5 * (1 + np.tanh(z / 2))
-                    total[0][k] += use.sum()
-                    total[1][k] += (np.logaddexp(0, z) - y[use] * z).sum()
-                    total[2][k] += (q - y[use]) @ x[use]
-                    total[3][k] += (x[use] * (q * (1 - q))[:, None]).T @ x[use]
+                    total[0][k] += c[use].sum()
+                    total[1][k] += (np.logaddexp(0, z) - y[use] * z) @ c[use]
+                    total[2][k] += ((q - y[use]) * c[use]) @ x[use]
+                    total[3][k] += (x[use] * (q * (1 - q) * c[use])[:, None]).T @ x[use]
             yield pd.DataFrame({"f_": range(len(trial)), "n": total[0], "loss": total[1], "g": list(total[2]), "h": list(total[3].reshape(len(trial), -1))})
 
         parts = rows.mapInPandas(run, schema)
@@ -309,7 +321,7 @@ def pairwise_logistic_fit(df: DataFrame, label: str, features: Sequence[str], la
     return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(features, w, strict=True)], "feature string, weight double")
 
 
-def logo_logistic(df: DataFrame, group: str, label: str, features: Sequence[str], lam: float, max_iter: int = 50, tol: float = 1e-9) -> DataFrame:
+def logo_logistic(df: DataFrame, group: str, label: str, features: Sequence[str], lam: float, max_iter: int = 50, tol: float = 1e-9, count: str | None = None) -> DataFrame:
     """(fold, feature, weight): the fit of :func:`pairwise_logistic_fit` for each group from all other groups, side by side.
 
     Work grows with rows times folds, as each fold has weights of its own; rows
@@ -320,7 +332,7 @@ def logo_logistic(df: DataFrame, group: str, label: str, features: Sequence[str]
     if len(names) * len(features) > MAX_WEIGHTS:
         raise ValueError(f"more than {MAX_WEIGHTS} weights in all folds")
     names.sort()
-    w = _logistic_folds(df, F.col(group), names, label, features, lam, max_iter, tol)
+    w = _logistic_folds(df, F.col(group), names, label, features, lam, max_iter, tol, count)
     rows = [(name, c, float(v)) for name, fit in zip(names, w, strict=True) for c, v in zip(features, fit, strict=True)]
     return df.sparkSession.createDataFrame(rows, T.StructType([T.StructField("fold", df.schema[group].dataType), T.StructField("feature", T.StringType()), T.StructField("weight", T.DoubleType())]))
 
@@ -351,10 +363,33 @@ def evaluate_ridge(df: DataFrame, group: str, key: str, truth: str, features: Se
     return _evaluated(df, group, key, truth, features, written(logo_ridge(df, group, truth, features, lam), "weights"), True)
 
 
+def _difference_counts(df: DataFrame, group: str, key: str, truth: str, features: Sequence[str]) -> DataFrame:
+    """(group, d_*, n_): the different feature differences, greater truth less smaller, with the pairs of different truth and key that have them.
+
+    Pairs meet by the levels of :func:`_levels`, rows with equal features at
+    once: in each block those of its upper half with those of its lower half.
+    So features of few values cost far less than the pairs; features without
+    equal values list each pair once. Upper rows are dealt out, as a block of
+    the top level is as large as its group.
+    """
+    d = [f"d_{c}" for c in features]
+    rows = df.where(F.col(group).isNotNull() & F.col(key).isNotNull() & F.col(truth).isNotNull())
+    rows = rows.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(truth).alias("t"), *(F.col(c).alias(n) for c, n in zip(features, d, strict=True)))
+    cells = written(rows.groupBy("g", "t", *d).agg(F.count("*").alias("c")), "cells")
+    half = _levels(cells, d)
+    low = half.where("low = 1").select("g", "level", "block", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("deal"), F.col("c").alias("cl"), *(F.col(n).alias(f"{n}_l") for n in d))
+    high = half.where("low = 0").withColumn("deal", F.pmod(F.xxhash64(*d), F.lit(8)).cast("int"))
+    found = high.join(low, ["g", "level", "block", "deal"]).select("g", (F.col("c") * F.col("cl")).alias("n_"), *((F.col(n) - F.col(f"{n}_l")).alias(n) for n in d))
+    twice = rows.groupBy("g", "k").agg(F.count("*").alias("c"), F.collect_list(F.struct("t", *d)).alias("s")).where("c > 1")
+    one, two = (twice.select("g", "k", F.explode("s").alias(f"s{n}")) for n in "ab")
+    same = one.join(two, ["g", "k"]).where("sa.t > sb.t").select("g", F.lit(-1).cast("bigint").alias("n_"), *((F.col(f"sa.{n}") - F.col(f"sb.{n}")).alias(n) for n in d))
+    return found.unionByName(same).groupBy("g", *d).agg(F.sum("n_").alias("n_")).where("n_ > 0").withColumnRenamed("g", group)
+
+
 def evaluate_pairwise(df: DataFrame, group: str, key: str, truth: str, features: Sequence[str], lam: float) -> Evaluation:
     """Pairwise logistic fits with each group left out; a row's prediction is its score under the fit of the others."""
-    pairs = written(pair_training_table(df, group, key, truth, features).where("side = 1"), "pairs")
-    fits = logo_logistic(pairs, group, "label", [f"d_{c}" for c in features], lam)
+    pairs = written(_difference_counts(df, group, key, truth, features).withColumn("label", F.lit(1)), "pairs")
+    fits = logo_logistic(pairs, group, "label", [f"d_{c}" for c in features], lam, count="n_")
     return _evaluated(df, group, key, truth, features, fits.withColumn("feature", F.substring("feature", 3, 10_000)), False)
 
 
@@ -424,10 +459,37 @@ def train_holdout_table(rows: DataFrame, setting: str, chosen: str, part: str, k
     return train.join(test, key, "full_outer")
 
 
+def _pair_gram(df: DataFrame, group: str, key: str, truth: str, features: Sequence[str]) -> DataFrame:
+    """(group, i, j, s): the sums of products of :func:`pair_training_table` without its pairs.
+
+    Over all pairs of n rows, both ways, (u_a - u_b)(v_a - v_b) adds up to
+    2 (n sum(u v) - sum(u) sum(v)); pairs of one truth or one key are taken off
+    by the same sums over their classes. Values are about their group's mean,
+    so that subtraction keeps its digits.
+    """
+    names = {**{f"d_{c}": c for c in features}, "delta": truth}
+    rows = df.where(F.col(group).isNotNull() & F.col(key).isNotNull() & F.col(truth).isNotNull())
+    rows = rows.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(truth).alias("t"), *(F.col(c).cast("double").alias(n) for n, c in names.items()))
+    center = rows.groupBy("g").agg(*(F.avg(n).alias(f"{n}_m") for n in names))
+    rows = rows.join(center, "g").select("g", "k", "t", *((F.col(n) - F.col(f"{n}_m")).alias(n) for n in names))
+    pairs = [(a, b) for k, a in enumerate(names) for b in list(names)[k:]]
+    parts = []
+    for a, b in pairs:
+        told = F.col(a).isNotNull() & F.col(b).isNotNull()
+        parts.append(F.struct(*(F.sum(F.when(told, x)).alias(n) for n, x in (("n", F.lit(1.0)), ("u", F.col(a)), ("v", F.col(b)), ("w", F.col(a) * F.col(b))))))
+    cells = written(rows.groupBy("g", "k", "t").agg(*(p.alias(f"s{k}") for k, p in enumerate(parts))), "cells")
+    out = None
+    for by, sign in ((["g"], 2.0), (["g", "t"], -2.0), (["g", "k"], -2.0), (["g", "k", "t"], 2.0)):
+        sums = cells.groupBy(*by).agg(*(F.sum(f"s{k}.{n}").alias(f"{n}{k}") for k in range(len(pairs)) for n in "nuvw"))
+        one = sums.groupBy("g").agg(*((F.lit(sign) * F.coalesce(F.sum(F.col(f"n{k}") * F.col(f"w{k}") - F.col(f"u{k}") * F.col(f"v{k}")), F.lit(0.0))).alias(f"s{k}") for k in range(len(pairs))))
+        out = one if out is None else out.unionByName(one)
+    out = out.groupBy("g").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(len(pairs))))
+    return out.select(F.col("g").alias(group), F.explode(F.array(*(F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(f"s{k}").alias("s")) for k, (a, b) in enumerate(pairs)))).alias("entry_")).select(group, "entry_.*")
+
+
 def calibrate_scores(df: DataFrame, group: str, key: str, truth: str, features: Sequence[str], lam: float, raw: str) -> DataFrame:
     """Rank reports of a raw score and of one refitted by pairwise ridge with each group left out."""
-    pairs = pair_training_table(df, group, key, truth, features)
-    weights = logo_ridge(pairs, group, "delta", [f"d_{c}" for c in features], lam, intercept=False)
+    weights = _solved(_pair_gram(df, group, key, truth, features), group, dict(df.dtypes)[group], "delta", [f"d_{c}" for c in features], lam, False)
     wide = weights.groupBy("fold").pivot("feature", [f"d_{c}" for c in features]).agg(F.first("weight")).withColumnRenamed("fold", group)
     refit = sum((F.col(f"d_{c}") * F.col(c) for c in features), F.lit(0.0))
     rows = df.join(wide, group).withColumn("refit", refit)

@@ -292,6 +292,24 @@ def test_calibrated_scores_equal_direct_fits(spark):
     assert got["calibrated"].mean_rho > 0.5 > got["raw"].mean_rho
 
 
+def test_pair_sums_without_listing_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(g, rng.choice([None, *range(25)]), rng.choice([None, *map(float, range(7))]), rng.choice([None, 1.0, 2.5, 4.0]), rng.gauss(1e3, 1.0)) for g in "ab" for _ in range(30)]
+    df = spark.createDataFrame(rows, "g string, k int, t double, x double, z double")
+    table = ranking.pair_training_table(df, "g", "k", "t", ["x", "z"])
+    want = {(r.g, r.i, r.j): r.s for r in ranking.gram(table, ["g"], "delta", ["d_x", "d_z"]).collect() if "1" not in (r.i, r.j)}
+    some = df.where("x IS NOT NULL").select("g", "k", "t", "x")
+    counts = {}
+    for r in ranking.pair_training_table(some, "g", "k", "t", ["x"]).where("label = 1").collect():
+        counts[r.g, r.d_x] = counts.get((r.g, r.d_x), 0) + 1
+    monkeypatch.setattr(ranking, "pair_training_table", None)
+    got = {(r.g, r.i, r.j): r.s for r in ranking._pair_gram(df, "g", "k", "t", ["x", "z"]).collect()}
+    assert got == {k: pytest.approx(v, rel=1e-9) for k, v in want.items()}
+    assert {(r.g, r.d_x): r.n_ for r in ranking._difference_counts(some, "g", "k", "t", ["x"]).collect()} == counts
+    ranking.evaluate_pairwise(some.where("k IS NOT NULL"), "g", "k", "t", ["x"], 0.1)
+    ranking.calibrate_scores(df, "g", "k", "t", ["x", "z"], 1.0, "x")
+
+
 def plain_logistic(x, y, lam):
     w = np.zeros(x.shape[1])
     for _ in range(100):
