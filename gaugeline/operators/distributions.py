@@ -58,22 +58,29 @@ def pairwise_kl(df: DataFrame, chain: str, key: str, eps: float = 1e-12) -> Data
     the keys that both have. The mean needs sums by chain and by key only. For
     the largest, chains that share keys meet by key; of those that share none,
     a chain needs only the largest other terms, one more than it has partners.
+    Chains of one distribution, told by two 64-bit digests of its keys and
+    probabilities, meet the others once; between them the divergence is 0.
     """
     dist = to_distribution(df, [chain], key)
     n_keys = df.select(key).distinct().agg(F.count("*").alias("n_keys_"))
     k, e, le = F.col("k"), F.col("e"), F.log("e")
     rows = dist.join(F.broadcast(n_keys)).select(F.col(chain).alias("c"), F.col(key).alias("x"), ((F.col("p") + eps) / (1 + F.col("n_keys_") * eps)).alias("p"), F.col("n_keys_").alias("k"), (F.lit(eps) / (1 + F.col("n_keys_") * eps)).alias("e"))
     rows = written(rows, "kl")
-    own = rows.groupBy("c", "k", "e").agg(F.sum(F.col("p") * F.log("p")).alias("h"), F.sum(F.log("p")).alias("lp"), F.count("*").alias("n"), F.sum("p").alias("mass"))
+    digests = [F.bit_xor(F.xxhash64("x", "p", F.lit(n))).alias(f"d{n}") for n in (1, 2)]
+    own = rows.groupBy("c", "k", "e").agg(*digests, F.sum(F.col("p") * F.log("p")).alias("h"), F.sum(F.log("p")).alias("lp"), F.count("*").alias("n"), F.sum("p").alias("mass"))
     # Of a pair without shared keys the divergence is f of the first and g of the second.
     f = F.col("h") - F.col("mass") * le
     g = -e * (F.col("lp") - F.col("n") * le)
-    own = written(own.select("c", f.alias("f"), g.alias("g")), "kl")
+    own = written(own.select("c", "n", "d1", "d2", f.alias("f"), g.alias("g")), "kl")
     # Over shared keys: sum of (pa - e) (ln pb - ln e).
     gain = rows.withColumns({"da": F.col("p") - e, "lb": F.log("p") - le})
     per = gain.groupBy("x").agg((F.sum("da") * F.sum("lb") - F.sum(F.col("da") * F.col("lb"))).alias("s"))
     parts = own.agg(F.count("*").alias("m"), (F.sum("f") + F.sum("g")).alias("t")).join(F.broadcast(per.agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))))
     mean = parts.select(F.when(F.col("m") > 1, (F.col("t") * (F.col("m") - 1) - F.col("s")) / (F.col("m") * (F.col("m") - 1))).alias("kl_mean"))
+    classes = written(own.groupBy("n", "d1", "d2").agg(F.min_by(F.struct("c", "f", "g"), "c").alias("r"), F.count("*").alias("size")), "kl")
+    copies = classes.where("size > 1").agg(F.max(F.lit(0.0)).alias("d"))
+    own = classes.select("r.*")
+    gain = gain.join(own.select("c"), "c", "left_semi")
     one, two = gain.select(F.col("c").alias("a"), "x", "da"), gain.select(F.col("c").alias("b"), "x", "lb")
     shared = one.join(two, "x").where("a <> b").groupBy("a", "b").agg(F.sum(F.col("da") * F.col("lb")).alias("s"))
     shared = written(shared, "kl")
@@ -83,7 +90,7 @@ def pairwise_kl(df: DataFrame, chain: str, key: str, eps: float = 1e-12) -> Data
     partners = shared.groupBy("a").agg(F.count("*").alias("n"))
     asked = own.select(F.col("c").alias("a"), "f").join(partners, "a", "left").select("a", "f", F.explode(F.expr("sequence(1L, coalesce(n, 0L) + 2L)")).alias("r"))
     far = asked.join(order, "r").where("a <> b").join(shared.select("a", "b"), ["a", "b"], "left_anti").agg(F.max(F.col("f") + F.col("g")).alias("d"))
-    return near.unionByName(far).agg(F.max("d").alias("kl_max")).join(F.broadcast(mean))
+    return near.unionByName(far).unionByName(copies).agg(F.max("d").alias("kl_max")).join(F.broadcast(mean))
 
 
 def split_half_kl(df: DataFrame, by: str, order: Sequence[str], key: str, eps: float = 1e-12) -> DataFrame:

@@ -35,6 +35,20 @@ def scored(spark, seed, n=200):
     return rows, spark.createDataFrame(rows, "g string, score double, label int, weight double")
 
 
+def test_pairwise_kl_of_equal_chains_meets_once(spark, monkeypatch):
+    kinds = ["aab", "bc", "abbb"]
+    rows = [(c, k) for c in range(90) for k in kinds[c % 3] * 2]
+    dist = [{k: (kind.count(k) / len(kind) + 1e-6) / (1 + 3e-6) for k in "abc"} for kind in kinds]
+    kl = [sum(p[k] * math.log(p[k] / q[k]) for k in "abc") for p in dist for q in dist]
+    seen = []
+    monkeypatch.setattr(distributions, "written", lambda df, name: (seen.append(df.columns == ["a", "b", "s"] and df.count()), files.written(df, name))[1])
+    got = distributions.pairwise_kl(spark.createDataFrame(rows, "c int, k string"), "c", "k", 1e-6).first()
+    assert (got.kl_max, got.kl_mean) == (pytest.approx(max(kl), rel=1e-9), pytest.approx(sum(kl) * 900 / (90 * 89), rel=1e-9))
+    assert max(seen) <= 6
+    same = distributions.pairwise_kl(spark.createDataFrame([(c, "a") for c in range(3)], "c int, k string"), "c", "k", 1e-6).first()
+    assert same.kl_max == pytest.approx(0.0, abs=1e-12)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_auc_equals_brute_force(spark, seed):
     rows, df = scored(spark, seed)
