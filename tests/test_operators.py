@@ -948,6 +948,22 @@ def test_distances_of_trees_by_tours_equal_plain_search(spark):
         assert got == want
 
 
+def test_distances_of_small_graphs_list_no_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(g, rng.randrange(12), rng.randrange(12)) for g in [*range(40), None] for _ in range(rng.randint(1, 14))]
+    edges = spark.createDataFrame([*rows, (99, 3, 3)], "graph int, u int, v int")
+    want = {}
+    for g in range(40):
+        es = {(min(u, v), max(u, v)) for h, u, v in rows if h == g and u != v}
+        if es:
+            degree = [sum(n in e for e in es) for n in {n for e in es for n in e}]
+            want[g] = (*plain_distances(list(es)), degree.count(1), max(degree))
+    listed = {r[0]: tuple(r)[1:] for r in graphs.graph_distances(edges, tiny=6).collect()}
+    monkeypatch.setattr(graphs, "_pair_distances", None)
+    got = {r[0]: tuple(r)[1:] for r in graphs.graph_distances(edges).collect()}
+    assert got == want == listed
+
+
 def test_distances_of_a_long_path(spark):
     n = 30_000
     edges = spark.range(n).select(F.lit(1).alias("graph"), F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
