@@ -186,6 +186,20 @@ def test_similarity_join_equals_brute_force(spark, low, high):
     assert short == {(a, b) for a, b in got if rep[a] == a and rep[b] == b and rep[a] != rep[b]}
 
 
+def test_similar_sets_meet_in_blocks(spark, monkeypatch):
+    for name, value in (("BLOCK_LEAST", 60), ("MATCHES", 40)):
+        monkeypatch.setattr(joins, name, value)
+    rng = random.Random(52)
+    sets = {k: rng.sample(range(30), rng.randint(0, 14)) for k in range(150)} | {200 + k: [*range(40, 49), 50 + k] for k in range(60)}
+    reps = spark.createDataFrame(list(sets.items()), "rep long, s array<int>").where("size(s) > 0")
+    for low, high in ((0.5, 1.0), (0.65, 0.95)):
+        found = joins.similar_classes(reps, low, high)
+        got = {(min(r.ka, r.kb), max(r.ka, r.kb)): r.similarity for r in found.collect()}
+        want = {(a, b): len({*x} & {*y}) / len({*x} | {*y}) for a, x in sets.items() for b, y in sets.items() if a < b and (x or y)}
+        want = {k: v for k, v in want.items() if low <= v <= high}
+        assert got == pytest.approx(want) and found.count() == len(want) > 1770
+
+
 def test_nearest_in_a_large_table_equals_brute_force(spark):
     rng = random.Random(21)
     points = [rng.choice([rng.uniform(-10, 10), 1e6 + rng.random()]) for _ in range(40)] + [5.0, 7.0]
