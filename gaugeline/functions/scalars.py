@@ -136,6 +136,12 @@ def edge_distance(a: Column, b: Column, n: Column) -> Column:
     return F.try_divide((F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))).cast("double"), 2.0 * (n - 1))
 
 
+def edge_distance_of(similarity: Column, na: Column, nb: Column, n: Column) -> Column:
+    """:func:`edge_distance` of two sets from their sizes and Jaccard similarity, which tell how many they share."""
+    shared = F.round((na + nb) * similarity / (1 + similarity))
+    return F.try_divide(na + nb - 2 * shared, 2.0 * (n - 1))
+
+
 def list_cost(found: Column, target: Sequence[float], n: int, empty: float = 1e9) -> Column:
     """Squared distance of the first n entries of a list from a target; ``empty`` for an empty list."""
     goal = F.array(*(F.lit(float(t)) for t in target[:n]))

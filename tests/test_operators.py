@@ -845,6 +845,19 @@ def test_hard_negatives_of_many_copies(spark):
     assert n.n == len(others) and n.min_pair_d == min(apart) == 0.0
 
 
+def test_alike_pairs_are_written_without_their_sets(spark):
+    from gaugeline.functions import scalars
+
+    rows = [(k, [1, 2, 3, 4 + k % 3]) for k in range(9)] + [(20, [1, 2, 3, 4, 5, 6])]
+    pairs, _ = screening.alike(spark.createDataFrame(rows, "k int, s array<int>"), "k", "s", 0.5, sets=False)
+    full, _ = screening.alike(spark.createDataFrame(rows, "k int, s array<int>"), "k", "s", 0.5)
+    assert not {"sa", "sb"} & set(pairs.columns) and "array" not in dict(pairs.dtypes).values()
+    both = full.select("item", "cand", "na", "nb", scalars.edge_distance(F.col("sa"), F.col("sb"), F.size("sa") + 2).alias("d"))
+    want = {(r.item, r.cand, r.na, r.nb): r.d for r in both.collect()}
+    of = scalars.edge_distance_of(F.col("similarity"), F.col("na"), F.col("nb"), F.col("na") + 2)
+    assert {(r.item, r.cand, r.na, r.nb): r.d for r in pairs.withColumn("d", of).collect()} == want and len(want) > 6
+
+
 def test_plan_of_maxmin_choice_does_not_grow(spark):
     df = spark.createDataFrame([(1, k, [k, k + 1, k % 3]) for k in range(12)], "i int, c int, v array<int>")
     plans = [screening.maxmin_select(df, "i", "c", "v", k, 3)._jdf.queryExecution().toString().count("Join") for k in (2, 6)]
