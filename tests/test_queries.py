@@ -85,3 +85,10 @@ def test_every_part_gets_negatives(spark):
     ids = {n: [r.item_id for r in registry.QUERIES[n](spark, SF).collect()] for n in ("G2_shortfall", "G3_matched_negatives_ladder")}
     assert sorted(ids["G2_shortfall"]) == sorted(parts)
     assert set(ids["G3_matched_negatives_ladder"]) == parts
+
+
+def test_documents_of_one_word_set_are_linked(spark, tmp_path):
+    rows = [(1, "a b c"), (2, "C b, a"), (3, "b a c a"), (4, "a b c d"), (5, "x y"), (6, ""), (7, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.item_id, r.cand_id): r.d for r in registry.QUERIES["G8_edge_distance"](spark, str(tmp_path)).collect()}
+    assert got == {(2, 1): 0.0, (3, 1): 0.0, (1, 4): 0.125, (2, 4): 0.125, (3, 4): 0.125, (4, 1): 0.1}
