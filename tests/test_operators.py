@@ -213,6 +213,12 @@ def test_nearest_in_a_large_table_equals_brute_force(spark):
     assert all(r.nearest is None for r in joins.nearest_join_large(df, "x", at.limit(0), "p").collect())
 
 
+def test_nearest_in_a_large_table_has_no_frame_to_the_last_row(spark):
+    df = spark.range(9).select(F.col("id").alias("k"), F.col("id").cast("double").alias("x"))
+    plan = joins.nearest_join_large(df, "x", df.select(F.col("x").alias("p")), "p")._jdf.queryExecution().optimizedPlan().toString()
+    assert [line for line in plan.lower().splitlines() if "unboundedfollowing" in line and "x_#" in line] == []
+
+
 def test_crossing_pairs_equal_brute_force(spark):
     rng = random.Random(22)
     rows = [(rng.choice("abc"), rng.randint(0, 30), rng.randint(0, 30)) for _ in range(150)] + [("one", 1, 2), ("none", 3, 1)]
