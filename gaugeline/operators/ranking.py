@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from gaugeline.functions.scalars import safe_corr
 from gaugeline.operators.joins import within_group_pairs
-from gaugeline.operators.ordered import all_small, mean_rank, running
+from gaugeline.operators.ordered import SMALL, dealt, mean_rank, running
 from gaugeline.operators.windows import average_rank
 from gaugeline.sources.files import written
 
@@ -24,8 +24,10 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     rows = rows.select(*by, F.col(x).alias("x_"), F.col(y).alias("y_"))
-    if all_small(rows, by):
-        rows = rows.select(*by, mean_rank(by, "x_").alias("rx"), mean_rank(by, "y_").alias("ry"))
+    size = rows.groupBy(*by).count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    if (size["most"] or 0) <= SMALL:
+        rows = dealt(rows, by, size["all"])
+        rows = rows.select(*by, mean_rank(by, "x_").alias("rx"), "y_").select(*by, "rx", mean_rank(by, "y_").alias("ry"))
     else:
         rows = average_rank(average_rank(rows, by, "x_", "rx"), by, "y_", "ry")
     varied = (F.count("*") >= 2) & (F.min("rx") < F.max("rx")) & (F.min("ry") < F.max("ry"))
