@@ -491,6 +491,24 @@ def test_spectrum_traces(spark):
     assert np.allclose(values, 2 - 2 * np.cos(np.pi * np.arange(2501) / 2501), atol=1e-8)
 
 
+def test_spectra_of_many_graphs_are_solved_together(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "CELLS", 60)
+    rng = random.Random(53)
+    rows = [(g, rng.randrange(9), rng.randrange(9)) for g in range(60) for _ in range(rng.randint(1, 12))] + [(None, 1, 2)]
+    got = {}
+    found = graphs.spectrum(spark.createDataFrame(rows, "graph int, u int, v int"))
+    for r in found.orderBy("graph", "k").collect():
+        got.setdefault(r.graph, []).append(r.value)
+    for g in range(60):
+        a = np.zeros((9, 9))
+        for h, u, v in rows:
+            if h == g and u != v:
+                a[u, v] = a[v, u] = 1
+        a = a[a.sum(0) > 0][:, a.sum(0) > 0]
+        assert got.get(g, []) == pytest.approx(list(np.linalg.eigvalsh(np.diag(a.sum(0)) - a)) if len(a) else [], abs=1e-9)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+
+
 def test_distances_and_components_of_long_paths(spark):
     path = spark.range(220).select(F.lit("path").alias("graph"), F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     r = graphs.graph_distances(path).first()
