@@ -409,9 +409,11 @@ def nested_select(metrics: DataFrame, config: str, group: str) -> DataFrame:
 
     Counts without a group are totals less its own. The median without a value
     is that of the sorted list with the value's rank taken out, which needs
-    only the middle three values. So rows are configurations times groups.
+    only the middle three values. So rows are configurations times groups; they
+    are written, as they are read four times.
     """
     w = Window.partitionBy(config)
+    metrics = written(metrics.select(config, group, "rho"), "metrics")
     rows = metrics.select(config, F.col(group).alias("fold"), "rho", F.when(F.col("rho").isNotNull(), F.row_number().over(w.orderBy(F.asc_nulls_last("rho"), group))).alias("r"))
     totals = rows.groupBy(config).agg(F.count_if(F.col("rho") < 0).alias("bad_"), F.count("rho").alias("n_"))
     middle = rows.join(totals, config).where(F.abs(F.col("r") - F.col("n_") / 2) <= 2)
