@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +28,8 @@ from gaugeline.sources.files import written
 FAN = 1024
 #: Items up to which hypergeometric draws are exact; from here on the normal law with their mean and variance is rounded.
 EXACT = 10**9
+#: Blocks that a task draws for and returns at once.
+SLICE = 256
 
 
 def placed_cells(df: DataFrame, by: Sequence[str], score: str, label: str, weight: str | None) -> DataFrame:
@@ -90,33 +93,33 @@ def _drawn(cells: DataFrame, by: Sequence[str], reps: int, seed: int) -> DataFra
     def split(level: int):
         def run(batches):
             for pdf in batches:
-                out = []
-                for g, at, drawn, kids in zip(pdf["g_"], pdf["at"], pdf["drawn"], pdf["kids"], strict=True):
-                    places = np.array([x["at"] for x in kids])
-                    dealt = deal(_generator(seed, g, level, at), np.array([x["c"] for x in kids], np.int64), np.asarray(drawn))
-                    out += [(g, p, d.tolist()) for p, d in zip(places.tolist(), dealt.T, strict=True)]
-                yield pd.DataFrame(out, columns=["g_", "at", "drawn"])
+                for g, at, drawn, places, c in zip(pdf["g_"], pdf["at"], pdf["drawn"], pdf["places"], pdf["c"], strict=True):
+                    dealt = deal(_generator(seed, g, level, at), np.asarray(c, np.int64), np.asarray(drawn))
+                    yield pd.DataFrame({"g_": g, "at": places, "drawn": list(dealt.T)})
 
         return run
 
     for level in range(height - 1, 0, -1):
         kids = levels[level - 1].groupBy("g_", F.floor(F.col("at") / FAN).alias("up")).agg(F.array_sort(F.collect_list(F.struct("at", "c"))).alias("kids"))
-        held = shares.join(kids.withColumnRenamed("up", "at"), ["g_", "at"])
+        held = shares.join(kids.withColumnRenamed("up", "at"), ["g_", "at"]).select("g_", "at", "drawn", F.col("kids.at").alias("places"), F.col("kids.c").alias("c"))
         shares = written(held.mapInPandas(split(level), schema), "shares")
     leaves = base.groupBy("g_", *by, "total", F.floor(F.col("at") / FAN).alias("at")).agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("k"), "c", "w", "r"))).alias("cells")).join(shares, ["g_", "at"])
-    kinds = [T.StructField(k, cells.schema[k].dataType) for k in by]
-    out = T.StructType([*kinds, T.StructField("total", T.DoubleType()), T.StructField("sums", T.ArrayType(T.StructType([T.StructField("s", T.DoubleType()), T.StructField("p", T.DoubleType())])))])
+    leaves = leaves.select(*by, "total", "g_", "at", "drawn", *(F.col(f"cells.{x}").alias(x) for x in "cwr"))
+    numbers = T.ArrayType(T.DoubleType())
+    out = T.StructType([*(T.StructField(k, cells.schema[k].dataType) for k in by), T.StructField("total", T.DoubleType()), T.StructField("s", numbers), T.StructField("p", numbers)])
 
     def sums(batches):
-        for pdf in batches:
-            rows = []
-            for g, at, drawn, held in zip(pdf["g_"], pdf["at"], pdf["drawn"], pdf["cells"], strict=True):
-                c, w, r = (np.array([x[f] for x in held]) for f in ("c", "w", "r"))
-                dealt = deal(_generator(seed, g, 0, at), c.astype(np.int64), np.asarray(drawn))
-                rows.append([{"s": s, "p": p} for s, p in zip(dealt @ (w * r), dealt @ w, strict=True)])
-            yield pdf[[*by, "total"]].assign(sums=rows)
-
-    parts = leaves.mapInPandas(sums, out).select(*by, "total", F.posexplode("sums").alias("rep", "x"))
+        for batch in batches:
+            for first in range(0, batch.num_rows, SLICE):
+                some = batch.slice(first, SLICE)
+                found = []
+                for g, at, drawn, c, w, r in zip(*(some.column(some.schema.get_field_index(n)).to_pandas() for n in ("g_", "at", "drawn", "c", "w", "r")), strict=True):
+                    dealt = deal(_generator(seed, g, 0, at), np.asarray(c, np.int64), np.asarray(drawn))
+                    found.append((dealt @ (w * r), dealt @ w))
+                kept = [some.column(some.schema.get_field_index(n)) for n in (*by, "total")]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array([f[i] for f in found], pa.list_(pa.float64())) for i in (0, 1))], names=[*by, "total", "s", "p"])
+
+    parts = leaves.mapInArrow(sums, out).select(*by, "total", F.posexplode(F.arrays_zip("s", "p")).alias("rep", "x"))
     return parts.groupBy(*by, "total", "rep").agg(F.sum("x.s").alias("s"), F.sum("x.p").alias("p"))
 
 
