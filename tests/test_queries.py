@@ -92,3 +92,12 @@ def test_documents_of_one_word_set_are_linked(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.item_id, r.cand_id): r.d for r in registry.QUERIES["G8_edge_distance"](spark, str(tmp_path)).collect()}
     assert got == {(2, 1): 0.0, (3, 1): 0.0, (1, 4): 0.125, (2, 4): 0.125, (3, 4): 0.125, (4, 1): 0.1}
+
+
+def test_edges_of_a_graph_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
+    from gaugeline.operators import ordered
+
+    monkeypatch.setattr(ordered, "TASK", 100)
+    lines = registry.table(spark, SF, "lineitem").count()
+    degrees = registry.QUERIES["J1_degrees"](spark, SF)
+    assert degrees.rdd.getNumPartitions() == -(-lines // 100)
