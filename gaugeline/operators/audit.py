@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from gaugeline.functions.scalars import finite, hardness_bin, pair_credit, safe_corr
 from gaugeline.operators.joins import tolerance_counts
 from gaugeline.operators.nulls import label_null
-from gaugeline.operators.ordered import null_safe_join, ranked, running
+from gaugeline.operators.ordered import dealt, mean_rank, null_safe_join, ranked, running
 from gaugeline.operators.stats import ranked_quantiles, weighted_mean_std
 from gaugeline.sources.files import written
 
@@ -152,32 +152,82 @@ def null_auc_single(n: Column, q: float) -> Column:
     return F.when(n >= 1, (F.greatest(F.ceil(F.lit(q) * (n + 1)), F.lit(1)) - 1) / n.cast("double"))
 
 
+#: Rows of a group up to which its labelings are reckoned in one row, so that no labeling is a row of its own.
+HELD = 10_000
+
+
 def null_by_enumeration(df: DataFrame, by: Sequence[str], key: str, q: float, reps: int, seed: int, score: str = "score", label: str = "label", limit: int = 10) -> DataFrame:
     """(group, null_method, n_labelings, null_q): the AUC quantile over labelings with as many positives.
 
     All labelings for groups of up to ``limit`` rows, and ``reps`` permutations
     (see :func:`null_by_permutation`) for larger ones; null_method says which.
-    Groups without a positive or a negative have the method none.
+    Groups without a positive or a negative have the method none. Groups of up
+    to HELD rows are shuffled once, dealt to tasks of a bounded number of rows,
+    and only then meet their labelings.
     """
+    by = list(by)
     sizes = df.groupBy(*by).agg(F.sum(label).alias("m"), F.count("*").alias("n"))
-    method = F.when((F.col("m") <= 0) | (F.col("m") >= F.col("n")), "none").when(F.col("n") <= limit, "enumeration").otherwise("permutation")
-    sizes = sizes.select(*by, method.alias("null_method"))
-
-    def of(name: str) -> DataFrame:
-        return df.join(sizes.where(F.col("null_method") == name).select(*by), list(by), "left_semi")
-
-    rows = of("enumeration").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(score).alias("s")))).alias("x"), F.sum(label).alias("m"), F.count("*").alias("n"))
-    masks = rows.select(*by, "x", "m", "n", F.explode(F.expr("sequence(0, shiftleft(1, cast(n AS int)) - 1)")).alias("mask")).where(F.bit_count("mask") == F.col("m"))
-    items = masks.select(*by, "mask", F.posexplode("x").alias("i", "e")).select(*by, "mask", F.col("e.s").alias("score"), F.expr("shiftright(mask, i) & 1").alias("label"))
-    small = _quantile_of(weighted_auc(items, [*by, "mask"], weight=None), by, q).withColumnRenamed("n", "n_labelings")
-    large = null_by_permutation(of("permutation"), by, key, reps, q, seed, score, label).select(*by, F.lit(reps).cast("long").alias("n_labelings"), "null_q")
-    return sizes.join(small.unionByName(large), list(by), "left").select(*by, "null_method", "n_labelings", "null_q")
-
-
-def _quantile_of(aucs: DataFrame, by: Sequence[str], q: float) -> DataFrame:
-    w = Window.partitionBy(*by)
-    rows = aucs.select(*by, "auc", F.row_number().over(w.orderBy("auc")).alias("r"), F.count("*").over(w).alias("n"))
-    return rows.where(F.col("r") == F.greatest(F.lit(1), F.ceil(F.col("n") * q - 1e-9))).select(*by, "n", F.col("auc").alias("null_q"))
+    told = sizes.agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    m, n = F.col("m"), F.col("n")
+    method = F.when((m <= 0) | (m >= n), "none").when(n <= limit, "enumeration").otherwise("permutation").alias("null_method")
+    keyed = F.lit(True)
+    for c in by:
+        keyed = keyed & F.col(c).isNotNull()
+    held = max(HELD, limit)
+    large = sizes.where(keyed & (n > held))
+    rows = df.where(keyed)
+    nothing = [F.lit(None).cast("long").alias("n_labelings"), F.lit(None).cast("double").alias("null_q")]
+    out = sizes.where(~keyed).select(*by, method, *nothing)
+    if (told["most"] or 0) > held:
+        drawn = null_by_permutation(rows.join(large.where((m > 0) & (m < n)), by, "left_semi"), by, key, reps, q, seed, score, label)
+        drawn = drawn.select(*by, F.lit(reps).cast("long").alias("n_labelings"), "null_q")
+        out = out.unionByName(large.select(*by, method).join(drawn, by, "left"))
+        rows = rows.join(large, by, "left_anti")
+    return out.unionByName(_held_null(rows, by, method, told["all"], key, q, reps, seed, score, label))
+
+
+def _held_null(df: DataFrame, by: Sequence[str], method: Column, total: int | None, key: str, q: float, reps: int, seed: int, score: str, label: str) -> DataFrame:
+    """The same for groups that fit a row.
+
+    With r twice the items below an item plus those at its score (its own
+    included), and p positives, twice the credit of a labeling is the sum of r
+    over positives less p**2. An item without a finite score takes its place in
+    a labeling but has no credit.
+    """
+    rows = df.select(*by, F.col(key).cast("string").alias("k"), F.col(label).alias("y"), finite(F.col(score)).alias("s"))
+    rows = dealt(rows, by, total).withColumn("f", F.col("s").isNotNull())
+    r = F.when(F.col("f"), (2 * mean_rank([*by, "f"], "s") - 1).cast("long")).otherwise(0)
+    item = F.struct("k", r.alias("r"), F.col("f").cast("long").alias("f"))
+    groups = rows.select(*by, "y", item.alias("e")).groupBy(*by).agg(F.sum("y").alias("m"), F.count("*").alias("n"), F.sum("e.f").alias("f"), F.collect_list("e").alias("x"))
+
+    def auc(items: Column) -> Column:
+        credit = F.aggregate(items, F.lit(0).cast("long"), lambda a, e: a + e["r"])
+        whole = F.col("f") == F.col("n")
+        p = F.when(whole, F.size(items).cast("long")).otherwise(F.aggregate(items, F.lit(0).cast("long"), lambda a, e: a + e["f"]))
+        return F.struct(credit.alias("c"), p.alias("p"))
+
+    def chosen(mask: Column) -> Column:
+        return auc(F.filter("x", lambda e, i: F.getbit(mask, i) == 1))
+
+    def turned(rep: Column) -> Column:
+        turn = F.transform("x", lambda e: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), rep.cast("string"), e["k"])).alias("t"), e["r"].alias("r"), e["f"].alias("f")))
+        return auc(F.slice(F.sort_array(turn), F.lit(1), F.col("m").cast("int")))
+
+    masks = F.filter(F.expr("sequence(0L, shiftleft(1L, cast(n AS int)) - 1)"), lambda mask: F.bit_count(mask) == F.col("m"))
+    labelings = F.when(F.col("null_method") == "enumeration", F.transform(masks, chosen)).when(F.col("null_method") == "permutation", F.transform(F.sequence(F.lit(1), F.lit(reps)), turned))
+    rows = groups.select(*by, "m", "n", "f", "x", method).withColumn("a", labelings)
+    value = F.transform("a", lambda e: F.try_divide((e["c"] - e["p"] * e["p"]) / F.lit(2.0), (e["p"] * (F.col("f") - e["p"])).cast("double")))
+    rows = rows.select(*by, "null_method", "f", F.sort_array(value).alias("a"))
+    exact = F.get("a", F.greatest(F.lit(1), F.ceil(F.size("a") * F.lit(q) - 1e-9)).cast("int") - 1)
+    rows = rows.withColumn("v", F.filter("a", lambda e: e.isNotNull()))
+    place = (F.size("v") - 1) * F.lit(q)
+    low, high = F.floor(place), F.ceil(place)
+    under, over = F.get("v", low.cast("int")), F.get("v", high.cast("int"))
+    between = F.when(under == over, under).otherwise((high - place) * under + (place - low) * over)
+    listed = (F.col("null_method") == "enumeration") & (F.col("f") > 0) & (F.size("a") > 0)
+    drawn = (F.col("null_method") == "permutation") & (F.size("v") > 0)
+    n_labelings = F.when(listed, F.size("a").cast("long")).when(drawn, F.lit(reps).cast("long"))
+    return rows.select(*by, "null_method", n_labelings.alias("n_labelings"), F.when(listed, exact).when(drawn, between).alias("null_q"))
 
 
 def null_by_permutation(df: DataFrame, by: Sequence[str], key: str, reps: int, q: float, seed: int, score: str = "score", label: str = "label", weight: str | None = None) -> DataFrame:

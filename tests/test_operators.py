@@ -147,6 +147,39 @@ def test_null_by_enumeration_beyond_ten_rows(spark):
     assert got["a"].null_q == pytest.approx(aucs[17]) and 0.5 < got["b"].null_q < 0.7
 
 
+@pytest.mark.parametrize("large", [False, True])
+def test_labelings_of_a_group_are_no_rows(spark, monkeypatch, large):
+    rng = random.Random(8)
+    rows = [(g, f"{g}{k}", rng.choice([None, float("nan"), *map(float, range(5))]), int(rng.random() < 0.4)) for g, n in (("a", 4), ("b", 7), ("c", 9), ("d", 12), ("e", 30), (None, 5)) for k in range(n)]
+    rows += [("f", "f1", 1.0, 1), ("f", "f2", 2.0, 0), ("g", "g1", 1.0, 1), ("h", "h1", None, 1), ("h", "h2", None, 0)]
+    if large:
+        monkeypatch.setattr(audit, "HELD", 8)
+    else:
+        monkeypatch.setattr(audit, "weighted_auc", None)
+    got = {r.g: r for r in audit.null_by_enumeration(spark.createDataFrame(rows, "g string, k string, score double, label int"), ["g"], "k", 0.9, 15, 3, limit=8).collect()}
+    assert set(got) == {*"abcdefgh", None}
+    for g in got:
+        items = [r for r in rows if r[0] == g]
+        n, m = len(items), sum(r[3] for r in items)
+        if 0 < m < n <= 8:
+            method, drawn = "enumeration", [set(c) for c in itertools.combinations(range(n), m)]
+        elif 0 < m < n:
+            turns = [sorted(range(n), key=lambda k, rep=rep: hashlib.md5(f"3|{rep}|{items[k][1]}".encode()).hexdigest()) for rep in range(1, 16)]
+            method, drawn = "permutation", [set(t[:m]) for t in turns]
+        else:
+            method, drawn = "none", []
+        assert got[g].null_method == method
+        aucs = [brute_auc([(s, int(k in pos), 1.0) for k, (_, _, s, _) in enumerate(items) if s is not None and s == s]) for pos in drawn]
+        some = [a for a in aucs if a is not None]
+        if g is None or not some:
+            assert (got[g].n_labelings, got[g].null_q) == (None, None)
+        elif method == "enumeration":
+            want = sorted(aucs, key=lambda a: -1.0 if a is None else a)[max(1, math.ceil(len(aucs) * 0.9 - 1e-9)) - 1]
+            assert got[g].n_labelings == len(aucs) and got[g].null_q == pytest.approx(want)
+        else:
+            assert got[g].n_labelings == 15 and got[g].null_q == pytest.approx(np.quantile(some, 0.9))
+
+
 def test_contracts(spark):
     df = spark.createDataFrame([("a", "PASS", "s", "v1"), ("a", "FAIL", "s", "v1"), ("", "PASS", "s", "v1"), ("b", "MAYBE", "", "v2")], "id string, label string, source string, version string")
     got = {(r.rule, r.key, r.n) for r in contracts.check_truth_contract(df, "id", "label", "source", "version", ["PASS", "FAIL"]).collect()}
