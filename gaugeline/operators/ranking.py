@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeline.functions.scalars import safe_corr
+from gaugeline.operators import ordered
 from gaugeline.operators.joins import within_group_pairs
 from gaugeline.operators.ordered import SMALL, dealt, mean_rank, running
 from gaugeline.operators.windows import average_rank
@@ -42,12 +43,16 @@ def pairwise_accuracy(df: DataFrame, group: str, key: str, pred: str, truth: str
     """(group, n_correct, n_pairs) over pairs of different truth and key; a tie of predictions is wrong.
 
     Where no group has more than FEW rows its pairs are listed, else they are
-    counted, see :func:`_ordered_pairs`. Null keys and truths make no pairs, a
+    counted: in the task that holds the group (:func:`_held_metrics`), or beyond
+    SMALL rows by shuffles, see :func:`_ordered_pairs`. Null keys and truths make no pairs, a
     null or NaN prediction none that is right; NaN is the greatest truth.
     """
     rows = df.where(F.col(group).isNotNull() & F.col(key).isNotNull() & F.col(truth).isNotNull())
-    if (rows.groupBy(group).count().agg(F.max("count")).first()[0] or 0) > FEW:
+    size = rows.groupBy(group).count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    if (size["most"] or 0) > ordered.SMALL:
         return _counted_accuracy(rows, group, key, pred, truth)
+    if (size["most"] or 0) > FEW:
+        return _held_metrics(rows, [group], key, pred, truth, size["all"]).select(group, "n_correct", "n_pairs").where("n_pairs > 0")
     pairs = within_group_pairs(rows, group, key, [pred, truth]).where(F.col(f"{truth}_a") != F.col(f"{truth}_b"))
     right = F.signum(F.col(f"{pred}_a") - F.col(f"{pred}_b")) == F.signum(F.col(f"{truth}_a") - F.col(f"{truth}_b"))
     return pairs.groupBy(group).agg(F.count_if(right).alias("n_correct"), F.count("*").alias("n_pairs"))
@@ -104,8 +109,144 @@ def top1_hit(df: DataFrame, group: str, key: str, pred: str, truth: str) -> Data
     return rows.groupBy(group).agg(F.min(F.struct(F.col(pred).alias("p"), F.col(key).alias("k"), F.col("best_").alias("b")))["b"].alias("hit"))
 
 
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before it; the first does."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def _since(new: np.ndarray) -> np.ndarray:
+    """For each row the place of the last change."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
+def _places(part: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row how many rows of its part are smaller in x, and how many are equal, itself included."""
+    at = np.lexsort((x, part))
+    run = _changes(part[at], x[at])
+    first = _since(run)
+    smaller, equal = np.empty(len(part), np.int64), np.empty(len(part), np.int64)
+    smaller[at] = first - _since(_changes(part[at]))
+    equal[at] = np.bincount(np.cumsum(run) - 1)[np.cumsum(run) - 1]
+    return smaller, equal
+
+
+def _below(part: np.ndarray, p: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """For each row how many rows of its part are smaller in both p and i, whole numbers from 0 on.
+
+    Two numbers differ first in one binary digit. Rows stay in the order of p
+    within the blocks of equal leading digits, so at each digit a row of the
+    upper half has the rows of the lower half before it, less those at its own
+    p; rows times the number of digits.
+    """
+    place, out = np.arange(len(part)), np.zeros(len(part), np.int64)
+    at = np.lexsort((p, part))
+    part, p, i = part[at], p[at], i[at]
+    for digit in reversed(range(int(i.max(initial=0)).bit_length())):
+        new = _changes(part, i >> (digit + 1))
+        start, low = _since(new), (i >> digit) & 1 == 0
+        lows = np.cumsum(low) - low
+        ahead = lows - lows[start]
+        out[at] += np.where(low, 0, lows[_since(new | _changes(p))] - lows[start])
+        half = np.add.reduceat(low, np.flatnonzero(new), dtype=np.int64)[np.cumsum(new) - 1]
+        order = np.empty_like(place)
+        order[start + np.where(low, ahead, half + place - start - ahead)] = place
+        at, part, p, i = at[order], part[order], p[order], i[order]
+    return out
+
+
+def _group_counts(held: list):
+    """Whole groups after each other as a batch with (x, y, right, less, hit) for (size, k, p, t, told).
+
+    x, y: mean places of p and t among rows with both. less: rows of the group
+    and of another key that are smaller in t, and right: in p too. hit: on the
+    row of least p (then key) whether its t is the least.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rows = pa.Table.from_batches(held).combine_chunks()
+    column = {c: rows.column(c).chunk(0) for c in rows.column_names}
+    size, told = column["size"].to_numpy(), column["told"].to_numpy(zero_copy_only=False)
+    starts, at = [], 0
+    while at < len(size):
+        starts.append(at)
+        at += int(size[at])
+    group = np.repeat(np.arange(len(starts)), size[starts])
+    has_k, has_p, has_t = (column[c].is_valid().to_numpy(zero_copy_only=False) for c in "kpt")
+    # Numbers in the order of Spark: nulls first, NaN last.
+    k, p, t = (np.where(has, pc.rank(column[c], null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64), 0) for c, has in (("k", has_k), ("p", has_p), ("t", has_t)))
+    both, paired = has_p & has_t, has_k & has_t
+    x, y = np.full(len(size), np.nan), np.full(len(size), np.nan)
+    for out, code in ((x, p), (y, t)):
+        smaller, equal = _places(group[both], code[both])
+        out[both] = smaller + (equal + 1) / 2
+    right, less = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+    less[paired] = _places(group[paired], t[paired])[0]
+    right[told] = _below(group[told], p[told], less[told])
+    by_key = np.lexsort((k, group))
+    run = np.cumsum(_changes(group[by_key], k[by_key])) - 1
+    if len(size) and run[-1] + 1 < len(size):
+        same = np.empty_like(run)
+        same[by_key] = run
+        twice = paired & (np.bincount(run)[same] > 1)
+        alike = np.zeros(len(size), np.int64)
+        alike[twice] = _places(same[twice], t[twice])[0]
+        less -= alike
+        twice &= told
+        right[twice] -= _below(same[twice], p[twice], alike[twice])
+    least = np.minimum.reduceat(np.where(has_t, t, np.iinfo(np.int64).max), starts)
+    best = np.where(has_t, 1 + (t == least[group]), 0)
+    first = np.lexsort((best, k, p, group))[starts]
+    hit = np.zeros(len(size), bool)
+    hit[first] = best[first] == 2
+    none = np.ones(len(size), bool)
+    none[first] = best[first] == 0
+    told_by = [rows.column(c).chunk(0) for c in rows.column_names[:-5]]
+    found = [pa.array(x, mask=~both), pa.array(y, mask=~both), pa.array(right), pa.array(less), pa.array(hit, mask=none)]
+    return pa.RecordBatch.from_arrays([*told_by, *found], [*rows.column_names[:-5], "x", "y", "right", "less", "hit"])
+
+
+def _counted_groups(batches):
+    """Batches of rows in the order of their groups through :func:`_group_counts`; each row tells the size of its group."""
+    held, left = [], 0  # left: rows that the last group of ``held`` still lacks
+    for batch in batches:
+        size, at = batch.column(batch.schema.get_field_index("size")).to_numpy(), left
+        while at < len(size):
+            cut, at = at, at + int(size[at])
+        if left < len(size):
+            # The last group of the batch may go on; all before it are whole.
+            if done := [b for b in [*held, batch.slice(0, cut)] if b.num_rows]:
+                yield _group_counts(done)
+            held = [batch.slice(cut)]
+        elif batch.num_rows:
+            held.append(batch)
+        left = at - len(size)
+    if held:
+        yield _group_counts(held)
+
+
+def _held_metrics(df: DataFrame, by: Sequence[str], key: str, pred: str, truth: str, total: int | None) -> DataFrame:
+    """(group, n, rho, n_correct, n_pairs, hit) of groups of up to SMALL rows: one shuffle of the rows, in tasks of a bounded number of them."""
+    rows = dealt(df.select(*by, F.col(key).alias("k"), F.col(pred).alias("p"), F.col(truth).alias("t")), by, total)
+    told = F.col("k").isNotNull() & F.col("p").isNotNull() & F.col("t").isNotNull() & ~F.isnan(F.col("p").cast("double"))
+    rows = rows.select(*by, F.count("*").over(Window.partitionBy(*by)).alias("size"), "k", "p", "t", told.alias("told")).sortWithinPartitions(*by)
+    schema = T.StructType([*(df.schema[c] for c in by), *T.StructType.fromDDL("x double, y double, right long, less long, hit boolean").fields])
+    varied = (F.count("x") >= 2) & (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
+    rho = F.when(varied, F.round(safe_corr("x", "y"), 12))
+    return rows.mapInArrow(_counted_groups, schema).groupBy(*by).agg(F.count("x").alias("n"), rho.alias("rho"), F.sum("right").alias("n_correct"), F.sum("less").alias("n_pairs"), F.max("hit").alias("hit"))
+
+
 def group_metrics(df: DataFrame, group: str, key: str, pred: str, truth: str) -> DataFrame:
     """(group, n, rho, n_correct, n_pairs, hit)."""
+    size = df.groupBy(group).count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    if FEW < (size["most"] or 0) <= SMALL:
+        told = F.col(group).isNotNull()
+        out = _held_metrics(df, [group], key, pred, truth, size["all"]).where("n > 0")
+        return out.select(group, "n", "rho", *(F.when(told, F.col(c)).otherwise(0).alias(c) for c in ("n_correct", "n_pairs")), F.when(told, F.col("hit")).alias("hit"))
     rho = spearman(df, [group], pred, truth)
     pairs = pairwise_accuracy(df, group, key, pred, truth)
     return rho.join(pairs, group, "left").join(top1_hit(df, group, key, pred, truth), group, "left").fillna(0, ["n_correct", "n_pairs"])
@@ -397,8 +538,12 @@ def evaluate_pairwise(df: DataFrame, group: str, key: str, truth: str, features:
 
 def sweep_leaderboard(preds: DataFrame, config: str, group: str, key: str, pred: str, truth: str) -> DataFrame:
     """The report of each configuration, with ``best`` for the first of the lexicographically largest (mean_rho, pair_accuracy, top1_rate)."""
-    tagged = preds.withColumn("g_", F.concat_ws("|", F.col(config).cast("string"), F.col(group).cast("string")))
-    metrics = group_metrics(tagged, "g_", key, pred, truth).join(tagged.select("g_", config).distinct(), "g_")
+    size = preds.groupBy(config, group).count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    if FEW < (size["most"] or 0) <= SMALL:
+        metrics = _held_metrics(preds, [group, config], key, pred, truth, size["all"]).where("n > 0")
+    else:
+        tagged = preds.withColumn("g_", F.struct(config, group))
+        metrics = group_metrics(tagged, "g_", key, pred, truth).withColumn(config, F.col("g_")[config])
     report = rank_report(metrics, [config])
     turn = Window.orderBy(F.desc_nulls_last("mean_rho"), F.desc_nulls_last("pair_accuracy"), F.desc_nulls_last("top1_rate"), config)
     return report.withColumn("best", F.row_number().over(turn) == 1)

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.operators import ranking as H
+from gaugeline.operators.ordered import dealt
 from gaugeline.registry import query, table
+from gaugeline.sources.files import written
 
 _ROWS = "SELECT l_orderkey AS g, l_linenumber AS k, l_quantity AS pred, l_extendedprice AS truth FROM lineitem"
 
@@ -169,9 +171,11 @@ def h12b(spark, sf_dir):
 
 
 def _configs(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("g"), (F.col("l_orderkey") * 10000 + F.col("l_partkey")).alias("k"), F.col("l_extendedprice").alias("truth"), "l_quantity", "l_discount", "l_tax")
-    once = rows.groupBy("g", "k").agg(F.count("*").alias("n")).where("n = 1").select("g", "k")
-    rows = rows.join(once, ["g", "k"], "left_semi")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("g"), (F.col("l_orderkey") * 10000 + F.col("l_partkey")).alias("k"), F.col("l_extendedprice").alias("truth"), "l_quantity", "l_discount", "l_tax")
+    lines = dealt(lines, ["g", "k"], lines.count()).where("g IS NOT NULL AND k IS NOT NULL")
+    # The values of a key's only line; written, as they are read twice.
+    once = lines.groupBy("g", "k").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("truth", "l_quantity", "l_discount", "l_tax"))).where("n = 1")
+    rows = written(once.drop("n"), "lines")
     return rows.select("g", "k", "truth", F.explode(F.array(*(F.struct(F.lit(n).alias("config"), c.alias("pred")) for n, c in (("a", F.col("l_quantity")), ("b", F.col("l_discount")), ("c", F.col("l_quantity") * (1 - F.col("l_tax"))))))).alias("s")).select("g", "k", "truth", "s.*")
 
 

@@ -317,6 +317,49 @@ def test_pairwise_accuracy_is_counted_without_listing(spark, monkeypatch, many):
     assert got == want == listed
 
 
+@pytest.mark.parametrize("nan", [False, True])
+def test_metrics_of_a_group_are_counted_in_its_task(spark, monkeypatch, nan):
+    """Groups that lie in several batches, keys that come twice, nulls, NaN and zeros of either sign."""
+    rng = random.Random(12)
+    odd = [None, float("nan"), 0.0, -0.0]
+    rows = [(c, g, rng.choice([None, *range(60)]), rng.choice([*odd, *map(float, range(9))]), rng.choice([*odd[2 * (not nan) :], None, *map(float, range(20))])) for c in "xy" for g in ("a", "b", "c", None) for _ in range(35)]
+    rows += [("x", "one", 1, 1.0, 1.0), ("y", "null", 1, None, 1.0), ("y", "null", 2, None, 2.0), ("y", "flat", 1, 2.0, 3.0), ("y", "flat", 1, 2.0, 4.0)]
+    df = spark.createDataFrame(rows, "c string, g string, k int, p double, t double")
+
+    def found():
+        board = ranking.sweep_leaderboard(df, "c", "g", "k", "p", "t").orderBy("c").toPandas()
+        metrics = ranking.group_metrics(df.where("c = 'y'"), "g", "k", "p", "t").orderBy("g").toPandas()
+        return board, metrics.astype({"n": int, "n_correct": int, "n_pairs": int})
+
+    monkeypatch.setattr(ranking, "FEW", 1000)
+    listed = found()
+    monkeypatch.setattr(ranking, "FEW", 1)
+    monkeypatch.setattr(ranking, "_ordered_pairs", None)  # not by rows times digits
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        counted = found()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.undo()
+    for module in (ranking, ordered):
+        monkeypatch.setattr(module, "SMALL", 5)
+    shuffled = found()
+    for other in (shuffled,) if nan else (shuffled, listed):  # differences, which are listed, have no NaN truth as the greatest
+        pd.testing.assert_frame_equal(counted[0], other[0], check_dtype=False)
+        pd.testing.assert_frame_equal(counted[1], other[1], check_dtype=False)
+    assert "null" not in set(counted[1].g)
+
+
+@pytest.mark.parametrize("size", [0, 1, 500])
+def test_rows_below_in_both_equal_brute_force(size):
+    rng = np.random.default_rng(size)
+    part, p, i = np.sort(rng.integers(0, 4, size)), rng.integers(0, 30, size), rng.integers(0, 50, size)
+    want = [int(((part == part[r]) & (p < p[r]) & (i < i[r])).sum()) for r in range(size)]
+    shuffled = rng.permutation(size)
+    assert ranking._below(part, p, i).tolist() == want
+    assert ranking._below(part[shuffled], p[shuffled], i[shuffled]).tolist() == [want[r] for r in shuffled]
+
+
 def test_pairwise_accuracy_counts_prediction_ties_as_wrong(spark):
     df = spark.createDataFrame([("g", 1, 1.0, 1.0), ("g", 2, 1.0, 2.0), ("g", 3, 3.0, 3.0)], "g string, k int, p double, t double")
     r = ranking.pairwise_accuracy(df, "g", "k", "p", "t").first()
