@@ -587,8 +587,9 @@ def rescore_compare(df: DataFrame, group: str, truth: str, variants: Sequence[st
 def calibration_gate(trials: DataFrame, key: str, checks: Sequence[tuple[str, str, float]], auc: str, others: Sequence[str], lam: float) -> DataFrame:
     """Per trial the first failing check (column, ``min`` or ``max``, limit) and score = auc - lam * sum of others; ``best`` marks the top passing one.
 
-    Compared to 12 digits, so that a mean on its limit, or equal trials, do not
-    depend on the order of sums; of equal trials the first key is best.
+    Compared to 12 digits, and the score told to as many, so that a mean on its
+    limit, equal trials, or a score that lies halfway between two rounded ones do
+    not depend on the order of sums; of equal trials the first key is best.
     """
     told = {c: F.round(F.col(c).cast("double"), 12) for c, _, _ in checks}
     fails = [(F.coalesce(told[c] < v if kind == "min" else told[c] > v, F.lit(True)), c) for c, kind, v in checks]
@@ -596,8 +597,8 @@ def calibration_gate(trials: DataFrame, key: str, checks: Sequence[tuple[str, st
     score = F.col(auc)
     for o in others:
         score = score - F.lit(lam) * F.col(o)
-    rows = trials.withColumns({"reason": reason, "score": score}).withColumn("status", F.when(F.col("reason") == "", "PASS").otherwise("FAIL"))
-    top = rows.where("status = 'PASS'").agg(F.min(F.struct((-F.round("score", 12)).alias("s"), F.col(key).alias("k")))["k"].alias("top"))
+    rows = trials.withColumns({"reason": reason, "score": F.round(score.cast("double"), 12)}).withColumn("status", F.when(F.col("reason") == "", "PASS").otherwise("FAIL"))
+    top = rows.where("status = 'PASS'").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(key).alias("k")))["k"].alias("top"))
     return rows.join(F.broadcast(top)).withColumn("best", F.coalesce(F.col(key) == F.col("top"), F.lit(False))).drop("top")
 
 

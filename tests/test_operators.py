@@ -298,6 +298,13 @@ def test_calibration_gate_does_not_depend_on_the_order_of_sums(spark):
     assert got == {1: ("PASS", True), 2: ("PASS", False), 3: ("FAIL", False)}
 
 
+def test_calibration_score_halfway_rounds_whatever_the_order_of_sums(spark):
+    # The second is the double below the first, as another order of sums gives it.
+    df = spark.createDataFrame([(1, 0.2356875, 0.0), (2, 0.23568749999999997, 0.0)], "t int, auc double, other double")
+    got = ranking.calibration_gate(df, "t", [("auc", "min", 0.0)], "auc", ["other"], 2.0)
+    assert [r.s for r in got.selectExpr("round(score, 6) AS s").collect()] == [0.235688, 0.235688]
+
+
 @pytest.mark.parametrize("many", [False, True])
 def test_pairwise_accuracy_is_counted_without_listing(spark, monkeypatch, many):
     rng = random.Random(5)
