@@ -219,6 +219,16 @@ def test_similarity_join_equals_brute_force(spark, low, high):
     assert short == {(a, b) for a, b in got if rep[a] == a and rep[b] == b and rep[a] != rep[b]}
 
 
+def test_similarity_query_pairs_every_copy(spark, tmp_path):
+    from gaugeline import plans, registry
+
+    plans.load()
+    texts = {1: "a b c d", 2: "d c b a", 3: "A b c d e", 4: "a b c d e!", 5: "x", 6: "", 7: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.k_a, r.k_b, r.similarity) for r in registry.QUERIES["C14_set_similarity_join"](spark, str(tmp_path)).collect())
+    assert got == [(1, 3, 0.8), (1, 4, 0.8), (2, 3, 0.8), (2, 4, 0.8)]
+
+
 def test_similar_sets_meet_in_blocks(spark, monkeypatch):
     for name, value in (("BLOCK_LEAST", 60), ("MATCHES", 40)):
         monkeypatch.setattr(joins, name, value)
