@@ -962,6 +962,20 @@ def test_hard_negatives_of_many_copies(spark):
     assert n.n == len(others) and n.min_pair_d == min(apart) == 0.0
 
 
+def test_hard_negatives_are_the_lowest_digests_of_all_rows_in_the_band(spark):
+    import hashlib
+
+    rng = random.Random(61)
+    sets = {k: frozenset(rng.sample(range(1, 7), rng.randint(3, 5))) for k in range(60)}
+    pairs, members = screening.alike(spark.createDataFrame([(k, sorted(s)) for k, s in sets.items()], "k int, s array<int>"), "k", "s", 0.5)
+    got = {(r.item_id, r.cand_id) for r in screening.hard_negatives(pairs, members, "k", 0.6, 0.9, 2, 5).collect()}
+    want = set()
+    for a, x in sets.items():
+        band = [b for b, y in sets.items() if a != b and 0.6 <= len(x & y) / len(x | y) <= 0.9]
+        want |= {(a, b) for b in sorted(band, key=lambda b: hashlib.md5(f"5|{a}|{b}".encode()).hexdigest())[:2]}
+    assert got == want and len(got) > 60
+
+
 def test_alike_pairs_are_written_without_their_sets(spark):
     from gaugeline.functions import scalars
 
