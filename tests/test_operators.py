@@ -243,6 +243,19 @@ def test_similar_sets_meet_in_blocks(spark, monkeypatch):
         assert got == pytest.approx(want) and found.count() == len(want) > 1770
 
 
+def test_sketches_differ_in_no_more_bits_than_sets_in_tokens():
+    rng = np.random.default_rng(62)
+    sets = [np.sort(rng.choice(900, rng.integers(1, 120), replace=False)) for _ in range(60)]
+    n = np.array([len(s) for s in sets])
+    for words in (1, 4, 8):
+        x = joins._sketches(n, np.cumsum(n) - n, np.concatenate(sets), words)
+        bits = np.bitwise_count(x[:, None] ^ x[None]).sum(axis=2)
+        apart = np.array([[len({*a} ^ {*b}) for b in sets] for a in sets])
+        assert (bits <= apart).all() and bits.diagonal().max() == 0
+    # With four bits for a token or more, sets without a common token are told from those that are half alike.
+    assert all(bits[i, j] > (n[i] + n[j]) / 3 for i in range(60) for j in range(i) if apart[i, j] == n[i] + n[j] > 100)
+
+
 def test_nearest_in_a_large_table_equals_brute_force(spark):
     rng = random.Random(21)
     points = [rng.choice([rng.uniform(-10, 10), 1e6 + rng.random()]) for _ in range(40)] + [5.0, 7.0]
