@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,73 @@ def symmetric_kl(p: DataFrame, q: DataFrame, by: Sequence[str], key: str, rule:
     return both.select(*by, "pq", "qp", ((F.col("pq") + F.col("qp")) / 2).alias("kl"))
 
 
+#: Pairs of chains by their shared keys up to which they are listed, and chains and cells of a block beyond.
+SHARED, CHAINS, CELLS = 20_000_000, 1 << 14, 4_000_000
+#: Chains of a block that are compared together, and cells of the tables of keys that many chains have.
+STRIP, TABLES = 512, 1 << 24
+
+
+def _block_most(rows: pa.Table) -> pa.Table:
+    """(d): the largest f + g - s of a chain of block i (those of ``own``) and one of block j; s adds up v times v over shared keys."""
+    own = rows["own"].to_numpy()
+
+    def side(at: np.ndarray):
+        part = rows.filter(pa.array(at))
+        x, v = part["x"].combine_chunks(), part["v"].combine_chunks()
+        row = np.repeat(np.arange(len(part)), x.value_lengths().to_numpy().astype(np.int64))
+        return part["t"].to_numpy(), row, x.flatten().to_numpy(), v.flatten().to_numpy()
+
+    (f, ra, xa, va), (g, rb, xb, vb) = side(own), side(~own)
+    if not len(f) or not len(g):
+        return pa.table({"d": pa.array([], pa.float64())})
+    keys = np.union1d(xa, xb)
+    xa, xb = np.searchsorted(keys, xa), np.searchsorted(keys, xb)
+    work = np.bincount(xa, minlength=len(keys)) * np.bincount(xb, minlength=len(keys))
+    # Keys that many chains of both have are columns of a product, the others are taken cell by cell.
+    wide = np.argsort(-work, kind="stable")[: max(1, TABLES // (len(f) + len(g)))]
+    wide = wide[50 * work[wide] >= len(f) * len(g)]
+    column = np.full(len(keys), -1)
+    column[wide] = np.arange(len(wide))
+
+    def split(row: np.ndarray, x: np.ndarray, v: np.ndarray, n: int, by: int):
+        table = np.zeros((n, len(wide)))
+        at = column[x] >= 0
+        table[row[at], column[x[at]]] = v[at]
+        at = ~at & (work[x] > 0)
+        row, x, v = row[at], x[at], v[at]
+        order = np.argsort((row, x)[by], kind="stable")
+        return table, row[order], x[order], v[order]
+
+    a, ra, xa, va = split(ra, xa, va, len(f), 0)
+    b, rb, xb, vb = split(rb, xb, vb, len(g), 1)
+    low, high = np.searchsorted(xb, xa), np.searchsorted(xb, xa, "right")
+    best = -np.inf
+    for at in range(0, len(f), STRIP):
+        d = g - a[at : at + STRIP] @ b.T
+        d += f[at : at + STRIP, None]
+        for k in range(*np.searchsorted(ra, (at, at + STRIP))):
+            d[ra[k] - at, rb[low[k] : high[k]]] -= va[k] * vb[low[k] : high[k]]
+        best = max(best, float(d.max()))
+    return pa.table({"d": [best]})
+
+
+def _largest_kl(gain: DataFrame, own: DataFrame, n: int) -> DataFrame:
+    """(d): the largest divergences of blocks of chains, of gain(c, x, da, lb) and own(c, f, g) with n chains.
+
+    Each two blocks meet in a task, which keeps one number; what is shuffled is
+    each chain once for each block. A chain also meets itself, with 0, which no
+    two chains are under.
+    """
+    keys = numbered(gain.select("x").distinct(), ["x"]).select("x", F.col("r_").alias("no"))
+    cells = written(gain.join(keys, "x").groupBy("c").agg(F.collect_list(F.struct("no", "da", "lb")).alias("v")).join(own, "c"), "chains")
+    mass = cells.agg(F.sum(F.size("v"))).first()[0]
+    parts = max(-(-n // CHAINS), -(-mass // CELLS))
+    block, each = F.pmod(F.xxhash64("c"), F.lit(parts)), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    one = cells.select(block.cast("int").alias("i"), each.alias("j"), F.lit(True).alias("own"), F.col("f").alias("t"), F.col("v.no").alias("x"), F.col("v.da").alias("v"))
+    two = cells.select(each.alias("i"), block.cast("int").alias("j"), F.lit(False).alias("own"), F.col("g").alias("t"), F.col("v.no").alias("x"), F.col("v.lb").alias("v"))
+    return one.unionByName(two).repartition(min(parts * parts, 10_000), "i", "j").groupBy("i", "j").applyInArrow(_block_most, "d double")
+
+
 def pairwise_kl(df: DataFrame, chain: str, key: str, eps: float = 1e-12) -> DataFrame:
     """One row: largest and mean KL over ordered pairs of chains, with eps added on the support of all chains.
 
@@ -58,6 +127,8 @@ def pairwise_kl(df: DataFrame, chain: str, key: str, eps: float = 1e-12) -> Data
     the keys that both have. The mean needs sums by chain and by key only. For
     the largest, chains that share keys meet by key; of those that share none,
     a chain needs only the largest other terms, one more than it has partners.
+    With more than SHARED pairs by key, chains are dealt into blocks instead,
+    each two of which meet in a task as tables of numbers, so no pair is a row.
     Chains of one distribution, told by two 64-bit digests of its keys and
     probabilities, meet the others once; between them the divergence is 0.
     """
@@ -81,6 +152,9 @@ def pairwise_kl(df: DataFrame, chain: str, key: str, eps: float = 1e-12) -> Data
     copies = classes.where("size > 1").agg(F.max(F.lit(0.0)).alias("d"))
     own = classes.select("r.*")
     gain = gain.join(own.select("c"), "c", "left_semi")
+    n, pairs = own.count(), gain.groupBy("x").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+    if n > 1 and pairs > SHARED:
+        return _largest_kl(gain, own, n).unionByName(copies).agg(F.max("d").alias("kl_max")).join(F.broadcast(mean))
     one, two = gain.select(F.col("c").alias("a"), "x", "da"), gain.select(F.col("c").alias("b"), "x", "lb")
     shared = one.join(two, "x").where("a <> b").groupBy("a", "b").agg(F.sum(F.col("da") * F.col("lb")).alias("s"))
     shared = written(shared, "kl")

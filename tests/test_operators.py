@@ -657,6 +657,25 @@ def test_pairwise_kl_equals_brute_force(spark, seed):
     assert (got.kl_max, got.kl_mean) == (pytest.approx(max(want)), pytest.approx(np.mean(want)))
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_pairwise_kl_in_blocks_equals_brute_force(spark, seed, monkeypatch):
+    """Keys that all chains have, and such as few have; chains of a block taken a few at a time."""
+    for name, value in (("SHARED", 0), ("CHAINS", 7), ("STRIP", 2), ("TABLES", 30)):
+        monkeypatch.setattr(distributions, name, value)
+    seen = []
+    monkeypatch.setattr(distributions, "written", lambda df, name: (seen.append(df.columns), files.written(df, name))[1])
+    rng = random.Random(seed)
+    own = {c: rng.sample(range(40), rng.randint(1, 3)) for c in range(30)}
+    rows = [(c, k) for c in own for k in [*own[c] * rng.randint(1, 3), *[50 + rng.randint(0, 1) for _ in range(rng.randint(0, 6))]]]
+    eps, keys = 1e-3, sorted({k for _, k in rows})
+    size = {c: sum(r[0] == c for r in rows) for c in own}
+    dist = {c: {k: (rows.count((c, k)) / size[c] + eps) / (1 + len(keys) * eps) for k in keys} for c in own}
+    want = [sum(dist[a][k] * np.log(dist[a][k] / dist[b][k]) for k in keys) for a in own for b in own if a != b]
+    got = distributions.pairwise_kl(spark.createDataFrame(rows, "c int, k int"), "c", "k", eps).first()
+    assert (got.kl_max, got.kl_mean) == (pytest.approx(max(want)), pytest.approx(np.mean(want)))
+    assert seen and ["a", "b", "s"] not in seen  # no pair is a row
+
+
 def test_temperature_fit_recovers_lambda(spark):
     e = np.arange(6) * 0.4
     p = np.exp(-1.7 * e) / np.exp(-1.7 * e).sum()
