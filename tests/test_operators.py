@@ -1021,6 +1021,28 @@ def test_alike_pairs_are_written_without_their_sets(spark):
     assert {(r.item, r.cand, r.na, r.nb): r.d for r in pairs.withColumn("d", of).collect()} == want and len(want) > 6
 
 
+def test_candidates_of_an_item_in_one_task_and_in_rounds_are_the_same(spark, monkeypatch):
+    rng = random.Random(63)
+    rows = [(i, c, sorted(rng.sample(range(9), rng.randint(0, 5))), rng.random(), rng.randint(1, 3)) for i in range(9) for c in rng.sample(range(100), 3 * i + 1)]
+    df = spark.createDataFrame(rows, "i int, c int, v array<int>, d double, n long").cache()
+    found, steps = [], []
+    monkeypatch.setattr(screening, "written", lambda df, name: (steps.append(name), files.written(df, name))[1])
+    for most, task in ((2_000_000, 4_000_000), (2_000_000, 20), (30, 20), (-1, 20)):
+        monkeypatch.setattr(screening, "ITEM", most)
+        monkeypatch.setattr(screening, "TASK", task)
+        steps.clear()
+        taken = sorted((r.i, r.c) for r in screening.min_distance_filter(df, "i", "c", "v", "d", 0.2, 0.7).collect())
+        far = sorted(tuple(r) for r in screening.maxmin_select(df, "i", "c", "v", 3, 5).collect())
+        told = {r.i: r[1:] for r in screening.distance_summary(df, "i", "c", "v", "d", "n").collect()}
+        found.append((taken, far, told))
+        assert (most > 1000) == ({*steps} == {"candidates", "sizes"})
+    for taken, far, told in found:
+        assert taken == found[-1][0] and far == found[-1][1] and len(taken) > 20 and len(far) > 20
+        assert {i: t[:1] for i, t in told.items()} == {i: t[:1] for i, t in found[-1][2].items()}
+        for i, t in told.items():
+            assert [x for x in t if x is not None] == pytest.approx([x for x in found[-1][2][i] if x is not None])
+
+
 def test_plan_of_maxmin_choice_does_not_grow(spark):
     df = spark.createDataFrame([(1, k, [k, k + 1, k % 3]) for k in range(12)], "i int, c int, v array<int>")
     plans = [screening.maxmin_select(df, "i", "c", "v", k, 3)._jdf.queryExecution().toString().count("Join") for k in (2, 6)]
