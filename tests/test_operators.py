@@ -243,6 +243,16 @@ def test_similar_sets_meet_in_blocks(spark, monkeypatch):
         assert got == pytest.approx(want) and found.count() == len(want) > 1770
 
 
+def test_classes_with_the_same_digests_are_told_by_their_sets(spark, monkeypatch):
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, ["c"]), (3, ["b", "a"]), (4, []), (5, None)], "k int, s array<string>")
+    for alike in (False, True):
+        if alike:
+            monkeypatch.setattr(joins, "_digests", lambda tokens: {"h1": F.lit(1), "h2": F.lit(2)})
+        reps, members = joins.set_classes(df, "k", "s")
+        assert sorted((r.rep, r.s, r.size) for r in reps.collect()) == [(1, ["a", "b"], 2), (2, ["c"], 1), (4, [], 1)]
+        assert sorted(tuple(r) for r in members.collect()) == [(1, 1), (2, 2), (3, 1), (4, 4)]
+
+
 def test_sketches_differ_in_no_more_bits_than_sets_in_tokens():
     rng = np.random.default_rng(62)
     sets = [np.sort(rng.choice(900, rng.integers(1, 120), replace=False)) for _ in range(60)]
